@@ -398,10 +398,8 @@ def document_losses(positions: DataFrame, key: str) -> DataFrame:
     )
     shares = {"min_loss": 0.0, "p25_loss": 0.25, "median_loss": 0.5, "p75_loss": 0.75, "max_loss": 1.0}
     ranks = linear_percentiles(means, "mean_loss", shares)
-    total = F.sum(F.col("mean_loss").cast("decimal(28,12)")).cast("double")
-    mean = means.agg((total / F.count("*")).alias("mean_loss")).scalar()
     return ranks.select(
         F.col("n").alias("n_documents"),
-        F.bround(mean, 6).alias("mean_loss"),
+        F.bround("mean", 6).alias("mean_loss"),
         *[F.bround(name, 6).alias(name) for name in shares],
     )

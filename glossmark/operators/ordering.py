@@ -61,7 +61,8 @@ def order_statistics(
 ) -> DataFrame:
     """Exact values at chosen zero-based ranks per group.
 
-    ``picks`` maps an output column to the rank as a function of the group size.
+    ``picks`` maps an output column to the rank as a function of the group size;
+    the size ``n`` and the ``mean`` come along.
     Equal values are counted first.  Cut points from a mergeable quantile sketch
     then split each group's distinct values into ``bins`` ranges; counts tell
     which ranges hold a wanted rank, and only those are ordered.
@@ -77,11 +78,12 @@ def order_statistics(
     cuts = histogram.groupBy(*keys).agg(
         F.percentile_approx("_v", shares, bins * 100).alias("_cuts"),
         F.sum("_n").alias("n"),
+        F.sum(F.col("_v").cast("double") * F.col("_n")).alias("_total"),
     )
     if not groups:
         cuts = F.broadcast(cuts)  # one row
     binned = histogram.join(cuts, keys).select(
-        *keys, "_v", "_n", "n",
+        *keys, "_v", "_n", "n", "_total",
         F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"),
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows"), F.first("n").alias("n"))
@@ -107,7 +109,7 @@ def order_statistics(
             & (F.col("_pick.at") >= F.col("_upto") - F.col("_n"))
         )
     )
-    out = found.groupBy(*keys, "n").agg(
+    out = found.groupBy(*keys, "n", (F.col("_total") / F.col("n")).alias("mean")).agg(
         *[F.max(F.when(F.col("_pick.name") == name, F.col("_v"))).alias(name) for name in picks]
     )
     return out if groups else out.drop("_all")
@@ -123,12 +125,7 @@ def five_numbers(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> Dat
         "p75": lambda n: F.least(n - 1, F.floor(n * 0.75)),
         "max": lambda n: n - 1,
     }
-    ranks = order_statistics(rows, value, picks, groups)
-    keys = list(groups) or ["_all"]
-    base = rows if groups else rows.withColumn("_all", F.lit(1))
-    means = base.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    ranks = ranks if groups else ranks.withColumn("_all", F.lit(1))
-    out = ranks.join(means, keys).select(
+    return order_statistics(rows, value, picks, groups).select(
         *groups,
         "n",
         *[F.col(c).cast("double").alias(c) for c in ("min", "p25")],
@@ -136,7 +133,6 @@ def five_numbers(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> Dat
         *[F.col(c).cast("double").alias(c) for c in ("p75", "max")],
         "mean",
     )
-    return out
 
 
 def linear_percentiles(
@@ -154,7 +150,7 @@ def linear_percentiles(
         low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
         return (low + (high - low) * (at - F.floor(at))).alias(name)
 
-    return ranks.select(*groups, "n", *[blend(n, s) for n, s in shares.items()])
+    return ranks.select(*groups, "n", "mean", *[blend(n, s) for n, s in shares.items()])
 
 
 def top_k(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

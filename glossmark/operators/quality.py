@@ -243,14 +243,12 @@ def top_surfaces(forms: DataFrame, k: int = 5) -> DataFrame:
 
 def lengths(docs: DataFrame, text: str, groups: list[str]) -> DataFrame:
     """Word and character five-number summaries, one row per group and measure."""
-    measured = docs.select(
-        *groups, word_count(F.col(text)).alias("words"), F.length(text).alias("chars")
+    measures = F.array(
+        F.struct(F.lit("words").alias("measure"), word_count(F.col(text)).alias("v")),
+        F.struct(F.lit("chars").alias("measure"), F.length(text).alias("v")),
     )
-    parts = [
-        five_numbers(measured, measure, groups).withColumn("measure", F.lit(measure))
-        for measure in ("words", "chars")
-    ]
-    return parts[0].unionByName(parts[1])
+    long = docs.select(*groups, F.explode(measures).alias("m")).select(*groups, "m.*")
+    return five_numbers(long, "v", [*groups, "measure"])
 
 
 def outcome_histogram(documents: DataFrame, columns: list[str]) -> DataFrame:
