@@ -120,9 +120,12 @@ def align_subwords(piece_counts: Column, ids: Column) -> Column:
 
 def find_sublist(items: Column, pattern: Column) -> Column:
     """Zero-based positions at which ``pattern`` occurs in ``items``, overlaps included."""
-    hits = F.transform(
-        items, lambda _, i: F.when(F.slice(items, i + 1, F.size(pattern)) == pattern, i)
-    )
-    return F.when(F.size(pattern) > 0, F.filter(hits, lambda i: i.isNotNull())).otherwise(
-        F.expr("cast(array() as array<int>)")
-    )
+
+    def search(args: Column) -> Column:
+        xs, ps = args["xs"], args["ps"]
+        hits = F.transform(xs, lambda _, i: F.when(F.slice(xs, i + 1, F.size(ps)) == ps, i))
+        return F.when(F.size(ps) > 0, F.filter(hits, lambda i: i.isNotNull())).otherwise(
+            F.expr("cast(array() as array<int>)")
+        )
+
+    return bind(F.struct(items.alias("xs"), pattern.alias("ps")), search)

@@ -194,8 +194,6 @@ def pair_spans(gold: Column, predicted: Column) -> Column:
     gold span they overlap. Kinds: same, bounds (other type), type (shared type,
     other bounds), touch (overlap only), spurious. Free gold spans are missed.
     """
-    exact_gold = F.array_intersect(gold, predicted)
-
     def step(state: Column, p: Column) -> Column:
         at = F.array_position(
             F.transform(state["free"], lambda g: _overlap(g, p)), F.lit(True)
@@ -214,22 +212,22 @@ def pair_spans(gold: Column, predicted: Column) -> Column:
         out = F.concat(state["out"], F.array(F.struct(p["tag"].alias("tag"), kind.alias("kind"))))
         return F.struct(rest.alias("free"), out.alias("out"))
 
-    def pair(same: Column) -> Column:
+    def tagged(spans: Column, kind: str) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["tag"].alias("tag"), F.lit(kind).alias("kind")))
+
+    def pair(sides: Column) -> Column:
+        same = F.array_intersect(sides["g"], sides["p"])
         start = F.struct(
-            F.array_except(gold, same).alias("free"),
-            F.transform(same, lambda s: F.struct(s["tag"].alias("tag"), F.lit("same").alias("kind"))).alias("out"),
+            F.array_except(sides["g"], same).alias("free"), tagged(same, "same").alias("out")
         )
         return F.aggregate(
-            F.array_except(predicted, same),
+            F.array_except(sides["p"], same),
             start,
             step,
-            lambda s: F.concat(
-                s["out"],
-                F.transform(s["free"], lambda g: F.struct(g["tag"].alias("tag"), F.lit("missed").alias("kind"))),
-            ),
+            lambda s: F.concat(s["out"], tagged(s["free"], "missed")),
         )
 
-    return bind(exact_gold, pair)
+    return bind(F.struct(gold.alias("g"), predicted.alias("p")), pair)
 
 
 def span_schema_scores(sentences: DataFrame, gold: str, predicted: str) -> DataFrame:

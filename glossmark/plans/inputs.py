@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmark.functions.labels import bind
+
 ANNOTATION_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 ROW_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -150,16 +152,17 @@ def hashed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "sent_idx", F.filter(F.split("line", " "), lambda w: w != "").alias("words")
     ).where(F.size("words") > 0)
     gold = words.withColumn("gold", F.transform("words", lambda w: digest_label(F.md5(w))))
-    return gold.withColumn(
-        "pred",
-        F.transform(
+
+    def changed(known: Column) -> Column:
+        return F.transform(
             "words",
             lambda w, i: F.when(
                 F.substring(F.md5(F.concat(w, F.lit("#"), i.cast("string"))), 1, 1) < "3",
                 digest_label(F.md5(F.concat(w, F.lit("p")))),
-            ).otherwise(F.get(F.col("gold"), i)),
-        ),
-    )
+            ).otherwise(F.get(known, i)),
+        )
+
+    return gold.withColumn("pred", bind(F.col("gold"), changed))
 
 
 def digest_label(digest: Column) -> Column:
