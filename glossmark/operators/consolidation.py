@@ -40,6 +40,10 @@ def _clean(entities: str) -> Column:
     return F.filter(named, lambda e: e["type"].isin(*ENTITY_COLUMNS) & (e["surface"] != ""))
 
 
+def _of_type(entities: Column, wanted: Column) -> Column:
+    return F.filter(entities, lambda e: e["type"] == wanted)
+
+
 def consolidate(documents: DataFrame, medicines: DataFrame, stamp_first: bool = True) -> DataFrame:
     """Annotation rows with surface and canonical columns, one document at a time.
 
@@ -62,7 +66,7 @@ def consolidate(documents: DataFrame, medicines: DataFrame, stamp_first: bool =
         )
     )
     for t in ENTITY_COLUMNS:
-        base = base.withColumn(f"_{t}", F.filter("_all", lambda e, t=t: e["type"] == t))
+        base = base.withColumn(f"_{t}", _of_type(F.col("_all"), F.lit(t)))
     anchor = F.coalesce(*[F.when(F.size(f"_{t}") > 0, F.lit(t)) for t in ENTITY_COLUMNS])
     base = base.withColumn("_anchor", anchor).where(F.col("_anchor").isNotNull())
 
@@ -79,19 +83,17 @@ def consolidate(documents: DataFrame, medicines: DataFrame, stamp_first: bool =
         return out
 
     anchored = F.transform(
-        F.filter("_all", lambda e: e["type"] == F.col("_anchor")),
+        _of_type(F.col("_all"), F.col("_anchor")),
         lambda e: F.struct(*cells(e, F.col("_anchor"), True)),
     )
 
-    def first_surfaces(t: str) -> Column:
+    def auxiliary_rows(t: str) -> Column:
         items = F.col(f"_{t}")
-        return F.filter(
-            items, lambda e, i: F.array_position(F.transform(items, lambda x: x["surface"]), e["surface"]) == i + 1
-        )
+        surfaces = F.transform(items, lambda e: e["surface"])
+        firsts = F.filter(items, lambda e, i: F.array_position(surfaces, e["surface"]) == i + 1)
+        return F.transform(firsts, lambda e: F.struct(*cells(e, F.lit(t), False)))
 
-    extra = [
-        F.transform(first_surfaces(t), lambda e, t=t: F.struct(*cells(e, F.lit(t), False))) for t in AUXILIARY
-    ]
+    extra = [auxiliary_rows(t) for t in AUXILIARY]
     return base.select(
         "codigo", "medicamento", "orig_codigo", "variante", F.explode(F.concat(anchored, *extra)).alias("r")
     ).select("codigo", "medicamento", "r.*", "orig_codigo", "variante")

@@ -59,10 +59,11 @@ def greedy_examples(index: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:
 def best_candidate(index: DataFrame, preferred: list[str] = (), exclude: str | None = None) -> DataFrame:
     """One row: the first preferred code that exists, else most categories, then fewest rows."""
     usable = index if exclude is None else index.where(F.col("codigo") != exclude)
-    place = F.lit(len(preferred))
-    for at, code in reversed(list(enumerate(preferred))):
-        place = F.when(F.col("codigo") == code, F.lit(at)).otherwise(place)
-    return usable.orderBy(place, F.desc("n_frecuencias"), F.asc("n_reacciones"), F.asc("codigo")).limit(1)
+    order = [F.desc("n_frecuencias"), F.asc("n_reacciones"), F.asc("codigo")]
+    if preferred:
+        place = F.array_position(F.array(*map(F.lit, preferred)), F.col("codigo"))
+        order.insert(0, F.when(place == 0, F.lit(len(preferred) + 1)).otherwise(place))
+    return usable.orderBy(*order).limit(1)
 
 
 def round_robin(
