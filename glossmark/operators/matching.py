@@ -94,19 +94,15 @@ def find_spans(
     Returns doc_key, code, type, type_rank, mention, mention_length, start, end.
     """
     compiled = _compile(mentions, mention_code or code, list(types))
-    widest = compiled.agg(F.max("_pieces")).first()[0] or 1
-    rows = atoms(docs, doc_key, fold(F.col(text)), *dict.fromkeys(c for c in (code,) if c != doc_key))
-    in_order = Window.partitionBy(doc_key).orderBy("idx")
-    following = [F.coalesce(F.lead("_piece", i).over(in_order), F.lit("")) for i in range(1, widest)]
-    context = F.concat(F.col("piece"), *following)
-    rows = rows.withColumn("_context", context).where((F.col("piece") != "") & F.col("bounded")).select(
+    hinted, small, widest = broadcast_if_small(compiled, broadcast_limit, F.max("_pieces"))
+    keep = () if code == doc_key else (code,)
+    rows = atoms(docs, doc_key, text, *keep, following=(widest or 1) - 1).select(
         doc_key,
         F.col(code).alias("_code"),
         "start",
         F.col("piece").alias("_anchor"),
-        "_context",
+        F.col("context").alias("_context"),
     )
-    hinted, small = broadcast_if_small(compiled, broadcast_limit)
     on = ["_code", "_anchor"]
     if not small:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64(doc_key), F.lit(MATCH_SALTS)).cast("int"))
@@ -202,14 +198,14 @@ def project_labels(tokens: DataFrame, spans: DataFrame, doc_key: str) -> DataFra
         F.col("start").alias("_at"),
         F.lit(0).alias("_kind"),
         F.struct("start", "end", "type").alias("_span"),
-        F.lit(None).cast("struct<idx:int,token:string,start:int,end:int,sent_idx:int>").alias("_token"),
+        F.lit(None).cast("struct<idx:int,token:string,end:int,sent_idx:int>").alias("_token"),
     )
     token_rows = tokens.select(
         doc_key,
         F.col("start").alias("_at"),
         F.lit(1).alias("_kind"),
         F.lit(None).cast("struct<start:int,end:int,type:string>").alias("_span"),
-        F.struct("idx", "token", "start", "end", "sent_idx").alias("_token"),
+        F.struct("idx", "token", "end", "sent_idx").alias("_token"),
     )
     in_order = Window.partitionBy(doc_key).orderBy("_at", "_kind")
     carried = F.last("_span", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
@@ -223,9 +219,13 @@ def project_labels(tokens: DataFrame, spans: DataFrame, doc_key: str) -> DataFra
         span_rows.unionByName(token_rows)
         .withColumn("_last", carried)
         .where(F.col("_kind") == 1)
-        .select(doc_key, "_token.*", at_start.alias("_raw"))
+        .select(
+            doc_key, "_token.idx", "_token.token", F.col("_at").alias("start"), "_token.end", "_token.sent_idx",
+            at_start.alias("_raw"),
+        )
     )
-    before = F.lag("_raw").over(Window.partitionBy(doc_key, "sent_idx").orderBy("idx"))
+    by_place = Window.partitionBy(doc_key).orderBy("start")
+    before = F.when(F.lag("sent_idx").over(by_place) == F.col("sent_idx"), F.lag("_raw").over(by_place))
     orphan = F.col("_raw").startswith("I-") & ~F.coalesce(
         (before != "O") & (F.substring(before, 3, 100) == F.substring("_raw", 3, 100)), F.lit(False)
     )

@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.functions.text import WORD_CLASS
+from glossmark.functions.text import WORD_CLASS, fold
 
-# Private-use characters: MARK ends a token, GLUE ends one that a word character follows.
+# Private-use characters: MARK ends a token, GLUE ends one that a word character follows,
+# TOUCH opens a sign that stands directly behind a word character.
 MARK = "\ue000"
 GLUE = "\ue001"
+TOUCH = "\ue002"
 
 _ATOM_ENDS = rf"([{WORD_CLASS}]++|[^{WORD_CLASS}\s])(?![{WORD_CLASS}])"
 _ATOM_GLUED = rf"([^{WORD_CLASS}\s])(?=[{WORD_CLASS}])"
@@ -32,17 +34,22 @@ CLOSERS = (".", "!", "?", "…")
 
 
 def _without_marks(text: Column) -> Column:
-    return F.translate(text, MARK + GLUE, "\ufffd\ufffd")
+    return F.translate(text, MARK + GLUE + TOUCH, "\ufffd" * 3)
 
 
 def mark_atoms(folded: Column) -> Column:
-    """Text with a mark behind each atom: a full word run, or one other visible character."""
+    """Text with a mark behind each atom: a full word run, or one other visible character.
+
+    The marks carry both edges: two equal atom strings have equal neighbours in
+    the sense a mention boundary needs, so equality of marked text is enough.
+    """
     ended = F.regexp_replace(_without_marks(folded), _ATOM_ENDS, "$1" + MARK)
-    return F.regexp_replace(ended, _ATOM_GLUED, "$1" + GLUE)
+    glued = F.regexp_replace(ended, _ATOM_GLUED, "$1" + GLUE)
+    return F.regexp_replace(glued, rf"(?<=[{WORD_CLASS}]{MARK})(?=[^{WORD_CLASS}\s])", TOUCH)
 
 
 def split_atoms(folded: Column) -> Column:
-    """Pieces '<gap><atom><mark>', plus a last piece without a mark."""
+    """Pieces '<gap><atom><mark>' or '<touch><atom><mark>', plus a last piece without a mark."""
     return F.split(mark_atoms(folded), f"(?<=[{MARK}{GLUE}])")
 
 
@@ -52,30 +59,28 @@ def _offsets(rows: DataFrame, key: str, length: Column) -> tuple[DataFrame, Wind
     return rows.withColumn("_from", F.coalesce(F.sum(length).over(before), F.lit(0))), in_order
 
 
-def atoms(docs: DataFrame, key: str, folded: Column, *keep: str) -> DataFrame:
-    """One row per atom: key, kept columns, idx, piece, start, bounded (left edge is a boundary)."""
+def atoms(docs: DataFrame, key: str, text: str, *keep: str, following: int = 0) -> DataFrame:
+    """One row per atom of the folded text: key, kept columns, idx, piece, start, context.
+
+    ``context`` is the piece with the ``following`` pieces behind it.
+    """
     exploded = (
-        docs.select(key, *keep, folded.alias("_fold"))
+        docs.select(key, *keep, text)
         .repartition(key)
-        .select(key, *keep, F.posexplode(split_atoms(F.col("_fold"))).alias("idx", "_piece"))
+        .select(key, *keep, F.posexplode(split_atoms(fold(F.col(text)))).alias("idx", "_piece"))
     )
-    rows, in_order = _offsets(exploded, key, F.length("_piece") - 1)
+    visible = F.length("_piece") - 1 - F.startswith("_piece", F.lit(TOUCH)).cast("int")
+    rows, in_order = _offsets(exploded, key, visible)
     piece = F.regexp_replace("_piece", r"^\s+", "")
-    is_word = F.rlike(piece, F.lit(rf"^[{WORD_CLASS}]"))
-    after_word = F.rlike(F.lag("_piece").over(in_order), F.lit(rf"[{WORD_CLASS}]{MARK}$"))
+    behind = [F.coalesce(F.lead("_piece", i).over(in_order), F.lit("")) for i in range(1, following + 1)]
     return rows.select(
         key,
         *keep,
         "idx",
-        "_piece",
         piece.alias("piece"),
         (F.col("_from") + F.length("_piece") - F.length(piece)).cast("int").alias("start"),
-        (
-            (F.length(piece) < F.length("_piece"))
-            | is_word
-            | ~F.coalesce(after_word, F.lit(False))
-        ).alias("bounded"),
-    )
+        F.concat(piece, *behind).alias("context"),
+    ).where(F.col("piece") != "")
 
 
 def bio_tokens(docs: DataFrame, key: str, text: str = "text", *keep: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", app: str = "glossmark", **conf) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     for key, value in conf.items():
@@ -47,8 +48,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after measuring ``df``; otherwise leave the join to the shuffle."""
+def broadcast_if_small(
+    df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, also: Column | None = None
+) -> tuple[DataFrame, bool, object]:
+    """Hint a broadcast only after measuring ``df``; otherwise leave the join to the shuffle.
+
+    ``also`` is one more aggregate to read in the same pass; its value is returned last.
+    """
     width = F.lit(16)
     for name, dtype in df.dtypes:
         if dtype == "string":
@@ -57,7 +63,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> tup
             width = width + F.octet_length(F.to_json(F.struct(name)))
         else:
             width = width + F.lit(8)
-    size = df.select(F.sum(width.cast("long"))).first()[0] or 0
-    if size <= limit:
-        return F.broadcast(df), True
-    return df, False
+    measured = df.select(F.sum(width.cast("long")), F.lit(None) if also is None else also).first()
+    small = (measured[0] or 0) <= limit
+    return (F.broadcast(df) if small else df), small, measured[1]
