@@ -61,6 +61,6 @@ def parse_blocks(blocks: DataFrame, source: str, text: str) -> DataFrame:
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of CoNLL files; each file is read whole, so documents stay together."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     blocks = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return parse_blocks(blocks, "path", "text").drop("path")

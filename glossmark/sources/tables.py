@@ -114,10 +114,9 @@ def file_stem(suffix: str) -> Column:
 def read_texts(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
     """(codigo, text): one row per file, keyed by its stem."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", f"*{suffix}")
+        spark.read.option("pathGlobFilter", f"*{suffix}")
         .option("recursiveFileLookup", True)
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(file_stem(suffix).alias("codigo"), F.col("value").alias("text"))
     )
 
@@ -139,25 +138,26 @@ def attach_texts(codes: DataFrame, texts: DataFrame, key: str = "codigo") -> tup
 
 def read_entity_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad): entity files by declared schema; unparseable ones are set apart, not fatal."""
+    corrupt = "_corrupt_record"
+    parsed = F.from_json(
+        "value", f"{schemas.ENTITY_FILE}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt}
+    )
     rows = (
-        spark.read.schema(schemas.ENTITY_FILE + ", _corrupt_record string")
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.json")
-        .json(folder)
-        .withColumn("file_name", F.col("_metadata.file_name"))
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(folder, wholetext=True)
+        .select(F.col("_metadata.file_name").alias("file_name"), parsed.alias("p"))
+        .select("p.*", "file_name")
     )
-    bad = rows.where(F.col("_corrupt_record").isNotNull()).select("file_name", "_corrupt_record")
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
+    bad = rows.where(F.col(corrupt).isNotNull()).select("file_name", corrupt)
+    return rows.where(F.col(corrupt).isNull()).drop(corrupt), bad
 
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     """(model, strategy, codigo, pos, pactivo, reacadv, frecuencia, sistema) from model/strategy/code.json."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json")
+        spark.read.option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     part = F.split(F.url_decode(F.col("path")), "/")
@@ -179,7 +179,7 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
 def read_registry(spark: SparkSession, drugs: str, sections: str) -> DataFrame:
     """Drug records joined with their section arrays on the register number."""
     records = spark.read.schema(schemas.DRUG_RECORD).option("multiLine", True).json(drugs)
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(sections)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(sections, wholetext=True)
     arrays = raw.where(F.startswith(F.ltrim("value"), F.lit("["))).select(
         file_stem(".json").alias("nregistro"),
         F.from_json("value", f"array<struct<{_struct_fields(schemas.SECTION)}>>").alias("secciones"),
