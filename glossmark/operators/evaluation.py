@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.functions.labels import bind
@@ -230,11 +230,44 @@ def pair_spans(gold: Column, predicted: Column) -> Column:
     return bind(F.struct(gold.alias("g"), predicted.alias("p")), pair)
 
 
+def overlap_islands(sentences: DataFrame, keys: list[str], gold: str, predicted: str) -> DataFrame:
+    """Cut each sentence into islands of touching spans: one row per island, same two span arrays.
+
+    Spans of different islands never meet, so every span comparison below is
+    made inside an island, however long a sentence is.
+    """
+
+    def sided(spans: str, side: str):
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                F.lit(side).alias("side"), s["start"].alias("start"), s["end"].alias("end"), s["tag"].alias("tag")
+            ),
+        )
+
+    rows = sentences.select(*keys, F.explode(F.concat(sided(gold, "gold"), sided(predicted, "pred"))).alias("s"))
+    rows = rows.select(*keys, "s.*")
+    in_order = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))
+    numbered = rows.withColumn("_opens", opens).withColumn(
+        "_island", F.sum("_opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+
+    def gathered(side: str, name: str):
+        cells = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end", "tag"))))
+        return F.transform(
+            cells, lambda s: F.struct(s["tag"].alias("tag"), s["start"].alias("start"), s["end"].alias("end"))
+        ).alias(name)
+
+    return numbered.groupBy(*keys, "_island").agg(gathered("gold", gold), gathered("pred", predicted)).drop("_island")
+
+
 def span_schema_scores(sentences: DataFrame, gold: str, predicted: str) -> DataFrame:
     """COR/INC/PAR/MIS/SPU, P, R, F1 for the four schemas, per tag and overall.
 
-    Input is one row per sentence with two span arrays. Pairing is row-local;
-    only (tag, kind) counts are shuffled.
+    Input is one row per sentence or island with two span arrays. Pairing is
+    row-local; only (tag, kind) counts are shuffled.
     """
     kinds = (
         sentences.select(F.explode(pair_spans(F.col(gold), F.col(predicted))).alias("r"))

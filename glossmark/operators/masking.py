@@ -109,20 +109,17 @@ def window_words(docs: DataFrame, key: str, words: str, sizes: str, capacity: in
         F.lit(1).alias("_kind"),
         F.struct("word_idx", "word", "size").alias("_w"),
     )
-    start_rows = filled.select(key, F.explode("_starts").alias("_at")).select(
-        key, "_at", F.lit(0).alias("_kind"), F.lit(None).cast("struct<word_idx:int,word:string,size:int>").alias("_w")
-    )
-    in_order = Window.partitionBy(key).orderBy("_at", "_kind")
-    seen = F.count(F.when(F.col("_kind") == 0, 1)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first(F.when(F.col("_kind") == 0, F.col("_at")), ignorenulls=True).over(
-        in_order.rowsBetween(1, Window.unboundedFollowing)
+    start_rows = filled.select(key, F.posexplode("_starts").alias("_no", "_at"), "_starts").select(
+        key, "_at", F.lit(0).alias("_kind"), F.lit(None).cast("struct<word_idx:int,word:string,size:int>").alias("_w"),
+        F.struct(F.col("_no").alias("no"), F.get("_starts", F.col("_no") + 1).alias("next")).alias("_s"),
     )
+    upto = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        word_rows.unionByName(start_rows)
-        .withColumn("_first", (seen - 1).cast("int"))
-        .withColumn("_next", coming)
+        word_rows.withColumn("_s", F.lit(None).cast("struct<no:int,next:int>"))
+        .unionByName(start_rows)
+        .withColumn("_last", F.last("_s", ignorenulls=True).over(upto))
         .where(F.col("_kind") == 1)
-        .select(key, "_at", "_w.*", "_first", "_next")
+        .select(key, "_at", "_w.*", F.col("_last.no").alias("_first"), F.col("_last.next").alias("_next"))
     )
     stop = F.col("_at") + F.col("size")
     inner = F.when(

@@ -102,8 +102,12 @@ def span_sentences(spark, sf):
 _SPAN_CTES = with_ctes(SQL_WORDS, sql_label_spans("gold", "gs"), sql_label_spans("pred", "ps"))
 
 
+def span_islands(spark, sf):
+    return evaluation.overlap_islands(span_sentences(spark, sf), ["doc_id", "sent_idx"], "gold_spans", "pred_spans")
+
+
 def _q_loose(spark, sf):
-    return evaluation.loose_overlap(span_sentences(spark, sf), "gold_spans", "pred_spans")
+    return evaluation.loose_overlap(span_islands(spark, sf), "gold_spans", "pred_spans")
 
 
 _OVERLAP = 'g.doc_id = p.doc_id AND g.sent_idx = p.sent_idx AND g.tag = p.tag AND g.start < p."end" AND p.start < g."end"'
@@ -138,7 +142,7 @@ SELECT tag, CAST(support AS BIGINT) AS support, {sql_round('p', 4)} AS precision
 
 
 def _q_schemas(spark, sf):
-    return evaluation.span_schema_scores(span_sentences(spark, sf), "gold_spans", "pred_spans")
+    return evaluation.span_schema_scores(span_islands(spark, sf), "gold_spans", "pred_spans")
 
 
 # Identical spans pair first; then one predicted span per step, in text order, takes the first free gold span.

@@ -7,7 +7,7 @@ without a TAB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,32 +35,29 @@ def write_conll(sentences: DataFrame, key: str, path: str) -> None:
 
 
 def parse_blocks(blocks: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, codigo, sent_idx, tokens, labels) from CoNLL text, one row per sentence."""
-    lines = blocks.select(source, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
-    in_order = Window.partitionBy(source).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    has_tab = F.contains("line", F.lit("\t"))
-    header = F.col("line").startswith("# ") & ~has_tab
-    marked = (
-        lines.withColumn("_header", header)
-        .withColumn("codigo", F.last(F.when(header, F.substring("line", 3, 1 << 20)), ignorenulls=True).over(in_order))
-        .withColumn("_block", F.sum((~has_tab).cast("int")).over(in_order))
-        .where(has_tab)
-    )
-    part = F.split("line", "\t")
-    cell = F.struct("line_no", F.get(part, F.lit(0)).alias("t"), F.get(part, F.lit(1)).alias("l"))
-    grouped = marked.groupBy(source, "codigo", "_block").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
-    by_block = Window.partitionBy(source, "codigo").orderBy("_block")
-    return grouped.select(
-        source,
-        "codigo",
-        (F.row_number().over(by_block) - 1).alias("sent_idx"),
-        F.transform("_c", lambda c: c["t"]).alias("tokens"),
-        F.transform("_c", lambda c: c["l"]).alias("labels"),
+    """(source, codigo, sent_idx, tokens, labels) from CoNLL text, one row per sentence.
+
+    Headers, blank lines and TABs cut the text inside its own row, so nothing is shuffled.
+    """
+    documents = blocks.select(source, F.posexplode(F.split(text, r"(?m)^# (?=[^\t\n]*$)")).alias("_at", "_doc")).where(
+        F.rlike("_doc", F.lit(r"\S"))
     )
+    headed = F.col("_at") > 0
+    code = F.when(headed, F.regexp_replace(F.substring_index("_doc", "\n", 1), r"\r$", ""))
+    body = F.when(headed, F.regexp_replace("_doc", r"^[^\n]*\n?", "")).otherwise(F.col("_doc"))
+    sentences = F.filter(F.split(body, r"\n[ \r]*\n"), lambda b: F.contains(b, F.lit("\t")))
+    rows = documents.select(source, code.alias("codigo"), F.posexplode(sentences).alias("sent_idx", "_block"))
+    lines = F.filter(F.split("_block", r"\r?\n"), lambda line: F.contains(line, F.lit("\t")))
+
+    def part(i: int):
+        return F.transform(lines, lambda line: F.get(F.split(line, "\t"), F.lit(i)))
+
+    return rows.select(source, "codigo", "sent_idx", part(0).alias("tokens"), part(1).alias("labels"))
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of CoNLL files; each file is read whole, so documents stay together."""
-    files = spark.read.text(path, wholetext=True)
-    blocks = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """Sentences of CoNLL files; records are cut at headers while reading, so a large file is split."""
+    records = spark.read.text(path, lineSep="\n# ")
+    whole = F.when(F.col("value").startswith("# "), F.col("value")).otherwise(F.concat(F.lit("# "), "value"))
+    blocks = records.select(F.col("_metadata.file_path").alias("path"), whole.alias("text"))
     return parse_blocks(blocks, "path", "text").drop("path")

@@ -192,6 +192,25 @@ def test_worked_scores(spark, partial, expected):
     assert (row.precision, row.recall, row.f1) == (expected, expected, expected)
 
 
+def test_islands_change_no_score(spark):
+    rng = random.Random(8)
+
+    def side():
+        out, at = [], 0
+        for _ in range(rng.randint(0, 9)):
+            at += rng.randint(0, 2)
+            size = rng.randint(1, 3)
+            out.append((rng.choice("AB"), at, at + size))
+            at += size
+        return out
+
+    whole = spans_frame(spark, [(side(), side()) for _ in range(80)]).withColumn("id", F.monotonically_increasing_id())
+    whole = spark.createDataFrame(whole.collect(), whole.schema)
+    cut = evaluation.overlap_islands(whole, ["id"], "g", "p")
+    for score in (evaluation.span_schema_scores, evaluation.loose_overlap, evaluation.entity_counts):
+        assert rows_of(score(whole, "g", "p")) == rows_of(score(cut, "g", "p"))
+
+
 def test_loose_overlap(spark):
     row = evaluation.loose_overlap(spans_frame(spark, [([("A", 0, 2)], [("A", 1, 3), ("A", 5, 6)])]), "g", "p").first()
     assert (row.precision, row.recall, row.f1) == (0.5, 1.0, 0.6667)
