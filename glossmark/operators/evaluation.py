@@ -36,20 +36,8 @@ def frequency_equal(gold: Column, predicted: Column) -> Column:
     return gold == predicted
 
 
-def match_gold(
-    gold: DataFrame,
-    predictions: DataFrame,
-    order: list[str],
-    vectors: DataFrame | None = None,
-) -> DataFrame:
-    """Gold cells with their match, many to one: the first prediction of a key serves all gold rows.
-
-    Both sides carry KEY, ``frecuencia_key`` and ``sistema_key``. Gold rows with
-    equal cells are counted before the join, so a hot key is one row. ``vectors``
-    (text, vector) adds the similarity check to unequal systems.
-
-    Returns KEY, n, matched, frequency_ok, system_ok.
-    """
+def _meet(gold: DataFrame, predictions: DataFrame, order: list[str], vectors: DataFrame | None, how: str) -> DataFrame:
+    """Counted gold cells against the first prediction of each key, with the three agreement flags."""
     cells = gold.groupBy(*KEY, "frecuencia_key", "sistema_key").agg(F.count("*").alias("n"))
     firsts = first_per_key(
         predictions.select(*KEY, "frecuencia_key", "sistema_key", *order), KEY, order
@@ -59,7 +47,7 @@ def match_gold(
         F.col("sistema_key").alias("_sys"),
         F.lit(True).alias("_hit"),
     )
-    joined = cells.join(firsts, KEY, "left")
+    joined = cells.join(firsts, KEY, how)
     same = F.col("sistema_key") == F.col("_sys")
     if vectors is not None:
         a = vectors.select(F.col("text").alias("sistema_key"), F.col("vector").alias("_va"))
@@ -79,6 +67,23 @@ def match_gold(
     )
 
 
+def match_gold(
+    gold: DataFrame,
+    predictions: DataFrame,
+    order: list[str],
+    vectors: DataFrame | None = None,
+) -> DataFrame:
+    """Gold cells with their match, many to one: the first prediction of a key serves all gold rows.
+
+    Both sides carry KEY, ``frecuencia_key`` and ``sistema_key``. Gold rows with
+    equal cells are counted before the join, so a hot key is one row. ``vectors``
+    (text, vector) adds the similarity check to unequal systems.
+
+    Returns KEY, n, matched, frequency_ok, system_ok.
+    """
+    return _meet(gold, predictions, order, vectors, "left")
+
+
 def hallucinations(gold: DataFrame, predictions: DataFrame, order: list[str]) -> DataFrame:
     """First prediction of every key that no gold row of the same code has."""
     scored_codes = gold.select("codigo").distinct()
@@ -96,32 +101,29 @@ def _sum_if(flag: str) -> Column:
 
 
 def code_scores(gold: DataFrame, predictions: DataFrame, order: list[str], vectors=None) -> DataFrame:
-    """Per code: gold rows, prediction rows, matches, field agreement, hallucinations, file flag."""
-    matched = match_gold(gold, predictions, order, vectors)
-    gold_side = matched.groupBy("codigo").agg(
+    """Per code: gold rows, prediction rows, matches, field agreement, hallucinations, file flag.
+
+    One full outer join gives both directions: keys without gold are the
+    hallucinations of a code. Codes without gold are not scored.
+    """
+    met = _meet(gold, predictions, order, vectors, "full")
+    gold_side = met.groupBy("codigo").agg(
         F.sum("n").alias("gold_rows"),
         _sum_if("matched").alias("matched"),
         _sum_if("frequency_ok").alias("frequency_ok"),
         _sum_if("system_ok").alias("system_ok"),
-    )
+        F.count(F.when(F.col("n").isNull(), 1)).alias("hallucinated"),
+    ).where(F.col("gold_rows").isNotNull())
     predicted = predictions.groupBy("codigo").agg(F.count("*").alias("predicted_rows"))
-    invented = hallucinations(gold, predictions, order).groupBy("codigo").agg(
-        F.count("*").alias("hallucinated")
-    )
-    zero = F.lit(0).cast("long")
-    return (
-        gold_side.join(predicted, "codigo", "left")
-        .join(invented, "codigo", "left")
-        .select(
-            "codigo",
-            "gold_rows",
-            F.coalesce("predicted_rows", zero).alias("predicted_rows"),
-            "matched",
-            "frequency_ok",
-            "system_ok",
-            F.coalesce("hallucinated", zero).alias("hallucinated"),
-            F.col("predicted_rows").isNull().alias("file_missing"),
-        )
+    return gold_side.join(predicted, "codigo", "left").select(
+        "codigo",
+        "gold_rows",
+        F.coalesce("predicted_rows", F.lit(0).cast("long")).alias("predicted_rows"),
+        "matched",
+        "frequency_ok",
+        "system_ok",
+        "hallucinated",
+        F.col("predicted_rows").isNull().alias("file_missing"),
     )
 
 
