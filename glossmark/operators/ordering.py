@@ -58,11 +58,13 @@ def order_statistics(
     picks: dict[str, Callable[[Column], Column]],
     groups: Sequence[str] = (),
     bins: int = 64,
+    counts: dict[str, float] | None = None,
 ) -> DataFrame:
     """Exact values at chosen zero-based ranks per group.
 
     ``picks`` maps an output column to the rank as a function of the group size;
-    the size ``n`` and the ``mean`` come along.
+    the size ``n`` and the ``mean`` come along. ``counts`` names values whose rows
+    are counted in the same pass.
     Equal values are counted first.  Cut points from a mergeable quantile sketch
     then split each group's distinct values into ``bins`` ranges; counts tell
     which ranges hold a wanted rank, and only those are ordered.
@@ -79,11 +81,12 @@ def order_statistics(
         F.percentile_approx("_v", shares, bins * 100).alias("_cuts"),
         F.sum("_n").alias("n"),
         F.sum(F.col("_v").cast("double") * F.col("_n")).alias("_total"),
+        *[F.sum(F.when(F.col("_v") == v, F.col("_n")).otherwise(0)).alias(c) for c, v in (counts or {}).items()],
     )
     if not groups:
         cuts = F.broadcast(cuts)  # one row
     binned = histogram.join(cuts, keys).select(
-        *keys, "_v", "_n", "n", "_total",
+        *keys, "_v", "_n", "n", "_total", *(counts or {}),
         F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"),
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows"), F.first("n").alias("n"))
@@ -109,7 +112,7 @@ def order_statistics(
             & (F.col("_pick.at") >= F.col("_upto") - F.col("_n"))
         )
     )
-    out = found.groupBy(*keys, "n", (F.col("_total") / F.col("n")).alias("mean")).agg(
+    out = found.groupBy(*keys, "n", *(counts or {}), (F.col("_total") / F.col("n")).alias("mean")).agg(
         *[F.max(F.when(F.col("_pick.name") == name, F.col("_v"))).alias(name) for name in picks]
     )
     return out if groups else out.drop("_all")

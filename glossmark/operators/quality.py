@@ -87,17 +87,14 @@ def tuple_recovery(real: DataFrame, synth: DataFrame) -> DataFrame:
 
 def tuple_recovery_summary(per_code: DataFrame) -> DataFrame:
     """One row: codes, mean, median, perfect and zero recoveries."""
-    middle = order_statistics(
-        per_code,
-        "ratio",
-        {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)},
-    ).select(((F.col("low") + F.col("high")) / 2).alias("m"))
-    return per_code.agg(
-        F.count("*").alias("codes"),
-        F.bround(F.sum(F.col("ratio").cast("decimal(28,12)")).cast("double") / F.count("*"), 4).alias("mean_ratio"),
-        F.count(F.when(F.col("ratio") == 1.0, 1)).alias("perfect"),
-        F.count(F.when(F.col("ratio") == 0.0, 1)).alias("zero"),
-    ).select("*", F.bround(middle.scalar(), 4).alias("median_ratio"))
+    picks = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
+    return order_statistics(per_code, "ratio", picks, counts={"perfect": 1.0, "zero": 0.0}).select(
+        F.col("n").alias("codes"),
+        F.bround("mean", 4).alias("mean_ratio"),
+        F.bround((F.col("low") + F.col("high")) / 2, 4).alias("median_ratio"),
+        "perfect",
+        "zero",
+    )
 
 
 def worst_and_best(per_code: DataFrame, k: int = 5) -> DataFrame:

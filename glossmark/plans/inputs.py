@@ -49,7 +49,13 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(flags == "RF", F.lit("FRECUENCIA NO CONOCIDA"))
         .when(F.col("l_quantity") >= 10, F.lit("Muy rara"))
     )
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            *ROW_ID, "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"
+        ),
+        "l_orderkey",
+        "l_linenumber",
+    )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name", "p_type")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return lines.join(parts, "l_partkey").join(suppliers, "l_suppkey").select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossmark.operators import ordering, quality, splits
 from glossmark.plans.inputs import (
-    ROW_ID, SQL_ANNOTATIONS, SQL_SYNTH, annotations, documents, sql_round, synth, table, with_ctes,
+    SQL_ANNOTATIONS, SQL_SYNTH, annotations, documents, sql_round, synth, table, with_ctes,
 )
 from glossmark.plans.text_queries import _SQL_WORD_COUNT
 from glossmark.sources.tables import distinct_codes, page_requests

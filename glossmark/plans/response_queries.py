@@ -8,9 +8,9 @@ from glossmark.functions.labels import ENTITY_COLUMNS
 from glossmark.functions.text import fold, words
 from glossmark.operators import consolidation, masking, responses, selection
 from glossmark.plans.inputs import (
-    ANNOTATION_ORDER, ROW_ID, SQL_ANNOTATIONS, SQL_MENTIONS, SQL_ORDER, annotations, documents, mentions, sql_round, table, with_ctes,
+    ANNOTATION_ORDER, ROW_ID, SQL_ANNOTATIONS, SQL_ORDER, annotations, documents, spread, table, with_ctes,
 )
-from glossmark.plans.tagging_queries import SQL_ATOMS, SQL_SPANS
+from glossmark.plans.tagging_queries import SQL_ATOMS
 from glossmark.plans.text_queries import _SQL_FREQ_MAP
 
 _ANN = with_ctes(SQL_ANNOTATIONS)
@@ -139,7 +139,8 @@ def _answers(spark, sf):
         .when(kind == 4, F.concat(F.lit("[\""), "event_type", F.lit("\"]")))
         .otherwise(F.lit("No JSON"))
     )
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", text.alias("response"))
+    rows = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
+    return rows.select("event_id", "user_id", "event_type", text.alias("response"))
 
 
 _SQL_ANSWERS = """it AS (SELECT event_id, user_id, event_type, props, '{"tipo":"' || CASE WHEN event_id % 5 = 0 THEN 'otro' ELSE ' react ' END || '","canonical":"","canonica":"'

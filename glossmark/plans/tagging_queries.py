@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.functions.keys import seeded_hash
 from glossmark.functions.labels import label_spans, repair_bio
 from glossmark.functions.text import fold
 from glossmark.operators import matching, quality, splits

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossmark.functions import keys, labels, prompts, text
 from glossmark.functions.numeric import argmax, cosine, top_k_hit, warmup_steps
-from glossmark.operators import masking, ordering, quality
+from glossmark.operators import masking, quality
 from glossmark.plans.inputs import (
     SQL_ANNOTATIONS, annotations, documents, hashed_sentences, SQL_WORDS, sql_round, sql_trim, spread, table, with_ctes,
 )
