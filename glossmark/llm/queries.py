@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from glossmark.llm import line_quality, mixing, oracles, pii, url_filter
+from pyspark.sql import functions as F
+
+from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, substring_dedup, url_filter
 from glossmark.llm.common import documents
 
 
@@ -23,5 +25,15 @@ def op7_quality_rules(spark, sf_dir):
     return line_quality.judge_texts(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pii, op4_url_filter, op7_quality_rules)}
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.similarity_groups(documents(spark, sf_dir).select("doc_id", "text"), width=4, percent=85)
+
+
+def op10_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), width=35, block=18)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op3_pii, op4_url_filter, op7_quality_rules, op9_ngram_jaccard_join, op10_substring_dedup)}
 ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7}
