@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, substring_dedup, url_filter
+from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, substring_dedup, url_filter, word_bpe
 from glossmark.llm.common import documents
 
 
@@ -21,6 +21,17 @@ def op4_url_filter(spark, sf_dir):
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
+def tokenizer_definition(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op6_bpe_words(spark, sf_dir):
+    return word_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_definition())
+
+
 def op7_quality_rules(spark, sf_dir):
     return line_quality.judge_texts(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
@@ -35,5 +46,5 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_pii, op4_url_filter, op7_quality_rules, op9_ngram_jaccard_join, op10_substring_dedup)}
+    op1_mix_sources, op3_pii, op4_url_filter, op6_bpe_words, op7_quality_rules, op9_ngram_jaccard_join, op10_substring_dedup)}
 ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7}

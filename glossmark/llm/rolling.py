@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,3 +121,28 @@ def picker(keys: DataFrame, bits: int = PICK_BITS):
         return pd.Series(has_bit(shared.value, slot.to_numpy().astype(np.uint64)))
 
     return lambda column: test(F.pmod(F.xxhash64(column), F.lit(1 << bits)))
+
+
+#: Distinct words that a task counts before it passes them on.
+_COUNTED = 500_000
+
+
+def word_counts(texts: DataFrame, lower: bool = False) -> DataFrame:
+    """(word, n) over all words of the one text column; words as bytes, counted in each task before the shuffle."""
+    def run(batches):
+        found = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(split_words(text, lower))
+                if len(found) > _COUNTED:
+                    yield from rows(found)
+                    found = Counter()
+        yield from rows(found)
+
+    def rows(found):
+        words, n = list(found), list(found.values())
+        for at in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words[at: at + 50_000], pa.binary()), pa.array(n[at: at + 50_000], pa.int64())], names=["word", "n"])
+
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
