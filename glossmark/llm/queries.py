@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, substring_dedup, url_filter, word_bpe
+from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, substring_dedup, url_filter, vector_search, word_bpe
 from glossmark.llm.common import documents
 
 
@@ -36,6 +36,11 @@ def op7_quality_rules(spark, sf_dir):
     return line_quality.judge_texts(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op8_exact_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.similarity_groups(documents(spark, sf_dir).select("doc_id", "text"), width=4, percent=85)
 
@@ -46,5 +51,5 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_pii, op4_url_filter, op6_bpe_words, op7_quality_rules, op9_ngram_jaccard_join, op10_substring_dedup)}
-ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7}
+    op1_mix_sources, op3_pii, op4_url_filter, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup)}
+ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7, "op8_exact_top_k": oracles.OP8}
