@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, substring_dedup, url_filter, vector_search, word_bpe
+from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, quality_rules, substring_dedup, url_filter, vector_search, word_bpe
 from glossmark.llm.common import documents
 
 
@@ -13,6 +13,11 @@ def op1_mix_sources(spark, sf_dir):
     return rows.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op2_quality_classifier(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_rules.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
 def op3_pii(spark, sf_dir):
     return pii.digest_columns(pii.find_spans(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -51,5 +56,5 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_pii, op4_url_filter, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup)}
+    op1_mix_sources, op2_quality_classifier, op3_pii, op4_url_filter, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup)}
 ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7, "op8_exact_top_k": oracles.OP8}
