@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.llm import line_quality, mixing, ngram_join, oracles, pii, quality_rules, substring_dedup, url_filter, vector_search, word_bpe
+from glossmark.llm import line_quality, lm_score, mixing, ngram_join, oracles, pii, quality_rules, substring_dedup, url_filter, vector_search, word_bpe
 from glossmark.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op6_bpe_words(spark, sf_dir):
     return word_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_definition())
 
 
+def op5_lm_scores(spark, sf_dir):
+    return lm_score.score_texts(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return line_quality.judge_texts(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
@@ -56,5 +60,5 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_quality_classifier, op3_pii, op4_url_filter, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup)}
+    op1_mix_sources, op2_quality_classifier, op3_pii, op4_url_filter, op5_lm_scores, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup)}
 ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7, "op8_exact_top_k": oracles.OP8}
