@@ -19,6 +19,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no other column's name can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of that struct, some with another value."""
+    return [changed.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns]
+
+
 def whole(text: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(text), F.lit(""))

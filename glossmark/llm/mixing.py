@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import whole, word_count
+from glossmark.llm.common import packed_row, unpacked, whole, word_count
 from glossmark.session import checkpointed
 
 #: Key ranges of a source whose sizes are summed before one range is ordered.
@@ -91,45 +91,43 @@ def mixing_cuts(sized: DataFrame, share: float, weights: tuple[int, ...], limit:
     return t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", "c.cut", "c.cut_words")
 
 
-def mix(
+def _decided(
     docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), limit: float = 2.0, seed: str = "mix",
-    key: str = "doc_id", source: str = "source", text: str = "text", quality: Column | None = None,
+    key: str = "doc_id", source: str = "source", text: str = "text", quality: Column | None = None, whole_rows: bool = False,
 ) -> DataFrame:
-    """Adds ``mix`` to each row: size, source_size, target, taken (words, repeats counted) and copies.
+    """(_row, _mix) of each row, with _doc where whole rows are asked for; else the sizes are read once."""
+    rate = text_quality(text) if quality is None else quality
+    row = F.struct(F.col(key).alias("key"), F.col(source).alias("source"), word_count(whole(text)).alias("size"),
+                   sample_key(key, rate, seed).alias("e")).alias("_row")
+    sized = checkpointed(docs.select(row))
+    cuts = checkpointed(mixing_cuts(sized.select("_row.*"), share, weights, limit))
+    rows = docs.select(row, packed_row(docs)) if whole_rows else sized
+    c = cuts.select(F.struct(*cuts.columns).alias("_cut"))
+    at = F.struct("_row.e", "_row.key", "_row.size")
+    inside, on = at < F.col("_cut.cut"), at == F.col("_cut.cut")
+    taken = F.when(F.col("_cut.cut").isNull(), 0).when(inside, F.col("_row.size")).when(on, F.col("_cut.cut_words")).otherwise(0)
+    more = F.when(F.col("_cut.cut").isNull(), False).when(inside, True).otherwise(on & (2 * F.col("_cut.cut_words") >= F.col("_row.size")))
+    return rows.join(c, F.col("_row.source").eqNullSafe(F.col("_cut.source"))).withColumn("_mix", F.struct(
+        (F.col("_cut.epochs") * F.col("_row.size") + taken.cast("long")).alias("taken"),
+        (F.col("_cut.epochs") + more.cast("long")).alias("copies")))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """(key, source, size, source_size, target, taken, copies) of each row; taken counts words, repeats too.
 
     A source's target is met to the word: complete epochs first, then whole documents in the order of their
     sample keys, then the first words of one more. ``copies`` counts whole rows: the document at the cut has one
     more if at least half of it is taken. Null or empty texts have size 0 and take 0 words; null sources
-    are one source, last in order; repeated rows count each; an empty table gives no rows. Other columns stay.
+    are one source, last in order; repeated rows count each; an empty table gives no rows.
     """
-    rate = text_quality(text) if quality is None else quality
-    sized = checkpointed(docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), word_count(whole(text)).alias("size"),
-        sample_key(key, rate, seed).alias("e")))
-    cuts = checkpointed(mixing_cuts(sized, share, weights, limit))
-    # the sizes serve again where the whole rows aren't asked for
-    if set(docs.columns) <= {key, source, text}:
-        rows = sized.select(F.struct("key", "source", "size", "e").alias("_row"))
-        kept = [F.col("_row.key").alias(key), F.col("_row.source").alias(source)]
-    else:
-        rows = docs.select(F.struct(
-            F.col(key).alias("key"), F.col(source).alias("source"), word_count(whole(text)).alias("size"),
-            sample_key(key, rate, seed).alias("e")).alias("_row"), F.struct(*docs.columns).alias("_doc"))
-        kept = [F.col(f"_doc.`{c}`") for c in docs.columns]
-    c = cuts.select(F.struct(*cuts.columns).alias("_cut"))
-    at = F.struct("_row.e", "_row.key", "_row.size")
-    taken = F.when(F.col("_cut.cut").isNull(), 0).when(at < F.col("_cut.cut"), F.col("_row.size")).when(
-        at == F.col("_cut.cut"), F.col("_cut.cut_words")).otherwise(0).cast("long")
-    more = F.when(F.col("_cut.cut").isNull(), False).when(at < F.col("_cut.cut"), True).otherwise(
-        (at == F.col("_cut.cut")) & (2 * F.col("_cut.cut_words") >= F.col("_row.size")))
-    return rows.join(c, F.col("_row.source").eqNullSafe(F.col("_cut.source"))).select(*kept, F.struct(
-        F.col("_row.size").alias("size"), F.col("_cut.source_size").alias("source_size"),
-        F.col("_cut.target").alias("target"), (F.col("_cut.epochs") * F.col("_row.size") + taken).alias("taken"),
-        (F.col("_cut.epochs") + more.cast("long")).alias("copies")).alias("mix"))
+    names = settings.get("key", "doc_id"), settings.get("source", "source")
+    return _decided(docs, **settings).select(
+        F.col("_row.key").alias(names[0]), F.col("_row.source").alias(names[1]), "_row.size", "_cut.source_size", "_cut.target",
+        "_mix.taken", "_mix.copies")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    rows = mix(docs, **settings)
-    return rows.where("mix.copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select(*docs.columns)
+    rows = _decided(docs, **settings, whole_rows=True).where("_mix.copies > 0")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies"))).alias("_copy")
+    return rows.select("_doc", times).select(*unpacked(docs))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import saved
+from glossmark.llm.common import WORD, packed_row, saved, unpacked
 from glossmark.llm.rolling import picker, shingle_set
 
 #: Cells of the frequency table that orders shingles, dealt in blocks; fixed size, 4 MB.
@@ -239,3 +239,19 @@ def _verify(read: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_verified(width, percent), "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the row whose key is the group's smallest.
+
+    Rows without shingles or without a key are in no group and stay; of rows that repeat the smallest key, one stays.
+    """
+    groups = similarity_groups(docs, width, percent, key, text)
+    gone = saved(groups.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("_key")).distinct())
+    rows = docs.select(packed_row(docs), F.col(key).alias("_key"), F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("_words"))
+    twice = saved(rows.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    left = rows.join(gone, "_key", "left_anti")
+    again = left.join(twice, "_key", "left_semi")
+    parts = [left.join(twice, "_key", "left_anti"), again.where("_words").dropDuplicates(["_key"]), again.where("NOT _words")]
+    first, second, third = (p.select("_doc") for p in parts)
+    return first.unionByName(second).unionByName(third).select(*unpacked(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import saved, whole
+from glossmark.llm.common import packed_row, saved, unpacked, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns without backtracking: possessive runs, and starts only where a run can begin.
@@ -160,11 +160,10 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             s["out"], F.substr(body, s["at"] + 1, p["start"] - s["at"]), p["mark"])).alias("out"))
 
     clean = F.aggregate(F.col("_parts"), init, step, lambda s: F.concat(s["out"], F.substr(body, s["at"] + 1)))
-    rows = docs.select(row_key(key, text).alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    rows = docs.select(row_key(key, text).alias("_row"), packed_row(docs))
     rows = rows.join(found.select(F.col("row").alias("_row"), parts.alias("_parts")), "_row", "left")
-    return rows.select(*[
-        F.when(F.col("_parts").isNull(), body).otherwise(clean).alias(c) if c == text else F.col("_doc")[c].alias(c)
-        for c in docs.columns])
+    return rows.select(*unpacked(docs, **{text: F.when(F.col("_parts").isNull(), body).otherwise(clean)}))
+
 
 
 def _count(kind: str) -> Column:

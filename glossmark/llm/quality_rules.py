@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import WORD, crc_remainder, saved, whole, word_count, words_of
+from glossmark.llm.common import WORD, crc_remainder, packed_row, saved, unpacked, whole, word_count, words_of
 
 #: Labelled rows that trees and weights are fitted on, at most (about; by digest of the key).
 FIT_ROWS = 20_000
@@ -145,16 +145,31 @@ def classify(
     labels and labels of unknown keys teach nothing; repeated rows are scored each; without labels every score is
     0.5; an empty table gives no rows.
     """
+    model, measured = learnt(docs, labels, key, text, label, folds)
+    held_out = crc_remainder(key, folds) == 0
+    score = model.score()
+    return measured.select(key, held_out.alias("held_out"), score.alias("score")).select(
+        key, "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def learnt(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5,
+) -> tuple[RuleModel, DataFrame]:
+    """The model, and the statistics of every row with its key."""
     stats = text_statistics(whole(text))
     names = list(stats)
     measured = saved(docs.select(F.col(key), *[c.alias(n) for n, c in stats.items()]))
-    held_out = crc_remainder(key, folds) == 0
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("double").alias("label"))
-    taught = measured.where(~held_out).join(known, key)
-    total = known.count()
-    share = min(1.0, FIT_ROWS / max(total, 1))
+    taught = measured.where(crc_remainder(key, folds) != 0).join(known, key)
+    share = min(1.0, FIT_ROWS / max(known.count(), 1))
     chosen = taught.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    model = fit_rules(saved(chosen.select("label", *names)), names)
-    score = model.score()
-    return measured.select(key, held_out.alias("held_out"), score.alias("score")).select(
-        key, "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return fit_rules(saved(chosen.select("label", *names)), names), measured
+
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT, **settings) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects: the compiled rules filter the texts in one scan."""
+    model, _ = learnt(docs, labels, key, text, **settings)
+    stats = text_statistics(whole(text))
+    held = docs.select(packed_row(docs), *[c.alias(n) for n, c in stats.items()])
+    return held.where(model.score() >= cut).select(*unpacked(docs))

@@ -10,7 +10,7 @@ from glossmark.llm.common import documents
 
 def op1_mix_sources(spark, sf_dir):
     rows = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return rows.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_quality_classifier(spark, sf_dir):
