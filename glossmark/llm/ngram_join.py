@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import WORD, packed_row, saved, unpacked
-from glossmark.llm.rolling import picker, shingle_set
+from glossmark.llm.rolling import picker, shingle_sets
 
 #: Cells of the frequency table that orders shingles, dealt in blocks; fixed size, 4 MB.
 CELLS, BLOCK = 1 << 20, 1 << 10
@@ -23,24 +23,28 @@ PIVOT_ROUNDS = 2
 def _describe(width: int):
     """Batches (key, text) to one row per document, and counts of its shingles by cell in blocks."""
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells, parts = np.zeros(CELLS, np.int64), []
         for batch in batches:
             keys, sizes, digests, bins = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                grams = shingle_set(text, width)
-                cells += np.bincount((grams % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) if len(grams) > CELLS // 8 else 0
-                if len(grams) <= CELLS // 8:
-                    np.add.at(cells, (grams % np.uint64(CELLS)).astype(np.int64), 1)
+            for grams in shingle_sets(batch.column(1), width):
+                parts.append(grams)
                 sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 bins.append(np.bincount((grams >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
             yield _rows(keys, sizes, digests, bins, None, None)
+            if sum(map(len, parts)) > 2 * CELLS:
+                cells, parts = cells + counted(parts), []
+        cells += counted(parts)
         used = np.flatnonzero(cells.reshape(-1, BLOCK).any(axis=1))
         blocks = cells.reshape(-1, BLOCK)
         for at in range(0, len(used), 256):
             part = used[at: at + 256]
             yield _rows(None, None, None, None, part.tolist(), [blocks[b].tobytes() for b in part])
 
+    def counted(parts):
+        every = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        return np.bincount((every % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+
     def _rows(keys, sizes, digests, bins, block, counts):
         n = len(sizes if sizes is not None else block)
         empty = lambda kind: pa.nulls(n, kind)
@@ -71,8 +75,7 @@ def _prefixes(width: int, percent: int, cells):
         counts = cells.value
         for batch in batches:
             grams, places, sizes = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, width)
+            for found in shingle_sets(batch.column(1), width):
                 n = len(found)
                 sizes.append(n)
                 if not n:
@@ -94,19 +97,14 @@ def _prefixes(width: int, percent: int, cells):
 def _verified(width: int, percent: int):
     """Batches (a, b, text_a, text_b) to the pairs whose whole shingle sets are similar enough."""
     def run(batches):
-        last, last_set = None, None
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i in range(len(a)):
-                if left[i] != last or last_set is None:
-                    last, last_set = left[i], shingle_set(left[i], width)
-                other = shingle_set(right[i], width)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                if 100 * both >= percent * (len(last_set) + len(other) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            left, right, keep = batch.column("text_a").dictionary_encode(), shingle_sets(batch.column("text_b"), width), []
+            sets = list(shingle_sets(left.dictionary, width))
+            for place, other in zip(left.indices.to_pylist(), right, strict=True):
+                one = sets[place] if place is not None else other[:0]
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(100 * both >= percent * (len(one) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +17,12 @@ _TO_LOWER = bytes.maketrans(_UPPER, bytes(b + 32 for b in _UPPER))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of the step modulo 2**64, so that window sums come from one prefix sum.
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Words whose digests a worker keeps at a time.
-_KEPT = 1 << 18
-
-
-class _Digests(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_DIGESTS = _Digests()
+#: A fixed 64-bit value for each byte, as it is and lower-cased.
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_BYTE_LOWER = _BYTE[np.frombuffer(bytes(range(256)).translate(_TO_LOWER), np.uint8)]
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes of text that are digested at once.
+_AT_ONCE = 4 << 20
 
 
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
@@ -37,8 +31,52 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(_TO_LOWER) if lower else raw).split()
 
 
-def word_digests(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_DIGESTS.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of a factor modulo 2**64, as many as were asked for so far."""
+    def __init__(self, factor: np.uint64):
+        self.factor, self.known = factor, np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            self.known = np.full(max(n, 2 * len(self.known)), self.factor, np.uint64)
+            self.known[0] = 1
+            np.cumprod(self.known, out=self.known)
+        return self.known[:n]
+
+
+_UP, _DOWN = _Powers(_STEP), _Powers(_BACK)
+
+
+def word_digests(column: pa.Array, lower: bool = False):
+    """The word digests of each text of a string column, in turn; a null text has none."""
+    lengths = np.array(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    at = 0
+    while at < len(column):
+        size = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), _AT_ONCE)))
+        yield from _digested(column.slice(at, size), lower)
+        at += size
+
+
+def _digested(column: pa.Array, lower: bool):
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0]: edges[-1]]
+    edges = edges - edges[0]
+    solid = ~_IS_SPACE[data]
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    firsts = edges[:-1][edges[:-1] < edges[1:]]
+    opens[firsts] = solid[firsts]
+    place = np.cumsum(solid) - 1  # of each byte among those of words
+    starts = place[opens]
+    within = _BYTE_LOWER[data[solid]] if lower else _BYTE[data[solid]]
+    sizes = np.diff(np.append(starts, len(within)))
+    inside = np.arange(len(within)) - np.repeat(starts, sizes)
+    powers = _UP(int(sizes.max(initial=1)))
+    digests = mixed_bits(np.add.reduceat(within * powers[inside], starts)) if len(starts) else np.empty(0, np.uint64)
+    upto = np.concatenate([[0], np.cumsum(opens)])[edges]
+    for i in range(len(column)):
+        yield digests[upto[i]: upto[i + 1]]
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -53,23 +91,18 @@ def window_digests(digests: np.ndarray, width: int) -> np.ndarray:
     n = len(digests) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    down = np.ones(len(digests), np.uint64)
-    down[1:] = _BACK
-    np.cumprod(down, out=down)
     total = np.zeros(len(digests) + 1, np.uint64)
-    np.cumsum(digests * down, out=total[1:])
-    up = np.ones(n, np.uint64)
-    up[1:] = _STEP
-    np.cumprod(up, out=up)
-    return mixed_bits((total[width:] - total[:-width]) * up)
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct digests of the lower-cased text's shingles; one for a shorter sequence, none without words."""
-    words = word_digests(split_words(text, lower=True))
-    if 0 < len(words) < width:
-        return window_digests(words, len(words)) ^ np.uint64(len(words))
-    return np.unique(window_digests(words, width))
+    np.cumsum(digests * _DOWN(len(digests)), out=total[1:])
+    return mixed_bits((total[width:] - total[:-width]) * _UP(n))
+
+
+def shingle_sets(column: pa.Array, width: int):
+    """Sorted distinct digests of each lower-cased text's shingles; one for a shorter sequence, none without words."""
+    for words in word_digests(column, lower=True):
+        if 0 < len(words) < width:
+            yield window_digests(words, len(words)) ^ np.uint64(len(words))
+        else:
+            yield np.unique(window_digests(words, width))
 
 
 def bit_tables(counts: DataFrame, bits: int, levels: int = 1) -> list[np.ndarray]:

@@ -20,8 +20,8 @@ def _blocks(block: int, bits: int):
     def run(batches):
         parts = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                parts.append(_slots(window_digests(word_digests(split_words(text)), block)[::block], bits).ravel())
+            for digests in word_digests(batch.column(0)):
+                parts.append(_slots(window_digests(digests, block)[::block], bits).ravel())
             if sum(map(len, parts)) > 2_000_000:
                 yield from _counted(parts)
                 parts = []
@@ -52,8 +52,7 @@ def _probe(width: int, block: int, bits: int, tables):
         once, twice = tables.value
         for batch in batches:
             rows, starts, first, second = [], [], [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                digests = word_digests(split_words(text))
+            for row, digests in zip(batch.column("row").to_pylist(), word_digests(batch.column("text")), strict=True):
                 if len(digests) < width:
                     continue
                 slots = _slots(window_digests(digests, block), bits)
