@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import WORD, packed_row, saved, unpacked
-from glossmark.llm.rolling import picker, shingle_sets
+from glossmark.llm.rolling import picker, pieces, shingle_sets
 
 #: Cells of the frequency table that orders shingles, dealt in blocks; fixed size, 4 MB.
 CELLS, BLOCK = 1 << 20, 1 << 10
@@ -24,7 +24,7 @@ def _describe(width: int):
     """Batches (key, text) to one row per document, and counts of its shingles by cell in blocks."""
     def run(batches):
         cells, parts = np.zeros(CELLS, np.int64), []
-        for batch in batches:
+        for batch in pieces(batches):
             keys, sizes, digests, bins = batch.column(0), [], [], []
             for grams in shingle_sets(batch.column(1), width):
                 parts.append(grams)
@@ -73,7 +73,7 @@ def _prefixes(width: int, percent: int, cells):
     """Batches (key, text) to the prefix of each document: its rarest shingles by (cell count, digest)."""
     def run(batches):
         counts = cells.value
-        for batch in batches:
+        for batch in pieces(batches):
             grams, places, sizes = [], [], []
             for found in shingle_sets(batch.column(1), width):
                 n = len(found)
@@ -97,7 +97,7 @@ def _prefixes(width: int, percent: int, cells):
 def _verified(width: int, percent: int):
     """Batches (a, b, text_a, text_b) to the pairs whose whole shingle sets are similar enough."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             left, right, keep = batch.column("text_a").dictionary_encode(), shingle_sets(batch.column("text_b"), width), []
             sets = list(shingle_sets(left.dictionary, width))
             for place, other in zip(left.indices.to_pylist(), right, strict=True):
@@ -218,7 +218,7 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
     b = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             left = np.frombuffer(b"".join(batch.column("bins_a").to_pylist()), np.int32).reshape(-1, BINS)
             right = np.frombuffer(b"".join(batch.column("bins_b").to_pylist()), np.int32).reshape(-1, BINS)
             most = np.minimum(left, right).sum(axis=1)

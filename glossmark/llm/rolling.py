@@ -22,7 +22,7 @@ _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.
 _BYTE_LOWER = _BYTE[np.frombuffer(bytes(range(256)).translate(_TO_LOWER), np.uint8)]
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 #: Bytes of text that are digested at once.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 1 << 19
 
 
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
@@ -31,6 +31,13 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(_TO_LOWER) if lower else raw).split()
 
 
+def pieces(batches, rows: int = 512):
+    """Batches cut into small ones, so that what is held for one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class _Powers:
     """Powers of a factor modulo 2**64, as many as were asked for so far."""
     def __init__(self, factor: np.uint64):
@@ -164,7 +171,7 @@ def word_counts(texts: DataFrame, lower: bool = False) -> DataFrame:
     """(word, n) over all words of the one text column; words as bytes, counted in each task before the shuffle."""
     def run(batches):
         found = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column(0).to_pylist():
                 found.update(split_words(text, lower))
                 if len(found) > _COUNTED:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import saved
-from glossmark.llm.rolling import bit_tables, has_bit, picker, split_words, window_digests, word_digests
+from glossmark.llm.rolling import bit_tables, has_bit, picker, pieces, split_words, window_digests, word_digests
 
 #: Bits of each of the two anchor tables (32 MB each). They only spare work: beyond some hundred million blocks they
 #: let more windows through to the exact count, whose results don't depend on them.
@@ -19,10 +19,10 @@ def _blocks(block: int, bits: int):
     """Batches of text to the two table slots of each non-overlapping block, counted per task."""
     def run(batches):
         parts = []
-        for batch in batches:
+        for batch in pieces(batches):
             for digests in word_digests(batch.column(0)):
                 parts.append(_slots(window_digests(digests, block)[::block], bits).ravel())
-            if sum(map(len, parts)) > 2_000_000:
+            if sum(map(len, parts)) > 1_000_000:
                 yield from _counted(parts)
                 parts = []
         yield from _counted(parts)
@@ -50,7 +50,7 @@ def _probe(width: int, block: int, bits: int, tables):
     """
     def run(batches):
         once, twice = tables.value
-        for batch in batches:
+        for batch in pieces(batches):
             rows, starts, first, second = [], [], [], []
             for row, digests in zip(batch.column("row").to_pylist(), word_digests(batch.column("text")), strict=True):
                 if len(digests) < width:
@@ -97,7 +97,7 @@ def repeat_starts(docs: DataFrame, width: int, block: int, bits: int = ANCHOR_BI
 def _kept(width: int):
     """Batches (key, text, copies, starts) to word counts and what stays."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text, copies, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "copied", "starts")), strict=True):
                 words = split_words(text)

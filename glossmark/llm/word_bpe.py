@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import frequency_floor, saved
-from glossmark.llm.rolling import split_words, word_counts
+from glossmark.llm.rolling import pieces, split_words, word_counts
 
 #: Frequent words whose codes every task holds: at most so many, of so many bytes. The others are joined.
 HELD_WORDS, HELD_BYTES = 1 << 19, 48
@@ -47,7 +47,7 @@ def encode_words(counts: DataFrame, definition: str) -> DataFrame:
     """
     def run(batches):
         tokenizer = _tokenizer(definition)
-        for batch in batches:
+        for batch in pieces(batches, 8192):
             words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
             ids = []
             for at in range(0, len(words), 2_000):
@@ -93,11 +93,11 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     rows = table.where(frequent).select("word", "n", "ids").toPandas().sort_values(["n", "word"], ascending=[False, True])
     held = spark.sparkContext.broadcast({w: i for i, w in enumerate(bytes(w) for w in rows["word"])})
     held_ids = spark.sparkContext.broadcast([bytes(i) for i in rows["ids"]])
-    pieces = spark.sparkContext.broadcast(_pieces(definition))
+    table_of_pieces = spark.sparkContext.broadcast(_pieces(definition))
     del rows
 
     def others_of(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             row, place, word = [], [], []
             for r, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 others = _coded(held.value, t)[1]
@@ -109,21 +109,21 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
 
     def packed(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches):
             planes = [_coded(held.value, t)[0].astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("head"), pa.array([squeeze.compress(p) for p in planes], pa.binary())],
                 names=["row", "head", "codes"])
 
     def assembled(batches):
-        names, counts = pieces.value, np.array([len(i) // 4 for i in held_ids.value] or [0])
+        names, counts = table_of_pieces.value, np.array([len(i) // 4 for i in held_ids.value] or [0])
         as_ids, as_text = [], []
         for packed_ids in held_ids.value:
             ids = array("i", packed_ids)
             as_ids.append(" ".join(map(str, ids)).encode())
             as_text.append(" ".join([names[i] for i in ids]).encode())
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for codes, places, ids in zip(*(batch.column(c).to_pylist() for c in ("codes", "places", "ids")), strict=True):
                 planes = expand.decompress(codes)
