@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import uuid
 from array import array
 
 import numpy as np
@@ -12,12 +13,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmark.llm.common import frequency_floor, saved
 from glossmark.llm.rolling import pieces, split_words, word_counts
 
 #: Frequent words whose codes every task holds: at most so many, of so many bytes. The others are joined.
 HELD_WORDS, HELD_BYTES = 1 << 19, 48
+#: Documents, about, whose words say which are frequent. Any choice gives the same result.
+SAMPLED = 40_000
+#: The place of a document behind all its words' answers.
+LAST = 2**31 - 1
 
 
 def _tokenizer(definition: str):
@@ -39,38 +45,93 @@ def _pieces(definition: str) -> list[str]:
     return pieces
 
 
-def encode_words(counts: DataFrame, definition: str) -> DataFrame:
-    """(word, n, ids) of each distinct word; ids packed as 4-byte integers.
+def encode_words(words: DataFrame, definition: str) -> DataFrame:
+    """(word, ids) with all columns of ``words``, which has equal words next to each other in a partition.
 
-    White space never gives a piece or joins what stands on its two sides, so a text's ids are its
-    words' ids in order, special tokens inside words included.
+    Each run of a word is encoded once; ids are packed as 4-byte integers. White space never gives a piece or
+    joins what stands on its two sides, so a text's ids are its words' ids in order, special tokens
+    inside words included.
     """
     def run(batches):
-        tokenizer = _tokenizer(definition)
+        tokenizer, last, last_ids = _tokenizer(definition), None, b""
         for batch in pieces(batches, 8192):
-            words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            ids = []
-            for at in range(0, len(words), 2_000):
-                ids += [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words[at: at + 2_000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
-    return counts.mapInArrow(run, "word binary, n long, ids binary")
-
-
-#: -1 for every word that isn't held.
-_MISSING = itertools.repeat(-1)
-
-
-def _coded(held: dict[bytes, int], text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    """A code for each word, in order: the held word's rank, or their number plus the place in the list of others."""
-    words = split_words(text)
-    codes = np.fromiter(map(held.get, words, _MISSING), np.int64, len(words)) if words else np.empty(0, np.int64)
-    absent = np.flatnonzero(codes < 0)
-    others: dict[bytes, int] = {}
-    for i in absent.tolist():
-        codes[i] = len(held) + others.setdefault(words[i], len(others))
-    return codes, list(others)
+            column = batch.column("word").dictionary_encode()
+            words = column.dictionary.to_pylist()
+            fresh = [w for w in words if w != last]
+            made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
+            table = {w: array("i", e.ids).tobytes() for w, e in zip(fresh, made, strict=True)} | ({last: last_ids} if last is not None else {})
+            ids = pa.array([table[w] for w in words], pa.binary()).take(column.indices)
+            last = words[column.indices[-1].as_py()]
+            last_ids = table[last]
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+
+    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("ids", T.BinaryType())]))
+
+
+class _Held:
+    """The frequent words of one run in a worker: ranks, ids and pieces as text, made once a process."""
+    now: tuple[int, _Held] | None = None
+
+    def __init__(self, raw: bytes, names: list[str]):
+        table = pa.ipc.open_stream(raw).read_all()
+        self.rank = {w: i for i, w in enumerate(table["word"].to_pylist())}
+        ids = [array("i", x) for x in table["ids"].to_pylist()]
+        self.names = names
+        self.counts = np.array([len(x) for x in ids] or [0])
+        self.as_ids = np.array([*map(_decimals, ids), b""], object)
+        self.as_text = np.array([*(_joined(names, x) for x in ids), b""], object)
+
+    @classmethod
+    def of(cls, shared) -> _Held:
+        if cls.now is None or cls.now[0] != shared.value[0]:
+            cls.now = shared.value[0], cls(*shared.value[1:])
+        return cls.now[1]
+
+    def coded(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """A code for each word, in order: the held word's rank, or their number plus the place in the list of others."""
+        words = split_words(text)
+        codes = np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int64, len(words))
+        others: dict[bytes, int] = {}
+        for i in np.flatnonzero(codes < 0).tolist():
+            codes[i] = len(self.rank) + others.setdefault(words[i], len(others))
+        return codes, list(others)
+
+    def assembled(self, codes: np.ndarray, found: dict[int, bytes]) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids as decimals and the decoded text of a coded document."""
+        top = len(self.rank)
+        held = np.minimum(codes, top)
+        counts, ids, text = self.counts[np.minimum(held, max(top - 1, 0))], self.as_ids[held], self.as_text[held]
+        rare = np.flatnonzero(codes >= top)
+        if len(rare):
+            places = (codes[rare] - top).tolist()
+            arrays = {p: array("i", found[p]) for p in set(places)}
+            decimals, pieces_of = ({p: f(x) for p, x in arrays.items()} for f in (_decimals, lambda x: _joined(self.names, x)))
+            counts[rare] = [len(arrays[p]) for p in places]
+            ids[rare], text[rare] = [decimals[p] for p in places], [pieces_of[p] for p in places]
+        if len(counts) and not counts.all():
+            ids, text = ids[counts > 0], text[counts > 0]
+        return int(counts.sum()), b" ".join(ids.tolist()), b" ".join(text.tolist())
+
+
+def _decimals(ids) -> bytes:
+    return " ".join(map(str, ids)).encode()
+
+
+def _joined(names: list[str], ids) -> bytes:
+    return " ".join([names[i] for i in ids]).encode()
+
+
+def _frequent(read: DataFrame, definition: str) -> tuple[bytes, int]:
+    """The most frequent words of a sample of the texts with their ids, as an Arrow stream; and how many."""
+    share = min(1.0, SAMPLED / max(read.count(), 1))
+    sampled = read.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = saved(word_counts(sampled.select("text")).where(F.octet_length("word") <= HELD_BYTES))
+    floor = frequency_floor(counts, "n", HELD_WORDS)
+    rows = encode_words(counts.where(F.col("n") >= floor), definition).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("word", pa.binary()), ("ids", pa.binary())])) as stream:
+        stream.write_table(rows.select(["word", "ids"]).cast(pa.schema([("word", pa.binary()), ("ids", pa.binary())])))
+    return sink.getvalue().to_pybytes(), rows.num_rows
 
 
 def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), output: str = "digest") -> DataFrame:
@@ -79,28 +140,23 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     ``definition`` is the tokenizer's JSON. ``output`` digest: (key, *keep, n_tokens, ids_sha256, decoded_sha256), the
     digests of the ids as decimals joined by one space and of the decoded text; ids: (key, *keep, ids, decoded).
 
-    Words are counted over all texts and each distinct one is encoded once, in Spark. The most frequent ones,
-    bounded in number and bytes, go to every task; a text's other distinct words are joined with the table by
-    word and come back by their place in the text's list. Texts travel to that join as compressed word codes.
-    Decoding looks every id up in the table of pieces, whose size the vocabulary bounds.
+    The most frequent words, bounded in number and bytes, are encoded once and go to every task. All other words are
+    dealt by word, one row for each document that holds it, and each distinct one is encoded once where its
+    rows meet; the ids go back by document and place. Documents travel to that join as
+    compressed word codes. Decoding looks every id up in the table of pieces, whose size the vocabulary bounds.
     Null and empty texts have no ids; repeated rows, keys and nulls are kept as they are; an empty table gives none.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), F.struct(key, *keep).alias("head"))
-    table = saved(encode_words(word_counts(read.select("text")), definition))
-    floor = frequency_floor(table, "n", HELD_WORDS)
-    frequent = (F.col("n") >= floor) & (F.octet_length("word") <= HELD_BYTES)
-    rows = table.where(frequent).select("word", "n", "ids").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    held = spark.sparkContext.broadcast({w: i for i, w in enumerate(bytes(w) for w in rows["word"])})
-    held_ids = spark.sparkContext.broadcast([bytes(i) for i in rows["ids"]])
-    table_of_pieces = spark.sparkContext.broadcast(_pieces(definition))
-    del rows
+    row = F.xxhash64(F.col(key).cast("string"), F.coalesce(text, F.lit("")))
+    read = docs.select(F.col(text).alias("text"), row.alias("row"), F.struct(key, *keep).alias("head"))
+    raw, _ = _frequent(read, definition)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, raw, _pieces(definition)))
 
     def others_of(batches):
         for batch in pieces(batches):
             row, place, word = [], [], []
             for r, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                others = _coded(held.value, t)[1]
+                others = _Held.of(shared).coded(t)[1]
                 row += [r] * len(others)
                 place += range(len(others))
                 word += others
@@ -110,43 +166,38 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     def packed(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches):
-            planes = [_coded(held.value, t)[0].astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for t in batch.column("text").to_pylist()]
+            planes = [_Held.of(shared).coded(t)[0].astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("head"), pa.array([squeeze.compress(p) for p in planes], pa.binary())],
-                names=["row", "head", "codes"])
+                [batch.column("row"), pa.array([LAST] * batch.num_rows, pa.int32()), pa.array([squeeze.compress(p) for p in planes], pa.binary()),
+                 batch.column("head")], names=["row", "place", "data", "head"])
 
     def assembled(batches):
-        names, counts = table_of_pieces.value, np.array([len(i) // 4 for i in held_ids.value] or [0])
-        as_ids, as_text = [], []
-        for packed_ids in held_ids.value:
-            ids = array("i", packed_ids)
-            as_ids.append(" ".join(map(str, ids)).encode())
-            as_text.append(" ".join([names[i] for i in ids]).encode())
-        expand = zstandard.ZstdDecompressor()
-        for batch in pieces(batches):
-            out = []
-            for codes, places, ids in zip(*(batch.column(c).to_pylist() for c in ("codes", "places", "ids")), strict=True):
-                planes = expand.decompress(codes)
-                codes = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
-                extra = {len(held_ids.value) + p: array("i", i) for p, i in zip(places or (), ids or (), strict=True)}
-                parts = [(as_ids[c], as_text[c]) if c < len(as_ids) else (
-                    " ".join(map(str, extra[c])).encode(), " ".join([names[i] for i in extra[c]]).encode()) for c in codes.tolist()]
-                known = codes[codes < len(as_ids)]
-                n = int(counts[known].sum()) + sum(len(extra[c]) for c in codes[codes >= len(as_ids)].tolist())
-                out.append((n, b" ".join([p[0] for p in parts if p[0]]), b" ".join([p[1] for p in parts if p[0]])))
-            if output == "digest":
-                made = [pa.array([o[0] for o in out], pa.int64()), *(pa.array([hashlib.sha256(o[k]).hexdigest() for o in out], pa.string()) for k in (1, 2))]
-            else:
-                made = [pa.array([list(map(int, o[1].split())) for o in out], pa.list_(pa.int32())), pa.array([o[2].decode() for o in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("head"), *made], names=["head", *results])
+        expand, current, found = zstandard.ZstdDecompressor(), None, {}
+        for batch in pieces(batches, 2048):
+            out, at = [], []
+            columns = (batch.column(c).to_pylist() for c in ("row", "place", "data"))
+            for i, (row, place, data) in enumerate(zip(*columns, strict=True)):
+                if row != current:
+                    current, found = row, {}
+                if place != LAST:
+                    found[place] = data
+                    continue
+                codes = np.frombuffer(expand.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+                n, ids, decoded = _Held.of(shared).assembled(codes.astype(np.int64), found)
+                at.append(i)
+                if output == "digest":
+                    out.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                else:
+                    out.append((list(map(int, ids.split())), decoded.decode()))
+            made = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column("head").take(pa.array(at, pa.int64())), *made], names=["head", *results])
 
     results = ("n_tokens", "ids_sha256", "decoded_sha256") if output == "digest" else ("ids", "decoded")
-    kinds = ("n_tokens long, ids_sha256 string, decoded_sha256 string" if output == "digest" else "ids array<int>, decoded string")
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if output == "digest" else "ids array<int>, decoded string"
+    arrow = (pa.int64(), pa.string(), pa.string()) if output == "digest" else (pa.list_(pa.int32()), pa.string())
     head = f"head {docs.select(F.struct(key, *keep).alias('h')).schema['h'].dataType.simpleString()}"
-    asked = read.select("text", "row").mapInArrow(others_of, "row long, place int, word binary").distinct()
-    answers = asked.join(table.select("word", "ids"), "word").groupBy("row").agg(
-        F.collect_list(F.struct("place", "ids")).alias("found"))
-    texts = read.mapInArrow(packed, f"row long, {head}, codes binary")
-    whole = texts.join(answers, "row", "left").select("head", "codes", F.col("found.place").alias("places"), F.col("found.ids").alias("ids"))
-    done = whole.mapInArrow(assembled, f"{head}, {kinds}")
-    return done.select("head.*", *results)
+    asked = read.select("text", "row").mapInArrow(others_of, "row long, place int, word binary")
+    answers = encode_words(asked.repartition("word").sortWithinPartitions("word"), definition).select("row", "place", F.col("ids").alias("data"))
+    texts = read.mapInArrow(packed, f"row long, place int, data binary, {head}")
+    met = texts.unionByName(answers, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "place")
+    return met.mapInArrow(assembled, f"{head}, {kinds}").select("head.*", *results)
