@@ -56,7 +56,7 @@ def label_types(labels: Column) -> Column:
 
 
 def entity_of(label: Column) -> Column:
-    return F.when(label != "O", F.substring(label, 3, 1000))
+    return F.when(label != "O", F.substr(label, F.lit(3)))
 
 
 def bind(value: Column, body) -> Column:

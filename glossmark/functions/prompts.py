@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,14 +101,22 @@ def compose_document(text: Column, snippets: Column) -> Column:
     return F.when(F.size(snippets) > 0, F.concat(text, F.lit("\n\n"), F.array_join(lines, "\n"))).otherwise(text)
 
 
+#: Sentence patterns of the templated corpus; each names the slots it fills.
+SENTENCE_PATTERNS = (
+    "Ficha de {medicine}: principio {active}, efecto {reaction}, grupo {system}, incidencia {frequency}.",
+    "En el grupo {system} consta {reaction} con incidencia {frequency}",
+    "{reaction} obliga a vigilar a quien recibe {medicine}",
+    "Incidencia {frequency} de {reaction} entre pacientes tratados con {active}.",
+    "El prospecto de {medicine} recoge {reaction} ({system})",
+)
+
+
 def template_sentences(active: Column, medicine: Column, reaction: Column, frequency: Column, system: Column) -> Column:
-    """Seven training sentences about one annotation row."""
-    return F.array(
-        F.concat(medicine, F.lit(", con "), active, F.lit(", puede provocar "), reaction),
-        F.concat(F.lit("Se ha descrito "), reaction, F.lit(" al tomar "), active),
-        F.concat(F.lit("Efecto: "), reaction, F.lit("; frecuencia: "), frequency, F.lit("; sistema: "), system),
-        F.concat(active, F.lit(" se asocia a "), reaction),
-        F.concat(F.lit("Se notificó "), reaction),
-        F.concat(F.lit("Con "), active, F.lit(" aparece "), reaction, F.lit(" ("), system, F.lit("), de forma "), frequency, F.lit(".")),
-        F.concat(F.lit("Durante el uso de "), medicine, F.lit(" ("), active, F.lit(") hubo "), reaction, F.lit(", "), frequency, F.lit(", en "), system, F.lit(".")),
-    )
+    """One sentence per pattern about one annotation row."""
+    slots = {"active": active, "medicine": medicine, "reaction": reaction, "frequency": frequency, "system": system}
+
+    def filled(pattern: str) -> Column:
+        pieces = re.split(r"\{(\w+)\}", pattern)
+        return F.concat(*[slots[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+    return F.array(*[filled(p) for p in SENTENCE_PATTERNS])

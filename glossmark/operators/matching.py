@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.functions.labels import ENTITY_COLUMNS, check_types
+from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
-from glossmark.operators.tokens import GLUE, MARK, atoms, mark_atoms
-from glossmark.session import BROADCAST_LIMIT_BYTES, broadcast_if_small
+from glossmark.operators.tokens import atoms, split_atoms
 
 # Singular and plural surface forms of the frequency categories.
 FREQUENCY_FORMS = (
@@ -19,8 +18,8 @@ FREQUENCY_FORMS = (
     ("poco frecuente", "poco frecuentes"),
 )
 
-#: Parts into which a shuffled match splits each hot (key, first atom).
-MATCH_SALTS = 8
+#: Atoms that one comparison covers; longer mentions are compared in segments of so many.
+SEGMENT = 8
 
 
 def collect_mentions(annotations: DataFrame, key: str, types: Sequence[str]) -> DataFrame:
@@ -54,24 +53,18 @@ def complete_frequency_pairs(mentions: DataFrame, key: str) -> DataFrame:
 
 
 def _compile(mentions: DataFrame, key: str, types: Sequence[str]) -> DataFrame:
-    """Mentions as atom strings, ready for the join: code, anchor, body, order columns."""
+    """Mentions cut into segments of atoms: code, anchor (the segment's first atom), body, order columns."""
     rank = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type")) - 1
-    body = mark_atoms(fold(F.col("mention")))
-    return (
-        mentions.where(F.col("type").isin(*types))
-        .select(
-            F.col(key).alias("_code"),
-            "type",
-            rank.cast("int").alias("type_rank"),
-            "mention",
-            F.length("mention").alias("mention_length"),
-            body.alias("_body"),
-            F.length(fold(F.col("mention"))).alias("_width"),
-        )
-        .withColumn("_anchor", F.regexp_extract("_body", f"^[^{MARK}{GLUE}]+[{MARK}{GLUE}]", 0))
-        .withColumn("_pieces", F.size(F.split("_body", f"[{MARK}{GLUE}]")) - 1)
-        .where(F.col("_pieces") > 0)
-    )
+    folded = fold(F.col("mention"))
+    pieces = F.filter(split_atoms(folded), lambda p: F.regexp_replace(p, r"(?U)^\s+", "") != "")
+    rows = mentions.where(F.col("type").isin(*types)).select(
+        F.col(key).alias("_code"), "type", rank.cast("int").alias("type_rank"), "mention",
+        F.length("mention").alias("mention_length"), F.length(folded).alias("_width"), pieces.alias("_pieces"),
+    ).where(F.size("_pieces") > 0).withColumn("_segments", F.ceil(F.size("_pieces") / SEGMENT).cast("int"))
+    numbered = rows.withColumn("_segment", F.explode(F.sequence(F.lit(0), F.col("_segments") - 1)))
+    part = F.slice("_pieces", F.col("_segment") * SEGMENT + 1, F.lit(SEGMENT))
+    return numbered.withColumn("_body", F.array_join(part, "")).withColumn(
+        "_anchor", F.regexp_replace(F.get(part, F.lit(0)), r"(?U)^\s+", "")).drop("_pieces")
 
 
 def find_spans(
@@ -82,37 +75,30 @@ def find_spans(
     types: Sequence[str],
     mention_code: str | None = None,
     text: str = "text",
-    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Every bounded occurrence of a code's mentions in that code's documents.
 
     A mention can only start where its first atom stands, so atoms meet mentions
     in an equi-join on (code, first atom) and only those few rows compare the
-    rest. A dictionary measured as small is broadcast and the document
-    partitioning survives; a larger one is shuffled, salted against hot atoms.
+    rest, ``SEGMENT`` atoms at a time; a longer mention holds where all its segments do. Only hits are
+    shuffled, by document; how the dictionary travels is left to the optimiser.
 
     Returns doc_key, code, type, type_rank, mention, mention_length, start, end.
     """
     compiled = _compile(mentions, mention_code or code, list(types))
-    hinted, small, widest = broadcast_if_small(compiled, broadcast_limit, F.max("_pieces"))
     keep = () if code == doc_key else (code,)
-    rows = atoms(docs, doc_key, text, *keep, following=(widest or 1) - 1).select(
-        doc_key,
-        F.col(code).alias("_code"),
-        "start",
-        F.col("piece").alias("_anchor"),
-        F.col("context").alias("_context"),
-    )
-    on = ["_code", "_anchor"]
-    if not small:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(doc_key), F.lit(MATCH_SALTS)).cast("int"))
-        hinted = compiled.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(MATCH_SALTS - 1)))
-        )
-        on = [*on, "_salt"]
-    hits = rows.join(hinted, on).where(F.startswith("_context", F.col("_body")))
-    return hits.select(
-        doc_key,
+    rows = atoms(docs, doc_key, text, *keep, reach=SEGMENT).select(
+        F.col(doc_key).alias("_doc"), F.col(code).alias("_code"), "idx", "start", F.col("piece").alias("_anchor"), "gap", "context")
+    # a first segment starts at its atom, the others with the gap in front of theirs
+    behind = F.when(F.col("_segment") == 0, F.substr("context", F.col("gap") + 1)).otherwise(F.col("context"))
+    hits = rows.join(compiled, ["_code", "_anchor"]).where(F.startswith(behind, F.col("_body"))).select(
+        "_doc", "_code", "type", "type_rank", "mention", "mention_length", "_width", "_segments", "_segment",
+        (F.col("idx") - F.col("_segment") * SEGMENT).alias("_origin"), "start")
+    whole = hits.repartition("_doc").groupBy(
+        "_doc", "_code", "type", "type_rank", "mention", "mention_length", "_width", "_segments", "_origin"
+    ).agg(F.countDistinct("_segment").alias("_held"), F.min_by("start", "_segment").alias("start"))
+    return whole.where(F.col("_held") == F.col("_segments")).select(
+        F.col("_doc").alias(doc_key),
         *([] if code == doc_key else [F.col("_code").alias(code)]),
         "type",
         "type_rank",
@@ -227,9 +213,9 @@ def project_labels(tokens: DataFrame, spans: DataFrame, doc_key: str) -> DataFra
     by_place = Window.partitionBy(doc_key).orderBy("start")
     before = F.when(F.lag("sent_idx").over(by_place) == F.col("sent_idx"), F.lag("_raw").over(by_place))
     orphan = F.col("_raw").startswith("I-") & ~F.coalesce(
-        (before != "O") & (F.substring(before, 3, 100) == F.substring("_raw", 3, 100)), F.lit(False)
+        entity_of(before) == entity_of(F.col("_raw")), F.lit(False)
     )
-    label = F.when(orphan, F.concat(F.lit("B-"), F.substring("_raw", 3, 100))).otherwise(F.col("_raw"))
+    label = F.when(orphan, F.concat(F.lit("B-"), entity_of(F.col("_raw")))).otherwise(F.col("_raw"))
     return raw.withColumn("label", label).drop("_raw")
 
 

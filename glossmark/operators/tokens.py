@@ -1,15 +1,18 @@
 """Tokens with character offsets, and sentences.
 
-Text is cut after marks that a regex puts behind each token, pieces are exploded
-with their position, and a running sum of piece lengths gives the offsets. Text
-is shuffled once, by document, before it is exploded; the window then reuses
-that partitioning.
+Text is cut after marks that a regex puts behind each token. Offsets and sentence
+numbers are running sums over a document's own pieces: two Arrow functions that
+get integer arrays only. So a document's tokens come out of its row, and no text
+is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from glossmark.functions.text import WORD_CLASS, fold
 
@@ -19,8 +22,8 @@ MARK = "\ue000"
 GLUE = "\ue001"
 TOUCH = "\ue002"
 
-_ATOM_ENDS = rf"([{WORD_CLASS}]++|[^{WORD_CLASS}\s])(?![{WORD_CLASS}])"
-_ATOM_GLUED = rf"([^{WORD_CLASS}\s])(?=[{WORD_CLASS}])"
+_ATOM_ENDS = rf"(?U)([{WORD_CLASS}]++|[^{WORD_CLASS}\s])(?![{WORD_CLASS}])"
+_ATOM_GLUED = rf"(?U)([^{WORD_CLASS}\s])(?=[{WORD_CLASS}])"
 
 #: Word-level token of the BIO sequences: number, word with inner dots or dashes, dash run, sign.
 BIO_TOKEN = (
@@ -45,7 +48,7 @@ def mark_atoms(folded: Column) -> Column:
     """
     ended = F.regexp_replace(_without_marks(folded), _ATOM_ENDS, "$1" + MARK)
     glued = F.regexp_replace(ended, _ATOM_GLUED, "$1" + GLUE)
-    return F.regexp_replace(glued, rf"(?<=[{WORD_CLASS}]{MARK})(?=[^{WORD_CLASS}\s])", TOUCH)
+    return F.regexp_replace(glued, rf"(?U)(?<=[{WORD_CLASS}]{MARK})(?=[^{WORD_CLASS}\s])", TOUCH)
 
 
 def split_atoms(folded: Column) -> Column:
@@ -53,33 +56,51 @@ def split_atoms(folded: Column) -> Column:
     return F.split(mark_atoms(folded), f"(?<=[{MARK}{GLUE}])")
 
 
-def _offsets(rows: DataFrame, key: str, length: Column) -> tuple[DataFrame, Window]:
-    in_order = Window.partitionBy(key).orderBy("idx")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_from", F.coalesce(F.sum(length).over(before), F.lit(0))), in_order
+@F.pandas_udf(ArrayType(IntegerType()))
+def running_offsets(lengths: pd.Series) -> pd.Series:
+    """Sum of the lengths before each place."""
+    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64) - x)
 
 
-def atoms(docs: DataFrame, key: str, text: str, *keep: str, following: int = 0) -> DataFrame:
-    """One row per atom of the folded text: key, kept columns, idx, piece, start, context.
+#: Bits of a token's code: a line break before it, punctuation only, a closing sign.
+BREAKS, SIGN, CLOSES = 1, 2, 4
 
-    ``context`` is the piece with the ``following`` pieces behind it.
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def sentence_numbers(codes: pd.Series) -> pd.Series:
+    """Sentence of each token: one more at a line break, and at the first word after a closing sign."""
+
+    def number(code):
+        if code is None:
+            return None
+        at, code = np.arange(len(code)), np.asarray(code)
+        word = code & SIGN == 0
+
+        def last_before(flag):
+            return np.maximum.accumulate(np.concatenate([[-1], np.where(flag, at, -1)]))[:-1]
+
+        opens = (code & BREAKS > 0) | (word & (last_before(code & CLOSES > 0) > last_before(word)))
+        return np.cumsum(opens & (at > 0))
+
+    return codes.map(number)
+
+
+def atoms(docs: DataFrame, key: str, text: str, *keep: str, reach: int = 1) -> DataFrame:
+    """One row per atom of the folded text: key, kept columns, idx, piece, start, gap, context.
+
+    ``gap`` is the white space in front; ``context`` is the raw piece, gap included, with those behind
+    it, ``reach`` pieces in all.
     """
-    exploded = (
-        docs.select(key, *keep, text)
-        .repartition(key)
-        .select(key, *keep, F.posexplode(split_atoms(fold(F.col(text)))).alias("idx", "_piece"))
-    )
-    visible = F.length("_piece") - 1 - F.startswith("_piece", F.lit(TOUCH)).cast("int")
-    rows, in_order = _offsets(exploded, key, visible)
-    piece = F.regexp_replace("_piece", r"^\s+", "")
-    behind = [F.coalesce(F.lead("_piece", i).over(in_order), F.lit("")) for i in range(1, following + 1)]
+    pieces = docs.select(key, *keep, split_atoms(fold(F.col(text))).alias("_pieces"))
+    visible = F.transform("_pieces", lambda p: F.length(p) - 1 - F.startswith(p, F.lit(TOUCH)).cast("int"))
+    contexts = F.transform("_pieces", lambda p, i: F.array_join(F.slice("_pieces", i + 1, F.lit(reach)), ""))
+    cells = F.arrays_zip(F.col("_pieces").alias("p"), running_offsets(visible).alias("s"), contexts.alias("c"))
+    rows = pieces.select(key, *keep, F.posexplode(cells).alias("idx", "_cell"))
+    piece = F.regexp_replace("_cell.p", r"(?U)^\s+", "")
+    gap = F.length("_cell.p") - F.length(piece)
     return rows.select(
-        key,
-        *keep,
-        "idx",
-        piece.alias("piece"),
-        (F.col("_from") + F.length("_piece") - F.length(piece)).cast("int").alias("start"),
-        F.concat(piece, *behind).alias("context"),
+        key, *keep, "idx", piece.alias("piece"), (F.col("_cell.s") + gap).cast("int").alias("start"), gap.alias("gap"),
+        F.col("_cell.c").alias("context"),
     ).where(F.col("piece") != "")
 
 
@@ -90,34 +111,24 @@ def bio_tokens(docs: DataFrame, key: str, text: str = "text", *keep: str) -> Dat
     punctuation after a closing sign.
     """
     marked = F.regexp_replace(_without_marks(F.col(text)), f"(?U)({BIO_TOKEN})", "$1" + MARK)
-    exploded = (
-        docs.select(key, *keep, text)
-        .repartition(key)
-        .select(key, *keep, F.posexplode(F.split(marked, MARK)).alias("idx", "_piece"))
-    )
-    rows, in_order = _offsets(exploded, key, F.length("_piece"))
-    token = F.regexp_replace("_piece", r"(?U)^\s+", "")
-    shaped = rows.select(
-        key,
-        *keep,
-        "idx",
-        token.alias("token"),
-        F.contains(
-            F.substring("_piece", F.lit(1), F.length("_piece") - F.length(token)), F.lit("\n")
-        ).alias("_breaks"),
-        (F.col("_from") + F.length("_piece") - F.length(token)).cast("int").alias("start"),
-        (F.col("_from") + F.length("_piece")).cast("int").alias("end"),
-        F.rlike(token, F.lit(r"^\p{P}+$")).alias("_sign"),
+    pieces = docs.select(key, *keep, F.filter(F.split(marked, MARK), lambda p: p != "").alias("_pieces"))
+    bare = lambda p: F.regexp_replace(p, r"(?U)^\s+", "")
+
+    def code(piece: Column) -> Column:
+        token = bare(piece)
+        broken = F.contains(F.substring(piece, F.lit(1), F.length(piece) - F.length(token)), F.lit("\n"))
+        return (
+            F.when(broken, BREAKS).otherwise(0) + F.when(F.rlike(token, F.lit(r"^\p{P}+$")), SIGN).otherwise(0)
+            + F.when(token.isin(*CLOSERS), CLOSES).otherwise(0)
+        )
+
+    cells = F.arrays_zip(
+        F.col("_pieces").alias("p"), running_offsets(F.transform("_pieces", F.length)).alias("s"),
+        sentence_numbers(F.transform("_pieces", code)).alias("n"))
+    rows = pieces.select(key, *keep, F.posexplode(cells).alias("idx", "_cell"))
+    token = bare(F.col("_cell.p"))
+    end = F.col("_cell.s") + F.length("_cell.p")
+    return rows.select(
+        key, *keep, "idx", token.alias("token"), (end - F.length(token)).cast("int").alias("start"), end.cast("int").alias("end"),
+        F.col("_cell.n").alias("sent_idx"),
     ).where(F.col("token") != "")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    closed_at = F.max(F.when(F.col("token").isin(*CLOSERS), F.col("idx"))).over(before)
-    spoke_at = F.coalesce(F.max(F.when(~F.col("_sign"), F.col("idx"))).over(before), F.lit(-1))
-    opens = (F.col("idx") > 0) & (
-        F.col("_breaks") | (~F.col("_sign") & F.coalesce(closed_at > spoke_at, F.lit(False)))
-    )
-    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        shaped.withColumn("_opens", opens.cast("int"))
-        .withColumn("sent_idx", F.sum("_opens").over(upto).cast("int"))
-        .drop("_breaks", "_sign", "_opens")
-    )

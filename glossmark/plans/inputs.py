@@ -21,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting: parts into which narrow scans are dealt. For inputs of few, large row groups; unset on others.
+SPREAD_SETTING = "spark.glossmark.spread"
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle compact rows by key only when the scan has fewer splits than the session has cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+    """Deal compact rows by key where the session asks for it: one row group is one task otherwise."""
+    parts = rows.sparkSession.conf.get(SPREAD_SETTING, None)
+    return rows.repartition(int(parts), *keys) if parts else rows
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -146,7 +150,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         items.select("source", F.explode(F.concat(single, pairs)).alias("m"))
         .select("source", "m.*")
-        .where(F.length("mention") >= 4)
+        .where(F.trim("mention") != "")
         .distinct()
     )
 
@@ -226,7 +230,7 @@ mentions AS (
     UNION ALL
     SELECT source, CASE i % 2 WHEN 0 THEN 'REACT' ELSE 'SYS' END, word || ' ' || w[i + 2] FROM bi
     WHERE w[i + 2] IS NOT NULL)
-  WHERE length(mention) >= 4)"""
+  WHERE trim(mention) <> '')"""
 
 _SQL_LABEL = (
     "CASE substr({d}, 1, 1) WHEN '0' THEN 'B-REACT' WHEN '1' THEN 'B-REACT' WHEN '2' THEN 'I-REACT' "

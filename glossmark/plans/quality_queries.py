@@ -183,7 +183,7 @@ def _q_inherit(spark, sf):
 def _sides(spark, sf):
     """Orders of two overlapping periods: customers of both are the leak."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    return orders.where("o_orderpriority < '3'"), orders.where("o_orderpriority >= '4'")
+    return orders.where("o_orderpriority < '4'"), orders.where("o_orderpriority >= '4'")
 
 
 def _q_leaked(spark, sf):
@@ -337,8 +337,8 @@ UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR), count(*) FROM d WHERE toxic IS
     "entity_split": _SQL_ENTITY,
     "row_split": _SQL_ROW,
     "inherit_split": _INHERITED + "SELECT codigo, split, count(*) AS n_rows FROM sr GROUP BY 1, 2",
-    "leaked_keys": """SELECT o_custkey FROM orders WHERE o_orderpriority < '3' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority >= '4'""",
-    "leak_dropped": """WITH a AS (SELECT * FROM orders WHERE o_orderpriority < '3'), b AS (SELECT * FROM orders WHERE o_orderpriority >= '4'
+    "leaked_keys": """SELECT o_custkey FROM orders WHERE o_orderpriority < '4' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority >= '4'""",
+    "leak_dropped": """WITH a AS (SELECT * FROM orders WHERE o_orderpriority < '4'), b AS (SELECT * FROM orders WHERE o_orderpriority >= '4'
   AND o_custkey NOT IN (SELECT o_custkey FROM a))
 SELECT 'train' AS side, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_keys FROM a UNION ALL SELECT 'test', count(*), count(DISTINCT o_custkey) FROM b HAVING count(*) > 0""",
     "alias_repair": _SQL_ALIASES,

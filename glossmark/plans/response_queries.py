@@ -148,7 +148,7 @@ _SQL_ANSWERS = """it AS (SELECT event_id, user_id, event_type, props, '{"tipo":"
 ans AS (SELECT event_id, user_id, event_type, CASE event_id % 6 WHEN 0 THEN 'Aquí está {no}:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'fin'
     WHEN 1 THEN 'Respuesta: ' || props || ' gracias' WHEN 2 THEN 'Lista: [' || item || ',' || item || '].' WHEN 3 THEN '{roto ' || props
     WHEN 4 THEN '["' || event_type || '"]' ELSE 'No JSON' END AS response FROM it),
-cut AS (SELECT *, regexp_extract(response, '```(?:json)?\\s*(\\{.*?\\})\\s*```', 1, 's') AS fenced,
+cut AS (SELECT *, regexp_extract(response, '(?ms)^```[^\\n`]*\\n(.*?)\\n```[ \\t]*$', 1) AS fenced,
     CASE WHEN strpos(response, '{') > 0 AND strpos(response, '}') > 0 AND length(response) - strpos(reverse(response), '}') + 1 > strpos(response, '{')
       THEN substr(response, strpos(response, '{'), length(response) - strpos(reverse(response), '}') + 2 - strpos(response, '{')) END AS wide,
     CASE WHEN strpos(response, '[') > 0 AND strpos(response, ']') > 0 AND length(response) - strpos(reverse(response), ']') + 1 > strpos(response, '[')

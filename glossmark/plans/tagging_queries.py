@@ -9,7 +9,7 @@ from glossmark.functions.text import fold
 from glossmark.operators import matching, quality, splits
 from glossmark.operators.tokens import bio_tokens
 from glossmark.plans.inputs import (
-    SQL_ANNOTATIONS, SQL_MENTIONS, SQL_WORDS, annotations, hashed_sentences, mentions, sql_round, table, with_ctes,
+    SQL_ANNOTATIONS, SQL_MENTIONS, SQL_WORDS, annotations, documents, hashed_sentences, mentions, sql_round, table, with_ctes,
 )
 from glossmark.sources.conll import document_blocks, parse_blocks
 
@@ -18,7 +18,7 @@ CONFIGS = [["REACT"], ["ACTIVE"], ["FREQ"], ["SYS"], TYPES]
 
 
 def texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "text")
+    return documents(spark, sf, "source")
 
 
 def spans(spark, sf, types=TYPES):

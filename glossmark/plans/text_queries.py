@@ -201,15 +201,13 @@ def _q_templates(spark, sf):
     return rows.select("p_partkey", F.posexplode(sentences).alias("template", "sentence"))
 
 
-_SQL_TEMPLATES = """SELECT p_partkey, t.template, t.sentence FROM part, (VALUES (0), (1), (2), (3), (4), (5), (6)) AS k(template0),
-LATERAL (SELECT template0 AS template, CASE template0
-  WHEN 0 THEN p_name || ', con ' || p_brand || ', puede provocar ' || p_type
-  WHEN 1 THEN 'Se ha descrito ' || p_type || ' al tomar ' || p_brand
-  WHEN 2 THEN 'Efecto: ' || p_type || '; frecuencia: raras; sistema: sangre'
-  WHEN 3 THEN p_brand || ' se asocia a ' || p_type
-  WHEN 4 THEN 'Se notificó ' || p_type
-  WHEN 5 THEN 'Con ' || p_brand || ' aparece ' || p_type || ' (sangre), de forma raras.'
-  ELSE 'Durante el uso de ' || p_name || ' (' || p_brand || ') hubo ' || p_type || ', raras, en sangre.' END AS sentence) t"""
+_SQL_TEMPLATES = """SELECT p_partkey, template, CASE template
+  WHEN 0 THEN 'Ficha de ' || p_name || ': principio ' || p_brand || ', efecto ' || p_type || ', grupo sangre, incidencia raras.'
+  WHEN 1 THEN 'En el grupo sangre consta ' || p_type || ' con incidencia raras'
+  WHEN 2 THEN p_type || ' obliga a vigilar a quien recibe ' || p_name
+  WHEN 3 THEN 'Incidencia raras de ' || p_type || ' entre pacientes tratados con ' || p_brand || '.'
+  ELSE 'El prospecto de ' || p_name || ' recoge ' || p_type || ' (sangre)' END AS sentence
+FROM part, (VALUES (0), (1), (2), (3), (4)) AS k(template)"""
 
 
 def _q_prompts(spark, sf):

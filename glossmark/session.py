@@ -1,17 +1,13 @@
-"""Session helpers: settings for tests and bench, size-checked broadcast, durable checkpoints."""
+"""Session helpers: settings for tests and bench, durable checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-#: A side is broadcast only when its measured text volume stays below this.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
 
 def local_session(cores: int | str = "*", app: str = "glossmark", **conf) -> SparkSession:
     """A local session with the settings used by tests and bench."""
@@ -23,7 +19,8 @@ def local_session(cores: int | str = "*", app: str = "glossmark", **conf) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "10g")
+        .config("spark.glossmark.spread", "8" if cores == "*" else str(cores))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -46,23 +43,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="glossmark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(
-    df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, also: Column | None = None
-) -> tuple[DataFrame, bool, object]:
-    """Hint a broadcast only after measuring ``df``; otherwise leave the join to the shuffle.
-
-    ``also`` is one more aggregate to read in the same pass; its value is returned last.
-    """
-    width = F.lit(16)
-    for name, dtype in df.dtypes:
-        if dtype == "string":
-            width = width + F.coalesce(F.octet_length(name), F.lit(0))
-        elif dtype.startswith(("array", "map", "struct")):
-            width = width + F.octet_length(F.to_json(F.struct(name)))
-        else:
-            width = width + F.lit(8)
-    measured = df.select(F.sum(width.cast("long")), F.lit(None) if also is None else also).first()
-    small = (measured[0] or 0) <= limit
-    return (F.broadcast(df) if small else df), small, measured[1]

@@ -145,7 +145,7 @@ def test_prompts(one):
 
 
 @pytest.mark.parametrize("answer,expected", [
-    ('x ```json\n{"a": 1}\n``` y', '{"a": 1}'),
+    ('x\n```json\n{"a": 1}\n```\ny', '{"a": 1}'),
     ('pre {"a": {"b": 2}} post', '{"a": {"b": 2}}'),
     ("none", None),
     ("{broken", None),

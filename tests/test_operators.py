@@ -259,38 +259,31 @@ def test_round_robin_takes_turns(spark):
 # --- masking -------------------------------------------------------------------
 
 
-def windows(sizes, capacity):
-    out, current = [], 0
-    fill = []
-    for w, size in enumerate(sizes):
-        if size > capacity:
-            left = size
-            while left:
-                take = min(capacity - current, left)
-                if take:
-                    fill.append((w, take))
-                    current, left = current + take, left - take
-                if current >= capacity:
-                    out.append(fill)
-                    fill, current = [], 0
-            continue
-        if current + size > capacity:
-            out.append(fill)
-            fill, current = [], 0
-        fill.append((w, size))
-        current += size
-    return out + ([fill] if fill else [])
-
-
-def test_windows_match_the_loop(spark):
-    rng = random.Random(9)
+def test_windows_by_definition(spark):
+    """Full coverage in order, no window over its capacity, words whole unless larger than a window, none left roomy."""
+    rng, capacity = random.Random(9), 6
     cases = [[rng.choice([1, 1, 2, 3, 5, 6, 13, 17, 30]) for _ in range(rng.randint(1, 25))] for _ in range(150)]
     df = spark.createDataFrame([(i, [str(k) for k in range(len(c))], c) for i, c in enumerate(cases)], "doc int, words array<string>, sizes array<int>")
-    got = {}
-    for r in masking.window_words(df, "doc", "words", "sizes", 6).collect():
-        got.setdefault(r.doc, {}).setdefault(r.window_idx, []).append((r.word_idx, r["size"]))
+    placed = {}
+    for r in masking.window_words(df, "doc", "words", "sizes", capacity).collect():
+        placed.setdefault(r.doc, []).append((r.window_idx, r.word_idx, r["size"]))
     for i, case in enumerate(cases):
-        assert [sorted(got[i][k]) for k in sorted(got[i])] == windows(case, 6), case
+        rows = sorted(placed[i])
+        assert [w for _, w, _ in rows] == sorted(w for _, w, _ in rows)
+        used, last = {}, {}
+        for no, word, size in rows:
+            used[no] = used.get(no, 0) + size
+            last[word] = last.get(word, 0) + size
+        assert last == dict(enumerate(case)) and sorted(used) == list(range(len(used))) and max(used.values()) <= capacity
+        for word, size in enumerate(case):
+            places = [no for no, w, _ in rows if w == word]
+            if size <= capacity:
+                assert len(places) == 1
+            first = next((no, n) for no, w, n in rows if w == word)
+            opens = min(w for no, w, _ in rows if no == first[0]) == word
+            if first[0] and opens:  # it could not have begun in the window before
+                room = capacity - used[first[0] - 1]
+                assert room == 0 or (size <= capacity and size > room)
 
 
 def test_masks_reach_their_target(spark):

@@ -33,10 +33,10 @@ def greedy(value, mentions):
     return sorted(taken)
 
 
-def run(spark, docs, mentions, limit=1 << 30):
+def run(spark, docs, mentions):
     d = spark.createDataFrame([(i, "c", t) for i, t in enumerate(docs)], "doc_id int, code string, text string")
     m = spark.createDataFrame([("c", k, x) for k, x in mentions], "code string, type string, mention string")
-    found = matching.find_spans(d, m, "doc_id", "code", TYPES, broadcast_limit=limit)
+    found = matching.find_spans(d, m, "doc_id", "code", TYPES)
     return d, found, matching.resolve_overlaps(found, "doc_id")
 
 
@@ -59,7 +59,9 @@ def test_worked_cases(spark, value, mentions, expected):
     assert chosen(resolved) == expected
 
 
-def test_random_texts_match_brute_force(spark):
+@pytest.mark.parametrize("segment", [8, 2])
+def test_random_texts_match_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(matching, "SEGMENT", segment)
     rng = random.Random(11)
     pieces = ["ab", "Áb", "b", "a", "-", "(", ")", ".", " ", " ", " ", "\n", "ñ", "β", "1", "_"]
     docs = ["".join(rng.choice(pieces) for _ in range(40)) for _ in range(120)]
@@ -68,16 +70,22 @@ def test_random_texts_match_brute_force(spark):
         for m in ("".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))).strip() for _ in range(60))
         if m
     })
-    _, found, resolved = run(spark, docs, mentions)
+    _, _, resolved = run(spark, docs, mentions)
     got = {}
     for r in resolved.collect():
         got.setdefault(r.doc_id, []).append((r.start, r.end, r.type))
     for i, value in enumerate(docs):
         assert sorted(got.get(i, [])) == greedy(value, mentions), value
-    _, shuffled, _ = run(spark, docs, mentions, limit=0)
-    columns = ["doc_id", "type", "mention", "start", "end"]
-    a = sorted(map(tuple, found.select(*columns).collect()))
-    assert a == sorted(map(tuple, shuffled.select(*columns).collect()))
+
+
+def test_long_mentions(spark):
+    long = " ".join(f"palabra{i}" for i in range(200))
+    docs = [f"x {long} y", long[:-3], f"({long})", f"{long}, {long}"]
+    _, found, _ = run(spark, docs, [("REACT", long), ("SYS", "palabra7 palabra8")])
+    got = sorted((r.doc_id, r.start, r.end) for r in found.where("type = 'REACT'").collect())
+    n = len(long)
+    assert got == [(0, 2, n + 2), (2, 1, n + 1), (3, 0, n), (3, n + 2, 2 * n + 2)]
+    assert found.where("type = 'SYS'").count() == 5
 
 
 def test_frequency_pairs(spark):
