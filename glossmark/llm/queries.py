@@ -61,4 +61,6 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_quality_classifier, op3_pii, op4_url_filter, op5_lm_scores, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup)}
-ORACLES = {"op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7, "op8_exact_top_k": oracles.OP8}
+ORACLES = {
+    "op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7, "op8_exact_top_k": oracles.OP8,
+    "op9_ngram_jaccard_join": oracles.OP9, "op10_substring_dedup": oracles.OP10}
