@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from glossmark.plans import evaluation_queries, quality_queries, response_queries, tagging_queries, text_queries
+from glossmark.plans import (
+    assembly_queries, evaluation_queries, quality_queries, response_queries, tagging_queries, text_queries,
+)
 
-_MODULES = (text_queries, tagging_queries, evaluation_queries, quality_queries, response_queries)
+_MODULES = (text_queries, tagging_queries, evaluation_queries, quality_queries, response_queries, assembly_queries)
 
 
 def queries() -> dict:

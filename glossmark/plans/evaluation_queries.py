@@ -8,22 +8,23 @@ from glossmark.functions.labels import label_spans
 from glossmark.functions.keys import seeded_hash
 from glossmark.operators import evaluation
 from glossmark.plans.inputs import (
-    ANNOTATION_ORDER, SQL_ANNOTATIONS, SQL_ORDER, SQL_PREDICTIONS, SQL_WORDS,
+    ANNOTATION_ORDER, SQL_ANNOTATIONS, SQL_ORDER, SQL_PREDICTIONS, SQL_PREDICTIONS_ABSENT, SQL_WORDS,
     annotations, hashed_sentences, latin_keys, predictions, sql_round, table, with_ctes,
 )
 from glossmark.plans.tagging_queries import sql_label_spans
 
 
-def gold_and_predictions(spark, sf):
-    return latin_keys(annotations(spark, sf)), latin_keys(predictions(spark, sf))
+def gold_and_predictions(spark, sf, absent=False):
+    return latin_keys(annotations(spark, sf)), latin_keys(predictions(spark, sf, absent))
 
 
 def _scores(spark, sf):
-    return evaluation.code_scores(*gold_and_predictions(spark, sf), ANNOTATION_ORDER)
+    """Scores with some codes' files missing."""
+    return evaluation.code_scores(*gold_and_predictions(spark, sf, absent=True), ANNOTATION_ORDER)
 
 
 _KEY = "lower(trim(coalesce({c}, 'nan')))"
-_SQL_EVAL = with_ctes(
+_SQL_EVAL_ALL = with_ctes(
     SQL_ANNOTATIONS,
     SQL_PREDICTIONS,
     f"""gold AS (SELECT codigo, {_KEY.format(c='pactivo')} AS pk, {_KEY.format(c='reacadv')} AS rk,
@@ -41,6 +42,7 @@ _SQL_EVAL = with_ctes(
     LEFT JOIN (SELECT codigo, count(*) AS n FROM pred GROUP BY codigo) USING (codigo)
     LEFT JOIN (SELECT codigo, count(*) AS h FROM inv GROUP BY codigo) USING (codigo))""",
 )
+_SQL_EVAL = _SQL_EVAL_ALL.replace(SQL_PREDICTIONS, SQL_PREDICTIONS_ABSENT)
 
 
 def _q_match(spark, sf):
@@ -229,12 +231,12 @@ QUERIES = {
 }
 
 ORACLES = {
-    "gold_match": _SQL_EVAL
+    "gold_match": _SQL_EVAL_ALL
     + """SELECT codigo, pk AS pactivo_key, rk AS reacadv_key, count(*) AS gold_rows, count(*) FILTER (WHERE matched) AS matched,
   count(*) FILTER (WHERE frequency_ok) AS frequency_ok, count(*) FILTER (WHERE system_ok) AS system_ok FROM hit GROUP BY 1, 2, 3""",
     "code_scores": _SQL_EVAL
     + "SELECT codigo, gold_rows, predicted_rows, matched, frequency_ok, system_ok, hallucinated, file_missing FROM full_scores",
-    "hallucinations": _SQL_EVAL + "SELECT codigo, pactivo, reacadv, frecuencia, sistema FROM inv",
+    "hallucinations": _SQL_EVAL_ALL + "SELECT codigo, pactivo, reacadv, frecuencia, sistema FROM inv",
     "missing_files": _SQL_EVAL + "SELECT codigo, gold_rows FROM full_scores WHERE file_missing",
     "evaluation_summary": _SQL_EVAL
     + f"""SELECT count(*) AS total_codes, count(*) FILTER (WHERE file_missing) AS missing_files, CAST(sum(gold_rows) AS BIGINT) AS gold_rows,

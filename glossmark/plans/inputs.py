@@ -75,16 +75,19 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A changed copy of the annotations; some codes have none at all."""
-    rows = annotations(spark, sf_dir).where(
-        (digit(1) < "c") & (F.substring(F.md5("codigo"), 1, 1) >= "2")
-    )
+def predictions(spark: SparkSession, sf_dir: str, absent: bool = False) -> DataFrame:
+    """A changed copy of the annotations. ``absent``: some codes have none at all, for what measures missing files."""
+    rows = annotations(spark, sf_dir)
+    if absent:
+        rows = rows.where(F.substring(F.md5("codigo"), 1, 1) >= "2")
     lower_freq = F.coalesce("frecuencia", F.lit(""))
     return rows.select(
         "codigo",
         "pactivo",
-        F.when(digit(2) < "3", F.concat("reacadv", F.lit(" leve"))).otherwise(F.upper("reacadv")).alias("reacadv"),
+        F.when(digit(1) >= "c", F.concat(F.lit("sin "), "reacadv"))
+        .when(digit(2) < "3", F.concat("reacadv", F.lit(" leve")))
+        .otherwise(F.upper("reacadv"))
+        .alias("reacadv"),
         F.when(digit(3) < "8", F.concat(F.lower(lower_freq), F.lit("s")))
         .when(digit(3) < "c", F.lit("otra"))
         .otherwise(lower_freq)
@@ -102,11 +105,14 @@ def latin_keys(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[key(c).alias(f"{c}_key") for c in ("pactivo", "reacadv", "frecuencia", "sistema")])
 
 
-def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consolidated synthetic annotations: surfaces, canonical values, parent code, variant."""
-    rows = annotations(spark, sf_dir).where(
-        (F.substring(F.md5("codigo"), 2, 1) < "a") & (digit(1) < "6")
-    )
+def synth(spark: SparkSession, sf_dir: str, absent: bool = False) -> DataFrame:
+    """Consolidated synthetic annotations: surfaces, canonical values, parent code, variant.
+
+    ``absent``: some codes were never attempted, for what measures coverage.
+    """
+    rows = annotations(spark, sf_dir)
+    if absent:
+        rows = rows.where(F.substring(F.md5("codigo"), 2, 1) < "a")
     variant = (F.col("l_linenumber") % 2 + 1).cast("int")
     return rows.select(
         F.concat("codigo", F.lit("_v"), variant.cast("string")).alias("codigo"),
@@ -122,7 +128,9 @@ def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("frecuencia"),
         F.lower("sistema").alias("sistema"),
         F.col("pactivo").alias("pactivo_canonical"),
-        F.when(digit(5) < "2", F.concat("reacadv", F.lit(" x"))).otherwise(F.col("reacadv")).alias("reacadv_canonical"),
+        F.when((digit(5) < "2") | (digit(1) >= "6"), F.concat("reacadv", F.lit(" x")))
+        .otherwise(F.col("reacadv"))
+        .alias("reacadv_canonical"),
         F.upper("frecuencia").alias("frecuencia_canonical"),
         F.col("sistema").alias("sistema_canonical"),
         F.col("codigo").alias("orig_codigo"),
@@ -200,12 +208,13 @@ SQL_ORDER = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice"
 
 SQL_PREDICTIONS = """pred AS (
   SELECT codigo, pactivo,
-    CASE WHEN substr(h, 2, 1) < '3' THEN reacadv || ' leve' ELSE upper(reacadv) END AS reacadv,
+    CASE WHEN substr(h, 1, 1) >= 'c' THEN 'sin ' || reacadv WHEN substr(h, 2, 1) < '3' THEN reacadv || ' leve' ELSE upper(reacadv) END AS reacadv,
     CASE WHEN substr(h, 3, 1) < '8' THEN lower(coalesce(frecuencia, '')) || 's'
       WHEN substr(h, 3, 1) < 'c' THEN 'otra' ELSE coalesce(frecuencia, '') END AS frecuencia,
     CASE WHEN substr(h, 4, 1) < '4' THEN 'otro' ELSE lower(sistema) END AS sistema,
     l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice
-  FROM ann WHERE substr(h, 1, 1) < 'c' AND substr(md5(codigo), 1, 1) >= '2')"""
+  FROM ann)"""
+SQL_PREDICTIONS_ABSENT = SQL_PREDICTIONS.replace("FROM ann)", "FROM ann WHERE substr(md5(codigo), 1, 1) >= '2')")
 
 SQL_SYNTH = """synth AS (
   SELECT codigo || '_v' || CAST(l_linenumber % 2 + 1 AS VARCHAR) AS codigo, medicamento,
@@ -215,10 +224,11 @@ SQL_SYNTH = """synth AS (
     CASE WHEN substr(h, 8, 1) < '8' THEN lower(frecuencia) || 's' WHEN substr(h, 8, 1) < 'c'
       THEN lower(frecuencia) ELSE 'a menudo' END AS frecuencia,
     lower(sistema) AS sistema, pactivo AS pactivo_canonical,
-    CASE WHEN substr(h, 5, 1) < '2' THEN reacadv || ' x' ELSE reacadv END AS reacadv_canonical,
+    CASE WHEN substr(h, 5, 1) < '2' OR substr(h, 1, 1) >= '6' THEN reacadv || ' x' ELSE reacadv END AS reacadv_canonical,
     upper(frecuencia) AS frecuencia_canonical, sistema AS sistema_canonical,
     codigo AS orig_codigo, l_linenumber % 2 + 1 AS variante
-  FROM ann WHERE substr(md5(codigo), 2, 1) < 'a' AND substr(h, 1, 1) < '6')"""
+  FROM ann)"""
+SQL_SYNTH_ABSENT = SQL_SYNTH.replace("FROM ann)", "FROM ann WHERE substr(md5(codigo), 2, 1) < 'a')")
 
 SQL_MENTIONS = """bw AS (
   SELECT 'src' || CAST(item_id % 20 AS VARCHAR) AS source, regexp_extract_all(text, '[\\pL\\pN]+') AS w FROM benchmark),

@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.operators import ordering, quality, splits
+from glossmark.operators import assembly, ordering, quality, splits
 from glossmark.plans.inputs import (
-    SQL_ANNOTATIONS, SQL_SYNTH, annotations, documents, sql_round, synth, table, with_ctes,
+    SQL_ANNOTATIONS, SQL_SYNTH, SQL_SYNTH_ABSENT, annotations, documents, sql_round, synth, table, with_ctes,
 )
 from glossmark.plans.text_queries import _SQL_WORD_COUNT
 from glossmark.sources.tables import distinct_codes, page_requests
 
 _BOTH = with_ctes(SQL_ANNOTATIONS, SQL_SYNTH)
+_SOME = with_ctes(SQL_ANNOTATIONS, SQL_SYNTH_ABSENT)
 
 
 def _q_coverage(spark, sf):
-    return quality.coverage(annotations(spark, sf), synth(spark, sf))
+    return quality.coverage(annotations(spark, sf), synth(spark, sf, absent=True))
 
 
-_SQL_COVERAGE = _BOTH + f"""SELECT r AS real_codes, o AS attempted_codes, v AS synth_documents, {sql_round('100.0::DOUBLE * o / greatest(1, r)', 2)} AS attempted_pct
+_SQL_COVERAGE = _SOME + f"""SELECT r AS real_codes, o AS attempted_codes, v AS synth_documents, {sql_round('100.0::DOUBLE * o / greatest(1, r)', 2)} AS attempted_pct
 FROM (SELECT (SELECT count(DISTINCT codigo) FROM ann) AS r, (SELECT count(DISTINCT orig_codigo) FROM synth) AS o, (SELECT count(DISTINCT codigo) FROM synth) AS v)"""
 
 
 def _recovery(spark, sf):
-    return quality.tuple_recovery(annotations(spark, sf), synth(spark, sf))
+    return quality.tuple_recovery(annotations(spark, sf), synth(spark, sf, absent=True))
 
 
 _NORM = "lower(trim(coalesce({c}, '')))"
-_RECOVERY = _BOTH.rstrip() + f""",
+_RECOVERY = _SOME.rstrip() + f""",
 rt AS (SELECT DISTINCT codigo, {_NORM.format(c='reacadv')} AS r, {_NORM.format(c='frecuencia')} AS f, {_NORM.format(c='sistema')} AS s FROM ann),
 st AS (SELECT DISTINCT orig_codigo AS codigo, {_NORM.format(c='reacadv_canonical')} AS r, {_NORM.format(c='frecuencia_canonical')} AS f, {_NORM.format(c='sistema_canonical')} AS s FROM synth),
 rec AS (SELECT codigo, count(*) AS real_tuples, count(st.r) AS recovered, count(st.r)::DOUBLE / count(*)::DOUBLE AS ratio
@@ -233,8 +234,9 @@ def _q_distinct_codes(spark, sf):
 def _q_code_selection(spark, sf):
     """Wanted codes in their own order with a flag for unknown ones."""
     wanted = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("pos"))
-    known = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.lit(True).alias("have"))
-    return wanted.join(known, "k", "left").select("k", "pos", F.col("have").isNull().alias("unknown"))
+    known = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    chosen, unknown = assembly.select_codes(wanted, known, "k", "pos")
+    return chosen.withColumn("unknown", F.lit(False)).unionByName(unknown.withColumn("unknown", F.lit(True)))
 
 
 def _q_limited_codes(spark, sf):
