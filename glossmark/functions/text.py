@@ -87,8 +87,8 @@ def word_count(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Array of whitespace-separated words."""
-    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    """Array of words between white space, NBSP and other Unicode spaces included."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x{1C}-\x{1F}]+"), F.lit(0))
 
 
 def slug(text: Column, limit: int = 40, default: str = "item") -> Column:

@@ -56,8 +56,7 @@ def parse_blocks(blocks: DataFrame, source: str, text: str) -> DataFrame:
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of CoNLL files; records are cut at headers while reading, so a large file is split."""
-    records = spark.read.text(path, lineSep="\n# ")
-    whole = F.when(F.col("value").startswith("# "), F.col("value")).otherwise(F.concat(F.lit("# "), "value"))
-    blocks = records.select(F.col("_metadata.file_path").alias("path"), whole.alias("text"))
+    """Sentences of CoNLL files. A file is one row, since only its whole lines tell a header from a token."""
+    files = spark.read.text(path, wholetext=True)
+    blocks = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return parse_blocks(blocks, "path", "text").drop("path")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+
+from glossmark.operators.ordering import first_per_key
 
 
 def config_name(types: list[str]) -> str:
@@ -20,15 +24,20 @@ def write_examples(sentences: DataFrame, path: str) -> None:
     sentences.write.mode("overwrite").partitionBy("config", "split").parquet(path)
 
 
-def append_new(rows: DataFrame, key: str, path: str) -> None:
-    """Append only rows whose key the target does not hold yet: a repeated run adds nothing."""
-    spark = rows.sparkSession
+def append_new(rows: DataFrame, key: str, path: str, order: list[str] | None = None) -> None:
+    """Append one row of each key that the target does not hold yet: a repeated run adds nothing.
+
+    Of a batch's rows with one key the first by ``order`` is kept (all columns by default).
+    """
+    batch = first_per_key(rows, [key], order or rows.columns)
     try:
-        done = spark.read.parquet(path).select(key).distinct()
-    except Exception:  # noqa: BLE001 - no target yet
-        rows.write.parquet(path)
+        done = rows.sparkSession.read.parquet(path).select(key).distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        batch.write.parquet(path)
         return
-    rows.join(done, key, "left_anti").write.mode("append").parquet(path)
+    batch.join(done, key, "left_anti").write.mode("append").parquet(path)
 
 
 def finite(value: Column) -> Column:
@@ -37,11 +46,23 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | infinite, None).otherwise(value)
 
 
+def finite_deep(value: Column, kind: DataType) -> Column:
+    """``finite`` for doubles at any depth of arrays, maps and structs."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return finite(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: finite_deep(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: finite_deep(x, kind.valueType))
+    if isinstance(kind, StructType):
+        cells = [finite_deep(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*cells))
+    return value
+
+
 def report_json(rows: DataFrame) -> DataFrame:
     """One JSON text per report row, non-finite doubles as null."""
-    cells = [
-        finite(F.col(n)).alias(n) if t in ("double", "float") else F.col(n) for n, t in rows.dtypes
-    ]
+    cells = [finite_deep(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]
     return rows.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
 
 
@@ -50,17 +71,19 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def report_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name) of the report files present, the manifest of a report folder."""
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(folder)
-        .select(F.col("_metadata.file_name").alias("file_name"))
-        .distinct()
-    )
+    """(file_name) of the report files present; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.element_at(F.split(F.url_decode(F.col("path")), "/"), -1).alias("file_name")).distinct()
+
+
+def report_manifest(index: DataFrame) -> DataFrame:
+    """One row: how many reports, and their names in order."""
+    return index.agg(F.count("*").alias("reports"), F.array_sort(F.collect_list("file_name")).alias("file_names"))
 
 
 def write_documents(documents: DataFrame, root: str) -> None:
-    """Text, raw payload and entity views of validated documents, partitioned by code."""
-    documents.select("codigo_variant", "text").write.mode("overwrite").parquet(f"{root}/txt")
-    documents.write.mode("overwrite").parquet(f"{root}/raw")
-    documents.drop("text").write.mode("overwrite").json(f"{root}/entities")
+    """Raw payload of validated documents, partitioned by code; text and entity views are derived from it."""
+    documents.write.mode("overwrite").partitionBy("codigo").parquet(f"{root}/raw")
+    raw = documents.sparkSession.read.schema(documents.schema).parquet(f"{root}/raw")
+    raw.select("codigo", "codigo_variant", "text").write.mode("overwrite").partitionBy("codigo").parquet(f"{root}/txt")
+    raw.drop("text").write.mode("overwrite").partitionBy("codigo").json(f"{root}/entities")

@@ -93,19 +93,6 @@ def read_synth_annotations(spark: SparkSession, path: str | list[str]) -> DataFr
     )
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """Spreadsheet annotations, converted at the edge; an empty sheet is an error."""
-    import pandas as pd
-
-    try:
-        sheet = pd.read_excel(path, dtype=str)
-    except ImportError as error:
-        raise ImportError("reading a workbook needs an Excel engine for pandas") from error
-    if sheet.empty:
-        raise ValueError(f"workbook {path} has no rows")
-    return trim_headers(spark.createDataFrame(sheet.where(sheet.notna(), None)))
-
-
 def file_stem(suffix: str) -> Column:
     """File name without folder and suffix."""
     return F.regexp_extract("_metadata.file_name", rf"^(.*){suffix.replace('.', '[.]')}$", 1)
@@ -205,10 +192,6 @@ def page_requests(total: Column, size: int) -> Column:
     return F.when(pages > 0, F.sequence(F.lit(1), pages)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def distinct_codes(frames: list[DataFrame], column: str = "codigo") -> DataFrame:
     """(codigo, first_frame): non-blank codes of several tables, in table order then code order."""
     from functools import reduce

@@ -1,7 +1,7 @@
 """Incremental landing: the resumable loops as one streaming job.
 
 The batch loops skip documents whose output exists. Here a file stream only sees
-new files, repeated codes are dropped, and a batch is tagged and appended once:
+new files, codes that are in the target are left out, and a batch is written once:
 its id names the output folder, so a retried batch replaces itself.
 """
 
@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glossmark.operators.ordering import first_per_key
 
-def landed_documents(spark: SparkSession, folder: str, key: str = "codigo", schema: str = "codigo string, text string") -> DataFrame:
-    """Stream of landed documents (JSON lines), first arrival of each code only."""
-    return spark.readStream.schema(schema).json(folder).dropDuplicates([key])
+
+def landed_documents(spark: SparkSession, folder: str, schema: str = "codigo string, text string") -> DataFrame:
+    """Stream of landed documents (JSON lines)."""
+    return spark.readStream.schema(schema).json(folder)
 
 
 def process_landed(
@@ -23,11 +27,22 @@ def process_landed(
     transform: Callable[[DataFrame], DataFrame],
     target: str,
     checkpoint: str,
+    key: str = "codigo",
 ) -> StreamingQuery:
-    """Run ``transform`` on each batch of new documents and write it under its batch id."""
+    """Run ``transform`` on each batch's new documents, one per key, and write it under its batch id.
+
+    Keys that other batches have written are left out by reading the target, so no state is kept.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh = first_per_key(batch, [key], batch.columns)
+        try:
+            done = batch.sparkSession.read.parquet(target).where(F.col("batch") != batch_id).select(key).distinct()
+            fresh = fresh.join(done, key, "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        transform(fresh).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)

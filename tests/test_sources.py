@@ -82,7 +82,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", float("nan")), ("b", 1.0)], "k string, v double")
     assert sorted(r.value for r in sinks.report_json(df).collect()) == ['{"k":"a","v":null}', '{"k":"b","v":1.0}']
     target = str(tmp_path / "p")
-    sinks.append_new(df, "k", target)
+    sinks.append_new(df.unionByName(df), "k", target)
     sinks.append_new(df, "k", target)
     assert spark.read.parquet(target).count() == 2
     assert sinks.config_name(["REACT", "SYS"]) == "react-sys"
@@ -91,6 +91,45 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "e" / "config=react" / "split=train").is_dir()
 
 
+def test_nested_reports_and_manifest(spark, tmp_path):
+    nan = float("nan")
+    df = spark.createDataFrame([([1.0, nan], (nan, [nan]), {"m": nan})], "a array<double>, s struct<x:double,y:array<float>>, m map<string,double>")
+    text = sinks.report_json(df).first().value
+    assert json.loads(text) == {"a": [1.0, None], "s": {"x": None, "y": [None]}, "m": {"m": None}}
+    sinks.write_report(df, str(tmp_path / "r"))
+    for name in ("b.json", "a b.json"):
+        (tmp_path / name).write_text("{}")
+    index = sinks.report_index(spark, str(tmp_path)).where("file_name LIKE '%.json'")
+    assert sinks.report_manifest(index).first() == (2, ["a b.json", "b.json"])
+
+
+def test_documents_and_csv(spark, tmp_path):
+    docs = spark.createDataFrame([("1_v1", "t", [("REACT", "s")], "1"), ("2_v1", "u", [], "2")], "codigo_variant string, text string, entities array<struct<type:string,surface:string>>, codigo string")
+    sinks.write_documents(docs, str(tmp_path / "d"))
+    assert (tmp_path / "d" / "txt" / "codigo=1").is_dir()
+    assert spark.read.json(str(tmp_path / "d" / "entities")).count() == 2
+    rows = spark.createDataFrame([("01", 'a "b"', "x\ny", None)], "CODIGO string, MEDICAMENTO string, PACTIVO string, ORIG string")
+    sinks.write_csv(rows, str(tmp_path / "c"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "c"))
+    assert [tuple(r) for r in back.collect()] == [("01", 'a "b"', "x\ny", None)]
+
+
+def test_synthetic_annotations_csv(spark, tmp_path):
+    names = "CODIGO,MEDICAMENTO,PACTIVO,REACADV,FRECUENCIA,SISTEMA,PACTIVO_CANONICAL,REACADV_CANONICAL,FRECUENCIA_CANONICAL,SISTEMA_CANONICAL,ORIG_CODIGO,VARIANTE"
+    (tmp_path / "s.csv").write_text(names + "\n 01_v2 ,m,p,r,nan,s,P,R,,S, 01 ,2\n", encoding="utf-8")
+    row = tables.read_synth_annotations(spark, str(tmp_path / "s.csv")).first()
+    assert (row.codigo, row.orig_codigo, row.variante, row.frecuencia, row.reacadv_canonical) == ("01_v2", "01", 2, None, "R")
+
+
+def test_conll_headers_and_tokens(spark, tmp_path):
+    from glossmark.sources import conll
+
+    (tmp_path / "a.conll").write_text("# 01\n# x\tO\ny\tB-A\n\n# z\tO\n\n# 02\nw\tO\n")
+    (tmp_path / "b.conll").write_text("tok\tO\n")
+    got = sorted(((r.codigo or "", r.sent_idx, r.tokens) for r in conll.read_conll(spark, str(tmp_path)).collect()))
+    assert got == [("", 0, ["tok"]), ("01", 0, ["# x", "y"]), ("01", 1, ["# z"]), ("02", 0, ["w"])]
+
+
 def test_landing_resumes(spark, tmp_path):
     landing, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     landing.mkdir()
