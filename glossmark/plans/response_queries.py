@@ -196,13 +196,15 @@ _SQL_EXTRACTION = """SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE e
 
 
 def declared(spark, sf):
-    """Each line of a document declares its first word, and every third line a word with an 'x' that may be absent."""
+    """Each line of a document declares its first word, or its first two, or a word with an 'x' that may be absent."""
     lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     first = F.regexp_extract("line", r"[\p{L}\p{N}_]+", 0)
+    pair = F.regexp_extract("line", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+", 0)
     types = F.array(*map(F.lit, ENTITY_COLUMNS))
+    surface = F.when(F.col("pos") % 3 == 2, F.concat(first, F.lit("x"))).when(
+        (F.col("pos") % 2 == 1) & (pair != ""), fold(pair)).otherwise(fold(first))
     return lines.select(
-        "doc_id", "pos", F.get(types, F.col("pos") % 4).alias("type"), F.lower(first).alias("canonical"),
-        F.when(F.col("pos") % 3 == 2, F.concat(first, F.lit("x"))).otherwise(fold(first)).alias("surface"),
+        "doc_id", "pos", F.get(types, F.col("pos") % 4).alias("type"), F.lower(first).alias("canonical"), surface.alias("surface"),
     ).where(F.length("canonical") > 0)
 
 
@@ -223,11 +225,15 @@ def _q_discards(spark, sf):
 
 _W = "\\pL\\pN_\\x{c0}-\\x{17f}"
 _DECLARED = f"""dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-df AS (SELECT doc_id, pos, regexp_extract(line, '[\\pL\\pN_]+') AS w FROM dl),
+df AS (SELECT doc_id, pos, regexp_extract(line, '[\\pL\\pN_]+') AS w, regexp_extract(line, '[\\pL\\pN_]+ [\\pL\\pN_]+') AS w2 FROM dl),
 dc AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN 'REACT' WHEN 1 THEN 'ACTIVE' WHEN 2 THEN 'FREQ' ELSE 'SYS' END AS type, lower(w) AS canonical,
-    CASE WHEN pos % 3 = 2 THEN w || 'x' ELSE lower(strip_accents(w)) END AS surface FROM df WHERE w <> ''),
-fa AS (SELECT doc_id, tok, min(s) AS s FROM atoms GROUP BY 1, 2),
-lo AS (SELECT dc.*, CAST(fa.s AS BIGINT) AS start, CAST(fa.s + length(fa.tok) AS BIGINT) AS "end" FROM dc LEFT JOIN fa ON fa.doc_id = dc.doc_id AND fa.tok = lower(strip_accents(dc.surface)))"""
+    CASE WHEN pos % 3 = 2 THEN w || 'x' WHEN pos % 2 = 1 AND w2 <> '' THEN lower(strip_accents(w2)) ELSE lower(strip_accents(w)) END AS surface FROM df WHERE w <> ''),
+su AS (SELECT DISTINCT doc_id, surface, lower(strip_accents(surface)) AS m FROM dc),
+fa AS (SELECT su.doc_id, su.surface, min(a.s) AS s FROM su JOIN atoms a ON a.doc_id = su.doc_id AND a.tok = regexp_extract(su.m, '^([{_W}]+|[^{_W}\\s])')
+  JOIN fd ON fd.doc_id = su.doc_id WHERE substr(fd.f, CAST(a.s AS BIGINT) + 1, length(su.m)) = su.m
+    AND (a.s = 0 OR NOT regexp_matches(substr(fd.f, CAST(a.s AS BIGINT), 1), '[{_W}]'))
+    AND NOT regexp_matches(substr(fd.f, CAST(a.s AS BIGINT) + length(su.m) + 1, 1), '[{_W}]') GROUP BY 1, 2),
+lo AS (SELECT dc.*, CAST(fa.s AS BIGINT) AS start, CAST(fa.s + length(dc.surface) AS BIGINT) AS "end" FROM dc LEFT JOIN fa ON fa.doc_id = dc.doc_id AND fa.surface = dc.surface)"""
 _DECLARED_CTES = with_ctes(SQL_ATOMS, _DECLARED)
 
 
