@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import WORD, packed_row, saved, unpacked
-from glossmark.llm.rolling import picker, pieces, shingle_sets
+from glossmark.llm.rolling import Picker, pieces, shingle_sets
 
 #: Cells of the frequency table that orders shingles, dealt in blocks; fixed size, 4 MB.
 CELLS, BLOCK = 1 << 20, 1 << 10
@@ -231,7 +231,7 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
 def _verify(read: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that hold on whole texts. Texts are picked by a bit table first, then by join."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    picked = read.where("id IS NOT NULL").where(picker(ids)(F.col("id")))
+    picked = read.where("id IS NOT NULL").where(Picker(ids)(F.col("id")))
     texts = picked.join(ids, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))

@@ -146,21 +146,37 @@ def has_bit(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
 PICK_BITS = 26
 
 
-def picker(keys: DataFrame, bits: int = PICK_BITS):
-    """A boolean column function over longs: false where the long is surely not in ``keys`` (one column of longs).
+class Picker:
+    """Tells longs that are surely not in ``keys`` (one column of longs), by a bit table in every task.
 
     Rows that it turns away need not be shuffled to the join that decides on the others.
     """
-    name, = keys.columns
-    slots = keys.where(F.col(name).isNotNull()).select(F.pmod(F.xxhash64(name), F.lit(1 << bits)).alias("slot")).distinct()
-    table, = bit_tables(slots.withColumn("n", F.lit(1)), bits)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def test(slot: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(shared.value, slot.to_numpy().astype(np.uint64)))
+    def __init__(self, keys: DataFrame, bits: int = PICK_BITS):
+        self.bits = bits
+        name, = keys.columns
+        slots = keys.where(F.col(name).isNotNull()).select(self.slot(F.col(name)).alias("slot")).distinct()
+        table, = bit_tables(slots.withColumn("n", F.lit(1)), bits)
+        self.shared = shared = keys.sparkSession.sparkContext.broadcast(table)
 
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(1 << bits)))
+        @F.pandas_udf("boolean")
+        def test(slot: pd.Series) -> pd.Series:
+            return pd.Series(has_bit(shared.value, slot.to_numpy().astype(np.uint64)))
+
+        self._test = test
+
+    def slot(self, column):
+        return F.pmod(F.xxhash64(column), F.lit(1 << self.bits))
+
+    def __call__(self, column):
+        """A boolean column: false where the long is surely not in."""
+        return self._test(self.slot(column))
+
+
+def turned_away(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    """The rows whose ``slot`` is below 0 or not in the table: the filter for functions that read whole batches."""
+    slots = batch.column("slot").to_numpy()
+    return batch.filter(pa.array((slots < 0) | ~has_bit(table, np.maximum(slots, 0).astype(np.uint64))))
 
 
 #: Distinct words that a task counts before it passes them on.

@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import saved
-from glossmark.llm.rolling import bit_tables, has_bit, picker, pieces, split_words, window_digests, word_digests
+from glossmark.llm.rolling import Picker, bit_tables, has_bit, pieces, split_words, turned_away, window_digests, word_digests
 
 #: Bits of each of the two anchor tables (32 MB each). They only spare work: beyond some hundred million blocks they
 #: let more windows through to the exact count, whose results don't depend on them.
 ANCHOR_BITS = 28
 
 
-def _blocks(block: int, bits: int):
-    """Batches of text to the two table slots of each non-overlapping block, counted per task."""
+def _blocks(block: int, bits: int, copies):
+    """Batches (text, slot) to the two table slots of each non-overlapping block, counted per task."""
     def run(batches):
         parts = []
         for batch in pieces(batches):
-            for digests in word_digests(batch.column(0)):
+            for digests in word_digests(turned_away(batch, copies.value).column("text")):
                 parts.append(_slots(window_digests(digests, block)[::block], bits).ravel())
             if sum(map(len, parts)) > 1_000_000:
                 yield from _counted(parts)
@@ -43,14 +43,15 @@ def _slots(digests: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([digests >> np.uint64(64 - bits), digests & np.uint64((1 << bits) - 1)])
 
 
-def _probe(width: int, block: int, bits: int, tables):
-    """Batches (row, text, weight) to the windows of ``width`` words that hold an anchor's words.
+def _probe(width: int, block: int, bits: int, tables, copies):
+    """Batches (row, text, slot) to the windows of ``width`` words that hold an anchor's words.
 
     A block's own place always meets itself, so there the anchor must have been seen twice.
     """
     def run(batches):
         once, twice = tables.value
         for batch in pieces(batches):
+            batch = turned_away(batch, copies.value)
             rows, starts, first, second = [], [], [], []
             for row, digests in zip(batch.column("row").to_pylist(), word_digests(batch.column("text")), strict=True):
                 if len(digests) < width:
@@ -76,28 +77,31 @@ def _probe(width: int, block: int, bits: int, tables):
     return run
 
 
-def repeat_starts(docs: DataFrame, width: int, block: int, bits: int = ANCHOR_BITS, row: str = "row", text: str = "text") -> DataFrame:
+def repeat_starts(texts: DataFrame, copies, width: int, block: int, bits: int = ANCHOR_BITS) -> DataFrame:
     """(row, starts): where the words of a window of ``width`` start that also start anywhere else.
 
-    ``docs`` has one row per distinct text. Every window of ``width`` words holds a whole block of some block grid if
+    ``texts`` has row, text and slot; rows whose slot is in the bit table ``copies`` are left out in the task, so
+    that each distinct text is read once. Every window of ``width`` words holds a whole block of some block grid if
     2 * block - 1 <= width, so of two equal windows each holds the words of an anchor of the other's text.
     Windows without an anchor drop out in the scan; the rest are counted by a 95-bit digest, in all texts,
     and those seen twice go back to their rows. No pairs are made: a passage costs its occurrences.
     """
     assert 2 * block - 1 <= width
-    spark = docs.sparkSession
-    slots = docs.select(text).mapInArrow(_blocks(block, bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    spark = texts.sparkSession
+    slots = texts.select("text", "slot").mapInArrow(_blocks(block, bits, copies), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     tables = spark.sparkContext.broadcast(bit_tables(slots, bits, 2))
-    windows = saved(docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(
-        _probe(width, block, bits, tables), "h long, g int, row long, at int"))
-    again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    windows = saved(texts.select("row", "text", "slot").mapInArrow(
+        _probe(width, block, bits, tables, copies), "h long, g int, row long, at int"))
+    # written, so that the join reads plain shuffles on both sides and its hot windows can be split
+    again = saved(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
     return windows.join(again, ["h", "g"]).groupBy("row").agg(F.collect_list("at").alias("starts"))
 
 
-def _kept(width: int):
-    """Batches (key, text, copies, starts) to word counts and what stays."""
+def _kept(width: int, concerned):
+    """Batches (key, text, copied, starts, slot) to word counts and what stays."""
     def run(batches):
         for batch in pieces(batches):
+            batch = turned_away(batch, concerned.value)
             out = []
             for text, copies, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "copied", "starts")), strict=True):
                 words = split_words(text)
@@ -127,13 +131,16 @@ def remove_repeats(docs: DataFrame, width: int = 35, block: int = 18, bits: int
     copy = F.sha2(F.coalesce(text, F.lit("")), 256)
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(copy).alias("row"))
     copied = saved(read.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row", F.lit(True).alias("copied")))
-    is_copy = picker(copied.select("row"))
-    single = read.where(~is_copy(F.col("row"))).select("row", "text")
+    is_copy = Picker(copied.select("row"))
+    all_texts = read.select("row", "text", is_copy.slot(F.col("row")).alias("slot"))
     first = read.where(is_copy(F.col("row"))).groupBy("row").agg(F.first("text").alias("text"))
-    starts = saved(repeat_starts(single.unionByName(first), width, block, bits))
-    concerned = picker(copied.select("row").unionByName(starts.select("row")))
+    texts = all_texts.unionByName(first.select("row", "text", F.lit(-1).cast("long").alias("slot")))
+    starts = saved(repeat_starts(texts, is_copy.shared, width, block, bits))
+    concerned = Picker(copied.select("row").unionByName(starts.select("row")))
+    names = ("key", "text", "copied", "starts", "slot")
     rows = read.where(concerned(F.col("row"))).join(starts, "row", "left").join(copied, "row", "left")
-    clear = read.where(~concerned(F.col("row"))).withColumns({"starts": F.lit(None).cast("array<int>"), "copied": F.lit(None).cast("boolean")})
-    parts = rows.select("key", "text", "copied", "starts").unionByName(clear.select("key", "text", "copied", "starts"))
+    clear = read.withColumns({"starts": F.lit(None).cast("array<int>"), "copied": F.lit(None).cast("boolean")})
+    parts = rows.withColumn("slot", F.lit(-1).cast("long")).select(*names).unionByName(
+        clear.withColumn("slot", concerned.slot(F.col("row"))).select(*names))
     kind = docs.schema[key].dataType.simpleString()
-    return parts.mapInArrow(_kept(width), f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
+    return parts.mapInArrow(_kept(width, concerned.shared), f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
