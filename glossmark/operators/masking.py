@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from glossmark.functions.keys import seeded_hash
 from glossmark.functions.text import nfkc_casefold
+from glossmark.operators.tokens import running_offsets
 
 #: Letters of a vocabulary word.
 LETTERS = "a-záéíóúñü"
@@ -93,52 +97,44 @@ def fill_windows(sizes: Column, capacity: int) -> Column:
     )
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def window_of(offsets: pd.Series, starts: pd.Series) -> pd.Series:
+    """Number of the last start at or before each offset."""
+    return pd.Series([np.searchsorted(s, o, side="right") - 1 for o, s in zip(offsets, starts, strict=True)])
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def start_after(offsets: pd.Series, starts: pd.Series) -> pd.Series:
+    """The first start behind each offset; -1 where there is none."""
+    return pd.Series([np.append(s, -1)[np.searchsorted(s, o, side="right")] for o, s in zip(offsets, starts, strict=True)])
+
+
 def window_words(docs: DataFrame, key: str, words: str, sizes: str, capacity: int) -> DataFrame:
     """One row per (document, window, word): sub-tokens of the word inside the window.
 
-    Words and window starts are ordered together by stream offset; the starts
-    seen so far give the window, so no range join is needed and no row carries
-    the list of starts.
+    Starts, offsets and the window of each word are arrays of the document's own row, exploded once: nothing is
+    shuffled, and no row carries the list of starts.
     """
-    filled = docs.select(key, words, sizes, fill_windows(F.col(sizes), capacity).alias("_starts")).repartition(key)
-    cells = F.arrays_zip(F.col(words).alias("word"), F.col(sizes).alias("size"))
-    word_rows = filled.select(key, F.posexplode(cells).alias("word_idx", "c")).select(
-        key, "word_idx", "c.word", F.col("c.size").cast("int").alias("size")
-    )
-    before = Window.partitionBy(key).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    word_rows = word_rows.select(
-        key,
-        F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("_at"),
-        F.lit(1).alias("_kind"),
-        F.struct("word_idx", "word", "size").alias("_w"),
-    )
-    start_rows = filled.select(key, F.posexplode("_starts").alias("_no", "_at"), "_starts").select(
-        key, "_at", F.lit(0).alias("_kind"), F.lit(None).cast("struct<word_idx:int,word:string,size:int>").alias("_w"),
-        F.struct(F.col("_no").alias("no"), F.get("_starts", F.col("_no") + 1).alias("next")).alias("_s"),
-    )
-    upto = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        word_rows.withColumn("_s", F.lit(None).cast("struct<no:int,next:int>"))
-        .unionByName(start_rows)
-        .withColumn("_last", F.last("_s", ignorenulls=True).over(upto))
-        .where(F.col("_kind") == 1)
-        .select(key, "_at", "_w.*", F.col("_last.no").alias("_first"), F.col("_last.next").alias("_next"))
-    )
-    stop = F.col("_at") + F.col("size")
+    whole = F.transform(sizes, lambda x: x.cast("int"))
+    filled = docs.where(F.size(words) > 0).select(
+        key, F.col(words).alias("_words"), whole.alias("_sizes"), fill_windows(F.col(sizes), capacity).alias("_starts"))
+    filled = filled.withColumn("_at", running_offsets(F.col("_sizes")))
+    cells = F.arrays_zip(
+        F.col("_words").alias("word"), F.col("_sizes").alias("size"), F.col("_at").alias("at"),
+        window_of("_at", "_starts").alias("first"), start_after("_at", "_starts").alias("next"))
+    placed = filled.select(key, F.posexplode(cells).alias("word_idx", "c")).select(key, "word_idx", "c.*")
+    stop = F.col("at") + F.col("size")
     inner = F.when(
-        F.col("_next") < stop, F.sequence(F.col("_next"), stop - 1, F.lit(capacity))
+        (F.col("next") >= 0) & (F.col("next") < stop), F.sequence(F.col("next"), stop - 1, F.lit(capacity))
     ).otherwise(F.expr("cast(array() as array<int>)"))
-    edges = F.concat(F.array("_at"), inner, F.array(stop))
-    return (
-        placed.withColumn("_edges", edges)
-        .select(key, "word_idx", "word", "_first", "_edges", F.posexplode(F.slice("_edges", F.lit(1), F.size("_edges") - 1)).alias("_k", "_from"))
-        .select(
-            key,
-            (F.col("_first") + F.col("_k")).cast("int").alias("window_idx"),
-            "word_idx",
-            "word",
-            (F.get("_edges", F.col("_k") + 1) - F.col("_from")).cast("int").alias("size"),
-        )
+    placed = placed.withColumn("_edges", F.concat(F.array("at"), inner, F.array(stop)))
+    parts = F.posexplode(F.slice("_edges", F.lit(1), F.size("_edges") - 1)).alias("_k", "_from")
+    return placed.select(key, "word_idx", "word", "first", "_edges", parts).select(
+        key,
+        (F.col("first") + F.col("_k")).cast("int").alias("window_idx"),
+        "word_idx",
+        "word",
+        (F.get("_edges", F.col("_k") + 1) - F.col("_from")).cast("int").alias("size"),
     )
 
 

@@ -11,7 +11,7 @@ from glossmark.plans.inputs import (
     ANNOTATION_ORDER, ROW_ID, SQL_ANNOTATIONS, SQL_ORDER, annotations, documents, spread, table, with_ctes,
 )
 from glossmark.plans.tagging_queries import SQL_ATOMS
-from glossmark.plans.text_queries import _SQL_FREQ_MAP
+from glossmark.plans.text_queries import _SQL_FORM, _SQL_FREQ_MAP, _SQL_VOCAB
 
 _ANN = with_ctes(SQL_ANNOTATIONS)
 
@@ -335,6 +335,32 @@ def _q_mask_summary(spark, sf):
     return masking.categorise(masked, "word", vocabulary).groupBy("category").agg(F.sum("n").alias("sub_tokens"))
 
 
+#: Window starts by a walk over each document's words, then every word cut at them.
+_SQL_PLACED = f"""WITH RECURSIVE sw AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^\\s]+'), lambda x: x <> '') AS words FROM documents),
+st AS (SELECT doc_id, words, list_transform(words, lambda w: CAST(ceil(length(w) / 4.0) AS BIGINT)) AS sizes FROM sw WHERE len(words) > 0),
+walk(doc_id, i, place, used, cut_at, cuts, sizes) AS (
+  SELECT doc_id, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT, sizes FROM st
+  UNION ALL
+  SELECT doc_id, i + 1, place + sizes[i + 1],
+    CASE WHEN sizes[i + 1] > {CAPACITY} THEN (used + sizes[i + 1]) % {CAPACITY} WHEN used + sizes[i + 1] > {CAPACITY} THEN sizes[i + 1] ELSE used + sizes[i + 1] END,
+    CASE WHEN sizes[i + 1] > {CAPACITY} THEN place + {CAPACITY} - used ELSE place END,
+    CASE WHEN sizes[i + 1] > {CAPACITY} THEN (used + sizes[i + 1]) // {CAPACITY} WHEN used + sizes[i + 1] > {CAPACITY} THEN 1 ELSE 0 END, sizes
+  FROM walk WHERE i < len(sizes)),
+ws AS (SELECT w.doc_id, cut_at + k * {CAPACITY} AS s FROM (SELECT *, unnest(range(cuts)) AS k FROM walk WHERE cuts > 0) w JOIN st ON st.doc_id = w.doc_id
+  WHERE cut_at + k * {CAPACITY} < list_sum(st.sizes)),
+wn AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS window_idx, lead(s, 1, 9000000000) OVER (PARTITION BY doc_id ORDER BY s) AS e FROM ws),
+wp AS (SELECT doc_id, unnest(words) AS word, unnest(sizes) AS size, generate_subscripts(words, 1) - 1 AS word_idx FROM st),
+wo AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY word_idx) - size AS place FROM wp),
+placed AS (SELECT wo.doc_id, window_idx, word_idx, word, least(place + wo.size, e) - greatest(place, s) AS size
+  FROM wo JOIN wn ON wn.doc_id = wo.doc_id AND s < place + wo.size AND e > place),
+dg AS (SELECT *, md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(window_idx AS VARCHAR) || '|' || CAST(word_idx AS VARCHAR)) AS d FROM placed),
+dr AS (SELECT *, greatest(1, round_even(CAST(sum(size) OVER (PARTITION BY doc_id, window_idx) * 0.18 AS DECIMAL(20,6)), 0)) AS target,
+    coalesce(sum(size) OVER (PARTITION BY doc_id, window_idx ORDER BY d, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dg),
+masked AS (SELECT *, CASE WHEN substr(d, 9, 8) < '{round(0.8 * 2**32):08x}' THEN 'mask' WHEN substr(d, 9, 8) < '{round(0.9 * 2**32):08x}' THEN 'random' ELSE 'keep' END AS treatment
+  FROM dr WHERE before < target)
+"""
+
+
 QUERIES = {
     "candidate_index": _q_index,
     "greedy_examples": _q_greedy,
@@ -359,6 +385,12 @@ QUERIES = {
 }
 
 ORACLES = {
+    "fill_windows": _SQL_PLACED + """SELECT doc_id, window_idx, CAST(sum(size) AS BIGINT) AS sub_tokens, min(word_idx) AS first_word, max(word_idx) AS last_word
+FROM placed GROUP BY 1, 2""",
+    "mask_words": _SQL_PLACED + "SELECT doc_id, window_idx, treatment, count(*) AS n_words, CAST(sum(size) AS BIGINT) AS sub_tokens FROM masked GROUP BY 1, 2, 3",
+    "mask_summary": _SQL_PLACED.rstrip() + ",\n" + _SQL_VOCAB + f""",
+mf AS (SELECT size, regexp_replace({_SQL_FORM.format(x='word')}, '^[^{masking.LETTERS}]+|[^{masking.LETTERS}]+$', '', 'g') AS form FROM masked)
+SELECT CASE WHEN form IN (SELECT word FROM vocab) THEN 'medical' ELSE 'generic' END AS category, CAST(sum(size) AS BIGINT) AS sub_tokens FROM mf GROUP BY 1""",
     "candidate_index": with_ctes(SQL_ANNOTATIONS, _SQL_INDEX)
     + "SELECT codigo, array_to_string(fs, '|') AS frecuencias, nf AS n_frecuencias, nr AS n_reacciones FROM idx",
     "greedy_examples": _SQL_GREEDY,
