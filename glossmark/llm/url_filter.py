@@ -67,14 +67,18 @@ def gram_ratios(training: DataFrame, wanted: DataFrame, order: int, strength: fl
     counts = checkpointed(counts)
     context = F.left("gram", F.length("gram") - 1)
     totals = counts.groupBy(context.alias("context")).agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
-    # every tail of a wanted gram with its counts and its context's, then one fold from short to long
+    # every tail of a wanted gram with its counts and its context's, then one fold from short to long; contexts are
+    # looked up once for each distinct tail, so that the empty one meets a row per character
     tails = wanted.select("gram", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("gram")), lambda k: F.right("gram", k))).alias("tail"))
-    steps = (
-        tails.join(counts.withColumnRenamed("gram", "tail"), "tail", "left")
+    numbers = (
+        tails.select("tail").distinct().join(counts.withColumnRenamed("gram", "tail"), "tail", "left")
         .withColumn("context", F.left("tail", F.length("tail") - 1)).join(totals, "context", "left")
-        .groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(
-            F.length("tail").alias("k"), *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("a", "ta", "r", "tr")]))).alias("steps"))
+        .select("tail", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("a", "ta", "r", "tr")])
+    )
+    steps = (
+        tails.join(numbers, "tail")
+        .groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(F.length("tail").alias("k"), "a", "ta", "r", "tr"))).alias("steps"))
     )
 
     def estimate(side):
