@@ -21,9 +21,11 @@ from glossmark.llm.rolling import pieces, split_words, word_counts
 #: Frequent words whose codes every task holds: at most so many, of so many bytes. The others are joined.
 HELD_WORDS, HELD_BYTES = 1 << 19, 48
 #: Documents, about, whose words say which are frequent. Any choice gives the same result.
-SAMPLED = 40_000
+SAMPLED = 30_000
 #: The place of a document behind all its words' answers.
 LAST = 2**31 - 1
+#: Codes whose bits are laid out at once, and the places of a code's bits.
+_AT_ONCE, _BIT = 1 << 15, np.arange(31, dtype=np.int32)
 
 
 def _tokenizer(definition: str):
@@ -45,10 +47,45 @@ def _pieces(definition: str) -> list[str]:
     return pieces
 
 
-def encode_words(words: DataFrame, definition: str) -> DataFrame:
+def _width(names: list[str]) -> str:
+    """The array type of packed ids: two bytes each where the vocabulary fits, else four."""
+    return "H" if len(names) <= 1 << 16 else "i"
+
+
+def squeezed(codes: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Codes from 0 on, small ones in fewer bits: pressed bit lengths, then the bits below each leading one."""
+    value = codes.astype(np.int32) + 1
+    sizes = (np.frexp(value.astype(np.float64))[1] - 1).astype(np.uint8)
+    head, bits = press.compress(sizes.tobytes()), []
+    for at in range(0, len(value), _AT_ONCE):
+        some = slice(at, at + _AT_ONCE)
+        spread = (value[some, None] >> _BIT).astype(np.uint8) & 1
+        bits.append(spread[_BIT < sizes[some, None]])
+    return len(head).to_bytes(4, "little") + head + np.packbits(np.concatenate(bits) if bits else np.empty(0, np.uint8)).tobytes()
+
+
+def expanded(raw: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    """The codes that ``squeezed`` packed."""
+    body = 4 + int.from_bytes(raw[:4], "little")
+    sizes = np.frombuffer(press.decompress(raw[4:body]), np.uint8).astype(np.int32)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    bits = np.unpackbits(np.frombuffer(raw[body:], np.uint8)) if body < len(raw) else np.empty(0, np.uint8)
+    out, read = (np.int32(1) << sizes) - 1, 0
+    for at in range(0, len(sizes), _AT_ONCE):
+        some = slice(at, at + _AT_ONCE)
+        held = _BIT < sizes[some, None]
+        spread = np.zeros(held.shape, np.int32)
+        end = int(ends[some][-1])
+        spread[held] = bits[read:end]
+        out[some] += (spread << _BIT).sum(axis=1, dtype=np.int32)
+        read = end
+    return out.astype(np.int64)
+
+
+def encode_words(words: DataFrame, definition: str, width: str) -> DataFrame:
     """(word, ids) with all columns of ``words``, which has equal words next to each other in a partition.
 
-    Each run of a word is encoded once; ids are packed as 4-byte integers. White space never gives a piece or
+    Each run of a word is encoded once; ids are packed as integers of array type ``width``. White space never gives a piece or
     joins what stands on its two sides, so a text's ids are its words' ids in order, special tokens
     inside words included.
     """
@@ -59,7 +96,7 @@ def encode_words(words: DataFrame, definition: str) -> DataFrame:
             words = column.dictionary.to_pylist()
             fresh = [w for w in words if w != last]
             made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-            table = {w: array("i", e.ids).tobytes() for w, e in zip(fresh, made, strict=True)} | ({last: last_ids} if last is not None else {})
+            table = {w: array(width, e.ids).tobytes() for w, e in zip(fresh, made, strict=True)} | ({last: last_ids} if last is not None else {})
             ids = pa.array([table[w] for w in words], pa.binary()).take(column.indices)
             last = words[column.indices[-1].as_py()]
             last_ids = table[last]
@@ -75,7 +112,7 @@ class _Held:
     def __init__(self, raw: bytes, names: list[str]):
         table = pa.ipc.open_stream(raw).read_all()
         self.rank = {w: i for i, w in enumerate(table["word"].to_pylist())}
-        ids = [array("i", x) for x in table["ids"].to_pylist()]
+        ids = [array(_width(names), x) for x in table["ids"].to_pylist()]
         self.names = names
         self.counts = np.array([len(x) for x in ids] or [0])
         self.as_ids = np.array([*map(_decimals, ids), b""], object)
@@ -104,7 +141,7 @@ class _Held:
         rare = np.flatnonzero(codes >= top)
         if len(rare):
             places = (codes[rare] - top).tolist()
-            arrays = {p: array("i", found[p]) for p in set(places)}
+            arrays = {p: array(_width(self.names), found[p]) for p in set(places)}
             decimals, pieces_of = ({p: f(x) for p, x in arrays.items()} for f in (_decimals, lambda x: _joined(self.names, x)))
             counts[rare] = [len(arrays[p]) for p in places]
             ids[rare], text[rare] = [decimals[p] for p in places], [pieces_of[p] for p in places]
@@ -121,17 +158,17 @@ def _joined(names: list[str], ids) -> bytes:
     return " ".join([names[i] for i in ids]).encode()
 
 
-def _frequent(read: DataFrame, definition: str) -> tuple[bytes, int]:
-    """The most frequent words of a sample of the texts with their ids, as an Arrow stream; and how many."""
+def _frequent(read: DataFrame, definition: str, width: str) -> bytes:
+    """The most frequent words of a sample of the texts with their ids, as an Arrow stream."""
     share = min(1.0, SAMPLED / max(read.count(), 1))
     sampled = read.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     counts = saved(word_counts(sampled.select("text")).where(F.octet_length("word") <= HELD_BYTES))
     floor = frequency_floor(counts, "n", HELD_WORDS)
-    rows = encode_words(counts.where(F.col("n") >= floor), definition).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    rows = encode_words(counts.where(F.col("n") >= floor), definition, width).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("word", pa.binary()), ("ids", pa.binary())])) as stream:
         stream.write_table(rows.select(["word", "ids"]).cast(pa.schema([("word", pa.binary()), ("ids", pa.binary())])))
-    return sink.getvalue().to_pybytes(), rows.num_rows
+    return sink.getvalue().to_pybytes()
 
 
 def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), output: str = "digest") -> DataFrame:
@@ -143,14 +180,15 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     The most frequent words, bounded in number and bytes, are encoded once and go to every task. All other words are
     dealt by word, one row for each document that holds it, and each distinct one is encoded once where its
     rows meet; the ids go back by document and place. Documents travel to that join as
-    compressed word codes. Decoding looks every id up in the table of pieces, whose size the vocabulary bounds.
+    word codes of varied length. Decoding looks every id up in the table of pieces, whose size the vocabulary bounds.
     Null and empty texts have no ids; repeated rows, keys and nulls are kept as they are; an empty table gives none.
     """
     spark = docs.sparkSession
     row = F.xxhash64(F.col(key).cast("string"), F.coalesce(text, F.lit("")))
     read = docs.select(F.col(text).alias("text"), row.alias("row"), F.struct(key, *keep).alias("head"))
-    raw, _ = _frequent(read, definition)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, raw, _pieces(definition)))
+    names = _pieces(definition)
+    width = _width(names)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _frequent(read, definition, width), names))
 
     def others_of(batches):
         for batch in pieces(batches):
@@ -166,9 +204,9 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     def packed(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches):
-            planes = [_Held.of(shared).coded(t)[0].astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for t in batch.column("text").to_pylist()]
+            codes = [squeezed(_Held.of(shared).coded(t)[0], squeeze) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([LAST] * batch.num_rows, pa.int32()), pa.array([squeeze.compress(p) for p in planes], pa.binary()),
+                [batch.column("row"), pa.array([LAST] * batch.num_rows, pa.int32()), pa.array(codes, pa.binary()),
                  batch.column("head")], names=["row", "place", "data", "head"])
 
     def assembled(batches):
@@ -182,8 +220,7 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
                 if place != LAST:
                     found[place] = data
                     continue
-                codes = np.frombuffer(expand.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
-                n, ids, decoded = _Held.of(shared).assembled(codes.astype(np.int64), found)
+                n, ids, decoded = _Held.of(shared).assembled(expanded(data, expand), found)
                 at.append(i)
                 if output == "digest":
                     out.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
@@ -197,7 +234,7 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     arrow = (pa.int64(), pa.string(), pa.string()) if output == "digest" else (pa.list_(pa.int32()), pa.string())
     head = f"head {docs.select(F.struct(key, *keep).alias('h')).schema['h'].dataType.simpleString()}"
     asked = read.select("text", "row").mapInArrow(others_of, "row long, place int, word binary")
-    answers = encode_words(asked.repartition("word").sortWithinPartitions("word"), definition).select("row", "place", F.col("ids").alias("data"))
+    answers = encode_words(asked.repartition("word").sortWithinPartitions("word"), definition, width).select("row", "place", F.col("ids").alias("data"))
     texts = read.mapInArrow(packed, f"row long, place int, data binary, {head}")
     met = texts.unionByName(answers, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "place")
     return met.mapInArrow(assembled, f"{head}, {kinds}").select("head.*", *results)

@@ -388,3 +388,15 @@ def test_remove_repeats(edge_docs, no_docs, bits):
     got = substring_dedup.remove_repeats(edge_docs, 35, 18, bits)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == want
     assert substring_dedup.remove_repeats(no_docs, bits=bits).count() == 0
+
+
+def test_word_codes_come_back():
+    import numpy as np
+    import zstandard
+    from glossmark.llm.word_bpe import expanded, squeezed
+
+    press, open_up, draw = zstandard.ZstdCompressor(), zstandard.ZstdDecompressor(), np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 500, 100_000):
+        for top in (1, 2, 300, 2**19, 2**30):
+            codes = draw.integers(0, top, n)
+            assert (expanded(squeezed(codes, press), open_up) == codes).all()
