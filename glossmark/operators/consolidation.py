@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmark.functions.labels import ENTITY_COLUMNS
 from glossmark.functions.text import ws_trim
-from glossmark.operators.ordering import first_per_key
+from glossmark.operators.ordering import first_per_key, meet_per_code
 
 AUXILIARY = ("ACTIVE", "FREQ", "SYS")
 
@@ -53,8 +53,9 @@ def consolidate(documents: DataFrame, medicines: DataFrame, stamp_first: bool =
     ``documents``: codigo, codigo_variant, variante, medicamento, entities.
     """
     base = (
-        documents.join(medicines.withColumnRenamed("medicamento", "_known"), "codigo", "left")
-        .where(F.coalesce(F.col("codigo_variant"), F.lit("")) != "")
+        meet_per_code(
+            documents.where(F.coalesce(F.col("codigo_variant"), F.lit("")) != ""),
+            medicines.withColumnRenamed("medicamento", "_known"), "codigo", ["codigo_variant", "variante"], "left")
         .select(
             ws_trim(F.col("codigo")).alias("orig_codigo"),
             ws_trim(F.col("codigo_variant")).alias("codigo"),

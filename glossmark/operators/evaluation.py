@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossmark.functions.labels import bind
 from glossmark.functions.numeric import cosine, f1_score, ratio
 from glossmark.functions.text import nfkc_casefold
-from glossmark.operators.ordering import first_per_key, linear_percentiles
+from glossmark.operators.ordering import first_per_key, linear_percentiles, meet_per_code
 
 SYSTEM_SIMILARITY = 0.8
 KEY = ["codigo", "pactivo_key", "reacadv_key"]
@@ -85,15 +85,9 @@ def match_gold(
 
 
 def hallucinations(gold: DataFrame, predictions: DataFrame, order: list[str]) -> DataFrame:
-    """First prediction of every key that no gold row of the same code has."""
-    scored_codes = gold.select("codigo").distinct()
-    return first_per_key(
-        predictions.join(gold.select(*KEY).distinct(), KEY, "left_anti").join(
-            scored_codes, "codigo", "left_semi"
-        ),
-        KEY,
-        order,
-    )
+    """First prediction of every key that no gold row of the same code has; codes without gold aren't scored."""
+    invented = first_per_key(predictions.join(gold.select(*KEY).distinct(), KEY, "left_anti"), KEY, order)
+    return meet_per_code(invented, gold.select("codigo").distinct(), "codigo", KEY[1:], "left_semi")
 
 
 def _sum_if(flag: str) -> Column:

@@ -172,3 +172,17 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def distinct_in_order(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Distinct non-blank keys with the position at which each was first seen."""
     return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min(position).alias(position))
+
+
+#: Parts that a code's rows are dealt to where they meet that code's one row.
+CODE_PARTS = 16
+
+
+def meet_per_code(rows: DataFrame, per_code: DataFrame, code: str, spread_by: list[str], how: str) -> DataFrame:
+    """Join ``rows`` with a table of one row per code, which is repeated for ``CODE_PARTS`` parts of each code.
+
+    ``spread_by`` says which part a row is in, so one large code is several tasks.
+    """
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(CODE_PARTS)).cast("int")
+    repeated = per_code.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(CODE_PARTS - 1))))
+    return rows.withColumn("_part", part).join(repeated, [code, "_part"], how).drop("_part")
