@@ -19,8 +19,10 @@ PATTERNS = {
 CUES = {"email": "@", "ip": ".", "phone": "+"}
 #: A term's disclosure of an entity is PMI(term, entity) / IC(entity): 1 if the term gives the entity away.
 GENERALISE_FROM, REMOVE_FROM = 0.6, 0.9
-#: Code points of context on either side of an entity, and distinct texts that must show a pair.
-CONTEXT, LEAST_TEXTS = 60, 3
+#: What a pair is taken to have been seen less often than it was, so that few sights say less than many.
+UNSURE = 0.5
+#: Matches of a text that are placed in one list before it joins the others.
+_BLOCK = 128
 TERM = r"\p{L}{3,}"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -54,12 +56,26 @@ def _holds(kind: str, value: Column) -> Column:
 def _located(text: Column, pattern: str) -> Column:
     """Start (code points, from 0) and value of each match, from the matches and the text between them."""
     between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), between, lambda v, b: F.struct(v.alias("v"), b.alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    return F.aggregate(F.filter(pairs, lambda p: p["v"].isNotNull()), start, lambda s, p: F.struct(
-        (s["at"] + F.length(p["b"]) + F.length(p["v"])).alias("at"),
-        F.array_append(s["out"], F.struct((s["at"] + F.length(p["b"])).alias("start"), p["v"].alias("value"))).alias("out")),
-        lambda s: s["out"])
+    pairs = F.filter(F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), between, lambda v, b: F.struct(v.alias("v"), b.alias("b"))), lambda p: p["v"].isNotNull())
+    none = F.array().cast("array<struct<start:int,value:string>>")
+
+    def placed(at, block):
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), lambda s, p: F.struct(
+            (s["at"] + F.length(p["b"]) + F.length(p["v"])).alias("at"),
+            F.array_append(s["out"], F.struct((s["at"] + F.length(p["b"])).alias("start"), p["v"].alias("value"))).alias("out")))
+
+    def in_blocks(p):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda k: F.slice(p, k * _BLOCK + 1, _BLOCK))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, block: _with(
+            placed(s["at"], block), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], r["out"]).alias("out"))), lambda s: s["out"])
+
+    return _with(pairs, lambda p: F.when(F.size(p) > 0, in_blocks(p)).otherwise(none))
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def base_spans(text: Column) -> Column:
@@ -83,57 +99,76 @@ def entity_of(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) of whole terms near each span that no span overlaps."""
-    def near(span):
-        first = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        window = F.substr(text, first + 1, span["end"] + CONTEXT - first)
-        terms = F.transform(_located(window, TERM), lambda t: F.struct(
-            entity_of(span["kind"], span["value"]).alias("entity"), F.lower(t["value"]).alias("term"),
-            (first + t["start"]).alias("start"), (first + t["start"] + F.length(t["value"])).alias("end")))
-        whole_term = lambda t: ((t["start"] > first) | (first == 0)) & (
-            (t["end"] < span["end"] + CONTEXT) | (t["end"] >= F.length(text)))
-        clear = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-        return F.filter(terms, lambda t: whole_term(t) & clear(t))
+def _clear_terms(text: Column, spans: Column) -> Column:
+    """(term, start, end) of each term of the whole text that no span overlaps."""
+    terms = F.transform(_located(text, TERM), lambda t: F.struct(
+        F.lower(t["value"]).alias("term"), t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end")))
+    return F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+
 
-    return F.array_distinct(F.flatten(F.transform(spans, near)))
+def _all_terms(text: Column) -> Column:
+    """The distinct terms of a text, those in spans too."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def row_key(key: str, text: str) -> Column:
     return F.sha2(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("\x01")), whole(text)), 256)
 
 
+def telling_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """(entity, term, share, elsewhere) of the terms that disclose an entity, from ``found`` with clear and hidden terms.
+
+    Counts are documents, and a term counts where it stands clear of spans: terms that a document has in spans alone
+    are taken off again.
+    """
+    n_docs = docs.count()
+    held = found.where("clear IS NOT NULL")
+    n_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = _row_pairs(held).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    words = docs.select(F.explode(_all_terms(whole(text))).alias("term"), F.lit(1).alias("n"))
+    words = words.unionByName(held.select(F.explode("hidden").alias("term"), F.lit(-1).alias("n")))
+    n_term = words.groupBy("term").agg(F.sum("n").alias("n_t"))
+    pmi = F.log(F.lit(float(n_docs)) * (F.col("n_te") - UNSURE) / (F.col("n_t") * F.col("n_e")))
+    content = F.log(F.lit(float(n_docs)) / F.col("n_e"))
+    return pairs.join(n_term, "term").join(n_entity, "entity").select(
+        "entity", "term", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)).alias("share"),
+        (F.col("n_t") > F.col("n_te")).alias("elsewhere")).where(F.col("share") >= GENERALISE_FROM)
+
+
+def _row_pairs(held: DataFrame) -> DataFrame:
+    terms = F.array_distinct(F.transform("clear", lambda t: t["term"])).alias("terms")
+    return held.select("row", terms, F.explode("entities").alias("entity")).select("row", "entity", F.explode("terms").alias("term"))
+
+
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, row, base, terms) of each row: the plain spans, and terms near them that disclose an entity.
+    """(key, row, base, terms) of each row: the plain spans, and all places of terms that disclose an entity.
 
-    An entity's information content is IC = log(N / n(entity)) over documents; a term near it discloses
-    PMI = log(N n(term, entity) / (n(term) n(entity))) of it, n(term) over all documents. From ``GENERALISE_FROM``
-    of IC on a term is generalised, from ``REMOVE_FROM`` on removed. A pair counts if at least
-    ``LEAST_TEXTS`` distinct texts show it; single sights say nothing. Counts cover all documents.
+    An entity's information content is IC = log(N / n(entity)) over documents; a term discloses
+    PMI = log(N (n(term, entity) - 1/2) / (n(term) n(entity))) of it, both anywhere in the document; the half
+    makes few sights weaker, and an entity of one document counts too. In a text with the entity a term
+    is generalised from ``GENERALISE_FROM`` of IC on and removed from ``REMOVE_FROM`` on; in a text without it, the terms
+    that give it away (``REMOVE_FROM``) are removed. Every place of such a term is in ``terms``. Counts cover all documents.
     Null texts are empty, without spans; repeated rows are read each; an empty table gives no rows.
     """
     body = whole(text)
-    spans = base_spans(body)
-    found = saved(docs.select(F.col(key), row_key(key, text).alias("row"), F.xxhash64(body).alias("copy"), body.alias("_t"), spans.alias("base"))
-                  .select(key, "row", "copy", "base", F.when(F.size("base") > 0, _contexts(F.col("_t"), F.col("base"))).alias("near")))
-    n_docs = docs.count()
-    near = found.where("near IS NOT NULL").select("row", "copy", F.explode("near").alias("x")).select("row", "copy", "x.*")
-    values = F.array_distinct(F.transform("base", lambda s: entity_of(s["kind"], s["value"])))
-    n_entity = found.where(F.size("base") > 0).select(F.explode(values).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    seen = near.groupBy("entity", "term", "copy").agg(F.countDistinct("row").alias("rows"))
-    pairs = seen.groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count("*").alias("texts")).where(
-        F.col("texts") >= LEAST_TEXTS)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= LEAST_TEXTS)
-    pmi = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    telling = (
-        pairs.join(n_term, "term").join(n_entity, "entity")
-        .withColumn("share", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
-        .where(F.col("share") >= GENERALISE_FROM)
-        .select("entity", "term", F.when(F.col("share") >= REMOVE_FROM, "remove").otherwise("generalise").alias("action"))
-    )
-    terms = near.select("row", "entity", "term", "start", "end").join(telling, ["entity", "term"]).groupBy("row").agg(
+    read = docs.select(F.col(key), row_key(key, text).alias("row"), body.alias("_t"), base_spans(body).alias("base"))
+    read = read.withColumn("clear", F.when(F.size("base") > 0, _clear_terms(F.col("_t"), F.col("base"))))
+    hidden = F.array_except(_all_terms(F.col("_t")), F.transform("clear", lambda t: t["term"]))
+    entities = F.array_distinct(F.transform("base", lambda s: entity_of(s["kind"], s["value"])))
+    some = F.col("clear").isNotNull()
+    found = saved(read.select(key, "row", "base", "clear", F.when(some, hidden).alias("hidden"), F.when(some, entities).alias("entities")))
+    telling = saved(telling_terms(docs, found, text))
+    told = _row_pairs(found.where("clear IS NOT NULL")).join(telling, ["entity", "term"]).select("row", "term", "share")
+    giving = saved(telling.where(F.col("elsewhere") & (F.col("share") >= REMOVE_FROM)).groupBy("term").agg(F.max("share").alias("share")))
+    words = docs.select(row_key(key, text).alias("row"), F.explode(_all_terms(body)).alias("term"))
+    away = saved(words.join(giving, "term").select("row", "term", "share"))
+    told = told.unionByName(away).groupBy("row", "term").agg(F.max("share").alias("share"))
+    plain = saved(found.where("clear IS NULL").join(away.select("row").distinct(), "row", "left_semi").select("row").distinct())
+    plain = docs.select(row_key(key, text).alias("row"), body.alias("_t")).join(plain, "row", "left_semi").select(
+        "row", _clear_terms(F.col("_t"), F.array().cast(SPAN)).alias("clear"))
+    places = found.where("clear IS NOT NULL").select("row", "clear").unionByName(plain).select("row", F.explode_outer("clear").alias("x"))  # explode would infer a filter that places all texts' terms
+    action = F.when(F.col("share") >= REMOVE_FROM, "remove").otherwise("generalise").alias("action")
+    terms = places.select("row", "x.*").join(told, ["row", "term"]).select("row", "start", "end", action).groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
     return found.select(key, "row", "base").join(terms, "row", "left").select(

@@ -135,6 +135,28 @@ def test_telling_terms(spark):
     assert all(clean[i].text == texts[i] for i in range(5, 305))
 
 
+def test_terms_of_rare_entities_and_far_places(spark):
+    filler = " ".join(["plain note today and now"] * 30)
+    texts = [f"Ostrabel wrote. {filler} Reach them at one@mail.example.com today. {filler} Ostrabel left."]
+    texts += [f"{filler} Quendolin sent quen@mail.example.com now, number {i}" for i in range(9)] + [f"{filler} Quendolin alone"]
+    texts += [f"{filler} number {i}" for i in range(2_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: {(t.start, t.end, t.action) for t in r.terms} for r in pii.find_spans(docs).where("doc_id < 12").collect()}
+    far = {(m.start(), m.end(), "remove") for m in re.finditer("Ostrabel", texts[0])}
+    assert len(far) == 2 and far <= found[0]  # an entity of one text, over 60 code points away, both places
+    at = texts[10].index("Quendolin")
+    assert found[10] == {(at, at + 9, "remove")} and not found[11]  # a text without the entity
+    assert not any(texts[i][s:e] in ("plain", "note", "today", "and", "now") for i in found for s, e, _ in found[i])
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).where("doc_id < 12").collect()}
+    assert "Ostrabel" not in clean[0] and clean[10] == f"{filler}  alone" and clean[11] == texts[11]
+
+
+def test_terms_of_a_long_text(spark):
+    text = " ".join(f"wörd𝒳 {i} abc" for i in range(500))
+    got = spark.range(1).select(pii._located(F.lit(text), pii.TERM).alias("x")).first().x
+    assert [(x.start, x.value) for x in got] == [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+
+
 # --- url filter
 
 def test_url_filter(spark):
