@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import GAP, WORD, ascii_lower, saved, whole, word_count, words_of
+from glossmark.llm.common import GAP, WORD, ascii_lower, packed_row, saved, unpacked, whole, word_count, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Fewest words of a text, and the share (percent) of words in repeated windows that fails it.
@@ -73,27 +73,52 @@ def judge_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     one that fails the base rules. Null texts are empty and fail; null hosts are one host; repeated rows
     are judged each; an empty table gives no rows.
     """
+    return _judged(docs, key, text, host).select(
+        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")
+
+
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """``docs`` without the rows that ``judge_texts`` doesn't keep, and without the common lines in ``text``.
+
+    The other lines, those without words too, stay as they are; so do other columns, repeated rows and clashing names.
+    """
+    kept = _judged(docs, key, text, host).where("kept").select("row", "places").dropDuplicates(["row"])
+    rows = docs.select(_row(text, host).alias("_row"), packed_row(docs))
+    rows = rows.join(kept.select(F.col("row").alias("_row"), F.col("places").alias("_places")), "_row")
+    body = F.col("_doc")[text]
+    left = _with(F.split(body, "\n", -1), lambda x: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_places")), lambda i: F.get(x, i)), "\n"))
+    return rows.select(*unpacked(docs, **{text: F.when(F.col("_places").isNull(), body).otherwise(left)}))
+
+
+def _row(text: str, host: str) -> Column:
+    return F.sha2(F.concat_ws("\x00", F.coalesce(F.col(host), F.lit("\x01")), whole(text)), 256)
+
+
+def _judged(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """The columns of ``judge_texts``, with the row's digest and the places of its common lines (from 0; null: none)."""
     body = whole(text)
-    lines = F.transform(lines_with_words(body), normal_line)
-    per_line = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.size(F.split(x, " "))).alias("n")))
-    row = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(host), F.lit("\x01")), body), 256)
+    lines = F.filter(F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: x["line"].rlike(WORD))
+    lines = F.transform(lines, lambda x: F.struct(normal_line(x["line"]).alias("line"), x["i"].alias("i")))
+    per_line = F.transform(lines, lambda x: F.struct(
+        F.xxhash64(x["line"]).alias("h"), (F.size(F.split(x["line"], " "))).alias("n"), x["i"].alias("i")))
     measured = saved(docs.select(
-        F.col(key), F.col(host).alias("host"), row.alias("row"), per_line.alias("lines"),
+        F.col(key), F.col(host).alias("host"), _row(text, host).alias("row"), per_line.alias("lines"),
         *[column.alias(name) for name, column in text_measures(body).items()]))
     texts = measured.groupBy("row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
     in_host = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
-    held = texts.select("host", "row", F.explode("lines").alias("line")).select("host", "row", "line.h", "line.n")
-    once = held.groupBy("row", "h").agg(F.first("host").alias("host"), F.sum("n").alias("n"))
+    held = texts.select("host", "row", F.explode("lines").alias("line")).select("host", "row", "line.*")
+    once = held.groupBy("row", "h").agg(F.first("host").alias("host"), F.sum("n").alias("n"), F.collect_list("i").alias("at"))
     counts = once.groupBy("host", "h").agg(F.count("*").alias("texts")).where(F.col("texts") >= LINE_TEXTS)
     c, t = counts.alias("c"), in_host.alias("t")
     common = c.join(t, F.col("c.host").eqNullSafe(F.col("t.host"))).where(
         F.col("texts") * 100 >= LINE_PERCENT * F.col("n_texts")).select("c.host", "c.h")
     o, c = once.alias("o"), common.alias("c")
     lost = o.join(c, F.col("o.host").eqNullSafe(F.col("c.host")) & (F.col("o.h") == F.col("c.h"))).groupBy("o.row").agg(
-        F.sum("o.n").alias("n_line_words"))
+        F.sum("o.n").alias("n_line_words"), F.flatten(F.collect_list("o.at")).alias("places"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     gone = F.coalesce("n_line_words", F.lit(0))
     depleted = 100 * (F.col("n_words") - gone) < LEAST_LEFT * F.col("n_words")
     return measured.join(lost, "row", "left").select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        gone.alias("n_line_words"), (~failed & ~depleted).alias("kept"))
+        gone.alias("n_line_words"), (~failed & ~depleted).alias("kept"), "row", "places")

@@ -318,6 +318,23 @@ def test_line_rules(spark, edge_docs, no_docs):
     assert not any(kept[i] for i in range(30)) and all(kept[i] for i in range(100, 130)) and kept[200]
 
 
+def test_common_lines_are_removed(spark):
+    stock = "Home 12 | About"
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda i: "\n\n".join(" ".join(f"{c}{k}x{i}" for k in range(40)) for c in "vw").translate(letters)
+    rows = [(i, f"{stock}\n{own(i)}\n{stock.lower()}", "h", "r") for i in range(12)]
+    rows += [(50, f"{stock}\n{own(50)}", "g", "r"), (60, "too short", "h", "r"), (61, None, None, "r"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    got = line_quality.cleaned(docs)
+    assert got.columns == docs.columns
+    want = [(i, own(i), "h", "r") for i in [0, *range(12)]] + [rows[12]]
+    assert rows_of(got, *docs.columns) == sorted(want, key=repr)
+    left = {r.doc_id: len(words(r.text)) for r in got.collect()}
+    judged = line_quality.judge_texts(docs).where("kept").collect()
+    assert {r.doc_id: r.n_words - r.n_line_words for r in judged} == left
+    assert line_quality.cleaned(docs.limit(0)).count() == 0
+
+
 # --- vectors
 
 def test_top_k(spark, monkeypatch):
