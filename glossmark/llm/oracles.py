@@ -104,3 +104,34 @@ k AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.r = d.r
 """
+
+#: crc32 by half bytes: the table holds the remainders of the 16 half bytes.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x)), lambda i: (strpos('0123456789ABCDEF', x[
+    CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) - 1)::BIGINT)), lambda c, b: xor(c >> 4, [
+    0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888,
+    3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(c, b) & 15)])), 4294967295)"""
+
+OP11 = rf"""
+WITH texts AS (
+    SELECT doc_id, 'd' AS side, text FROM documents UNION ALL SELECT item_id, 'b', text FROM benchmark),
+words AS (
+    SELECT doc_id, side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+held AS (SELECT doc_id, side, word, count(*) AS n FROM words GROUP BY ALL),
+forms AS (SELECT word, {_CRC32} % 10000 AS bucket FROM (SELECT DISTINCT word, hex(encode(word)) AS x FROM held)),
+sums AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t
+    FROM held JOIN forms USING (word) GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM sums),
+weights AS (
+    SELECT doc_id, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS w
+    FROM held JOIN forms USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight, coalesce(w, 0) + floor(-1000 * ln(-ln(
+        (('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM documents LEFT JOIN weights USING (doc_id)),
+drawn AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS most FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * most // 100 THEN r END AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
