@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, importance, line_quality, lm_score, mixing, ngram_join, oracles, pii, quality_rules, substring_dedup, url_filter, vector_search, word_bpe
+from glossmark.llm import alignment, byte_bpe, importance, line_quality, lm_score, mixing, ngram_join, oracles, pii, quality_rules, substring_dedup, url_filter, vector_search, word_bpe
 from glossmark.llm.common import documents
 
 
@@ -71,9 +71,18 @@ def op12_byte_bpe(spark, sf_dir):
     return byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
 
 
+def op13_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    bytes_level = tokenizer_definition("byte_bpe_50k.json")
+    return alignment.align(documents(spark, sf_dir).select("doc_id", "text"), bytes_level, public_tokenizers.PATTERN, model)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_quality_classifier, op3_pii, op4_url_filter, op5_lm_scores, op6_bpe_words, op7_quality_rules, op8_exact_top_k, op9_ngram_jaccard_join, op10_substring_dedup,
-    op11_importance_resampling, op12_byte_bpe)}
+    op11_importance_resampling, op12_byte_bpe, op13_token_alignment)}
 ORACLES = {
     "op1_mix_sources": oracles.OP1, "op7_quality_rules": oracles.OP7, "op8_exact_top_k": oracles.OP8,
     "op9_ngram_jaccard_join": oracles.OP9, "op10_substring_dedup": oracles.OP10,
