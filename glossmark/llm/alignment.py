@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import frequency_floor, saved
+from glossmark.llm.common import arrow_rows, frequency_floor, saved
 from glossmark.llm.rolling import pieces
 
 #: Bytes of a text that make one fragment, and fragments that one task composes at a time.
 CHUNK_BYTES, FAN_IN = 1 << 16, 8
+#: Texts in one Arrow batch, and fragments or whole rows of ids.
+TEXT_ROWS, LONG_ROWS = 512, 16
 #: The commonest linked id pairs, at most, whose counts every task holds (17 bytes each). All others are joined.
 HELD_PAIRS = 1 << 20
 
@@ -298,7 +300,8 @@ def aligned(
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(key, *keep).alias("head"), F.col(text).alias("text"))
     head = f"head {read.schema['head'].dataType.simpleString()}"
     numbers = "a array<int>, b array<int>, n_groups long, groups_sha256 string"
-    cut = saved(read.mapInArrow(_cut(definition, pattern, model, chunk), f"row long, {head}, chunk int, chunks int, {numbers}, part {_PART}"))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        cut = saved(read.mapInArrow(_cut(definition, pattern, model, chunk), f"row long, {head}, chunk int, chunks int, {numbers}, part {_PART}"))
     level = cut.where("chunks > 1").select("row", "head", "chunk", "part")
     most = cut.agg(F.max("chunks")).first()[0] or 1
     while most > 1:
@@ -306,7 +309,8 @@ def aligned(
         level = level.repartition("row", "parent").sortWithinPartitions("row", "chunk").mapInArrow(_composed, f"row long, {head}, chunk int, part {_PART}")
         most = -(-most // FAN_IN)
     done = ["row", "head", "a", "b", "n_groups", "groups_sha256"]
-    long = saved(level.mapInArrow(_finished(definition, pattern, model), f"row long, {head}, {numbers}"))
+    with arrow_rows(docs.sparkSession, LONG_ROWS):
+        long = saved(level.mapInArrow(_finished(definition, pattern, model), f"row long, {head}, {numbers}"))
     return cut.where("chunks = 1").select(*done).unionByName(long.select(*done))
 
 
@@ -326,14 +330,17 @@ def align(
     rows = aligned(docs, definition, pattern, model, key, text, keep, chunk)
     head = f"head {rows.schema['head'].dataType.simpleString()}"
     counts = rows.select("a", "b").mapInArrow(_pair_counts(definition, pattern, model), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = saved(counts)
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        counts = saved(counts)
     best = counts.groupBy((F.col("pair") % ids_b).alias("b")).agg(F.max("n").alias("most"))  # one row for each id of B at most
     counts = saved(counts.withColumn("b", F.col("pair") % ids_b).join(F.broadcast(best), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
     top = counts.where(F.col("n") >= frequency_floor(counts, "n", held)).toArrow().sort_by("pair")
     shared = docs.sparkSession.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("pair", "n", "best")))
-    measured = saved(rows.mapInArrow(
+    numbered = rows.mapInArrow(
         _measured(definition, pattern, model, shared),
-        f"row long, {head}, n_groups long, groups_sha256 string, n_a long, n_b long, n_links long, n_best long, count_sum long, rest array<struct<pair:long,n:long>>"))
+        f"row long, {head}, n_groups long, groups_sha256 string, n_a long, n_b long, n_links long, n_best long, count_sum long, rest array<struct<pair:long,n:long>>")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        measured = saved(numbered)
     shared.destroy()
     asked = measured.select("row", F.explode("rest").alias("link")).select("row", "link.pair", F.col("link.n").alias("times"))
     told = asked.join(counts, "pair").groupBy("row").agg(
