@@ -17,7 +17,7 @@ from glossmark.llm.rolling import pieces
 #: Bytes of a text that make one fragment, and fragments that one task composes at a time.
 CHUNK_BYTES, FAN_IN = 1 << 16, 8
 #: Texts in one Arrow batch, and fragments or whole rows of ids.
-TEXT_ROWS, LONG_ROWS = 512, 16
+TEXT_ROWS, LONG_ROWS = 256, 16
 #: The commonest linked id pairs, at most, whose counts every task holds (17 bytes each). All others are joined.
 HELD_PAIRS = 1 << 20
 
@@ -84,6 +84,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class Sizes:
+    """The number of bytes of each id, by both tokenizers."""
+    a: np.ndarray
+    b: np.ndarray
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.a[a], dtype=np.int64), np.cumsum(self.b[b], dtype=np.int64)
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, token of A) of every A and B token that share bytes, in order; texts may follow each other in both.
+
+        Between two neighbouring ends of either kind lies one token of each, and two tokens share one such stretch.
+        """
+        ends_a, ends_b = self.ends(a, b)
+        mark = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, np.uint8)
+        mark[ends_a] += 1
+        mark[ends_b] += 2
+        kind = mark[np.flatnonzero(mark)]
+        of_a, of_b = (kind & 1).astype(np.int64), (kind >> 1).astype(np.int64)
+        at_a = np.cumsum(of_a) - of_a
+        return a[at_a].astype(np.int64) * len(self.b) + b[np.cumsum(of_b) - of_b], at_a
+
+
 class Tokenizers:
     """Both tokenizers: ids of a text, and the bytes of each id."""
     def __init__(self, definition: str, pattern: str, model: bytes):
@@ -104,7 +128,7 @@ class Tokenizers:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in ((i, self._b.id_to_piece(i)) for i in range(self._b.get_piece_size()))]
-        self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.sizes = Sizes(*(np.array([len(t) for t in x], np.int32) for x in (self.bytes_a, self.bytes_b)))
         # an id with what follows it in the groups' text: a comma inside a group, else the mark that ends its side
         self.text_a, self.text_b = (np.array([f"{i}{mark}".encode() for mark in ("," + end) for i in range(len(x))], object) for x, end in (
             (self.bytes_a, "|"), (self.bytes_b, ";")))
@@ -122,9 +146,6 @@ class Tokenizers:
             out.append((np.array(a, np.int32), np.array(b, np.int32)) if same else (none, none))
         return out
 
-    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-
     def digest(self, a, b, n_a, n_b) -> str:
         """sha256 of the groups as text; nothing for no tokens."""
         if not len(a):
@@ -137,24 +158,10 @@ class Tokenizers:
         parts[np.arange(len(b)) + np.repeat(ends_a, n_b)] = self.text_b[b + len(self.bytes_b) * last_b]
         return hashlib.sha256(b"".join(parts.tolist())[:-1]).hexdigest()
 
-    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pair, token of A) of every A and B token that share bytes, in order; texts may follow each other in both.
-
-        Between two neighbouring ends of either kind lies one token of each, and two tokens share one such stretch.
-        """
-        ends_a, ends_b = self.ends(a, b)
-        mark = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, np.uint8)
-        mark[ends_a] += 1
-        mark[ends_b] += 2
-        kind = mark[np.flatnonzero(mark)]
-        of_a, of_b = (kind & 1).astype(np.int64), (kind >> 1).astype(np.int64)
-        at_a = np.cumsum(of_a) - of_a
-        return a[at_a].astype(np.int64) * len(self.bytes_b) + b[np.cumsum(of_b) - of_b], at_a
-
 
-def fragments_of(known: Tokenizers, a: np.ndarray, b: np.ndarray, chunk: int) -> list[Fragment]:
+def fragments_of(sizes: Sizes, a: np.ndarray, b: np.ndarray, chunk: int) -> list[Fragment]:
     """A text's tokens by byte ranges of ``chunk``, each a fragment."""
-    ends_a, ends_b = known.ends(a, b)
+    ends_a, ends_b = sizes.ends(a, b)
     n = max(1, -(-int(ends_a[-1] if len(a) else 0) // chunk))
     if n == 1:
         return [Fragment.of(a, b, ends_a, ends_b)]
@@ -179,7 +186,7 @@ def _cut(definition, pattern, model, chunk):
         for batch in pieces(batches, 256):
             at, chunks, of, ids_a, ids_b, groups, digests, parts = [], [], [], [], [], [], [], []
             for i, (a, b) in enumerate(known.encoded(batch.column("text").to_pylist())):
-                found = fragments_of(known, a, b, chunk)
+                found = fragments_of(known.sizes, a, b, chunk)
                 for k, fragment in enumerate(found):
                     at.append(i)
                     chunks.append(k)
@@ -244,24 +251,22 @@ def _tokens(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.array(column.value_lengths(), np.int64)
 
 
-def _pair_counts(definition, pattern, model):
+def _pair_counts(sizes: Sizes):
     def run(batches):
-        known = Tokenizers(definition, pattern, model)
-        for batch in pieces(batches, 512):
-            pair, n = np.unique(known.links(_tokens(batch, "a")[0], _tokens(batch, "b")[0])[0], return_counts=True)
+        for batch in pieces(batches, LONG_ROWS * 8):
+            pair, n = np.unique(sizes.links(_tokens(batch, "a")[0], _tokens(batch, "b")[0])[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
     return run
 
 
-def _measured(definition, pattern, model, shared):
+def _measured(sizes: Sizes, shared):
     """Finished rows to their numbers, with the links whose pairs aren't held as (pair, n) in ``rest``."""
     def run(batches):
-        known = Tokenizers(definition, pattern, model)
         pairs, counts, is_best = shared.value
-        for batch in pieces(batches, 512):
+        for batch in pieces(batches, LONG_ROWS * 8):
             (a, n_a), (b, n_b) = _tokens(batch, "a"), _tokens(batch, "b")
-            pair, at_a = known.links(a, b)
+            pair, at_a = sizes.links(a, b)
             text = np.repeat(np.arange(batch.num_rows), n_a)[at_a]
             place = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
             held = pairs[place] == pair if len(pairs) else np.zeros(len(pair), bool)
@@ -325,11 +330,11 @@ def align(
     other pairs are joined to their counts by pair and summed back by row. n_best are the links whose count is the
     highest of their B id, ties included; count_sum adds up the counts of all links.
     """
-    known = Tokenizers(definition, pattern, model)
-    ids_b = len(known.bytes_b)
+    sizes = Tokenizers(definition, pattern, model).sizes
+    ids_b = len(sizes.b)
     rows = aligned(docs, definition, pattern, model, key, text, keep, chunk)
     head = f"head {rows.schema['head'].dataType.simpleString()}"
-    counts = rows.select("a", "b").mapInArrow(_pair_counts(definition, pattern, model), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = rows.select("a", "b").mapInArrow(_pair_counts(sizes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
         counts = saved(counts)
     best = counts.groupBy((F.col("pair") % ids_b).alias("b")).agg(F.max("n").alias("most"))  # one row for each id of B at most
@@ -337,7 +342,7 @@ def align(
     top = counts.where(F.col("n") >= frequency_floor(counts, "n", held)).toArrow().sort_by("pair")
     shared = docs.sparkSession.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("pair", "n", "best")))
     numbered = rows.mapInArrow(
-        _measured(definition, pattern, model, shared),
+        _measured(sizes, shared),
         f"row long, {head}, n_groups long, groups_sha256 string, n_a long, n_b long, n_links long, n_best long, count_sum long, rest array<struct<pair:long,n:long>>")
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
         measured = saved(numbered)

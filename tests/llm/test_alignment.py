@@ -79,9 +79,9 @@ def test_kept_columns_and_empty_table(edge_docs, no_docs):
 def test_fragments_compose_in_any_grouping():
     known = alignment.Tokenizers(*ARGS)
     (a, b), = known.encoded(["Überlauf der Häuser: 'tis 12,345 strange unhyphenated words " * 8])
-    whole = alignment.Fragment.of(a, b, *known.ends(a, b)).whole()
+    whole = alignment.Fragment.of(a, b, *known.sizes.ends(a, b)).whole()
     for chunk in (1, 3, 7, 50):
-        parts = alignment.fragments_of(known, a, b, chunk)
+        parts = alignment.fragments_of(known.sizes, a, b, chunk)
         left, right = parts[0], parts[-1]
         for p in parts[1:]:
             left = left.then(p)
