@@ -170,6 +170,7 @@ def similarity_groups(docs: DataFrame, width: int, percent: int, key: str = "doc
     members = prefixes.join(classes.select(F.col("class").alias("id")), "id", "left_semi")
     spread = members.select("id", "n", "common", F.posexplode("grams").alias("at", "gram"))
     entries = saved(spread)
+    shared_cells.destroy()
     counts = entries.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1").select("gram")
     shared = saved(entries.join(counts, "gram"))
     links = _same_key(rows, classes)
@@ -194,8 +195,10 @@ def similarity_groups(docs: DataFrame, width: int, percent: int, key: str = "doc
         pairs = pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs
         pairs = saved(_suffix_filtered(pairs, classes, percent))
         tried = pairs if not turn else tried.unionByName(pairs)
-        found = _verify(read, pairs, width, percent)
-        links = saved(links.unionByName(found))
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        picker = Picker(ids)
+        links = saved(links.unionByName(_verify(read, pairs, ids, picker, width, percent)))
+        picker.release()
         labels = components(links)
     by_class = classes.select("digest", "class").join(labels.withColumnRenamed("id", "class"), "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component"))
@@ -228,10 +231,9 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
     return pairs.join(a, "a").join(b, "b").select("a", "b", "bins_a", "bins_b").mapInArrow(run, "a long, b long")
 
 
-def _verify(read: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(read: DataFrame, pairs: DataFrame, ids: DataFrame, picker: Picker, width: int, percent: int) -> DataFrame:
     """The pairs that hold on whole texts. Texts are picked by a bit table first, then by join."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    picked = read.where("id IS NOT NULL").where(Picker(ids)(F.col("id")))
+    picked = read.where("id IS NOT NULL").where(picker(F.col("id")))
     texts = picked.join(ids, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))

@@ -17,10 +17,11 @@ PATTERNS = {
 }
 #: What a text must hold for a kind's pattern to be tried.
 CUES = {"email": "@", "ip": ".", "phone": "+"}
-#: A term's disclosure of an entity is PMI(term, entity) / IC(entity): 1 if the term gives the entity away.
-GENERALISE_FROM, REMOVE_FROM = 0.6, 0.9
-#: What a pair is taken to have been seen less often than it was, so that few sights say less than many.
-UNSURE = 0.5
+#: Bits of an entity's information that a term leaves open, at most, for the term to be generalised or removed: from the
+#: lower bound of the share of the term's documents that hold the entity, so that neither depends on the corpus' size.
+GENERALISE_BITS, REMOVE_BITS = 1.0, 0.5
+#: Squared normal quantile of that bound (one-sided, 95 %).
+Z2 = 2.706
 #: Matches of a text that are placed in one list before it joins the others.
 _BLOCK = 128
 TERM = r"\p{L}{3,}"
@@ -116,38 +117,44 @@ def row_key(key: str, text: str) -> Column:
 
 
 def telling_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, share, elsewhere) of the terms that disclose an entity, from ``found`` with clear and hidden terms.
+    """(entity, term, open, elsewhere) of the terms that disclose an entity, from ``found`` with clear and hidden terms.
 
     Counts are documents, and a term counts where it stands clear of spans: terms that a document has in spans alone
-    are taken off again.
+    are taken off again. ``open`` are the bits left: information content of the entity less the bound of its PMI.
     """
-    n_docs = docs.count()
     held = found.where("clear IS NOT NULL")
-    n_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = _row_pairs(held).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    alike = _row_pairs(held).groupBy("entity", "term", "signature").agg(F.count("*").alias("n"))
+    pairs = alike.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), (F.sum("n") / F.max("n")).alias("sights"))
+    pairs = pairs.where(F.col("sights") >= Z2 / (2**GENERALISE_BITS - 1))  # fewer can't reach the bound
     words = docs.select(F.explode(_all_terms(whole(text))).alias("term"), F.lit(1).alias("n"))
     words = words.unionByName(held.select(F.explode("hidden").alias("term"), F.lit(-1).alias("n")))
     n_term = words.groupBy("term").agg(F.sum("n").alias("n_t"))
-    pmi = F.log(F.lit(float(n_docs)) * (F.col("n_te") - UNSURE) / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    return pairs.join(n_term, "term").join(n_entity, "entity").select(
-        "entity", "term", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)).alias("share"),
-        (F.col("n_t") > F.col("n_te")).alias("elsewhere")).where(F.col("share") >= GENERALISE_FROM)
+    share, sights = F.col("n_te") / F.col("n_t"), F.col("sights")
+    low = (share + Z2 / (2 * sights) - F.sqrt(Z2 * (share * (1 - share) / sights + Z2 / (4 * sights * sights)))) / (1 + Z2 / sights)
+    return n_term.join(pairs, "term").select(
+        "entity", "term", (-F.log2(low)).alias("open"), (F.col("n_t") > F.col("n_te")).alias("elsewhere")).where(F.col("open") <= GENERALISE_BITS)
 
 
 def _row_pairs(held: DataFrame) -> DataFrame:
+    """(row, signature, entity, term). The signature is the least of a text's terms by three digests: near copies mostly
+    share it, other texts hardly ever."""
     terms = F.array_distinct(F.transform("clear", lambda t: t["term"])).alias("terms")
-    return held.select("row", terms, F.explode("entities").alias("entity")).select("row", "entity", F.explode("terms").alias("term"))
+    least = lambda k: F.array_min(F.transform(F.col("terms"), lambda t: F.xxhash64(t, F.lit(k))))
+    signature = F.xxhash64(*[least(k) for k in range(3)]).alias("signature")
+    rows = held.select("row", "entities", terms).select("row", "entities", "terms", signature)
+    return rows.select("row", "signature", "terms", F.explode("entities").alias("entity")).select("row", "signature", "entity", F.explode("terms").alias("term"))
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, row, base, terms) of each row: the plain spans, and all places of terms that disclose an entity.
 
-    An entity's information content is IC = log(N / n(entity)) over documents; a term discloses
-    PMI = log(N (n(term, entity) - 1/2) / (n(term) n(entity))) of it, both anywhere in the document; the half
-    makes few sights weaker, and an entity of one document counts too. In a text with the entity a term
-    is generalised from ``GENERALISE_FROM`` of IC on and removed from ``REMOVE_FROM`` on; in a text without it, the terms
-    that give it away (``REMOVE_FROM``) are removed. Every place of such a term is in ``terms``. Counts cover all documents.
+    An entity's information content is -log2 of the share of documents that hold it; a term's PMI with it is
+    log2(P(entity | term) / P(entity)), both anywhere in the document. P(entity | term) is taken at its lower
+    confidence bound, so one sight or two disclose nothing, and what is left of the information content after the PMI
+    doesn't depend on the number of documents. The sights of a group of copies, told by the least
+    digests of a text's terms, weigh as one. In a text with the entity a term is generalised if at most ``GENERALISE_BITS`` are left and removed if at most
+    ``REMOVE_BITS`` are; in a text without it, the terms that give it away are removed. Every place of such a term is in
+    ``terms``. Counts cover all documents.
     Null texts are empty, without spans; repeated rows are read each; an empty table gives no rows.
     """
     body = whole(text)
@@ -158,16 +165,16 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     some = F.col("clear").isNotNull()
     found = saved(read.select(key, "row", "base", "clear", F.when(some, hidden).alias("hidden"), F.when(some, entities).alias("entities")))
     telling = saved(telling_terms(docs, found, text))
-    told = _row_pairs(found.where("clear IS NOT NULL")).join(telling, ["entity", "term"]).select("row", "term", "share")
-    giving = saved(telling.where(F.col("elsewhere") & (F.col("share") >= REMOVE_FROM)).groupBy("term").agg(F.max("share").alias("share")))
+    told = _row_pairs(found.where("clear IS NOT NULL")).join(telling, ["entity", "term"]).select("row", "term", "open")
+    giving = saved(telling.where(F.col("elsewhere") & (F.col("open") <= REMOVE_BITS)).groupBy("term").agg(F.min("open").alias("open")))
     words = docs.select(row_key(key, text).alias("row"), F.explode(_all_terms(body)).alias("term"))
-    away = saved(words.join(giving, "term").select("row", "term", "share"))
-    told = told.unionByName(away).groupBy("row", "term").agg(F.max("share").alias("share"))
+    away = saved(words.join(giving, "term").select("row", "term", "open"))
+    told = told.unionByName(away).groupBy("row", "term").agg(F.min("open").alias("open"))
     plain = saved(found.where("clear IS NULL").join(away.select("row").distinct(), "row", "left_semi").select("row").distinct())
     plain = docs.select(row_key(key, text).alias("row"), body.alias("_t")).join(plain, "row", "left_semi").select(
         "row", _clear_terms(F.col("_t"), F.array().cast(SPAN)).alias("clear"))
     places = found.where("clear IS NOT NULL").select("row", "clear").unionByName(plain).select("row", F.explode_outer("clear").alias("x"))  # explode would infer a filter that places all texts' terms
-    action = F.when(F.col("share") >= REMOVE_FROM, "remove").otherwise("generalise").alias("action")
+    action = F.when(F.col("open") <= REMOVE_BITS, "remove").otherwise("generalise").alias("action")
     terms = places.select("row", "x.*").join(told, ["row", "term"]).select("row", "start", "end", action).groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")

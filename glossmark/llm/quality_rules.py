@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -10,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import WORD, crc_remainder, packed_row, saved, unpacked, whole, word_count, words_of
+from glossmark.llm.common import WORD, crc_remainder, saved, whole, word_count, words_of
 
 #: Labelled rows that trees and weights are fitted on, at most (about; by digest of the key).
 FIT_ROWS = 20_000
@@ -52,8 +53,8 @@ class Condition:
     above: bool
     bound: float
 
-    def column(self) -> Column:
-        value = F.col(self.statistic)
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
+        value = of(self.statistic)
         return value > self.bound if self.above else value <= self.bound
 
 
@@ -87,10 +88,10 @@ def _tight(path: Rule) -> Rule:
     return tuple(Condition(s, a, b) for (s, a), b in sorted(best.items()))
 
 
-def rule_column(rule: Rule) -> Column:
-    held = rule[0].column()
+def rule_column(rule: Rule, of: Callable[[str], Column] = F.col) -> Column:
+    held = rule[0].column(of)
     for condition in rule[1:]:
-        held = held & condition.column()
+        held = held & condition.column(of)
     return held
 
 
@@ -100,11 +101,11 @@ class RuleModel:
     intercept: float
     weights: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
-        """P(label 1) as a column over the statistics."""
+    def score(self, of: Callable[[str], Column] = F.col) -> Column:
+        """P(label 1) as a column over the statistics, each given by ``of`` its name."""
         total = F.lit(self.intercept)
         for rule, weight in self.weights:
-            total = total + F.when(rule_column(rule), weight).otherwise(0.0)
+            total = total + F.when(rule_column(rule, of), weight).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -157,19 +158,32 @@ def learnt(
 ) -> tuple[RuleModel, DataFrame]:
     """The model, and the statistics of every row with its key."""
     stats = text_statistics(whole(text))
-    names = list(stats)
     measured = saved(docs.select(F.col(key), *[c.alias(n) for n, c in stats.items()]))
+    return _fitted(measured, labels, key, label, folds), measured
+
+
+def _fitted(measured: DataFrame, labels: DataFrame, key: str, label: str, folds: int) -> RuleModel:
+    """The model of labelled rows of ``measured`` (key, statistics)."""
+    names = [c for c in measured.columns if c != key]
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("double").alias("label"))
     taught = measured.where(crc_remainder(key, folds) != 0).join(known, key)
     share = min(1.0, FIT_ROWS / max(known.count(), 1))
     chosen = taught.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    return fit_rules(saved(chosen.select("label", *names)), names), measured
+    return fit_rules(saved(chosen.select("label", *names)), names)
 
 
+def accepted(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, cut: float = CUT,
+) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all rows and columns as in ``classify``.
 
-def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT, **settings) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects: the compiled rules filter the texts in one scan."""
-    model, _ = learnt(docs, labels, key, text, **settings)
-    stats = text_statistics(whole(text))
-    held = docs.select(packed_row(docs), *[c.alias(n) for n, c in stats.items()])
-    return held.where(model.score() >= cut).select(*unpacked(docs))
+    Statistics to learn from are those of labelled texts alone. The compiled rules filter the texts in one scan: the statistics
+    of a text are one struct in an array, which the rules read, so that no rule computes them again.
+    """
+    stats = F.struct(*[c.alias(n) for n, c in text_statistics(whole(text)).items()])
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_known")).distinct()
+    rows = docs.select(F.col(key), F.col(text)).where(crc_remainder(key, folds) != 0)
+    taught = rows.join(known, F.col(key) == F.col("_known"), "left_semi").select(key, stats.alias("stats"))
+    model = _fitted(saved(taught).select(key, "stats.*"), labels, key, label, folds)
+    score = F.get(F.transform(F.array(stats), lambda s: model.score(lambda name: s[name])), F.lit(0))
+    return docs.where(score >= cut)

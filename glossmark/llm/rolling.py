@@ -165,6 +165,10 @@ class Picker:
 
         self._test = test
 
+    def release(self) -> None:
+        """Takes the table from the tasks and the driver."""
+        self.shared.destroy()
+
     def slot(self, column):
         return F.pmod(F.xxhash64(column), F.lit(1 << self.bits))
 

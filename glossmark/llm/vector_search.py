@@ -80,7 +80,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
 
     Equal vectors are indexed once with their k + 1 smallest keys: no more of them can be among k results. Ties go to
     smaller keys. Vectors that are null or hold null or non-finite components take no part; shorter ones count as
-    ending in zeros; rows that repeat a key are rows of their own; an empty table gives no rows.
+    ending in zeros; rows that repeat a key are rows of their own; an empty table gives no rows. Vectors whose squared length
+    reaches 2**63 after scaling are refused, since their products may not fit a long.
     """
     spark = vectors.sparkSession
     read = vectors.select(F.col(key).cast("long").alias("vec_id"), scaled(F.col(vector), scale).alias("v"), queries.alias("asks"))
@@ -88,6 +89,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     stats = rows.agg(F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("width")).first()
     total, top, width = stats["n"], stats["top"] or 0.0, stats["width"] or 0
+    if top >= 2.0**63:
+        raise ValueError("scores of these vectors may pass 64 bits: the largest squared length is 2**63 or more")
     share = min(1.0, FIT_ROWS / max(total, 1))
     fit = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").toArrow()["v"].combine_chunks()
     pivots = spark.sparkContext.broadcast(_pivots(_lifted(_matrix(fit, width), top), PIVOTS))
@@ -110,9 +113,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     # annuli: distance ranges of a pivot of about RING vectors, cut at approximate quantiles of its distances
     per = index.groupBy("pivot").agg(F.count("*").alias("n"))
     most = per.agg(F.max("n")).first()[0] or 0
-    cuts = max(1, -(-most // RING))
+    cuts = min(1024, max(1, -(-most // RING)))
     marks = index.groupBy("pivot").agg(F.percentile_approx(
-        "away", F.array(*[F.lit(i / cuts) for i in range(1, min(cuts, 1024))]) if cuts > 1 else F.array(F.lit(0.5)), 4096).alias("marks"))
+        "away", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]) if cuts > 1 else F.array(F.lit(0.5)), 4096).alias("marks"))
     ring = F.size(F.filter("marks", lambda m: m < F.col("away"))) if cuts > 1 else F.lit(0)
     # where many vectors are equally far, a digest splits the annulus further
     placed = index.join(F.broadcast(marks), "pivot").withColumn("ring", ring.cast("int"))
