@@ -123,9 +123,13 @@ def telling_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> Data
     are taken off again. ``open`` are the bits left: information content of the entity less the bound of its PMI.
     """
     held = found.where("clear IS NOT NULL")
-    alike = _row_pairs(held).groupBy("entity", "term", "signature").agg(F.count("*").alias("n"))
+    least = Z2 / (2**GENERALISE_BITS - 1)  # fewer sights can't reach the bound, nor entities of fewer documents
+    ids = held.select("row", F.explode("entities").alias("entity"))
+    often = ids.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least).select("entity")
+    again = ids.join(often, "entity", "left_semi").groupBy("row").agg(F.collect_set("entity").alias("entities"))
+    alike = _row_pairs(held.drop("entities").join(again, "row")).groupBy("entity", "term", "signature").agg(F.count("*").alias("n"))
     pairs = alike.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), (F.sum("n") / F.max("n")).alias("sights"))
-    pairs = pairs.where(F.col("sights") >= Z2 / (2**GENERALISE_BITS - 1))  # fewer can't reach the bound
+    pairs = pairs.where(F.col("sights") >= least)
     words = docs.select(F.explode(_all_terms(whole(text))).alias("term"), F.lit(1).alias("n"))
     words = words.unionByName(held.select(F.explode("hidden").alias("term"), F.lit(-1).alias("n")))
     n_term = words.groupBy("term").agg(F.sum("n").alias("n_t"))
