@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
-from glossmark.operators.tokens import atoms, split_atoms
+from glossmark.operators.automaton import Chooser, Finder, Span, chosen
+from glossmark.operators.tokens import bio_tokens
 
 # Singular and plural surface forms of the frequency categories.
 FREQUENCY_FORMS = (
@@ -18,8 +21,9 @@ FREQUENCY_FORMS = (
     ("poco frecuente", "poco frecuentes"),
 )
 
-#: Atoms that one comparison covers; longer mentions are compared in segments of so many.
-SEGMENT = 8
+#: A code's documents are dealt in parts of about so many, or of so many that no more than ``MOST_HOT`` codes have several.
+PART_DOCUMENTS, MOST_HOT = 250, 4_096
+_SPANS = "array<struct<type:string,type_rank:int,mention:string,start:int,end:int>>"
 
 
 def collect_mentions(annotations: DataFrame, key: str, types: Sequence[str]) -> DataFrame:
@@ -52,22 +56,7 @@ def complete_frequency_pairs(mentions: DataFrame, key: str) -> DataFrame:
     return mentions.select(key, "type", F.explode(all_forms).alias("mention")).distinct()
 
 
-def _compile(mentions: DataFrame, key: str, types: Sequence[str]) -> DataFrame:
-    """Mentions cut into segments of atoms: code, anchor (the segment's first atom), body, order columns."""
-    rank = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type")) - 1
-    folded = fold(F.col("mention"))
-    pieces = F.filter(split_atoms(folded), lambda p: F.regexp_replace(p, r"(?U)^\s+", "") != "")
-    rows = mentions.where(F.col("type").isin(*types)).select(
-        F.col(key).alias("_code"), "type", rank.cast("int").alias("type_rank"), "mention",
-        F.length("mention").alias("mention_length"), F.length(folded).alias("_width"), pieces.alias("_pieces"),
-    ).where(F.size("_pieces") > 0).withColumn("_segments", F.ceil(F.size("_pieces") / SEGMENT).cast("int"))
-    numbered = rows.withColumn("_segment", F.explode(F.sequence(F.lit(0), F.col("_segments") - 1)))
-    part = F.slice("_pieces", F.col("_segment") * SEGMENT + 1, F.lit(SEGMENT))
-    return numbered.withColumn("_body", F.array_join(part, "")).withColumn(
-        "_anchor", F.regexp_replace(F.get(part, F.lit(0)), r"(?U)^\s+", "")).drop("_pieces")
-
-
-def find_spans(
+def search(
     docs: DataFrame,
     mentions: DataFrame,
     doc_key: str,
@@ -75,97 +64,113 @@ def find_spans(
     types: Sequence[str],
     mention_code: str | None = None,
     text: str = "text",
+    resolve: bool = False,
 ) -> DataFrame:
-    """Every bounded occurrence of a code's mentions in that code's documents.
-
-    A mention can only start where its first atom stands, so atoms meet mentions
-    in an equi-join on (code, first atom) and only those few rows compare the
-    rest, ``SEGMENT`` atoms at a time; a longer mention holds where all its segments do. Only hits are
-    shuffled, by document; how the dictionary travels is left to the optimiser.
+    """``docs`` with ``spans``: every bounded occurrence of its code's mentions, as they end, or with ``resolve`` the
+    non-overlapping choice in text order.
 
-    Returns doc_key, code, type, type_rank, mention, mention_length, start, end.
+    Documents are dealt by code, large codes in parts, and meet their code's mentions in the same task: these come first
+    and are compiled once into an automaton with failure links, which reads each text in one pass. A text is
+    shuffled once; nothing is made for places without a mention. Rows of a null code, and of a code without mentions,
+    have no spans.
     """
-    compiled = _compile(mentions, mention_code or code, list(types))
-    keep = () if code == doc_key else (code,)
-    rows = atoms(docs, doc_key, text, *keep, reach=SEGMENT).select(
-        F.col(doc_key).alias("_doc"), F.col(code).alias("_code"), "idx", "start", F.col("piece").alias("_anchor"), "gap", "context")
-    # a first segment starts at its atom, the others with the gap in front of theirs
-    behind = F.when(F.col("_segment") == 0, F.substr("context", F.col("gap") + 1)).otherwise(F.col("context"))
-    hits = rows.join(compiled, ["_code", "_anchor"]).where(F.startswith(behind, F.col("_body"))).select(
-        "_doc", "_code", "type", "type_rank", "mention", "mention_length", "_width", "_segments", "_segment",
-        (F.col("idx") - F.col("_segment") * SEGMENT).alias("_origin"), "start")
-    whole = hits.repartition("_doc").groupBy(
-        "_doc", "_code", "type", "type_rank", "mention", "mention_length", "_width", "_segments", "_origin"
-    ).agg(F.countDistinct("_segment").alias("_held"), F.min_by("start", "_segment").alias("start"))
-    return whole.where(F.col("_held") == F.col("_segments")).select(
-        F.col("_doc").alias(doc_key),
-        *([] if code == doc_key else [F.col("_code").alias(code)]),
-        "type",
-        "type_rank",
-        "mention",
-        "mention_length",
-        "start",
-        (F.col("start") + F.col("_width")).cast("int").alias("end"),
-    )
+    wanted = check_types(types)
+    rank = F.array_position(F.array(*[F.lit(t) for t in wanted]), F.col("type")) - 1
+    words = mentions.where(F.col("type").isin(*wanted) & F.col("mention").isNotNull()).groupBy(
+        F.col(mention_code or code).cast("string").alias("_code")
+    ).agg(F.collect_set(F.struct("type", rank.cast("int").alias("rank"), "mention")).alias("_words")).where("_code IS NOT NULL")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(code).cast("string").alias("_code"), F.col(text).alias("_text"), F.col(doc_key).alias("_key"))
+    counts = rows.where("_code IS NOT NULL").groupBy("_code").agg(F.count("*").alias("_n"))
+    size = max(PART_DOCUMENTS, (counts.agg(F.sum("_n")).first()[0] or 0) // MOST_HOT + 1)
+    parts = F.broadcast(counts.where(F.col("_n") > size).select("_code", F.ceil(F.col("_n") / size).cast("int").alias("_parts")))
+    n_parts = F.coalesce("_parts", F.lit(1))
+    asked = rows.join(parts, "_code", "left").select(
+        "_code", F.pmod(F.xxhash64("_key"), n_parts).cast("int").alias("_part"), F.lit(1).alias("_kind"), "_row", "_text")
+    told = words.join(parts, "_code", "left").select("_code", "_words", F.lit(0).alias("_kind"), F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("_part"))
+    # rows without a code need no company
+    deal = F.coalesce("_part", F.lit(0))
+    met = asked.unionByName(told, allowMissingColumns=True).withColumn("_part", F.when(F.col("_code").isNull(), F.pmod(F.xxhash64("_text"), F.lit(MOST_HOT)).cast("int")).otherwise(deal))
+    kind = rows.schema["_row"].dataType.simpleString()
+    found = met.repartition("_code", "_part").sortWithinPartitions("_code", "_part", "_kind").mapInArrow(_searched(resolve), f"_row {kind}, spans {_SPANS}")
+    return found.select("_row.*", "spans")
+
+
+def _searched(resolve: bool):
+    """Rows by code and part, mentions before documents, to the documents with their spans."""
+    def run(batches):
+        now, finder = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                keys = zip(*(batch.column(c).to_pylist() for c in ("_code", "_part", "_kind", "_text")), strict=True)
+                here, found = [], []
+                for i, (code, part, kind, text) in enumerate(keys):
+                    if kind == 0:
+                        now = (code, part)
+                        finder = Finder([(w["type"], w["rank"], w["mention"]) for w in batch.column("_words")[i].as_py()])
+                        continue
+                    spans = finder.spans(text) if code is not None and now == (code, part) else []
+                    here.append(i)
+                    found.append(chosen(spans) if resolve else spans)
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(here, pa.int64())), _span_lists(found)], names=["_row", "spans"])
+
+    return run
+
+
+def _span_lists(found: list[list[Span]]) -> pa.Array:
+    flat = [s for spans in found for s in spans]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+    names = ("type", "type_rank", "mention", "start", "end")
+    values = pa.StructArray.from_arrays([pa.array([s[k] for s in flat], t) for k, t in enumerate(kinds)], names=names)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
 
 
-def _accept(candidates: Column) -> Column:
-    """Greedy fold over candidates in priority order.
+def find_spans(
+    docs: DataFrame,
+    mentions: DataFrame,
+    doc_key: str,
+    code: str,
+    types: Sequence[str],
+    mention_code: str | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """Every bounded occurrence of a code's mentions in that code's documents, from ``search``.
 
-    A mention's own occurrences are read left to right without overlap; a span
-    is taken only when no taken span touches it.
+    Returns doc_key, code, type, type_rank, mention, mention_length, start, end.
     """
-    blank = F.struct(
-        F.lit("").alias("mention"),
-        F.lit(-1).alias("type_rank"),
-        F.lit(0).alias("read_to"),
-        F.expr("cast(array() as array<struct<type:string,mention:string,start:int,end:int>>)").alias("taken"),
-    )
-
-    def step(state: Column, c: Column) -> Column:
-        same = (state["mention"] == c["mention"]) & (state["type_rank"] == c["type_rank"])
-        skipped = same & (c["start"] < state["read_to"])
-        touches = F.exists(state["taken"], lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"]))
-        span = F.struct(c["type"], c["mention"], c["start"], c["end"])
-        return F.struct(
-            c["mention"].alias("mention"),
-            c["type_rank"].alias("type_rank"),
-            F.when(skipped, state["read_to"]).otherwise(c["end"]).alias("read_to"),
-            F.when(skipped | touches, state["taken"])
-            .otherwise(F.concat(state["taken"], F.array(span)))
-            .alias("taken"),
-        )
-
-    return F.aggregate(candidates, blank, step, lambda state: state["taken"])
+    keys = [doc_key] if code == doc_key else [doc_key, code]
+    found = search(docs.select(*keys, text), mentions, doc_key, code, types, mention_code, text)
+    return found.select(*keys, F.explode("spans").alias("_s")).select(
+        *keys, "_s.type", "_s.type_rank", "_s.mention", F.length("_s.mention").alias("mention_length"), "_s.start", "_s.end")
 
 
 def resolve_overlaps(spans: DataFrame, doc_key: str) -> DataFrame:
     """Keep a non-overlapping set: type order first, then longer mentions, then text order.
 
-    Candidates that never touch cannot affect each other, so a document is first
-    cut into islands of touching spans; the recursive choice runs inside an
-    island only.
+    Spans are dealt by document and read in priority order; of the spans taken so far only the ordered interval set of the
+    document at hand is held, and one neighbour in it decides.
     """
-    by_start = Window.partitionBy(doc_key).orderBy("start", "end", "type_rank", "mention")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))
-    islands = spans.withColumn("_opens", opens).withColumn(
-        "_island", F.sum("_opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    priority = F.struct(
-        "type_rank",
-        (-F.col("mention_length")).alias("by_length"),
-        "mention",
-        "start",
-        "end",
-        "type",
-    )
-    return (
-        islands.groupBy(doc_key, "_island")
-        .agg(F.array_sort(F.collect_list(priority)).alias("_candidates"))
-        .select(doc_key, F.explode(_accept(F.col("_candidates"))).alias("s"))
-        .select(doc_key, "s.type", "s.mention", "s.start", "s.end")
-    )
+    doc = F.struct(F.col(doc_key).alias("key"))
+    rows = spans.select(doc.alias("_doc"), F.to_json(doc).alias("_id"), "type", "type_rank", "mention", "start", "end")
+    kind = rows.schema["_doc"].dataType.simpleString()
+    order = ["_id", "type_rank", F.desc(F.length("mention")), "mention", "start", "end", "type"]
+
+    def run(batches):
+        now, chooser = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                columns = (batch.column(c).to_pylist() for c in ("_id", "type_rank", "mention", "start", "end"))
+                stays = []
+                for doc, rank, mention, start, end in zip(*columns, strict=True):
+                    if chooser is None or doc != now:
+                        now, chooser = doc, Chooser()
+                    stays.append(chooser.takes(rank, mention, start, end))
+                yield batch.select(["_doc", "type", "mention", "start", "end"]).filter(pa.array(stays, pa.bool_()))
+
+    met = rows.repartition("_id").sortWithinPartitions(*order)
+    return met.mapInArrow(run, f"_doc {kind}, type string, mention string, start int, end int").select(
+        F.col("_doc.key").alias(doc_key), "type", "mention", "start", "end")
 
 
 def first_occurrences(spans: DataFrame, *keys: str) -> DataFrame:
@@ -219,6 +224,15 @@ def project_labels(tokens: DataFrame, spans: DataFrame, doc_key: str) -> DataFra
     return raw.withColumn("label", label).drop("_raw")
 
 
+def label_documents(found: DataFrame, doc_key: str, text: str = "text", *keep: str) -> DataFrame:
+    """Labelled tokens of documents with resolved ``spans`` (of ``search``): key, kept columns, idx, token, start, end,
+    sent_idx, label.
+
+    The document's sorted spans and its token array are merged inside its row; no token is shuffled or sorted.
+    """
+    return bio_tokens(found, doc_key, text, *keep, spans="spans")
+
+
 def sentence_rows(labelled: DataFrame, doc_key: str) -> DataFrame:
     """One example per sentence: key, sent_idx, tokens, labels (arrays in token order)."""
     cells = F.array_sort(F.collect_list(F.struct("idx", "token", "label")))

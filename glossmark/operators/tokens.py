@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from glossmark.functions.text import WORD_CLASS, fold
+from glossmark.functions.text import WORD_CLASS
 
 # Private-use characters: MARK ends a token, GLUE ends one that a word character follows,
 # TOUCH opens a sign that stands directly behind a word character.
@@ -85,33 +85,39 @@ def sentence_numbers(codes: pd.Series) -> pd.Series:
     return codes.map(number)
 
 
-def atoms(docs: DataFrame, key: str, text: str, *keep: str, reach: int = 1) -> DataFrame:
-    """One row per atom of the folded text: key, kept columns, idx, piece, start, gap, context.
+@F.pandas_udf(ArrayType(StringType()))
+def merged_labels(starts: pd.Series, sentences: pd.Series, spans: pd.Series) -> pd.Series:
+    """BIO label of each token start: what the last span at or before it says, then I to B where nothing precedes.
 
-    ``gap`` is the white space in front; ``context`` is the raw piece, gap included, with those behind
-    it, ``reach`` pieces in all.
+    ``spans`` are sorted and don't overlap, so both sides are read once in order.
     """
-    pieces = docs.select(key, *keep, split_atoms(fold(F.col(text))).alias("_pieces"))
-    visible = F.transform("_pieces", lambda p: F.length(p) - 1 - F.startswith(p, F.lit(TOUCH)).cast("int"))
-    contexts = F.transform("_pieces", lambda p, i: F.array_join(F.slice("_pieces", i + 1, F.lit(reach)), ""))
-    cells = F.arrays_zip(F.col("_pieces").alias("p"), running_offsets(visible).alias("s"), contexts.alias("c"))
-    rows = pieces.select(key, *keep, F.posexplode(cells).alias("idx", "_cell"))
-    piece = F.regexp_replace("_cell.p", r"(?U)^\s+", "")
-    gap = F.length("_cell.p") - F.length(piece)
-    return rows.select(
-        key, *keep, "idx", piece.alias("piece"), (F.col("_cell.s") + gap).cast("int").alias("start"), gap.alias("gap"),
-        F.col("_cell.c").alias("context"),
-    ).where(F.col("piece") != "")
-
-
-def bio_tokens(docs: DataFrame, key: str, text: str = "text", *keep: str) -> DataFrame:
+    def label(at, sentence, found):
+        if at is None:
+            return None
+        at, sentence = np.asarray(at, np.int64), np.asarray(sentence, np.int64)
+        if found is None or not len(found):
+            return ["O"] * len(at)
+        first, end = (np.array([s[c] for s in found], np.int64) for c in ("start", "end"))
+        names, kind = np.unique([s["type"] for s in found], return_inverse=True)
+        last = np.searchsorted(first, at, "right") - 1
+        inside = (last >= 0) & (end[last] > at)
+        of = np.where(inside, kind[last], -1)
+        goes_on = np.zeros(len(at), bool)
+        goes_on[1:] = (sentence[1:] == sentence[:-1]) & (of[1:] == of[:-1]) & (first[last[1:]] != at[1:])
+        return ["O" if k < 0 else ("I-" if i else "B-") + names[k] for k, i in zip(of.tolist(), goes_on.tolist(), strict=True)]
+
+    return pd.Series([label(*x) for x in zip(starts, sentences, spans, strict=True)], dtype=object)
+
+
+def bio_tokens(docs: DataFrame, key: str, text: str = "text", *keep: str, spans: str | None = None) -> DataFrame:
     """One row per word-level token: key, kept columns, idx, token, start, end, sent_idx.
 
     A sentence starts after a line break, and at the first token that is not
-    punctuation after a closing sign.
+    punctuation after a closing sign. ``spans`` names a column of sorted spans; tokens then get a label too.
     """
     marked = F.regexp_replace(_without_marks(F.col(text)), f"(?U)({BIO_TOKEN})", "$1" + MARK)
-    pieces = docs.select(key, *keep, F.filter(F.split(marked, MARK), lambda p: p != "").alias("_pieces"))
+    held = () if spans is None else (F.col(spans).alias("_spans"),)
+    pieces = docs.select(key, *keep, *held, F.filter(F.split(marked, MARK), lambda p: p != "").alias("_pieces"))
     bare = lambda p: F.regexp_replace(p, r"(?U)^\s+", "")
 
     def code(piece: Column) -> Column:
@@ -122,13 +128,20 @@ def bio_tokens(docs: DataFrame, key: str, text: str = "text", *keep: str) -> Dat
             + F.when(token.isin(*CLOSERS), CLOSES).otherwise(0)
         )
 
-    cells = F.arrays_zip(
-        F.col("_pieces").alias("p"), running_offsets(F.transform("_pieces", F.length)).alias("s"),
-        sentence_numbers(F.transform("_pieces", code)).alias("n"))
+    offsets, numbers = running_offsets(F.transform("_pieces", F.length)), sentence_numbers(F.transform("_pieces", code))
+    if spans is not None:
+        pieces = pieces.withColumn("_offsets", offsets).withColumn("_numbers", numbers)
+        offsets, numbers = F.col("_offsets"), F.col("_numbers")
+        gaps = F.transform("_pieces", lambda p: F.length(p) - F.length(bare(p)))
+        starts = F.zip_with("_offsets", gaps, lambda a, b: (a + b).cast("int"))
+        cells = F.arrays_zip(F.col("_pieces").alias("p"), offsets.alias("s"), numbers.alias("n"), merged_labels(starts, numbers, F.col("_spans")).alias("l"))
+    else:
+        cells = F.arrays_zip(F.col("_pieces").alias("p"), offsets.alias("s"), numbers.alias("n"))
     rows = pieces.select(key, *keep, F.posexplode(cells).alias("idx", "_cell"))
     token = bare(F.col("_cell.p"))
     end = F.col("_cell.s") + F.length("_cell.p")
+    label = () if spans is None else (F.col("_cell.l").alias("label"),)
     return rows.select(
         key, *keep, "idx", token.alias("token"), (end - F.length(token)).cast("int").alias("start"), end.cast("int").alias("end"),
-        F.col("_cell.n").alias("sent_idx"),
+        F.col("_cell.n").alias("sent_idx"), *label,
     ).where(F.col("token") != "")

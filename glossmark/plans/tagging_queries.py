@@ -30,8 +30,8 @@ def resolved(spark, sf, types=TYPES):
 
 
 def labelled(spark, sf, types=TYPES):
-    tokens = bio_tokens(texts(spark, sf).select("doc_id", "text"), "doc_id")
-    return matching.project_labels(tokens, resolved(spark, sf, types), "doc_id")
+    found = matching.search(texts(spark, sf).select("doc_id", "source", "text"), mentions(spark, sf), "doc_id", "source", types, resolve=True)
+    return matching.label_documents(found, "doc_id")
 
 
 _W = "\\pL\\pN_\\x{c0}-\\x{17f}"
