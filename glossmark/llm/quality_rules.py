@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -11,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import WORD, crc_remainder, saved, whole, word_count, words_of
+from glossmark.llm.common import WORD, crc_remainder, packed_row, saved, unpacked, whole, word_count, words_of
 
 #: Labelled rows that trees and weights are fitted on, at most (about; by digest of the key).
 FIT_ROWS = 20_000
@@ -53,8 +52,8 @@ class Condition:
     above: bool
     bound: float
 
-    def column(self, of: Callable[[str], Column] = F.col) -> Column:
-        value = of(self.statistic)
+    def column(self) -> Column:
+        value = F.col(self.statistic)
         return value > self.bound if self.above else value <= self.bound
 
 
@@ -88,10 +87,10 @@ def _tight(path: Rule) -> Rule:
     return tuple(Condition(s, a, b) for (s, a), b in sorted(best.items()))
 
 
-def rule_column(rule: Rule, of: Callable[[str], Column] = F.col) -> Column:
-    held = rule[0].column(of)
+def rule_column(rule: Rule) -> Column:
+    held = rule[0].column()
     for condition in rule[1:]:
-        held = held & condition.column(of)
+        held = held & condition.column()
     return held
 
 
@@ -101,11 +100,11 @@ class RuleModel:
     intercept: float
     weights: tuple[tuple[Rule, float], ...]
 
-    def score(self, of: Callable[[str], Column] = F.col) -> Column:
-        """P(label 1) as a column over the statistics, each given by ``of`` its name."""
+    def score(self) -> Column:
+        """P(label 1) as a column over the statistics."""
         total = F.lit(self.intercept)
         for rule, weight in self.weights:
-            total = total + F.when(rule_column(rule, of), weight).otherwise(0.0)
+            total = total + F.when(rule_column(rule), weight).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -177,13 +176,10 @@ def accepted(
 ) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all rows and columns as in ``classify``.
 
-    Statistics to learn from are those of labelled texts alone. The compiled rules filter the texts in one scan: the statistics
-    of a text are one struct in an array, which the rules read, so that no rule computes them again.
+    Rows and statistics are written once, so that no rule computes a statistic again; the model learns from the written
+    statistics and filters the written rows.
     """
-    stats = F.struct(*[c.alias(n) for n, c in text_statistics(whole(text)).items()])
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_known")).distinct()
-    rows = docs.select(F.col(key), F.col(text)).where(crc_remainder(key, folds) != 0)
-    taught = rows.join(known, F.col(key) == F.col("_known"), "left_semi").select(key, stats.alias("stats"))
-    model = _fitted(saved(taught).select(key, "stats.*"), labels, key, label, folds)
-    score = F.get(F.transform(F.array(stats), lambda s: model.score(lambda name: s[name])), F.lit(0))
-    return docs.where(score >= cut)
+    stats = text_statistics(whole(text))
+    measured = saved(docs.select(packed_row(docs), *[c.alias(n) for n, c in stats.items()]))
+    model = _fitted(measured.select(F.col("_doc")[key].alias(key), *stats), labels, key, label, folds)
+    return measured.where(model.score() >= cut).select(*unpacked(docs))
