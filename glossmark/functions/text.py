@@ -6,17 +6,16 @@ Three normalisers exist on purpose and must not be mixed: ``fold`` (matching),
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Java character-class body for "a character a mention may not touch".
-WORD_CLASS = r"\p{L}\p{N}_\x{C0}-\x{17F}"
-
 _EDGE_SPACE = r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$"
 _ANY_SPACE = r"(?U)[\s\x{1C}-\x{1F}]+"
 
@@ -120,22 +119,102 @@ def excerpt(text: Column, marker: str, limit: int) -> Column:
     return F.when(F.length(body) > limit, short).otherwise(body)
 
 
-# The named entities that section texts use.
-HTML_ENTITIES = {
-    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
-    "&copy;": "©", "&middot;": "·", "&ge;": "≥", "&le;": "≤",
-    "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú",
-    "&ntilde;": "ñ", "&uuml;": "ü",
-}
-
-
-def html_text(html: Column) -> Column:
-    """Inner text of a section: comments, scripts and styles go, block ends break the line."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?is)<(script|style)\b.*?</(script|style)>", "")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|table|ul|ol)>", "\n")
-    out = F.regexp_replace(out, r"(?i)</t[dh]>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for entity, char in HTML_ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+#: Elements whose end breaks the line, and elements whose text isn't shown.
+_BLOCKS = frozenset("p div li tr table ul ol h1 h2 h3 h4 h5 h6".split())
+_HIDDEN = ("script", "style")
+_HTML_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>"
+    r"|(?P<text>[^<]+|<)", re.S)
+
+
+class _Layout:
+    """Text of one document as it is read: the open lists, tables and cells, and what stands at the end of the line."""
+    def __init__(self):
+        self.out: list[str] = []
+        self.last = "\n"
+        self.open: list[list] = []
+
+    def put(self, text: str) -> None:
+        if text:
+            self.out.append(text)
+            self.last = text[-1]
+
+    def line(self) -> None:
+        """A new line unless one has just begun; inside a table cell a space, so that a row stays one line."""
+        if any(name == "td" for name, _ in self.open):
+            self.space()
+        elif self.last != "\n":
+            self.put("\n")
+
+    def space(self) -> None:
+        if self.last not in " \n":
+            self.put(" ")
+
+    def close(self, name: str, within: str | None = None) -> None:
+        """Close the innermost open ``name`` and what is open in it, not reaching beyond ``within``."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == name:
+                del self.open[at:]
+                return
+            if self.open[at][0] == within:
+                return
+
+    def begin(self, tag: str) -> None:
+        lists = [item for item in self.open if item[0] in ("ul", "ol")]
+        if tag == "br":
+            self.space() if any(name == "td" for name, _ in self.open) else self.put("\n")
+        elif tag in ("ul", "ol", "table"):
+            if lists:
+                self.line()
+            self.open.append([tag, 0])
+        elif tag == "li":
+            self.line()
+            mark = "- "
+            if lists:
+                lists[-1][1] += 1
+                mark = f"{lists[-1][1]}. " if lists[-1][0] == "ol" else mark
+            self.put("  " * (len(lists) - 1) + mark)
+        elif tag in ("td", "th", "tr"):
+            self.close("td", "table")
+            if tag == "tr":
+                self.line()
+            else:
+                self.space()
+                self.open.append(["td", 0])
+
+    def end(self, tag: str) -> None:
+        if tag in ("td", "th"):
+            self.close("td", "table")
+            self.space()
+        elif tag in ("ul", "ol", "table"):
+            self.close(tag)
+        elif tag == "tr":
+            self.close("td", "table")
+        if tag in _BLOCKS:
+            self.line()
+
+
+def _inner_text(html: str) -> str:
+    layout, hidden = _Layout(), None
+    for token in _HTML_TOKEN.finditer(html):
+        tag, ends = (token["tag"] or "").lower(), token["end"] == "/"
+        if hidden:
+            hidden = None if ends and tag == hidden else hidden
+        elif token["text"]:
+            layout.put(unescape(token["text"]))
+        elif tag in _HIDDEN and not ends:
+            hidden = tag
+        elif tag:
+            layout.end(tag) if ends else layout.begin(tag)
+    return "".join(layout.out)
+
+
+@F.pandas_udf(StringType())
+def html_text(html: pd.Series) -> pd.Series:
+    """Inner text of a section, laid out: one line a block, list marks by depth, a table row as one line of cells.
+
+    Comments, scripts and styles go; named and numeric references are decoded once. A '<' that opens no tag is text,
+    an end without a beginning only breaks the line. NULL stays NULL.
+    """
+    return html.map(lambda value: None if value is None else _inner_text(value))

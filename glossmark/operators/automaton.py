@@ -83,6 +83,13 @@ class Finder:
             found += [(kind, rank, mention, start, end) for kind, rank, mention in same]
         return found
 
+    def first_places(self, text: str | None) -> dict[str, tuple[int, int]]:
+        """Start and end of each mention's leftmost occurrence: those of one mention end in text order."""
+        places: dict[str, tuple[int, int]] = {}
+        for _, _, mention, start, end in self.spans(text):
+            places.setdefault(mention, (start, end))
+        return places
+
 
 class Chooser:
     """Takes spans offered in priority order unless a taken one touches them.

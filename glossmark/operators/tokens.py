@@ -14,16 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from glossmark.functions.text import WORD_CLASS
-
-# Private-use characters: MARK ends a token, GLUE ends one that a word character follows,
-# TOUCH opens a sign that stands directly behind a word character.
+# Private-use character that ends a token.
 MARK = "\ue000"
-GLUE = "\ue001"
-TOUCH = "\ue002"
-
-_ATOM_ENDS = rf"(?U)([{WORD_CLASS}]++|[^{WORD_CLASS}\s])(?![{WORD_CLASS}])"
-_ATOM_GLUED = rf"(?U)([^{WORD_CLASS}\s])(?=[{WORD_CLASS}])"
 
 #: Word-level token of the BIO sequences: number, word with inner dots or dashes, dash run, sign.
 BIO_TOKEN = (
@@ -37,23 +29,7 @@ CLOSERS = (".", "!", "?", "…")
 
 
 def _without_marks(text: Column) -> Column:
-    return F.translate(text, MARK + GLUE + TOUCH, "\ufffd" * 3)
-
-
-def mark_atoms(folded: Column) -> Column:
-    """Text with a mark behind each atom: a full word run, or one other visible character.
-
-    The marks carry both edges: two equal atom strings have equal neighbours in
-    the sense a mention boundary needs, so equality of marked text is enough.
-    """
-    ended = F.regexp_replace(_without_marks(folded), _ATOM_ENDS, "$1" + MARK)
-    glued = F.regexp_replace(ended, _ATOM_GLUED, "$1" + GLUE)
-    return F.regexp_replace(glued, rf"(?U)(?<=[{WORD_CLASS}]{MARK})(?=[^{WORD_CLASS}\s])", TOUCH)
-
-
-def split_atoms(folded: Column) -> Column:
-    """Pieces '<gap><atom><mark>' or '<touch><atom><mark>', plus a last piece without a mark."""
-    return F.split(mark_atoms(folded), f"(?<=[{MARK}{GLUE}])")
+    return F.translate(text, MARK, "\ufffd")
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -98,22 +98,36 @@ def _q_slug(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
+# A table, nested lists and references of every form before each page, and what they give.
+_LAYOUT = ("<table><tr><td><p>3 &euro;</p></td><th>&#x3b1;&#946;</th></tr></table><ol><li>Uno<ul><li>&Ntilde;u</li><li>"
+           "&#225;&hellip;</ul></li><li title='a>b'>&amp;eacute;</li></ol>")
+_LAYOUT_TEXT = "3 € αβ \n1. Uno\n  - Ñu\n  - á…\n2. &eacute;\n"
+
+
 def _q_html(spark, sf):
     pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
-    return pages.select("page_id", text.html_text(F.col("html")).alias("t")).select(
+    return pages.select("page_id", text.html_text(F.concat(F.lit(_LAYOUT), "html")).alias("t")).select(
         "page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("chars")
     )
 
 
+# The references of the given pages.
+_PAGE_REFERENCES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
 def _sql_html():
-    out = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+    out = "regexp_replace(html, '<!--.*?(-->|$)', '', 'gs')"
     out = f"regexp_replace({out}, '<(script|style)\\b.*?</(script|style)>', '', 'gsi')"
-    out = f"regexp_replace({out}, '<br\\s*/?>|</(p|div|li|tr|h[1-6]|table|ul|ol)>', chr(10), 'gi')"
-    out = f"regexp_replace({out}, '</t[dh]>', ' ', 'gi')"
+    out = f"regexp_replace({out}, '<br\\s*/?>', chr(10), 'gi')"
+    out = f"regexp_replace(regexp_replace({out}, '<li\\b[^>]*>', chr(1), 'gi'), '</(p|div|li|tr|h[1-6]|table|ul|ol)>', chr(2), 'gi')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for entity, char in text.HTML_ENTITIES.items():
-        out = "replace({}, '{}', '{}')".format(out, entity, char.replace("'", "''"))
-    return f"replace({out}, '&amp;', '&')"
+    # block ends at the start of a line go, others break it; an item starts its own line
+    out = f"regexp_replace(regexp_replace({out}, '\\x02+', chr(2), 'g'), '(^|\\n)\\x02', '\\1', 'g')"
+    out = f"regexp_replace(replace({out}, chr(2), chr(10)), '([^\\n])\\x01', '\\1' || chr(10) || chr(1), 'g')"
+    out = f"replace({out}, chr(1), '- ')"
+    for reference, char in _PAGE_REFERENCES.items():
+        out = f"replace({out}, '{reference}', '{char}')"
+    return f"'{_LAYOUT_TEXT}' || {out}"
 
 
 def _q_sanitise(spark, sf):

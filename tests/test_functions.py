@@ -49,6 +49,24 @@ def test_html(one):
     assert one(text.html_text(F.col("t")), t=html) == "Uno & dos\na b "
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<UL><li>a<ol><li>b</li><li>c</li></ol><li>d</UL>fin", "- a\n  1. b\n  2. c\n- d\nfin"),
+    ("<table><tr><td><p>1</p><p>2</p><td>3<tr><th>4<br>5</table>x", "1 2 3\n4 5\nx"),
+    ("<table><tr><td><table><tr><td>i</td></tr></table>o</td></tr></table>", "i o \n"),
+    ("&#233;&#xE9;&euro;&Ntilde;&amp;lt;&nada;", "éé€Ñ&lt;&nada;"),
+    ("3 < 4 <b title='x>y'>y</b> <!-- sin fin", "3 < 4 y "),
+    ("<style>p{}</style><script>var t='</p>';</script></div>a</li></ol>", "a\n"),
+    ("", ""),
+])
+def test_html_layout(one, html, want):
+    assert one(text.html_text(F.col("t")), t=html) == want
+
+
+def test_html_null_and_unclosed_tags_in_bulk(one):
+    assert one(text.html_text(F.col("t").cast("string")), t=None) is None
+    assert one(F.length(text.html_text(F.col("t"))), t="<td>ñ" * 20000) == 40000 - 1
+
+
 @pytest.mark.parametrize("code,expected", [(" 0119.0", "0119"), (" 077\n", "077"), ("x.0", "x.0")])
 def test_normalise_code(one, code, expected):
     assert one(keys.normalise_code(F.col("c")), c=code) == expected

@@ -315,6 +315,28 @@ def test_validation(spark):
     assert (row.declared, row.matched, row.discard_ratio, row.accepted) == (4, 3, 0.25, True)
 
 
+def test_validation_by_definition(spark):
+    """First bounded place of each surface beside a plain search, in texts with repeats, marks and touching signs."""
+    import re
+
+    rng = random.Random(4)
+    parts = ["dolor", "Dolor", "do", "tos", "(tos)", "tos-do", "éxito", "muy", " ", ", ", ".", "_", "9"]
+    texts = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for i in range(30)}
+    plain = lambda t: t.lower().replace("é", "e")
+    asked = [(i, k, "REACT", "c", s) for i in [*texts, 99] for k, s in enumerate(["DOLOR", "dolor", "do", "(tos)", "tos, ", "exito", "muy dolor", "", None])]
+    docs = spark.createDataFrame([*texts.items(), (98, None)], "doc_id int, text string")
+    declared = spark.createDataFrame([*asked, (98, 0, "SYS", "c", "do")], "doc_id int, pos int, type string, canonical string, surface string")
+    found, outcome = responses.validate_declared(docs, declared, "doc_id")
+    want = set()
+    for i, _, _, _, surface in asked:
+        hit = surface and i in texts and re.search(r"(?<!\w)" + re.escape(plain(surface)) + r"(?!\w)", plain(texts[i]))
+        if hit:
+            want.add((i, surface, *hit.span()))
+    assert set(rows_of(found.select("doc_id", "surface", "start", "end"))) == want
+    counts = {r.doc_id: (r.declared, r.matched) for r in outcome.collect()}
+    assert counts[98] == (1, 0) and counts[99] == (9, 0) and len(counts) == 32
+
+
 def test_extraction_rejects_whole_code(spark):
     rows = [("1", "a", '[{"x":"1"}]'), ("1", "b", "nada"), ("2", "a", '[{"principio activo":""},{"y":"2"}]')]
     df = spark.createDataFrame(rows, "codigo string, activo string, r string")
