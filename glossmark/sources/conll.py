@@ -7,8 +7,18 @@ without a TAB.
 
 from __future__ import annotations
 
+import io
+import os
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Bytes of a file that one task reads.
+RANGE_BYTES = 64 << 20
 
 
 def document_blocks(sentences: DataFrame, key: str) -> DataFrame:
@@ -55,8 +65,77 @@ def parse_blocks(blocks: DataFrame, source: str, text: str) -> DataFrame:
     return rows.select(source, "codigo", "sent_idx", part(0).alias("tokens"), part(1).alias("labels"))
 
 
-def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of CoNLL files. A file is one row, since only its whole lines tell a header from a token."""
-    files = spark.read.text(path, wholetext=True)
-    blocks = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+class ConllSource(DataSource):
+    """Documents of CoNLL files as (path, text), read by byte ranges: ``spark.read.format("conll")``.
+
+    A range owns the documents whose header line begins in it and reads the last of them to its end; the start of a
+    file owns what stands before the first header. One document is held at a time. The path is a file or a
+    folder on any file system Arrow opens by its URI; option ``bytes`` is the size of a range.
+    """
+
+    @classmethod
+    def name(cls):
+        return "conll"
+
+    def schema(self):
+        return "path string, text string"
+
+    def reader(self, schema):
+        return ConllReader(self.options["path"], int(self.options.get("bytes", RANGE_BYTES)))
+
+
+@dataclass
+class ByteRange(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
+class ConllReader(DataSourceReader):
+    def __init__(self, root: str, size: int):
+        self.root, self.size = root if "://" in root else os.path.abspath(root), size
+
+    def partitions(self):
+        files, path = fs.FileSystem.from_uri(self.root)
+        info = files.get_file_info(path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.root)
+        found = [info] if info.is_file else files.get_file_info(fs.FileSelector(path))
+        shown = [f for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
+        return [ByteRange(f.path, at, min(at + self.size, f.size)) for f in shown for at in range(0, f.size, self.size)]
+
+    def read(self, partition):
+        files, _ = fs.FileSystem.from_uri(self.root)
+        with files.open_input_file(partition.path) as source:
+            source.seek(max(partition.start - 1, 0))
+            lines = io.BufferedReader(source, 1 << 20)
+            at = partition.start
+            if at:
+                # the line that the byte before the range belongs to is another range's
+                at += len(lines.readline()) - 1
+            for document in owned_documents(lines, at, partition.end, at == 0):
+                yield partition.path, document.decode("utf-8", "replace")
+
+
+def owned_documents(lines: Iterable[bytes], at: int, end: int, held: bool) -> Iterator[bytes]:
+    """Documents that begin before ``end``, from lines of which the first begins at ``at``; ``held`` if one begins there."""
+    document: list[bytes] | None = [] if held else None
+    for line in lines:
+        if line.startswith(b"# ") and b"\t" not in line:
+            if document:
+                yield b"".join(document)
+            document = [] if at < end else None
+        if document is None and at >= end:
+            return
+        if document is not None:
+            document.append(line)
+        at += len(line)
+    if document:
+        yield b"".join(document)
+
+
+def read_conll(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Sentences of CoNLL files (codigo, sent_idx, tokens, labels); a large file is read in many tasks."""
+    spark.dataSource.register(ConllSource)
+    blocks = spark.read.format("conll").option("bytes", range_bytes).load(path)
     return parse_blocks(blocks, "path", "text").drop("path")

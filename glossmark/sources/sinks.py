@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
@@ -87,3 +92,54 @@ def write_documents(documents: DataFrame, root: str) -> None:
     raw = documents.sparkSession.read.schema(documents.schema).parquet(f"{root}/raw")
     raw.select("codigo", "codigo_variant", "text").write.mode("overwrite").partitionBy("codigo").parquet(f"{root}/txt")
     raw.drop("text").write.mode("overwrite").partitionBy("codigo").json(f"{root}/entities")
+
+
+_MANIFEST = "at long, outputs array<struct<name:string,format:string,path:string,rows:long,schema:string>>"
+
+
+def write_committed(spark: SparkSession, outputs: dict[str, tuple[str, DataFrame | Callable]], root: str) -> None:
+    """Write several outputs, name to (format, rows), that become visible together.
+
+    Each goes to a new folder below ``root``; then one manifest row that names the folders and counts their rows is
+    appended, and that one-file append is the commit. A run that fails earlier leaves the last committed state as it
+    was. Rows are counted while they are written. ``rows`` may be a function: it gets the outputs written
+    so far, so what derives from them reads them instead of computing them again.
+    """
+    folder, done, entries = f"{root}/data/{uuid.uuid4().hex}", {}, []
+    for name, (kind, rows) in outputs.items():
+        rows, seen = rows(done) if callable(rows) else rows, Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(kind).save(f"{folder}/{name}")
+        done[name] = spark.read.schema(rows.schema).format(kind).load(f"{folder}/{name}")
+        entries.append((name, kind, f"{folder}/{name}", seen.get["rows"], rows.schema.json()))
+    spark.createDataFrame([(time.time_ns(), entries)], _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifest")
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """(name, format, path, rows, schema) of each output of the last committed run."""
+    runs = spark.read.schema(_MANIFEST).json(f"{root}/manifest")
+    return runs.agg(F.max_by("outputs", "at").alias("o")).select(F.inline("o"))
+
+
+def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One output of the last committed run."""
+    entry = committed(spark, root).where(F.col("name") == name).first()
+    if entry is None:
+        raise KeyError(f"no committed output {name!r} in {root}")
+    return spark.read.schema(StructType.fromJson(json.loads(entry.schema))).format(entry.format).load(entry.path)
+
+
+def commit_documents(documents: DataFrame, root: str) -> None:
+    """Raw payload, texts and entities of validated documents as one committed run; the documents are computed once."""
+    write_committed(documents.sparkSession, {
+        "raw": ("parquet", documents),
+        "txt": ("parquet", lambda done: done["raw"].select("codigo", "codigo_variant", "text")),
+        "entities": ("json", lambda done: done["raw"].drop("text")),
+    }, root)
+
+
+def commit_prompts(prompts: DataFrame, root: str) -> None:
+    """Prompt rows and the number of prompts of each code as one committed run."""
+    write_committed(prompts.sparkSession, {
+        "prompts": ("json", prompts),
+        "counts": ("parquet", lambda done: done["prompts"].groupBy("codigo").agg(F.count("*").alias("prompts"))),
+    }, root)

@@ -1,6 +1,7 @@
 """Readers, writers and the landing stream on temporary folders."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,65 @@ def test_conll_headers_and_tokens(spark, tmp_path):
     assert got == [("", 0, ["tok"]), ("01", 0, ["# x", "y"]), ("01", 1, ["# z"]), ("02", 0, ["w"])]
 
 
+def test_conll_ranges_equal_whole_file(spark, tmp_path):
+    """Whatever the size of the ranges, each document is read once and whole."""
+    from glossmark.sources import conll
+
+    rng = random.Random(3)
+    body = "".join(
+        f"# {i}\n" + "".join(rng.choice(["a\tO\n", "# b\tB-X\n", "#\tO\n", "é\tO\r\n", "\n"]) for _ in range(rng.randint(0, 9))) + "\n"
+        for i in range(60))
+    for name, start in (("a.conll", ""), ("b.conll", "t\tO\n\n"), ("_c.conll", "no\tO\n")):
+        (tmp_path / name).write_bytes((start + body).encode())
+    (tmp_path / "empty.conll").write_text("")
+
+    def rows(size):
+        return sorted((r.codigo or "", r.sent_idx, r.tokens, r.labels) for r in conll.read_conll(spark, str(tmp_path), size).collect())
+
+    whole = rows(1 << 20)
+    assert len({c for c, *_ in whole}) > 40 and ("", 0, ["t"], ["O"]) in whole and not any("no" in t for _, _, t, _ in whole)
+    texts = spark.read.text([str(tmp_path / "a.conll"), str(tmp_path / "b.conll")], wholetext=True).withColumn("path", F.lit("p"))
+    plain = conll.parse_blocks(texts, "path", "value").collect()
+    assert whole == sorted((r.codigo or "", r.sent_idx, r.tokens, r.labels) for r in plain)
+    for size in (41, 1001):
+        assert rows(size) == whole
+
+
+def test_conll_range_owns_each_document_once():
+    from glossmark.sources.conll import owned_documents
+
+    data = b"x\tO\n# 1\na\tO\n# b\tO\n\n# 2\n# 3\nc\tO"
+    for size in range(1, len(data) + 2):
+        got = []
+        for start in range(0, len(data), size):
+            at = start if not start else start + len(data[start - 1:].split(b"\n", 1)[0])
+            got += owned_documents(data[at:].splitlines(keepends=True), at, min(start + size, len(data)), start == 0)
+        assert got == [b"x\tO\n", b"# 1\na\tO\n# b\tO\n\n", b"# 2\n", b"# 3\nc\tO"]
+
+
+def test_committed_outputs(spark, tmp_path):
+    root = str(tmp_path / "run")
+    kind = "codigo_variant string, text string, entities array<struct<type:string,surface:string>>, codigo string"
+    sinks.commit_documents(spark.createDataFrame([("1_v1", "t", [("REACT", "s")], "1"), ("2_v1", None, [], "2")], kind), root)
+    assert {r.name: r.rows for r in sinks.committed(spark, root).collect()} == {"raw": 2, "txt": 2, "entities": 2}
+    assert sinks.read_committed(spark, root, "entities").where("codigo = '1'").first().entities[0].surface == "s"
+    broken = spark.createDataFrame([("3_v1", "u", [], "3")], kind)
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_committed(spark, {"raw": ("parquet", broken), "txt": ("parquet", broken.select(F.raise_error(F.lit("stop")).alias("x")))}, root)
+    assert sorted(r.codigo for r in sinks.read_committed(spark, root, "raw").collect()) == ["1", "2"]
+    sinks.commit_documents(broken.limit(0), root)
+    assert [sinks.read_committed(spark, root, n).count() for n in ("raw", "txt", "entities")] == [0, 0, 0]
+    with pytest.raises(KeyError):
+        sinks.read_committed(spark, root, "other")
+
+
+def test_committed_prompts(spark, tmp_path):
+    prompts = spark.createDataFrame([("1", "p"), ("1", "q"), ("2", "r")], "codigo string, prompt string")
+    sinks.commit_prompts(prompts, str(tmp_path / "p"))
+    assert {r.codigo: r.prompts for r in sinks.read_committed(spark, str(tmp_path / "p"), "counts").collect()} == {"1": 2, "2": 1}
+    assert sinks.read_committed(spark, str(tmp_path / "p"), "prompts").count() == 3
+
+
 def test_landing_resumes(spark, tmp_path):
     landing, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     landing.mkdir()
