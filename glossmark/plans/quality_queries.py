@@ -335,7 +335,7 @@ UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR), count(*) FROM d WHERE toxic IS
     "split_report": _INHERITED
     + """SELECT count(DISTINCT codigo) FILTER (WHERE split = 'train') AS train_codes, count(DISTINCT codigo) FILTER (WHERE split = 'test') AS test_codes,
   count(DISTINCT orig_codigo) FILTER (WHERE split = 'train') AS train_parents, count(DISTINCT orig_codigo) FILTER (WHERE split = 'test') AS test_parents,
-  0 AS leaked, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows FROM sr""",
+  (SELECT count(*) FROM (SELECT orig_codigo FROM sr GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS leaked, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows FROM sr""",
     "entity_split": _SQL_ENTITY,
     "row_split": _SQL_ROW,
     "inherit_split": _INHERITED + "SELECT codigo, split, count(*) AS n_rows FROM sr GROUP BY 1, 2",

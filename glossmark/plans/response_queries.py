@@ -152,7 +152,9 @@ cut AS (SELECT *, regexp_extract(response, '(?ms)^```[^\\n`]*\\n(.*?)\\n```[ \\t
     CASE WHEN strpos(response, '{') > 0 AND strpos(response, '}') > 0 AND length(response) - strpos(reverse(response), '}') + 1 > strpos(response, '{')
       THEN substr(response, strpos(response, '{'), length(response) - strpos(reverse(response), '}') + 2 - strpos(response, '{')) END AS wide,
     CASE WHEN strpos(response, '[') > 0 AND strpos(response, ']') > 0 AND length(response) - strpos(reverse(response), ']') + 1 > strpos(response, '[')
-      THEN substr(response, strpos(response, '['), length(response) - strpos(reverse(response), ']') + 2 - strpos(response, '[')) END AS list FROM ans)"""
+      THEN substr(response, strpos(response, '['), length(response) - strpos(reverse(response), ']') + 2 - strpos(response, '[')) END AS list FROM ans),
+par AS (SELECT *, CASE WHEN json_valid(list) THEN CASE WHEN json_type(list) = 'ARRAY' THEN json_extract(list, '$[*]') END END AS cells FROM cut),
+rd AS (SELECT *, coalesce(len(list_filter(cells, lambda x: json_type(x) <> 'OBJECT')) = 0, false) AS ok FROM par)"""
 
 
 def _q_json_object(spark, sf):
@@ -166,8 +168,7 @@ def _q_json_array(spark, sf):
     )
 
 
-_SQL_JSON_ARRAY = with_ctes(_SQL_ANSWERS) + """SELECT event_id, CASE WHEN event_id % 6 = 2 AND json_valid(list) THEN json_array_length(list) END AS n_items,
-  NOT coalesce(json_valid(list) AND json_type(list) = 'ARRAY' AND json_type(list, '$[0]') = 'OBJECT', false) AS failed FROM cut"""
+_SQL_JSON_ARRAY = with_ctes(_SQL_ANSWERS) + "SELECT event_id, CASE WHEN ok THEN len(cells) END AS n_items, NOT ok AS failed FROM rd"
 
 
 def _q_coerce(spark, sf):
@@ -177,8 +178,15 @@ def _q_coerce(spark, sf):
     )
 
 
-_SQL_COERCE = """SELECT event_id, pos, 'REACT' AS type, event_type AS canonical, event_type AS surface
-FROM events, (VALUES (0), (1)) AS p(pos) WHERE event_id % 6 = 2 AND event_id % 5 <> 0"""
+def _sql_first(keys):
+    """First non-empty field of a JSON cell x, trimmed."""
+    return "trim(coalesce(" + ", ".join(f"nullif(x->>'$.{k}', '')" for k in keys) + ", ''))"
+
+
+_SQL_COERCE = with_ctes(_SQL_ANSWERS) + f""", cl AS (SELECT event_id, unnest(cells) AS x, generate_subscripts(cells, 1) AS i FROM rd WHERE ok),
+fl AS (SELECT event_id, i, upper({_sql_first(responses.TYPE_KEYS)}) AS type, {_sql_first(responses.CANONICAL_KEYS)} AS canonical, {_sql_first(responses.SURFACE_KEYS)} AS surface FROM cl)
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY i) - 1 AS INT) AS pos, type, canonical, surface
+FROM fl WHERE type IN ('REACT', 'ACTIVE', 'FREQ', 'SYS') AND surface <> ''"""
 
 
 def _q_extraction(spark, sf):
@@ -190,9 +198,8 @@ def _q_extraction(spark, sf):
     )
 
 
-_SQL_EXTRACTION = """SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE event_id % 6 <> 2) AS errors,
-  CASE WHEN count(*) FILTER (WHERE event_id % 6 <> 2) > 0 THEN 'error' ELSE 'processed' END AS status,
-  CASE WHEN count(*) FILTER (WHERE event_id % 6 <> 2) > 0 THEN 0 ELSE 2 * count(*) END AS records FROM events GROUP BY user_id"""
+_SQL_EXTRACTION = with_ctes(_SQL_ANSWERS) + """SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS errors,
+  CASE WHEN bool_and(ok) THEN 'processed' ELSE 'error' END AS status, CASE WHEN bool_and(ok) THEN CAST(sum(len(cells)) AS BIGINT) ELSE 0 END AS records FROM rd GROUP BY user_id"""
 
 
 def declared(spark, sf):

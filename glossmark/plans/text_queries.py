@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossmark.functions import keys, labels, prompts, text
 from glossmark.functions.numeric import argmax, cosine, top_k_hit, warmup_steps
-from glossmark.operators import masking, quality
+from glossmark.operators import masking, quality, subwords
 from glossmark.plans.inputs import (
     SQL_ANNOTATIONS, annotations, documents, hashed_sentences, SQL_WORDS, sql_round, sql_trim, spread, table, with_ctes,
 )
@@ -330,6 +331,53 @@ _SQL_SUBWORDS = with_ctes(SQL_WORDS) + """SELECT doc_id, sent_idx, CAST(sum(ceil
 FROM words GROUP BY doc_id, sent_idx"""
 
 
+def piece_table(spark, sf):
+    """(piece, piece_id): beginnings of up to four letters and inner parts of up to three of the benchmark's words."""
+    found = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[ \n]")).alias("w")).where("w <> ''").distinct()
+    heads = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substr("w", F.lit(1), n))
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(8)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.lit(3)), lambda n: F.concat(F.lit("##"), F.substr("w", i, n)))))
+    pieces = found.select(F.explode(F.concat(heads, inner)).alias("piece")).where("piece <> '##'").distinct()
+    return pieces.select("piece", F.row_number().over(Window.orderBy("piece")).alias("piece_id"))
+
+
+def _encoded(spark, sf):
+    return subwords.encode_sentences(hashed_sentences(spark, sf), piece_table(spark, sf))
+
+
+def _q_subword_pieces(spark, sf):
+    """Pieces of each sentence, their ids in order, and the labels of first pieces."""
+    vocabulary = labels.label_vocabulary(["REACT", "ACTIVE", "FREQ", "SYS"])
+    aligned = subwords.first_piece_labels(F.col("pieces"), labels.labels_to_ids(F.col("gold"), vocabulary))
+    rows = _encoded(spark, sf).select("doc_id", "sent_idx", F.flatten("pieces").alias("ids"), aligned.alias("a"))
+    return rows.select("doc_id", "sent_idx", F.size("ids").cast("long").alias("n_pieces"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+                       F.md5(F.array_join("a", ",")).alias("labels_md5"))
+
+
+def _q_subword_totals(spark, sf):
+    return subwords.token_totals(_encoded(spark, sf), 32)
+
+
+_SQL_PIECES = SQL_WORDS.replace("dl AS (", "RECURSIVE dl AS (", 1) + """, bw AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS w FROM benchmark) WHERE w <> ''),
+pc AS (SELECT DISTINCT piece FROM (SELECT substr(w, 1, n) AS piece FROM bw, range(1, 5) r(n)
+  UNION ALL SELECT '##' || substr(w, i, n) FROM bw, range(2, 9) a(i), range(1, 4) b(n)) WHERE piece <> '##'),
+pv AS MATERIALIZED (SELECT piece, CAST(row_number() OVER (ORDER BY piece) AS INT) AS id FROM pc),
+st(word, pos, ids) AS (
+  SELECT word, CAST(1 AS BIGINT), CAST([] AS INT[]) FROM (SELECT DISTINCT word FROM words WHERE length(word) <= 100)
+  UNION ALL
+  SELECT word, pos + n, list_append(ids, id) FROM (
+    SELECT x.word, x.pos, x.ids, x.n, pv.id, max(x.n) OVER (PARTITION BY x.word) AS best
+    FROM (SELECT word, pos, ids, n, (CASE WHEN pos = 1 THEN '' ELSE '##' END) || substr(word, pos, n) AS piece
+      FROM st, range(1, 5) t(n) WHERE pos + n <= length(word) + 1) x JOIN pv ON pv.piece = x.piece) WHERE n = best),
+en AS MATERIALIZED (SELECT w.word, coalesce(e.ids, [0]) AS ids FROM (SELECT DISTINCT word FROM words) w
+  LEFT JOIN (SELECT word, ids FROM st WHERE pos = length(word) + 1) e ON e.word = w.word),
+sw AS (SELECT doc_id, sent_idx, i, gold, ids, CASE gold WHEN 'O' THEN 0 WHEN 'B-REACT' THEN 1 WHEN 'I-REACT' THEN 2 WHEN 'B-ACTIVE' THEN 3
+    WHEN 'I-ACTIVE' THEN 4 WHEN 'B-FREQ' THEN 5 WHEN 'I-FREQ' THEN 6 WHEN 'B-SYS' THEN 7 WHEN 'I-SYS' THEN 8 END AS l FROM words JOIN en USING (word)),
+ss AS (SELECT doc_id, sent_idx, sum(len(ids)) AS n, count(*) AS words, count(*) FILTER (WHERE ids = [0]) AS unknown,
+    string_agg(array_to_string(ids, ','), ',' ORDER BY i) AS ids, string_agg(CAST(l AS VARCHAR) || repeat(',-100', len(ids) - 1), ',' ORDER BY i) AS labels
+  FROM sw GROUP BY 1, 2)"""
+
+
 def _q_logits(spark, sf):
     return table(spark, sf, "embeddings").select(
         "vec_id",
@@ -408,6 +456,8 @@ QUERIES = {
     "sublist_search": _q_sublist,
     "label_ids": _q_label_ids,
     "subword_alignment": _q_subwords,
+    "subword_pieces": _q_subword_pieces,
+    "subword_totals": _q_subword_totals,
     "logit_ranks": _q_logits,
     "cosine_agreement": _q_cosine,
     "warmup_steps": _q_warmup,
@@ -444,6 +494,10 @@ SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM s""",
     "sublist_search": _SQL_SUBLIST,
     "label_ids": _SQL_LABEL_IDS,
     "subword_alignment": _SQL_SUBWORDS,
+    "subword_pieces": with_ctes(_SQL_PIECES)
+    + "SELECT doc_id, sent_idx, CAST(n AS BIGINT) AS n_pieces, md5(ids) AS ids_md5, md5(labels) AS labels_md5 FROM ss",
+    "subword_totals": with_ctes(_SQL_PIECES) + """SELECT count(*) AS sentences, CAST(sum(words) AS BIGINT) AS words, CAST(sum(unknown) AS BIGINT) AS unknown,
+  CAST(sum(n) AS BIGINT) AS pieces, CAST(sum(least(n + 2, 32)) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE n + 2 > 32) AS BIGINT) AS cut FROM ss""",
     "logit_ranks": """SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS predicted,
   len(list_filter(embedding, lambda v: v > embedding[1])) < 1 AS top1, len(list_filter(embedding, lambda v: v > embedding[1])) < 5 AS top5 FROM embeddings""",
     "cosine_agreement": _SQL_COSINE,
