@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossmark.functions import prompts
 from glossmark.functions.labels import ENTITY_COLUMNS
 from glossmark.functions.text import fold, words
-from glossmark.operators import consolidation, masking, responses, selection
+from glossmark.operators import consolidation, evaluation, masking, responses, selection
 from glossmark.plans.inputs import (
     ANNOTATION_ORDER, ROW_ID, SQL_ANNOTATIONS, SQL_ORDER, annotations, documents, spread, table, with_ctes,
 )
@@ -120,6 +121,53 @@ def _q_contexts(spark, sf):
     return rows.select("codigo", "medicamento", F.array_join("active_ingredients", "|").alias("actives"))
 
 
+def _q_first_medicine(spark, sf):
+    return consolidation.first_medicine(annotations(spark, sf), ANNOTATION_ORDER)
+
+
+def _q_keys(spark, sf):
+    """Evaluation keys of reactions with a ligature, a sharp s and spaces about them, and of frequencies with gaps."""
+    rows = annotations(spark, sf).select(
+        F.concat(F.lit("\u00a0"), "reacadv", F.lit(" ﬁN Straße\t")).alias("reacadv"), "frecuencia")
+    return evaluation.evaluation_keys(rows, "reacadv", "frecuencia").groupBy("reacadv_key", "frecuencia_key").agg(F.count("*").alias("n"))
+
+
+_SQL_KEYS = _ANN + """SELECT lower(reacadv) || ' fin strasse' AS reacadv_key, coalesce(lower(trim(frecuencia)), 'nan') AS frecuencia_key, count(*) AS n
+FROM ann GROUP BY 1, 2"""
+
+_STYLE = "Estilo: breve."
+
+
+def _q_long_prompts(spark, sf):
+    """One request for a full section per code, from its medicine, ingredients and reaction table."""
+    about = selection.drug_contexts(annotations(spark, sf), ANNOTATION_ORDER)
+    rows = about.join(selection.reaction_table(_groups(spark, sf)), "codigo")
+    shown = prompts.render_messages(prompts.long_document_messages(
+        F.col("medicamento"), F.array_join("active_ingredients", ", "), F.col("table_text"), F.lit(_STYLE)))
+    return rows.select("codigo", F.md5(shown).alias("prompt_md5"), F.length(shown).cast("long").alias("chars"))
+
+
+_OPENING = "'[SYSTEM]' || chr(10) || 'Generas textos clínicos en español.' || chr(10) || chr(10) || '[USER]' || chr(10)"
+_CLOSING = "chr(10) || 'Responde con un objeto JSON: text y entities (type, canonical, surface).'"
+_SQL_LONG_PROMPTS = _SQL_TABLE.rpartition("\nSELECT")[0] + f""", tt AS (SELECT codigo, string_agg(sistema || chr(10) || body, chr(10) ORDER BY seen) AS t FROM sy GROUP BY codigo),
+ab AS (SELECT codigo, arg_min(medicamento, row({SQL_ORDER})) AS m, string_agg(DISTINCT pactivo, ', ' ORDER BY pactivo) AS a FROM ann GROUP BY codigo),
+pr AS (SELECT codigo, {_OPENING} || 'Escribe una sección de reacciones adversas para ' || m || ' (' || a || ').' || chr(10) || '{_STYLE}' || chr(10) || 'Tabla:'
+  || chr(10) || t || {_CLOSING} AS s FROM ab JOIN tt USING (codigo))
+SELECT codigo, md5(s) AS prompt_md5, length(s) AS chars FROM pr"""
+
+
+def _q_snippet_prompts(spark, sf):
+    """Requests for one sentence about each annotated reaction; a row with a gap gives none."""
+    shown = prompts.render_messages(prompts.snippet_messages(*map(F.col, ("pactivo", "reacadv", "frecuencia", "sistema")), F.lit(_STYLE)))
+    rows = annotations(spark, sf).dropna(subset=["pactivo", "reacadv", "frecuencia", "sistema"])
+    return rows.groupBy("codigo", F.md5(shown).alias("prompt_md5")).agg(F.count("*").alias("n"))
+
+
+_SQL_SNIPPET_PROMPTS = _ANN + f"""SELECT codigo, md5({_OPENING} || 'Escribe una frase sobre ' || reacadv || ' (' || frecuencia || ', ' || sistema || ') con ' || pactivo || '.' || chr(10)
+  || '{_STYLE}' || {_CLOSING}) AS prompt_md5, count(*) AS n FROM ann
+WHERE pactivo IS NOT NULL AND reacadv IS NOT NULL AND frecuencia IS NOT NULL AND sistema IS NOT NULL GROUP BY 1, 2"""
+
+
 # --- responses ------------------------------------------------------------------
 
 
@@ -379,6 +427,10 @@ QUERIES = {
     "gold_answer": _q_gold_answer,
     "drug_contexts": _q_contexts,
     "json_object": _q_json_object,
+    "first_medicine": _q_first_medicine,
+    "evaluation_keys": _q_keys,
+    "long_prompts": _q_long_prompts,
+    "snippet_prompts": _q_snippet_prompts,
     "json_array": _q_json_array,
     "coerce_entities": _q_coerce,
     "extraction_run": _q_extraction,
@@ -413,6 +465,10 @@ SELECT CASE WHEN form IN (SELECT word FROM vocab) THEN 'medical' ELSE 'generic'
     + f"""SELECT codigo, arg_min(medicamento, row({SQL_ORDER})) AS medicamento, string_agg(DISTINCT pactivo, '|' ORDER BY pactivo) AS actives FROM ann GROUP BY codigo""",
     "json_object": with_ctes(_SQL_ANSWERS)
     + """SELECT event_id, CASE WHEN fenced <> '' AND json_valid(fenced) THEN fenced WHEN json_valid(wide) THEN wide END AS object FROM cut""",
+    "first_medicine": _ANN + f"SELECT codigo, arg_min(medicamento, row({SQL_ORDER})) AS medicamento FROM ann WHERE medicamento IS NOT NULL GROUP BY codigo",
+    "evaluation_keys": _SQL_KEYS,
+    "long_prompts": _SQL_LONG_PROMPTS,
+    "snippet_prompts": _SQL_SNIPPET_PROMPTS,
     "json_array": _SQL_JSON_ARRAY,
     "coerce_entities": _SQL_COERCE,
     "extraction_run": _SQL_EXTRACTION,
