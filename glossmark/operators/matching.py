@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
 from glossmark.operators.automaton import Chooser, Finder, Span, chosen
-from glossmark.operators.tokens import bio_tokens
+from glossmark.operators.tokens import bio_tokens, pattern_pieces
 
 # Singular and plural surface forms of the frequency categories.
 FREQUENCY_FORMS = (
@@ -224,13 +224,14 @@ def project_labels(tokens: DataFrame, spans: DataFrame, doc_key: str) -> DataFra
     return raw.withColumn("label", label).drop("_raw")
 
 
-def label_documents(found: DataFrame, doc_key: str, text: str = "text", *keep: str) -> DataFrame:
+def label_documents(found: DataFrame, doc_key: str, text: str = "text", *keep: str, cut: Callable[[Column], Column] = pattern_pieces) -> DataFrame:
     """Labelled tokens of documents with resolved ``spans`` (of ``search``): key, kept columns, idx, token, start, end,
     sent_idx, label.
 
-    The document's sorted spans and its token array are merged inside its row; no token is shuffled or sorted.
+    The document's sorted spans and its token array are merged inside its row; no token is shuffled or sorted. ``cut`` is the
+    tokenizer, by pattern or by word rules (``word_rules.word_pieces``).
     """
-    return bio_tokens(found, doc_key, text, *keep, spans="spans")
+    return bio_tokens(found, doc_key, text, *keep, spans="spans", cut=cut)
 
 
 def sentence_rows(labelled: DataFrame, doc_key: str) -> DataFrame:

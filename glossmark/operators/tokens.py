@@ -8,6 +8,8 @@ is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,7 @@ BIO_TOKEN = (
 CLOSERS = (".", "!", "?", "…")
 
 
-def _without_marks(text: Column) -> Column:
+def without_marks(text: Column) -> Column:
     return F.translate(text, MARK, "\ufffd")
 
 
@@ -85,15 +87,23 @@ def merged_labels(starts: pd.Series, sentences: pd.Series, spans: pd.Series) ->
     return pd.Series([label(*x) for x in zip(starts, sentences, spans, strict=True)], dtype=object)
 
 
-def bio_tokens(docs: DataFrame, key: str, text: str = "text", *keep: str, spans: str | None = None) -> DataFrame:
+def pattern_pieces(text: Column) -> Column:
+    """The text cut behind each ``BIO_TOKEN``; a piece holds the white space before its token."""
+    marked = F.regexp_replace(without_marks(text), f"(?U)({BIO_TOKEN})", "$1" + MARK)
+    return F.filter(F.split(marked, MARK), lambda p: p != "")
+
+
+def bio_tokens(
+    docs: DataFrame, key: str, text: str = "text", *keep: str, spans: str | None = None, cut: Callable[[Column], Column] = pattern_pieces,
+) -> DataFrame:
     """One row per word-level token: key, kept columns, idx, token, start, end, sent_idx.
 
     A sentence starts after a line break, and at the first token that is not
     punctuation after a closing sign. ``spans`` names a column of sorted spans; tokens then get a label too.
+    ``cut`` makes the array of pieces that join to the text.
     """
-    marked = F.regexp_replace(_without_marks(F.col(text)), f"(?U)({BIO_TOKEN})", "$1" + MARK)
     held = () if spans is None else (F.col(spans).alias("_spans"),)
-    pieces = docs.select(key, *keep, *held, F.filter(F.split(marked, MARK), lambda p: p != "").alias("_pieces"))
+    pieces = docs.select(key, *keep, *held, cut(F.col(text)).alias("_pieces"))
     bare = lambda p: F.regexp_replace(p, r"(?U)^\s+", "")
 
     def code(piece: Column) -> Column:

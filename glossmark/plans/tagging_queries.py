@@ -8,6 +8,7 @@ from glossmark.functions.labels import label_spans, repair_bio
 from glossmark.functions.text import fold
 from glossmark.operators import matching, quality, splits
 from glossmark.operators.tokens import bio_tokens
+from glossmark.operators.word_rules import SIGNS, SPANISH, UNITS, rule_tokens
 from glossmark.plans.inputs import (
     SQL_ANNOTATIONS, SQL_MENTIONS, SQL_WORDS, annotations, documents, hashed_sentences, mentions, sql_round, table, with_ctes,
 )
@@ -37,6 +38,17 @@ def labelled(spark, sf, types=TYPES):
 _W = "\\pL\\pN_\\x{c0}-\\x{17f}"
 _CUT = f"regexp_replace(f, '([{_W}]+|[^{_W}\\s])', '\\1' || chr(57344), 'g')"
 
+
+def _infixes(word: str) -> str:
+    """SQL that puts a mark at each infix; neighbours share a letter, so each rule is applied twice."""
+    between = [("([0-9])([+*^])([0-9-])", 3), ("(\\.{2,}|…|--+)", 1), ("(\\pL)(,)(\\pL)", 3), ("([\\pL0-9])([:<>=/])(\\pL)", 3), ("(\\p{Ll})(\\.)(\\p{Lu})", 3)]
+    for rule, groups in between:
+        by = "'\\1' || chr(57344) || '\\2' || chr(57344) || '\\3'" if groups == 3 else "chr(57344) || '\\1' || chr(57344)"
+        for _ in range(2 if groups == 3 else 1):
+            word = f"regexp_replace({word}, '{rule}', {by}, 'g')"
+    return word
+
+
 #: Atoms of the folded text with code-point offsets.
 SQL_ATOMS = f"""fd AS (SELECT doc_id, source, lower(strip_accents(text)) AS f FROM documents),
 fc AS (SELECT doc_id, source, f, string_split({_CUT}, chr(57344)) AS p FROM fd),
@@ -77,9 +89,11 @@ resolved AS (SELECT doc_id, t.type AS type, t.mention AS mention, t.s AS start,
 _BIO = "([0-9]+(?:[.,][0-9]+)*%?|[\\pL\\pN_]+(?:[-.][\\pL\\pN_]+)*|--+|[^\\pL\\pN_\\s])"
 
 #: Word-level tokens with offsets and sentence numbers.
-SQL_TOKENS = f"""tc AS (SELECT doc_id, string_split(regexp_replace(text, '{_BIO}', '\\1' || chr(57344), 'g'), chr(57344)) AS p FROM documents),
+_SQL_CUT = f"""tc AS (SELECT doc_id, string_split(regexp_replace(text, '{_BIO}', '\\1' || chr(57344), 'g'), chr(57344)) AS p FROM documents),
 tp AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS idx FROM tc),
-tt AS (SELECT doc_id, idx, regexp_replace(p, '^\\s+', '') AS token, contains(left(p, length(p) - length(regexp_replace(p, '^\\s+', ''))), chr(10)) AS breaks,
+"""
+#: From pieces with the white space before them to tokens with offsets and sentences.
+_SQL_OF_PIECES = """tt AS (SELECT doc_id, idx, regexp_replace(p, '^\\s+', '') AS token, contains(left(p, length(p) - length(regexp_replace(p, '^\\s+', ''))), chr(10)) AS breaks,
     sum(length(p)) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS e FROM tp),
 tk AS (SELECT doc_id, idx, token, breaks, CAST(e - length(token) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end",
     regexp_matches(token, '^\\pP+$') AS sign FROM tt WHERE token <> ''),
@@ -89,6 +103,34 @@ tw AS (SELECT *, max(CASE WHEN token IN ('.', '!', '?', '…') THEN idx END) OVE
 tokens AS (SELECT doc_id, idx, token, start, "end",
     CAST(sum(CASE WHEN idx > 0 AND (breaks OR (NOT sign AND coalesce(closed_at > spoke_at, false))) THEN 1 ELSE 0 END)
       OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent_idx FROM tw)"""
+SQL_TOKENS = _SQL_CUT + _SQL_OF_PIECES
+
+_NOTE = ("\nDosis aprox. ", "doc_id", "mg/día (p.ej. ", "n_chars", "%), vía i.v. cada ", "doc_id", "h... ¿", "source", "? Dr. ", "lang", ":pal EE.UU. Fin.Otra a,b,c")
+_MARKED = "chr(57344)"
+_quoted = lambda text: text.replace("'", "''")
+
+#: Word rules as a recursion over distinct words: one sign comes off at a step, then marks at infixes.
+SQL_RULE_TOKENS = f"""ex(w, parts) AS (VALUES {", ".join(f"('{_quoted(w)}', [{', '.join(f"'{_quoted(x)}'" for x in parts)}])" for w, parts in SPANISH.exceptions.items())}),
+nd AS (SELECT doc_id, text || {" || ".join(x if x in ("doc_id", "n_chars", "source", "lang") else f"'{x}'" for x in _NOTE)} AS text FROM documents),
+nc AS (SELECT doc_id, string_split(regexp_replace(text, '(\\S+)', '\\1' || {_MARKED}, 'g'), {_MARKED}) AS p FROM nd),
+np AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM nc),
+nw AS (SELECT doc_id, i, p, regexp_replace(p, '^\\s+', '') AS w FROM np),
+peel(w, front, mid, back, done, whole) AS (
+  SELECT DISTINCT w, CAST([] AS VARCHAR[]), w, CAST([] AS VARCHAR[]), w = '', CAST(NULL AS VARCHAR[]) FROM nw
+  UNION ALL
+  SELECT w, CASE WHEN NOT held AND pre <> '' THEN list_append(front, pre) ELSE front END,
+    CASE WHEN held THEN mid WHEN pre <> '' THEN substr(mid, length(pre) + 1) ELSE left(mid, length(mid) - length(suf)) END,
+    CASE WHEN NOT held AND pre = '' AND suf <> '' THEN list_prepend(suf, back) ELSE back END,
+    held OR (pre = '' AND suf = ''), CASE WHEN held THEN coalesce(parts, [mid]) END
+  FROM (SELECT peel.w, front, mid, back, ex.parts, ex.parts IS NOT NULL OR regexp_matches(mid, '^\\pL\\.$') OR mid = '' AS held,
+      CASE WHEN regexp_matches(mid, '^\\+[0-9]') THEN '' ELSE regexp_extract(mid, '^(\\.{{2,}}|[{_quoted(SIGNS)}%]|\\+)', 1) END AS pre,
+      coalesce(nullif(regexp_extract(mid, '(\\.{{2,}}|[{_quoted(SIGNS)}]|[''’]s)$', 1), ''), regexp_extract(mid, '[0-9]({"|".join(UNITS)}|\\+)$', 1)) AS suf
+    FROM peel LEFT JOIN ex ON ex.w = mid WHERE NOT done)),
+cut AS (SELECT w, list_concat(list_concat(front, coalesce(whole, list_filter(string_split({_infixes("mid")}, {_MARKED}), lambda x: x <> ''))), back) AS parts FROM peel WHERE done),
+cp AS (SELECT doc_id, i, left(p, length(p) - length(nw.w)) AS lead, unnest(CASE WHEN len(parts) = 0 THEN [''] ELSE parts END) AS part,
+    generate_subscripts(CASE WHEN len(parts) = 0 THEN [''] ELSE parts END, 1) AS k FROM nw JOIN cut ON cut.w = nw.w),
+tp AS (SELECT doc_id, CASE WHEN k = 1 THEN lead ELSE '' END || part AS p, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS idx FROM cp),
+""" + _SQL_OF_PIECES
 
 SQL_LABELLED = """tl AS (SELECT t.*, CASE WHEN r.start IS NULL THEN 'O' WHEN r.start = t.start THEN 'B-' || r.type ELSE 'I-' || r.type END AS raw
   FROM tokens t LEFT JOIN resolved r ON r.doc_id = t.doc_id AND t.start >= r.start AND t.start < r."end"),
@@ -143,6 +185,16 @@ def _q_tokens(spark, sf):
     )
 
 
+def _q_rule_tokens(spark, sf):
+    """Tokens by word rules; each text gets a note with its row's figures in the manner of a leaflet."""
+    note = [F.col(x) if x in ("doc_id", "n_chars", "source", "lang") else F.lit(x) for x in _NOTE]
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", *note).alias("text"))
+    return rule_tokens(docs, "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("n_tokens"), F.countDistinct("token").alias("n_forms"), F.countDistinct("sent_idx").alias("n_sentences"),
+        F.max("end").cast("long").alias("last_end"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "token"))), lambda t: t["token"]), " ").cast("binary")).alias("tokens_md5"))
+
+
 def _q_sentences(spark, sf):
     return bio_tokens(texts(spark, sf).select("doc_id", "text"), "doc_id").groupBy("doc_id", "sent_idx").agg(
         F.count("*").alias("n_tokens"), F.min("start").cast("long").alias("start")
@@ -272,6 +324,7 @@ QUERIES = {
     "span_resolve": _q_resolved,
     "offset_integrity": _q_offsets,
     "token_counts": _q_tokens,
+    "rule_token_counts": _q_rule_tokens,
     "sentence_counts": _q_sentences,
     "bio_tag": _q_tagged,
     "bio_label_counts": _q_label_counts,
@@ -298,6 +351,9 @@ ORACLES = {
   <> lower(strip_accents(r.mention))) AS mismatches FROM resolved r JOIN documents d USING (doc_id) GROUP BY r.type""",
     "token_counts": with_ctes(SQL_TOKENS)
     + 'SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_forms, max("end") AS last_end FROM tokens GROUP BY doc_id',
+    "rule_token_counts": with_ctes(SQL_RULE_TOKENS).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_forms, count(DISTINCT sent_idx) AS n_sentences, max("end") AS last_end,
+  md5(string_agg(token, ' ' ORDER BY start)) AS tokens_md5 FROM tokens GROUP BY doc_id""",
     "sentence_counts": with_ctes(SQL_TOKENS)
     + "SELECT doc_id, sent_idx, count(*) AS n_tokens, min(start) AS start FROM tokens GROUP BY doc_id, sent_idx",
     "bio_tag": _TAGGED + "SELECT doc_id, sent_idx, start, token, label FROM labelled",
