@@ -39,6 +39,22 @@ def hallucinations_per_code(invented: DataFrame, code: str, shown: str) -> DataF
         F.count("*").alias("hallucinated"), F.array_join(F.array_sort(F.collect_set(shown)), "|").alias("names"))
 
 
+def hallucination_payload(invented: DataFrame, code: str, columns: dict[str, str]) -> DataFrame:
+    """(code, entry): each invented prediction in export shape, as JSON.
+
+    ``columns`` maps our names to those of the export; a missing cell is an empty text. Rows stay apart, so that a code with
+    many of them is no group; their number is in ``hallucinations_per_code``.
+    """
+    entry = F.struct(*[F.coalesce(F.col(own), F.lit("")).alias(theirs) for own, theirs in columns.items()])
+    return invented.select(F.col(code).cast("string").alias(code), F.to_json(entry).alias("entry"))
+
+
+def label_mapping(types: Sequence[str]) -> dict:
+    """The label vocabulary of a config in the shape that trainers read."""
+    ids = label_vocabulary(types)
+    return {"entity_types": list(check_types(types)), "label_to_id": ids, "id_to_label": {str(i): label for label, i in ids.items()}}
+
+
 def config_examples(sentences: DataFrame, labels: str, configs: Sequence[Sequence[str]]) -> DataFrame:
     """One row per sentence and config: ``config``, labels of its types only, and their ids in its vocabulary.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.functions.labels import ENTITY_COLUMNS
+from glossmark.functions.labels import ENTITY_COLUMNS, bind
 from glossmark.functions.text import ws_trim
 from glossmark.operators.ordering import first_per_key, meet_per_code
 
@@ -89,10 +89,10 @@ def consolidate(documents: DataFrame, medicines: DataFrame, stamp_first: bool =
     )
 
     def auxiliary_rows(t: str) -> Column:
-        items = F.col(f"_{t}")
-        surfaces = F.transform(items, lambda e: e["surface"])
-        firsts = F.filter(items, lambda e, i: F.array_position(surfaces, e["surface"]) == i + 1)
-        return F.transform(firsts, lambda e: F.struct(*cells(e, F.lit(t), False)))
+        # in the order of surfaces, an item is a first one if its neighbour has another surface
+        placed = F.array_sort(F.transform(f"_{t}", lambda e, i: F.struct(e["surface"].alias("surface"), i.alias("i"), e.alias("e"))))
+        firsts = bind(placed, lambda p: F.filter(p, lambda x, k: (k == 0) | (F.get(p, k - 1)["surface"] != x["surface"])))
+        return F.transform(firsts, lambda x: F.struct(*cells(x["e"], F.lit(t), False)))
 
     extra = [auxiliary_rows(t) for t in AUXILIARY]
     return base.select(

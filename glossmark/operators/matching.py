@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
@@ -234,6 +236,28 @@ def label_documents(found: DataFrame, doc_key: str, text: str = "text", *keep: s
     return bio_tokens(found, doc_key, text, *keep, spans="spans", cut=cut)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _slices(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """What a text holds at each of its spans."""
+    return pd.Series([None if found is None else [text[s["start"]:s["end"]] for s in found] for text, found in zip(texts, spans, strict=True)], dtype=object)
+
+
+def span_surfaces(found: DataFrame, doc_key: str, text: str = "text", *keep: str) -> DataFrame:
+    """One row per span of ``search``: key, kept columns, type, mention, start, end, and ``surface``, what the text holds there.
+
+    The surface is cut inside the document's row, so no text is repeated or joined.
+    """
+    cells = F.arrays_zip(F.col("spans").alias("s"), _slices(F.coalesce(F.col(text), F.lit("")), F.col("spans")).alias("surface"))
+    return found.select(doc_key, *keep, F.explode(cells).alias("_c")).select(
+        doc_key, *keep, "_c.s.type", "_c.s.mention", "_c.s.start", "_c.s.end", "_c.surface")
+
+
+def offset_integrity(found: DataFrame, doc_key: str, text: str = "text") -> DataFrame:
+    """Per type: spans, and those whose text doesn't fold to the folded mention."""
+    return span_surfaces(found, doc_key, text).groupBy("type").agg(
+        F.count("*").alias("spans"), F.count(F.when(fold(F.col("surface")) != fold(F.col("mention")), 1)).alias("mismatches"))
+
+
 def sentence_rows(labelled: DataFrame, doc_key: str) -> DataFrame:
     """One example per sentence: key, sent_idx, tokens, labels (arrays in token order)."""
     cells = F.array_sort(F.collect_list(F.struct("idx", "token", "label")))

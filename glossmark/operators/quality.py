@@ -292,6 +292,14 @@ def label_distribution(tokens: DataFrame, label: str = "label", groups: list[str
     return counts.withColumn("pct", F.bround(F.lit(100.0) * F.col("n") / F.sum("n").over(whole), 3))
 
 
+def ranked_counts(counts: DataFrame, value: str, n: str = "n", groups: list[str] | None = None) -> DataFrame:
+    """``counts`` with ``rank`` per group: larger counts first, equal ones by value. For the few values of a vocabulary."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(F.desc(n), value)
+    return counts.withColumn("rank", F.row_number().over(order))
+
+
 def corpus_summary(labelled: DataFrame, doc_key: str, groups: list[str] | None = None) -> DataFrame:
     """Documents, sentences, tokens, tagged tokens, their share, documents without a tag."""
     keys = groups or []

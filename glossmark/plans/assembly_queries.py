@@ -12,6 +12,7 @@ from glossmark.plans.inputs import (
 )
 from glossmark.plans.response_queries import _DECLARED_CTES, _validated
 from glossmark.plans.tagging_queries import CONFIGS
+from glossmark.sources.conll import split_blocks
 
 
 def _q_gold_assembly(spark, sf):
@@ -45,7 +46,7 @@ def _examples(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
     sides = splits.row_split(docs, "source", ["doc_id"], 0.9, 5).select("doc_id", "split")
     rows = hashed_sentences(spark, sf).select("doc_id", "sent_idx", "words", F.col("gold").alias("labels"))
-    return assembly.config_examples(rows, "labels", CONFIGS).join(sides, "doc_id")
+    return assembly.config_examples(rows.join(sides, "doc_id"), "labels", CONFIGS)
 
 
 def _q_export_summary(spark, sf):
@@ -77,6 +78,23 @@ _SQL_EXAMPLES = with_ctes(
 )
 
 
+#: Cells of an exported hallucination.
+_PAYLOAD = {"pactivo": "principio_activo", "reacadv": "reaccion_adversa", "frecuencia": "frecuencia", "sistema": "trastorno"}
+
+
+def _q_payload(spark, sf):
+    invented = evaluation.hallucinations(*gold_and_predictions(spark, sf), ANNOTATION_ORDER)
+    return assembly.hallucination_payload(invented, "codigo", _PAYLOAD)
+
+
+def _q_conll_pair(spark, sf):
+    """CoNLL text of each document on its side of the split, as a digest."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    sides = splits.row_split(docs, "source", ["doc_id"], 0.9, 5).select("doc_id", "split")
+    rows = hashed_sentences(spark, sf).select("doc_id", "sent_idx", F.col("words").alias("tokens"), F.col("gold").alias("labels"))
+    return split_blocks(rows.join(sides, "doc_id"), "doc_id").select("split", "doc_id", F.md5("block").alias("block_md5"))
+
+
 def _q_validator(spark, sf):
     _, outcome = _validated(spark, sf)
     return assembly.validator_section(outcome)
@@ -128,6 +146,8 @@ QUERIES = {
     "export_summary": _q_export_summary,
     "export_labels": _q_export_labels,
     "export_ids": _q_export_ids,
+    "hallucination_payload": _q_payload,
+    "conll_pair": _q_conll_pair,
     "validator_section": _q_validator,
     "entity_types": _q_entity_types,
     "templated_labels": _q_templated,
@@ -144,6 +164,12 @@ FROM (SELECT config, split, doc_id, count(DISTINCT sent_idx) AS s, count(*) AS t
     "export_ids": _SQL_EXAMPLES + """SELECT config, split, doc_id, md5(string_agg(ids, ';' ORDER BY sent_idx)) AS ids_md5 FROM (
   SELECT config, split, doc_id, sent_idx, string_agg(CAST(CASE WHEN label = 'O' THEN 0 ELSE 2 * list_position(types, substr(label, 3)) - CASE WHEN label LIKE 'B-%' THEN 1 ELSE 0 END END AS VARCHAR), ',' ORDER BY i) AS ids
   FROM ex GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
+    "hallucination_payload": _SQL_EVAL_ALL + """SELECT codigo, CAST(to_json({'principio_activo': coalesce(pactivo, ''), 'reaccion_adversa': coalesce(reacadv, ''),
+  'frecuencia': coalesce(frecuencia, ''), 'trastorno': coalesce(sistema, '')}) AS VARCHAR) AS entry FROM inv""",
+    "conll_pair": _SQL_EXAMPLES.rstrip() + """, bl AS (SELECT doc_id, sent_idx, string_agg(w || chr(9) || gold, chr(10) ORDER BY i) || chr(10) AS body
+  FROM (SELECT doc_id, sent_idx, i, translate(word, chr(9) || chr(13), '  ') AS w, gold FROM words) GROUP BY 1, 2)
+SELECT split, bl.doc_id, md5('# ' || CAST(bl.doc_id AS VARCHAR) || chr(10) || string_agg(body, chr(10) ORDER BY sent_idx)) AS block_md5
+FROM bl JOIN sp ON sp.doc_id = bl.doc_id GROUP BY 1, 2""",
     "validator_section": _SQL_OUTCOME + """SELECT max(n) AS n, min(v) AS min, max(v) FILTER (WHERE k = greatest(0, CAST(floor(n * 0.25) AS BIGINT) - 1)) AS p25,
   (max(v) FILTER (WHERE k = (n - 1) // 2) + max(v) FILTER (WHERE k = n // 2)) / 2 AS median, max(v) FILTER (WHERE k = least(n - 1, CAST(floor(n * 0.75) AS BIGINT))) AS p75,
   max(v) AS max, count(*) FILTER (WHERE v = 0) AS zero FROM k""",

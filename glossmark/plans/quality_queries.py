@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from glossmark.operators import assembly, ordering, quality, splits
 from glossmark.plans.inputs import (
-    SQL_ANNOTATIONS, SQL_SYNTH, SQL_SYNTH_ABSENT, annotations, documents, sql_round, synth, table, with_ctes,
+    SQL_ANNOTATIONS, SQL_SYNTH, SQL_SYNTH_ABSENT, SQL_WORDS, annotations, documents, hashed_sentences, sql_round, synth, table, with_ctes,
 )
 from glossmark.plans.text_queries import _SQL_WORD_COUNT
-from glossmark.sources.tables import distinct_codes, page_requests
+from glossmark.sources.tables import distinct_codes, page_requests, parse_annotations, parse_entity_files, parse_predictions
 
 _BOTH = with_ctes(SQL_ANNOTATIONS, SQL_SYNTH)
 _SOME = with_ctes(SQL_ANNOTATIONS, SQL_SYNTH_ABSENT)
@@ -231,6 +231,55 @@ def _q_distinct_codes(spark, sf):
     return distinct_codes([train, derived])
 
 
+def _q_first_seen(spark, sf):
+    """Codes in the order of first sight: the derived table first, then codes that only the annotations have."""
+    keys = [f"l_{c}" for c in ("orderkey", "linenumber", "partkey")]
+    sight = F.struct(*keys).alias("at")
+    lines = table(spark, sf, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("codigo"), sight, "l_returnflag")
+    some = lines.where("l_returnflag = 'R'").withColumn("codigo", F.when(F.col("codigo") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "codigo")))
+    seen = distinct_codes([some.drop("l_returnflag"), lines.drop("l_returnflag")], position="at")
+    return seen.select("codigo", "first_frame", *[F.col("first_position")[k].alias(k) for k in keys])
+
+
+def _q_label_ranks(spark, sf):
+    """Labels of the sentences by falling count, then by name, per language."""
+    lang = table(spark, sf, "documents").select("doc_id", "lang")
+    labels = hashed_sentences(spark, sf).select("doc_id", F.explode("gold").alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    counts = labels.join(lang, "doc_id").groupBy("lang", "label").agg(F.sum("n").alias("n"))
+    return quality.ranked_counts(counts, "label", groups=["lang"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _q_parsed_annotations(spark, sf):
+    """Annotation cells with padded headers and codes and texts that mean missing, parsed to canonical columns."""
+    rows = annotations(spark, sf)
+    cells = rows.select(
+        F.concat(F.lit(" "), "codigo", F.lit("  ")).alias(" CODIGO"), F.col("medicamento").alias("MEDICAMENTO "), F.col("reacadv").alias("REACADV"),
+        F.col("pactivo").alias("PACTIVO"), F.coalesce("frecuencia", F.lit("NA")).alias("FRECUENCIA"),
+        F.when(F.substring("h", 1, 1) < "4", "").otherwise(F.col("sistema")).alias(" SISTEMA "), F.lit("x").alias("extra"))
+    return parse_annotations(cells).groupBy("codigo", "frecuencia", "sistema").agg(F.count("*").alias("n"), F.countDistinct("reacadv").alias("reactions"))
+
+
+def _q_entity_files(spark, sf):
+    """Entity files made of the documents, a share of them cut short: what is read, and what is set apart."""
+    entity = "named_struct('type', upper(lang), 'canonical', source, 'surface', source, 'start', cast(doc_id % 9 as int), 'end', 9)"
+    text = F.to_json(F.struct(F.col("source").alias("codigo"), (F.col("doc_id") % 4).cast("int").alias("variante"), (F.col("n_chars") / 1024).alias("discard_ratio"),
+        F.expr(f"array_repeat({entity}, cast(doc_id % 5 as int))").alias("entities")))
+    files = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"),
+        F.when(F.col("doc_id") % 7 == 0, F.substring(text, 1, 30)).otherwise(text).alias("value"))
+    good, bad = parse_entity_files(files)
+    return good.select("file_name", "codigo", "variante", "discard_ratio", F.size("entities").cast("long").alias("entities"), F.lit(False).alias("bad")).unionByName(
+        bad.select("file_name", F.lit(True).alias("bad")), allowMissingColumns=True)
+
+
+def _q_prediction_files(spark, sf):
+    """Prediction files by path, one of each document: model, strategy and code from the path, rows from the JSON array."""
+    item = "named_struct('principio activo', source, 'reacción adversa', lang, 'frecuencia', cast(i as string), 'trastorno', nullif(lang, 'en'))"
+    files = table(spark, sf, "documents").select(
+        F.concat(F.lit("s3://data/m%20"), "lang", F.lit("/zero-shot/c"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"),
+        F.when(F.col("doc_id") % 6 == 0, "[]").otherwise(F.to_json(F.expr(f"transform(sequence(1, cast(doc_id % 3 + 1 as int)), i -> {item})"))).alias("value"))
+    return parse_predictions(files).select("model", "strategy", "codigo", F.col("pos").cast("long"), "pactivo", "reacadv", "frecuencia", "sistema")
+
+
 def _q_code_selection(spark, sf):
     """Wanted codes in their own order with a flag for unknown ones."""
     wanted = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("pos"))
@@ -287,6 +336,11 @@ QUERIES = {
     "variant_match": _q_variants,
     "pending_codes": _q_pending,
     "distinct_codes": _q_distinct_codes,
+    "first_seen_codes": _q_first_seen,
+    "label_ranks": _q_label_ranks,
+    "parsed_annotations": _q_parsed_annotations,
+    "entity_files": _q_entity_files,
+    "prediction_files": _q_prediction_files,
     "code_selection": _q_code_selection,
     "limited_codes": _q_limited_codes,
     "page_requests": _q_pages,
@@ -347,6 +401,20 @@ SELECT 'train' AS side, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_keys
     "variant_match": _BOTH + "SELECT DISTINCT ltrim(codigo, '0') AS stem, codigo AS target FROM synth",
     "pending_codes": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "distinct_codes": _BOTH + "SELECT DISTINCT codigo, 0 AS first_frame FROM ann UNION ALL SELECT DISTINCT codigo, 1 FROM synth",
+    "first_seen_codes": """WITH l AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS codigo, l_suppkey % 5 AS m, l_returnflag AS f, l_orderkey, l_linenumber, l_partkey FROM lineitem),
+x AS (SELECT codigo, 0 AS first_frame, l_orderkey, l_linenumber, l_partkey FROM l WHERE f = 'R' AND m <> 0
+  UNION ALL SELECT codigo, 1, l_orderkey, l_linenumber, l_partkey FROM l)
+SELECT codigo, first_frame, l_orderkey, l_linenumber, l_partkey FROM x
+QUALIFY row_number() OVER (PARTITION BY codigo ORDER BY first_frame, l_orderkey, l_linenumber, l_partkey) = 1""",
+    "label_ranks": with_ctes(SQL_WORDS) + """SELECT lang, label, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, label) AS rank
+FROM (SELECT lang, gold AS label, count(*) AS n FROM words JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY 1, 2)""",
+    "parsed_annotations": with_ctes(SQL_ANNOTATIONS) + """SELECT codigo, frecuencia, CASE WHEN substr(h, 1, 1) >= '4' THEN sistema END AS sistema, count(*) AS n,
+  count(DISTINCT reacadv) AS reactions FROM ann GROUP BY 1, 2, 3""",
+    "entity_files": """SELECT doc_id || '.json' AS file_name, CASE WHEN doc_id % 7 <> 0 THEN source END AS codigo, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 4 AS INT) END AS variante,
+  CASE WHEN doc_id % 7 <> 0 THEN n_chars / 1024.0::DOUBLE END AS discard_ratio, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 5 END AS entities, doc_id % 7 = 0 AS bad FROM documents""",
+    "prediction_files": """SELECT 'm ' || lang AS model, 'zero-shot' AS strategy, 'c' || doc_id AS codigo, i - 1 AS pos, source AS pactivo, lang AS reacadv,
+  CAST(i AS VARCHAR) AS frecuencia, nullif(lang, 'en') AS sistema
+FROM (SELECT *, unnest(range(1, doc_id % 3 + 2)) AS i FROM documents WHERE doc_id % 6 <> 0)""",
     "code_selection": """SELECT o_custkey AS k, min(o_orderkey) AS pos, o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS unknown FROM orders GROUP BY o_custkey""",
     "limited_codes": "SELECT CAST(o_custkey AS VARCHAR) AS k, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
     "page_requests": "WITH t AS (SELECT source, count(*) AS total FROM documents GROUP BY source) SELECT source, total, unnest(generate_series(1, CAST(ceil(total / 7.0) AS BIGINT))) AS page FROM t",

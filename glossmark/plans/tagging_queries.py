@@ -172,11 +172,8 @@ def _q_resolved(spark, sf):
 
 def _q_offsets(spark, sf):
     """Offset integrity: text at the span folds to the folded mention, counted per type."""
-    rows = resolved(spark, sf).join(texts(spark, sf).select("doc_id", "text"), "doc_id")
-    at = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.groupBy("type").agg(
-        F.count("*").alias("spans"), F.count(F.when(fold(at) != fold(F.col("mention")), 1)).alias("mismatches")
-    )
+    found = matching.search(texts(spark, sf).select("doc_id", "source", "text"), mentions(spark, sf), "doc_id", "source", TYPES, resolve=True)
+    return matching.offset_integrity(found, "doc_id")
 
 
 def _q_tokens(spark, sf):
@@ -212,8 +209,9 @@ def _q_label_counts(spark, sf):
 
 
 def _q_summary(spark, sf):
-    rows = labelled(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    return quality.corpus_summary(rows, "doc_id", ["lang"])
+    docs = documents(spark, sf, "source", "lang")
+    found = matching.search(docs, mentions(spark, sf), "doc_id", "source", TYPES, resolve=True)
+    return quality.corpus_summary(matching.label_documents(found, "doc_id", "text", "lang"), "doc_id", ["lang"])
 
 
 def _q_configs(spark, sf):

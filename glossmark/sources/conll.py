@@ -23,15 +23,20 @@ RANGE_BYTES = 64 << 20
 
 def document_blocks(sentences: DataFrame, key: str) -> DataFrame:
     """(key, block): the CoNLL text of one document; TAB and line breaks in tokens become spaces."""
+    return _blocks(sentences, key, key)
+
+
+def _blocks(sentences: DataFrame, key: str, name: str) -> DataFrame:
+    """Blocks by ``key``; the header shows ``name``, which depends on it."""
     lines = F.zip_with(
         "tokens", "labels", lambda t, l: F.concat(F.regexp_replace(t, "[\t\r\n]", " "), F.lit("\t"), l)
     )
     body = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
     ordered = F.array_sort(F.collect_list(F.struct("sent_idx", body.alias("body"))))
-    return sentences.groupBy(key).agg(ordered.alias("_s")).select(
+    return sentences.groupBy(key).agg(ordered.alias("_s"), F.first(name).cast("string").alias("_name")).select(
         key,
         F.concat(
-            F.lit("# "), F.col(key).cast("string"), F.lit("\n"),
+            F.lit("# "), "_name", F.lit("\n"),
             F.array_join(F.transform("_s", lambda s: s["body"]), "\n"),
         ).alias("block"),
     )
@@ -44,6 +49,21 @@ def write_conll(sentences: DataFrame, key: str, path: str) -> None:
     ).mode("overwrite").text(path)
 
 
+def split_blocks(sentences: DataFrame, key: str) -> DataFrame:
+    """(split, key, block): the CoNLL text of each document on each side; rows without a ``split`` column are an error."""
+    if "split" not in sentences.columns:
+        raise ValueError("sentences have no column 'split': split them first")
+    side = F.struct("split", key).alias("_side")
+    lines = sentences.select(side, F.col(key).alias("_key"), "sent_idx", "tokens", "labels")
+    return _blocks(lines, "_side", "_key").select(F.col("_side.split").alias("split"), F.col("_side")[key].alias(key), "block")
+
+
+def write_split_conll(sentences: DataFrame, key: str, root: str) -> None:
+    """The CoNLL files of both sides in one pass, below split=train and split=test."""
+    split_blocks(sentences, key).select("split", F.concat("block", F.lit("\n")).alias("value")).write.option(
+        "lineSep", "\n").partitionBy("split").mode("overwrite").text(root)
+
+
 def parse_blocks(blocks: DataFrame, source: str, text: str) -> DataFrame:
     """(source, codigo, sent_idx, tokens, labels) from CoNLL text, one row per sentence.
 

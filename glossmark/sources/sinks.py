@@ -75,6 +75,12 @@ def write_report(rows: DataFrame, path: str) -> None:
     report_json(rows).write.mode("overwrite").text(path)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One small JSON document, such as a label mapping, as one text file."""
+    text = json.dumps(value, ensure_ascii=False, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def report_index(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name) of the report files present; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

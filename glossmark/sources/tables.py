@@ -64,9 +64,12 @@ def missing_to_null(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV annotations with canonical lower-case columns, all strings, code trimmed."""
-    raw = trim_headers(
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    )
+    return parse_annotations(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+
+
+def parse_annotations(rows: DataFrame) -> DataFrame:
+    """Annotation cells as read, to canonical columns; see ``read_annotations``."""
+    raw = trim_headers(rows)
     picked = raw.select(*[
         F.col(f"`{resolve_column(raw.columns, names)}`").cast("string").alias(name)
         for name, names in COLUMN_ALIASES.items()
@@ -79,9 +82,12 @@ def read_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_synth_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Consolidated annotations: both codes trimmed strings."""
-    raw = trim_headers(
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    )
+    return parse_synth_annotations(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+
+
+def parse_synth_annotations(rows: DataFrame) -> DataFrame:
+    """Consolidated cells as read, to canonical columns; see ``read_synth_annotations``."""
+    raw = trim_headers(rows)
     lower = raw.toDF(*[c.lower() for c in raw.columns])
     names = [*schemas.ANNOTATION_COLUMNS, *schemas.CANONICAL_COLUMNS, "orig_codigo", "variante"]
     require_columns(lower, names)
@@ -125,16 +131,17 @@ def attach_texts(codes: DataFrame, texts: DataFrame, key: str = "codigo") -> tup
 
 def read_entity_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad): entity files by declared schema; unparseable ones are set apart, not fatal."""
+    return parse_entity_files(
+        spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value"))
+
+
+def parse_entity_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_entity_files`` of (file_name, value)."""
     corrupt = "_corrupt_record"
     parsed = F.from_json(
         "value", f"{schemas.ENTITY_FILE}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt}
     )
-    rows = (
-        spark.read.option("pathGlobFilter", "*.json")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), parsed.alias("p"))
-        .select("p.*", "file_name")
-    )
+    rows = files.select("file_name", parsed.alias("p")).select("p.*", "file_name")
     bad = rows.where(F.col(corrupt).isNotNull()).select("file_name", corrupt)
     return rows.where(F.col(corrupt).isNull()).drop(corrupt), bad
 
@@ -147,6 +154,11 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
         .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
+    return parse_predictions(files)
+
+
+def parse_predictions(files: DataFrame) -> DataFrame:
+    """``read_predictions`` of (path, value); the path is url-encoded."""
     part = F.split(F.url_decode(F.col("path")), "/")
     items = F.from_json("value", schemas.PREDICTION)
     return files.select(
@@ -192,13 +204,20 @@ def page_requests(total: Column, size: int) -> Column:
     return F.when(pages > 0, F.sequence(F.lit(1), pages)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def distinct_codes(frames: list[DataFrame], column: str = "codigo") -> DataFrame:
-    """(codigo, first_frame): non-blank codes of several tables, in table order then code order."""
+def distinct_codes(frames: list[DataFrame], column: str = "codigo", position: str | None = None) -> DataFrame:
+    """(codigo, first_frame): non-blank codes of several tables, each with the first table that has it.
+
+    ``position`` names a column that orders the rows of a table; ``first_position`` is then the code's first one in its
+    first table, so that (first_frame, first_position) is the order of first sight.
+    """
     from functools import reduce
 
     parts = [
-        f.select(ws_trim(F.col(column)).alias("codigo"), F.lit(i).alias("first_frame"))
+        f.select(ws_trim(F.col(column)).alias("codigo"), F.lit(i).alias("first_frame"), *([F.col(position).alias("first_position")] if position else []))
         for i, f in enumerate(frames)
     ]
     rows = reduce(DataFrame.unionByName, parts)
-    return rows.where(F.col("codigo") != "").groupBy("codigo").agg(F.min("first_frame").alias("first_frame"))
+    known = rows.where(F.col("codigo") != "").groupBy("codigo")
+    if position is None:
+        return known.agg(F.min("first_frame").alias("first_frame"))
+    return known.agg(F.min(F.struct("first_frame", "first_position")).alias("_first")).select("codigo", "_first.*")
