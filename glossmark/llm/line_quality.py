@@ -10,8 +10,8 @@ from glossmark.llm.common import GAP, WORD, ascii_lower, packed_row, saved, unpa
 SYMBOLS = "#*$%&|<>"
 #: Fewest words of a text, and the share (percent) of words in repeated windows that fails it.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A line is common if at least so many distinct texts of its host hold it, and so many percent of them.
-LINE_TEXTS, LINE_PERCENT = 10, 2
+#: A line is common if at least so many distinct texts of its host hold it, whatever the host's size.
+LINE_TEXTS = 10
 #: A text is depleted if fewer than this percent of its words are in lines that stay.
 LEAST_LEFT = 30
 
@@ -69,7 +69,8 @@ def judge_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     base_failed, n_line_words (words in common lines), kept.
 
     Lines are normalised and digested; a line is common in its host by the number of distinct texts that hold it, so
-    copies of one text count once. A text whose words are mostly in common lines is depleted and goes, as does
+    copies of one text count once: a text copied often is a matter for deduplication, and its lines aren't boilerplate. The
+    limit is one number at every size of a host, so added rows never make a common line rare. A text whose words are mostly in common lines is depleted and goes, as does
     one that fails the base rules. Null texts are empty and fail; null hosts are one host; repeated rows
     are judged each; an empty table gives no rows.
     """
@@ -106,14 +107,10 @@ def _judged(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
         F.col(key), F.col(host).alias("host"), _row(text, host).alias("row"), per_line.alias("lines"),
         *[column.alias(name) for name, column in text_measures(body).items()]))
     texts = measured.groupBy("row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
-    in_host = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     held = texts.select("host", "row", F.explode("lines").alias("line")).select("host", "row", "line.*")
     once = held.groupBy("row", "h").agg(F.first("host").alias("host"), F.sum("n").alias("n"), F.collect_list("i").alias("at"))
     counts = once.groupBy("host", "h").agg(F.count("*").alias("texts")).where(F.col("texts") >= LINE_TEXTS)
-    c, t = counts.alias("c"), in_host.alias("t")
-    common = c.join(t, F.col("c.host").eqNullSafe(F.col("t.host"))).where(
-        F.col("texts") * 100 >= LINE_PERCENT * F.col("n_texts")).select("c.host", "c.h")
-    o, c = once.alias("o"), common.alias("c")
+    o, c = once.alias("o"), counts.alias("c")
     lost = o.join(c, F.col("o.host").eqNullSafe(F.col("c.host")) & (F.col("o.h") == F.col("c.h"))).groupBy("o.row").agg(
         F.sum("o.n").alias("n_line_words"), F.flatten(F.collect_list("o.at")).alias("places"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

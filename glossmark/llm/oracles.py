@@ -54,8 +54,7 @@ l AS (SELECT source, t, unnest(list_transform(lines, lambda x: regexp_replace(tr
     translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g'))) AS line
   FROM (SELECT DISTINCT source, t, lines FROM d)),
 n AS (SELECT source, line, count(DISTINCT t) AS texts FROM l GROUP BY source, line),
-h AS (SELECT source, count(DISTINCT t) AS n_texts FROM d GROUP BY source),
-c AS (SELECT n.source, n.line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE texts >= 10 AND texts * 100 >= 2 * n_texts),
+c AS (SELECT source, line FROM n WHERE texts >= 10),
 lost AS (SELECT l.source, l.t, sum(len(string_split(l.line, ' '))) AS gone
   FROM l JOIN c ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY l.source, l.t),
 v AS (SELECT m.*, coalesce(gone, 0)::BIGINT AS n_line_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed

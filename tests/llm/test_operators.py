@@ -336,11 +336,26 @@ def test_line_rules(spark, edge_docs, no_docs):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(80)).translate(letters)
     rows = [(i, f"{stock}\n{i} end", "h") for i in range(30)] + [(100 + i, own(i), "h") for i in range(30)] + [(200, f"{stock}\n{own(99)}", "h")]
     judged = line_quality.judge_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert not any(r.base_failed for r in judged) and {r.n_line_words for r in judged} == {0, 80}
+    assert not any(r.base_failed for r in judged) and {r.n_line_words for r in judged} == {0, 80, 82}  # "3 end" and "4 end" are one line
     kept = {r.doc_id: r.kept for r in judged}
     assert not any(kept[i] for i in range(30)) and all(kept[i] for i in range(100, 130)) and kept[200]
 
 
+def test_line_limit_is_the_same_in_large_hosts(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n)).translate(letters)
+    stock = text(10**6, 60)
+    shared = [(i, f"{stock}\n{text(i, 5)}", "h") for i in range(10)]
+    few = [(i, f"{stock}\n{text(i, 5)}", "g") for i in range(9)] + [(9, f"{stock}\n{text(8, 5)}", "g")]  # nine distinct texts
+    others = [(100 + i, text(i, 55), "h") for i in range(1500)]
+    small, large, copies = (
+        {r.doc_id: (r.kept, r.n_line_words) for r in line_quality.judge_texts(
+            spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 10").collect()}
+        for rows in (shared, shared + others, few))
+    assert small == large == {i: (False, 60) for i in range(10)}
+    assert copies == {i: (True, 0) for i in range(10)}
+
+
 def test_common_lines_are_removed(spark):
     stock = "Home 12 | About"
     letters = str.maketrans("0123456789", "abcdefghij")
