@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmark.session import checkpointed
+
 
 def rank_by_hash(
     rows: DataFrame,
@@ -67,7 +69,8 @@ def order_statistics(
     are counted in the same pass.
     Equal values are counted first.  Cut points from a mergeable quantile sketch
     then split each group's distinct values into ``bins`` ranges; counts tell
-    which ranges hold a wanted rank, and only those are ordered.
+    which ranges hold a wanted rank, and only those are ordered. The sketch's points depend on the order in which its
+    parts arrive, so the ranges are kept by a checkpoint: counts and ranks are read from the same ones.
     """
     keys = list(groups) or ["_all"]
     base = rows if groups else rows.withColumn("_all", F.lit(1))
@@ -85,10 +88,10 @@ def order_statistics(
     )
     if not groups:
         cuts = F.broadcast(cuts)  # one row
-    binned = histogram.join(cuts, keys).select(
+    binned = checkpointed(histogram.join(cuts, keys).select(
         *keys, "_v", "_n", "n", "_total", *(counts or {}),
         F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"),
-    )
+    ))
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows"), F.first("n").alias("n"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[

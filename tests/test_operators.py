@@ -30,6 +30,16 @@ def test_order_statistics_match_sorting(spark):
         assert row["mean"] == pytest.approx(statistics.mean(s))
 
 
+def test_order_statistics_whatever_the_cut_points(spark, monkeypatch):
+    """Cut points that differ each time they are asked for, as a sketch's do when its parts arrive in another order."""
+    points = F.udf(lambda low, high: sorted(random.uniform(low, high) for _ in range(63)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda v, *_: points(F.min(v).cast("double"), F.max(v).cast("double")))
+    rows = spark.range(9000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(5000)).alias("v"))
+    got = {r.g: (r.n, r.p25, r.median, r.p75) for r in ordering.five_numbers(rows, "v", ["g"]).collect()}
+    for g, s in rows.groupBy("g").agg(F.sort_array(F.collect_list("v"))).collect():
+        assert got[g] == (3000, s[749], (s[1499] + s[1500]) / 2, s[2250])
+
+
 def test_worked_quartiles(spark):
     eight = spark.range(1, 9).toDF("v")
     got = ordering.five_numbers(eight, "v").first()
