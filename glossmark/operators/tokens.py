@@ -1,20 +1,21 @@
 """Tokens with character offsets, and sentences.
 
-Text is cut after marks that a regex puts behind each token. Offsets and sentence
-numbers are running sums over a document's own pieces: two Arrow functions that
-get integer arrays only. So a document's tokens come out of its row, and no text
-is shuffled.
+Text is cut after marks that a regex puts behind each token. Offsets, sentence
+numbers and labels come from one Arrow function over whole columns of a document's
+own pieces, some hundred thousand at a time. So a document's tokens come out of its
+row, no text is shuffled, and a task holds no more than a batch of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Private-use character that ends a token.
 MARK = "\ue000"
@@ -34,57 +35,74 @@ def without_marks(text: Column) -> Column:
     return F.translate(text, MARK, "\ufffd")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def running_offsets(lengths: pd.Series) -> pd.Series:
-    """Sum of the lengths before each place."""
-    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64) - x)
+#: Elements of array columns that are handled at once, and the white space before a token.
+AT_ONCE = 1 << 18
+_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-#: Bits of a token's code: a line break before it, punctuation only, a closing sign.
-BREAKS, SIGN, CLOSES = 1, 2, 4
+def edges_of(lists: pa.ListArray) -> np.ndarray:
+    """Where each row's elements begin among all of them, and the end; a null row has none."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def sentence_numbers(codes: pd.Series) -> pd.Series:
-    """Sentence of each token: one more at a line break, and at the first word after a closing sign."""
+def in_rows(values: pa.Array, like: pa.ListArray) -> pa.ListArray:
+    """``values`` in rows of the same sizes as ``like``; null rows stay null."""
+    return pa.ListArray.from_arrays(pa.array(edges_of(like), pa.int32()), values, mask=like.is_null())
+
+
+def row_slices(sizes: np.ndarray, most: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of rows whose sizes make up ``most``; at least a row."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield slice(at, end)
+        at = end
+
 
-    def number(code):
-        if code is None:
-            return None
-        at, code = np.arange(len(code)), np.asarray(code)
-        word = code & SIGN == 0
+@F.arrow_udf(ArrayType(IntegerType()))
+def running_offsets(lengths: pa.Array) -> pa.Array:
+    """Sum of the lengths before each place."""
+    edges = edges_of(lengths)
+    return in_rows(pa.array(_sums_before(lengths.flatten().to_numpy(zero_copy_only=False), edges), pa.int32()), lengths)
+
+
+def _sums_before(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sum of a row's values before each of them."""
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return sums[:-1] - np.repeat(sums[edges[:-1]], np.diff(edges))
 
-        def last_before(flag):
-            return np.maximum.accumulate(np.concatenate([[-1], np.where(flag, at, -1)]))[:-1]
 
-        opens = (code & BREAKS > 0) | (word & (last_before(code & CLOSES > 0) > last_before(word)))
-        return np.cumsum(opens & (at > 0))
+def _sentences(breaks: np.ndarray, sign: np.ndarray, closes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sentence of each token: one more at a line break, and at the first word after a closing sign."""
+    at, first = np.arange(len(sign)), np.repeat(edges[:-1], np.diff(edges))
+
+    def last_before(flag):
+        last = np.maximum.accumulate(np.concatenate([[-1], np.where(flag, at, -1)]))[:-1]
+        return np.where(last < first, -1, last)
 
-    return codes.map(number)
+    opens = (at > first) & (breaks | (~sign & (last_before(closes) > last_before(~sign))))
+    return _sums_before(opens, edges) + opens
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def merged_labels(starts: pd.Series, sentences: pd.Series, spans: pd.Series) -> pd.Series:
+def _labels(starts: np.ndarray, sentences: np.ndarray, edges: np.ndarray, spans: pa.ListArray) -> pa.Array:
     """BIO label of each token start: what the last span at or before it says, then I to B where nothing precedes.
 
-    ``spans`` are sorted and don't overlap, so both sides are read once in order.
+    ``spans`` are sorted and don't overlap, so one search per token decides.
     """
-    def label(at, sentence, found):
-        if at is None:
-            return None
-        at, sentence = np.asarray(at, np.int64), np.asarray(sentence, np.int64)
-        if found is None or not len(found):
-            return ["O"] * len(at)
-        first, end = (np.array([s[c] for s in found], np.int64) for c in ("start", "end"))
-        names, kind = np.unique([s["type"] for s in found], return_inverse=True)
-        last = np.searchsorted(first, at, "right") - 1
-        inside = (last >= 0) & (end[last] > at)
-        of = np.where(inside, kind[last], -1)
-        goes_on = np.zeros(len(at), bool)
-        goes_on[1:] = (sentence[1:] == sentence[:-1]) & (of[1:] == of[:-1]) & (first[last[1:]] != at[1:])
-        return ["O" if k < 0 else ("I-" if i else "B-") + names[k] for k, i in zip(of.tolist(), goes_on.tolist(), strict=True)]
-
-    return pd.Series([label(*x) for x in zip(starts, sentences, spans, strict=True)], dtype=object)
+    found, span_edges = spans.flatten(), edges_of(spans)
+    if not len(found):
+        return pa.repeat(pa.scalar("O"), len(starts))
+    first, end = (found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+    kinds = found.field("type").dictionary_encode()
+    row, span_row = np.repeat(np.arange(len(edges) - 1), np.diff(edges)), np.repeat(np.arange(len(span_edges) - 1), np.diff(span_edges))
+    last = np.searchsorted((span_row << 32) + first, (row << 32) + starts, "right") - 1
+    inside = (last >= span_edges[row]) & (end[last] > starts)
+    of = np.where(inside, kinds.indices.to_numpy()[last], -1)
+    goes_on = np.zeros(len(starts), bool)
+    goes_on[1:] = (row[1:] == row[:-1]) & (sentences[1:] == sentences[:-1]) & (of[1:] == of[:-1]) & (first[last[1:]] != starts[1:])
+    names = ["O", *(head + kind for kind in kinds.dictionary.to_pylist() for head in ("B-", "I-"))]
+    return pa.array(names, pa.string()).take(pa.array(np.where(of < 0, 0, 1 + 2 * of + goes_on)))
 
 
 def pattern_pieces(text: Column) -> Column:
@@ -103,31 +121,49 @@ def bio_tokens(
     ``cut`` makes the array of pieces that join to the text.
     """
     held = () if spans is None else (F.col(spans).alias("_spans"),)
-    pieces = docs.select(key, *keep, *held, cut(F.col(text)).alias("_pieces"))
-    bare = lambda p: F.regexp_replace(p, r"(?U)^\s+", "")
-
-    def code(piece: Column) -> Column:
-        token = bare(piece)
-        broken = F.contains(F.substring(piece, F.lit(1), F.length(piece) - F.length(token)), F.lit("\n"))
-        return (
-            F.when(broken, BREAKS).otherwise(0) + F.when(F.rlike(token, F.lit(r"^\p{P}+$")), SIGN).otherwise(0)
-            + F.when(token.isin(*CLOSERS), CLOSES).otherwise(0)
-        )
-
-    offsets, numbers = running_offsets(F.transform("_pieces", F.length)), sentence_numbers(F.transform("_pieces", code))
-    if spans is not None:
-        pieces = pieces.withColumn("_offsets", offsets).withColumn("_numbers", numbers)
-        offsets, numbers = F.col("_offsets"), F.col("_numbers")
-        gaps = F.transform("_pieces", lambda p: F.length(p) - F.length(bare(p)))
-        starts = F.zip_with("_offsets", gaps, lambda a, b: (a + b).cast("int"))
-        cells = F.arrays_zip(F.col("_pieces").alias("p"), offsets.alias("s"), numbers.alias("n"), merged_labels(starts, numbers, F.col("_spans")).alias("l"))
-    else:
-        cells = F.arrays_zip(F.col("_pieces").alias("p"), offsets.alias("s"), numbers.alias("n"))
-    rows = pieces.select(key, *keep, F.posexplode(cells).alias("idx", "_cell"))
-    token = bare(F.col("_cell.p"))
-    end = F.col("_cell.s") + F.length("_cell.p")
-    label = () if spans is None else (F.col("_cell.l").alias("label"),)
-    return rows.select(
-        key, *keep, "idx", token.alias("token"), (end - F.length(token)).cast("int").alias("start"), end.cast("int").alias("end"),
-        F.col("_cell.n").alias("sent_idx"), *label,
-    ).where(F.col("token") != "")
+    pieces = docs.select(F.struct(key, *keep).alias("_head"), cut(F.col(text)).alias("_pieces"), *held)
+    numbers = [StructField(c, IntegerType()) for c in ("idx", "start", "end", "sent_idx")]
+    label = [] if spans is None else [StructField("label", StringType())]
+    kind = StructType([StructField("_head", pieces.schema["_head"].dataType), *numbers, StructField("token", StringType()), *label])
+    names = [f.name for f in kind.fields if f.name != "_head"]
+    order = [c for c in ("idx", "token", "start", "end", "sent_idx", "label") if c in names]
+    return pieces.mapInArrow(_tokens(names), kind).select(F.col("_head")[key].alias(key), *[F.col("_head")[c].alias(c) for c in keep], *order)
+
+
+def _tokens(names: list[str]):
+    """Rows of pieces to one row per token."""
+    def run(batches):
+        for batch in batches:
+            for rows in row_slices(np.diff(edges_of(batch.column("_pieces")))):
+                yield tokens(batch.slice(rows.start, rows.stop - rows.start))
+
+    def tokens(batch):
+        lists = batch.column("_pieces")
+        edges, piece = edges_of(lists), lists.flatten()
+        token = pc.utf8_ltrim(piece, _SPACE)
+        size, bare = (pc.utf8_length(x).to_numpy().astype(np.int64) for x in (piece, token))
+        end = _sums_before(size, edges) + size
+        # most pieces share their token with others, so patterns are tried on distinct ones
+        forms = token.dictionary_encode()
+        sign, closes = (f(forms.dictionary).to_numpy(zero_copy_only=False)[forms.indices.to_numpy()] for f in (_is_sign, _closes)) if len(piece) else (np.zeros(0, bool),) * 2
+        led = np.flatnonzero(size > bare)
+        breaks = np.zeros(len(size), bool)
+        breaks[led] = pc.match_substring(piece.take(pa.array(led)), "\n").to_numpy(zero_copy_only=False)
+        sentence = _sentences(breaks, sign, closes, edges)
+        kept = np.flatnonzero(bare > 0)
+        row = np.repeat(np.arange(len(lists)), np.diff(edges))
+        columns = {"idx": np.arange(len(size)) - edges[row], "start": end - bare, "end": end, "sent_idx": sentence}
+        out = {c: pa.array(v[kept], pa.int32()) for c, v in columns.items()} | {"token": token.take(pa.array(kept))}
+        if "label" in names:
+            out["label"] = _labels(end - bare, sentence, edges, batch.column("_spans")).take(pa.array(kept))
+        return pa.RecordBatch.from_arrays([batch.column("_head").take(pa.array(row[kept])), *[out[c] for c in names]], names=["_head", *names])
+
+    return run
+
+
+def _is_sign(tokens: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(tokens, r"^\p{P}+$")
+
+
+def _closes(tokens: pa.Array) -> pa.Array:
+    return pc.is_in(tokens, pa.array(CLOSERS))
