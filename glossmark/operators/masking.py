@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from glossmark.functions.keys import seeded_hash
 from glossmark.functions.text import nfkc_casefold
-from glossmark.operators.tokens import running_offsets
+from glossmark.operators.tokens import edges_of, in_rows, running_offsets
 
 #: Letters of a vocabulary word.
 LETTERS = "a-záéíóúñü"
@@ -97,16 +97,26 @@ def fill_windows(sizes: Column, capacity: int) -> Column:
     )
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def window_of(offsets: pd.Series, starts: pd.Series) -> pd.Series:
+def _reached(offsets: pa.Array, starts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each offset its row, how many starts of the row are at or before it, and all starts with each row's first."""
+    place, edges = edges_of(offsets), edges_of(starts)
+    row, owner = np.repeat(np.arange(len(offsets)), np.diff(place)), np.repeat(np.arange(len(starts)), np.diff(edges))
+    at, start = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (offsets, starts))
+    return row, np.searchsorted((owner << 32) + start, (row << 32) + at, "right") - edges[row], start, edges
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def window_of(offsets: pa.Array, starts: pa.Array) -> pa.Array:
     """Number of the last start at or before each offset."""
-    return pd.Series([np.searchsorted(s, o, side="right") - 1 for o, s in zip(offsets, starts, strict=True)])
+    return in_rows(pa.array(_reached(offsets, starts)[1] - 1, pa.int32()), offsets)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def start_after(offsets: pd.Series, starts: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(IntegerType()))
+def start_after(offsets: pa.Array, starts: pa.Array) -> pa.Array:
     """The first start behind each offset; -1 where there is none."""
-    return pd.Series([np.append(s, -1)[np.searchsorted(s, o, side="right")] for o, s in zip(offsets, starts, strict=True)])
+    row, reached, start, edges = _reached(offsets, starts)
+    at = edges[row] + reached
+    return in_rows(pa.array(np.where(at < edges[row + 1], np.append(start, -1)[at], -1), pa.int32()), offsets)
 
 
 def window_words(docs: DataFrame, key: str, words: str, sizes: str, capacity: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
 from glossmark.operators.automaton import Chooser, Finder, Span, chosen
-from glossmark.operators.tokens import bio_tokens, pattern_pieces
+from glossmark.operators.tokens import bio_tokens, edges_of, in_rows, pattern_pieces
 
 # Singular and plural surface forms of the frequency categories.
 FREQUENCY_FORMS = (
@@ -236,10 +235,15 @@ def label_documents(found: DataFrame, doc_key: str, text: str = "text", *keep: s
     return bio_tokens(found, doc_key, text, *keep, spans="spans", cut=cut)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _slices(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """What a text holds at each of its spans."""
-    return pd.Series([None if found is None else [text[s["start"]:s["end"]] for s in found] for text, found in zip(texts, spans, strict=True)], dtype=object)
+@F.arrow_udf(ArrayType(StringType()))
+def _slices(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """What a text holds at each of its spans, a few texts at a time."""
+    found = spans.flatten()
+    first, end, edges = *(found.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end")), edges_of(spans)
+    parts = [
+        pa.array([text[first[k]:end[k]] for row, text in enumerate(texts.slice(at, 64).to_pylist(), at) for k in range(edges[row], edges[row + 1])], pa.string())
+        for at in range(0, len(texts), 64)]
+    return in_rows(pa.concat_arrays(parts) if parts else pa.array([], pa.string()), spans)
 
 
 def span_surfaces(found: DataFrame, doc_key: str, text: str = "text", *keep: str) -> DataFrame:
