@@ -1,20 +1,23 @@
 """Sub-words of a given vocabulary: longest pieces first, first-piece labels, token totals.
 
 The vocabulary is a table (piece, piece_id); pieces that continue a word begin with '##'. It is the only thing that
-goes to every task, and its size is checked first. Words are encoded inside their own row, each distinct word of an
-Arrow batch once, so neither words nor texts are shuffled and a frequent word is no hot key.
+goes to every task, and its size is checked first. Words are encoded inside their own row, each distinct word of
+some hundred thousand once, so neither words nor texts are shuffled and a frequent word is no hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from glossmark.functions.labels import align_subwords
+from glossmark.operators.tokens import edges_of, in_rows, row_slices
 
 #: Most pieces of a vocabulary, and letters beyond which a word is unknown.
 MOST_PIECES, MOST_LETTERS = 1 << 18, 100
@@ -52,17 +55,16 @@ def piece_ids(vocabulary: DataFrame) -> Callable[[Column], Column]:
     longest = max((len(p.removeprefix(CONTINUES)) for p in pieces), default=0)
     shared = vocabulary.sparkSession.sparkContext.broadcast((pieces, longest))
 
-    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-    def encode(words: pd.Series) -> pd.Series:
+    @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+    def encode(words: pa.Array) -> pa.Array:
         table, most = shared.value
-        known: dict = {None: []}
-
-        def ids(word):
-            if word not in known:
-                known[word] = longest_pieces(word, table, most)
-            return known[word]
-
-        return words.map(lambda row: None if row is None else [ids(w) for w in row])
+        out = []
+        for rows in row_slices(np.diff(edges_of(words))):
+            here = words[rows]
+            forms = pc.fill_null(here.flatten(), "").dictionary_encode()
+            ids = pa.array([longest_pieces(w, table, most) for w in forms.dictionary.to_pylist()], pa.list_(pa.int32()))
+            out.append(in_rows(ids.take(forms.indices), here))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.list_(pa.int32())))
 
     return encode
 
