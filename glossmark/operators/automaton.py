@@ -116,8 +116,13 @@ class Chooser:
         return True
 
 
+def priority(span: Span) -> tuple:
+    """Lower type ranks first, then longer mentions, then text order."""
+    kind, rank, mention, start, end = span
+    return rank, -len(mention), mention, start, end, kind
+
+
 def chosen(spans: list[Span]) -> list[Span]:
-    """The spans that stay, in text order: lower type ranks first, then longer mentions, then text order."""
+    """The spans that stay, in text order."""
     chooser = Chooser()
-    order = sorted(spans, key=lambda s: (s[1], -len(s[2]), s[2], s[3], s[4], s[0]))
-    return sorted((s for s in order if chooser.takes(*s[1:])), key=lambda s: s[3])
+    return sorted((s for s in sorted(spans, key=priority) if chooser.takes(*s[1:])), key=lambda s: s[3])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
-from glossmark.operators.automaton import Chooser, Finder, Span, chosen
-from glossmark.operators.tokens import bio_tokens, edges_of, in_rows, pattern_pieces
+from glossmark.operators.automaton import Chooser, Finder, Span, chosen, priority
+from glossmark.operators.tokens import bio_tokens, edges_of, in_rows, pattern_pieces, row_slices
 
 # Singular and plural surface forms of the frequency categories.
 FREQUENCY_FORMS = (
@@ -24,6 +24,7 @@ FREQUENCY_FORMS = (
 
 #: A code's documents are dealt in parts of about so many, or of so many that no more than ``MOST_HOT`` codes have several.
 PART_DOCUMENTS, MOST_HOT = 250, 4_096
+_CHOICES = pa.list_(pa.struct([(c, pa.int32() if c in ("start", "end") else pa.string()) for c in ("config", "type", "mention", "start", "end")]))
 _SPANS = "array<struct<type:string,type_rank:int,mention:string,start:int,end:int>>"
 
 
@@ -174,6 +175,39 @@ def resolve_overlaps(spans: DataFrame, doc_key: str) -> DataFrame:
         F.col("_doc.key").alias(doc_key), "type", "mention", "start", "end")
 
 
+def resolve_configs(spans: Column, configs: Mapping[str, Sequence[str]]) -> Column:
+    """array<struct<config,type,mention,start,end>>: the non-overlapping choice of each config among the spans of its types.
+
+    ``spans`` is the column that ``search`` gives without ``resolve``. A document's spans are put in priority order once, and
+    every config reads them inside the document's row: no span is repeated or shuffled for a config.
+    """
+    wanted = {name: frozenset(check_types(types)) for name, types in configs.items()}
+
+    @F.arrow_udf("array<struct<config:string,type:string,mention:string,start:int,end:int>>")
+    def choose(rows: pa.Array) -> pa.Array:
+        out = []
+        for part in row_slices(np.diff(edges_of(rows)), 1 << 16):
+            here = rows[part]
+            found, edges = here.flatten(), edges_of(here).tolist()
+            cells = list(zip(*(found.field(c).to_pylist() for c in ("type", "type_rank", "mention", "start", "end")), strict=True))
+            names, picks, upto = [], [], [0]
+            for begin, end in zip(edges, edges[1:]):
+                order = sorted(range(begin, end), key=lambda k: priority(cells[k]))
+                for name, types in wanted.items():
+                    chooser = Chooser()
+                    stay = [k for k in order if cells[k][0] in types and chooser.takes(*cells[k][1:])]
+                    names += [name] * len(stay)
+                    picks += stay
+                upto.append(len(picks))
+            picked = found.take(pa.array(picks, pa.int64()))
+            columns = {"config": pa.array(names, pa.string()), **{c: picked.field(c) for c in ("type", "mention", "start", "end")}}
+            values = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+            out.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values))
+        return pa.concat_arrays(out) if out else pa.array([], _CHOICES)
+
+    return choose(spans)
+
+
 def first_occurrences(spans: DataFrame, *keys: str) -> DataFrame:
     """Leftmost occurrence per key set, e.g. (document, mention)."""
     return spans.groupBy(*keys).agg(F.min_by("end", "start").alias("end"), F.min("start").alias("start"))

@@ -122,3 +122,17 @@ def test_conll_round_trip(spark, tmp_path):
     assert [(r.codigo, r.sent_idx, r.tokens, r.labels) for r in back] == [
         ("#12", 0, ["#", "a b"], ["O", "B-A"]), ("#12", 1, ["c"], ["O"]), ("7", 0, ["d"], ["B-A"]),
     ]
+
+
+def test_configs_in_the_row_choose_as_the_span_table_does(spark):
+    rng = random.Random(11)
+    words = ["a", "b", "c", "a b", "b c", "a b c"]
+    listed = spark.createDataFrame([("s", t, w) for t in TYPES for w in words if rng.random() < 0.7], "source string, type string, mention string")
+    docs = spark.createDataFrame([(i, "s", " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None, "a b")],
+                                 "doc_id long, source string, text string")
+    configs = {"one": ["ACTIVE"], "two": ["SYS", "REACT"], "all": TYPES}
+    found = matching.search(docs, listed, "doc_id", "source", TYPES).select("doc_id", F.explode(matching.resolve_configs(F.col("spans"), configs)).alias("s"))
+    got = sorted((r.s.config, r.doc_id, *r.s[1:]) for r in found.collect())
+    table = matching.find_spans(docs, listed, "doc_id", "source", TYPES)
+    want = [(name, *r) for name, types in configs.items() for r in matching.resolve_overlaps(table.where(F.col("type").isin(types)), "doc_id").collect()]
+    assert got == sorted(want) and len(got) > 500
