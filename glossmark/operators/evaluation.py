@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.functions.labels import bind
 from glossmark.functions.numeric import cosine, f1_score, ratio
 from glossmark.functions.text import nfkc_casefold
 from glossmark.operators.ordering import first_per_key, linear_percentiles, meet_per_code
+from glossmark.operators.tokens import edges_of, row_slices
 
 SYSTEM_SIMILARITY = 0.8
 KEY = ["codigo", "pactivo_key", "reacadv_key"]
@@ -230,33 +234,49 @@ def overlap_islands(sentences: DataFrame, keys: list[str], gold: str, predicted:
     """Cut each sentence into islands of touching spans: one row per island, same two span arrays.
 
     Spans of different islands never meet, so every span comparison below is
-    made inside an island, however long a sentence is.
+    made inside an island, however long a sentence is. Islands are cut inside the
+    sentence's row: no span is shuffled.
     """
-
-    def sided(spans: str, side: str):
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                F.lit(side).alias("side"), s["start"].alias("start"), s["end"].alias("end"), s["tag"].alias("tag")
-            ),
-        )
-
-    rows = sentences.select(*keys, F.explode(F.concat(sided(gold, "gold"), sided(predicted, "pred"))).alias("s"))
-    rows = rows.select(*keys, "s.*")
-    in_order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))
-    numbered = rows.withColumn("_opens", opens).withColumn(
-        "_island", F.sum("_opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-
-    def gathered(side: str, name: str):
-        cells = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end", "tag"))))
-        return F.transform(
-            cells, lambda s: F.struct(s["tag"].alias("tag"), s["start"].alias("start"), s["end"].alias("end"))
-        ).alias(name)
-
-    return numbered.groupBy(*keys, "_island").agg(gathered("gold", gold), gathered("pred", predicted)).drop("_island")
+    kind = sentences.schema[gold].dataType.simpleString()
+
+    @F.arrow_udf(f"array<struct<gold:{kind},pred:{kind}>>")
+    def cut(golds: pa.Array, preds: pa.Array) -> pa.Array:
+        missing = pc.or_(golds.is_null(), preds.is_null())  # no filter before: it would compute the spans twice
+        golds, preds = (pc.if_else(missing, pa.scalar(None, side.type), side) for side in (golds, preds))
+        sizes = np.diff(edges_of(golds)) + np.diff(edges_of(preds))
+        out = [_islands(golds[rows], preds[rows]) for rows in row_slices(sizes)]
+        return pa.concat_arrays(out) if out else _islands(golds, preds)
+
+    return sentences.select(*keys, F.explode(cut(F.col(gold), F.col(predicted))).alias("_i")).select(
+        *keys, F.col("_i.gold").alias(gold), F.col("_i.pred").alias(predicted))
+
+
+def _islands(golds: pa.ListArray, preds: pa.ListArray) -> pa.ListArray:
+    """The islands of each row: gold and predicted spans, each in order of start, end and tag."""
+    spans, rows, starts, ends = [], [], [], []
+    for side in (golds, preds):
+        flat, row = side.flatten(), np.repeat(np.arange(len(side)), np.diff(edges_of(side)))
+        start, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+        order = np.lexsort((pc.rank(flat.field("tag"), tiebreaker="dense").to_numpy(), end, start, row))
+        spans.append(flat.take(pa.array(order)))
+        rows.append(row[order])
+        starts.append(start[order])
+        ends.append(end[order])
+    row, start, end = map(np.concatenate, (rows, starts, ends))
+    order = np.lexsort((end, start, row))
+    # the row stands above the place, so that the furthest end of earlier rows is before every start of a row
+    first, last = (row[order] << 32) + start[order], np.maximum.accumulate((row[order] << 32) + end[order])
+    opens = np.concatenate([np.ones(min(len(first), 1), bool), first[1:] >= last[:-1]])
+    island = np.empty(len(row), np.int64)
+    island[order] = np.cumsum(opens) - 1
+    n = int(opens.sum())
+    sides = np.split(island, [len(rows[0])])
+    lists = [
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32()), flat)
+        for of, flat in zip(sides, spans, strict=True)]
+    per_row = np.bincount(row[order][opens], minlength=len(golds))
+    cells = pa.StructArray.from_arrays(lists, names=["gold", "pred"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), cells)
 
 
 def span_schema_scores(sentences: DataFrame, gold: str, predicted: str) -> DataFrame:

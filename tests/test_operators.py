@@ -1,6 +1,7 @@
 """Splits, scores, report, selection, masking and consolidation on small fixtures."""
 
 import random
+import re
 import statistics
 
 import pytest
@@ -370,3 +371,30 @@ def test_consolidation(spark, types, n_rows, first):
         stamped = [r for r in got if r.reacadv]
         assert [(r.reacadv, r.reacadv_canonical, r.frecuencia) for r in stamped] == [("s0", "s0", "s2"), ("s1", "C", "s2")]
         assert sorted(r.frecuencia for r in got if not r.reacadv) == ["s2", "s3"]
+
+
+def test_islands_of_many_rows_need_no_shuffle(spark):
+    rng = random.Random(3)
+
+    def spans():
+        at, out = 0, []
+        for _ in range(rng.randint(0, 9)):
+            start = at + rng.randint(0, 3)
+            at = start + rng.randint(1, 4)
+            out.append((rng.choice("AB"), start, at))
+        return out
+
+    rows = [(i, spans(), spans()) for i in range(300)] + [(300, [("A", 0, 1)], None), (301, [], [])]
+    kind = "array<struct<tag:string,start:int,end:int>>"
+    cut = evaluation.overlap_islands(spark.createDataFrame(rows, f"id int, g {kind}, p {kind}"), ["id"], "g", "p")
+    assert not {"Window", "Aggregate"} & set(re.findall(r"\w+", cut._jdf.queryExecution().optimizedPlan().toString()))
+    want = []
+    for i, g, p in rows[:-2]:
+        reach, islands = -1, []
+        for side, s in sorted([(0, s) for s in g] + [(1, s) for s in p], key=lambda x: (x[1][1], x[1][2])):
+            if s[1] >= reach:
+                islands.append(([], []))
+            islands[-1][side].append(s)
+            reach = max(reach, s[2])
+        want += [(i, a, b) for a, b in islands]
+    assert sorted((r.id, [tuple(x) for x in r.g], [tuple(x) for x in r.p]) for r in cut.collect()) == sorted(want)
