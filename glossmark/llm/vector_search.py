@@ -49,7 +49,8 @@ def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Exact integer products: in doubles while every sum stays under 2 ** 53, else in Python's integers."""
     if (np.abs(x).max(initial=0) * np.abs(y).max(initial=0)) * max(x.shape[1], 1) < 2**53:
         return (x @ y.T).astype(np.int64)
-    return x.astype(object) @ y.astype(object).T
+    # doubles as objects would multiply as doubles
+    return x.astype(np.int64).astype(object) @ y.astype(np.int64).astype(object).T
 
 
 def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
