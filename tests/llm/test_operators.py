@@ -272,6 +272,15 @@ def test_lm_scores(lm_docs, no_docs, monkeypatch, held):
     assert lm_score.score_texts(no_docs).count() == 0
 
 
+def test_lm_scores_keep_every_ngram_in_any_slicing(lm_docs, monkeypatch):
+    whole = {(r.doc_id, r.n_tokens): r.score for r in lm_score.score_texts(lm_docs).collect()}
+    # caps of earlier rounds, and small slices and shards: each slice asks for its n-grams, none is left out
+    for name, value in (("PAIRS", 2), ("TRIPLES", 1), ("TRIE_WORDS", 6), ("SLICE", 40), ("SHARD", 60)):
+        monkeypatch.setattr(lm_score, name, value, raising=False)
+    small = {(r.doc_id, r.n_tokens): r.score for r in lm_score.score_texts(lm_docs.repartition(5)).collect()}
+    assert small == {k: pytest.approx(v, rel=1e-12) for k, v in whole.items()}
+
+
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(5)
     for n, top in ((0, 1), (1, 5), (300, 40), (5_000, 10**9), (1_000, 10**14)):
