@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.functions.labels import bind, check_types, entity_of, find_sublist, label_vocabulary, labels_to_ids
+from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of, label_vocabulary, labels_to_ids
 from glossmark.functions.numeric import ratio
 from glossmark.operators.ordering import five_numbers
 
@@ -95,6 +96,33 @@ def label_counts(examples: DataFrame, labels: str, groups: Sequence[str]) -> Dat
     return examples.select(*groups, F.explode(labels).alias("label")).groupBy(*groups, "label").agg(F.count("*").alias("n"))
 
 
+def config_label_counts(counts: DataFrame, configs: Sequence[Sequence[str]], groups: Sequence[str]) -> DataFrame:
+    """Label counts per config and group as ``label_counts`` of ``config_examples`` gives them, from counts (groups, label, n)
+    of the unfiltered labels: a config changes labels alone, so no sentence is repeated for it."""
+    table = F.array(*[F.struct(F.lit("-".join(check_types(types)).lower()).alias("config"), F.array(*map(F.lit, types)).alias("types")) for types in configs])
+    kept = F.when(F.array_contains("_c.types", entity_of(F.col("label"))), F.col("label")).otherwise("O")
+    summed = counts.groupBy(*groups, "label").agg(F.sum("n").alias("n")).withColumn("_c", F.explode(table))
+    return summed.select(F.col("_c.config").alias("config"), *groups, kept.alias("label"), "n").groupBy("config", *groups, "label").agg(F.sum("n").alias("n"))
+
+
+def config_id_texts(sentences: DataFrame, labels: str, document: str, position: str, configs: Sequence[Sequence[str]]) -> DataFrame:
+    """(document, config, ids): the label ids of a document's sentences in order, as ``config_examples`` gives them; ids are
+    joined by commas, sentences by semicolons.
+
+    Every label is one letter until a document's sentences are together; each config only rewrites letters to its ids, which
+    have one digit. Labels of no type count as O.
+    """
+    every = label_vocabulary(list(ENTITY_COLUMNS))
+    letters = {label: chr(ord("a") + i) for label, i in every.items()}
+    known = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    text = F.array_join(F.transform(labels, lambda x: F.coalesce(F.element_at(known, x), F.lit(letters["O"]))), ",")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text.alias("ids")))), lambda s: s["ids"]), ";")
+    marks = "".join(letters.values())
+    made = F.array(*[F.struct(F.lit("-".join(check_types(types)).lower()).alias("config"), F.translate(
+        "_ids", marks, "".join(str(label_vocabulary(types).get(label, 0)) for label in letters)).alias("ids")) for types in configs])
+    return sentences.groupBy(document).agg(whole.alias("_ids")).select(document, F.explode(made).alias("_c")).select(document, "_c.config", "_c.ids")
+
+
 def validator_section(outcome: DataFrame, ratio_column: str = "discard_ratio") -> DataFrame:
     """One row over documents with a discard ratio: five numbers, and how many discard nothing."""
     some = outcome.where(F.col(ratio_column).isNotNull())
@@ -110,21 +138,36 @@ def entities_by_type(entities: DataFrame, document: str) -> DataFrame:
 
 def templated_labels(words: Column, values: Sequence[tuple[str, Column]]) -> Column:
     """Label array of a sentence's words: every occurrence of each value's words, later types over earlier ones."""
-    labels = F.transform(words, lambda _: F.lit("O"))
-    for name, value in values:
-        pattern = F.filter(F.split(F.coalesce(value, F.lit("")), " "), lambda w: w != "")
-        labels = bind(F.struct(labels.alias("l"), find_sublist(words, pattern).alias("at"), F.size(pattern).alias("n")), _laid_over(name))
+    names = [name for name, _ in values]
+
+    @F.arrow_udf("array<string>")
+    def laid(lists: pa.Array, *texts: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(lists), 4096):
+            cells = (column.slice(at, 4096).to_pylist() for column in (lists, *texts))
+            out.append(pa.array([_laid_over(row, names, found) for row, *found in zip(*cells, strict=True)], pa.list_(pa.string())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    return laid(words, *[value for _, value in values])
+
+
+def _laid_over(words: list[str] | None, names: Sequence[str], values: Sequence[str | None]) -> list[str] | None:
+    if words is None:
+        return None
+    labels = ["O"] * len(words)
+    for name, value in zip(names, values, strict=True):
+        pattern = [w for w in (value or "").split(" ") if w]
+        size = len(pattern)
+        if not size or pattern[0] not in words:
+            continue
+        starts = [i for i in range(len(words) - size + 1) if words[i] == pattern[0] and words[i:i + size] == pattern]
+        for i in starts:
+            labels[i:i + size] = [f"I-{name}"] * size
+        for i in starts:
+            labels[i] = f"B-{name}"
     return labels
 
 
-def _laid_over(name: str):
-    def over(s: Column) -> Column:
-        return F.transform(s["l"], lambda old, i: F.when(F.array_contains(s["at"], i), F.lit(f"B-{name}")).when(
-            F.exists(s["at"], lambda a: (a < i) & (i < a + s["n"])), F.lit(f"I-{name}")).otherwise(old))
-
-    return over
-
-
 def check_generation(variants: int, attempts: int, max_discard: float, temperature: float) -> None:
     """Parameters of a generation run that make no sense are an error."""
     if variants < 1 or attempts < 1:

@@ -39,3 +39,28 @@ def test_generation_parameters(bad):
     assembly.check_generation(1, 3, 0.3, 0.7)
     with pytest.raises(ValueError):
         assembly.check_generation(*bad)
+
+
+def test_config_counts_and_ids_without_repeated_sentences(spark):
+    rows = [
+        (1, 0, "train", ["B-REACT", "I-REACT", "O"]), (1, 1, "train", ["B-SYS", "O"]), (1, 10, "train", ["B-FREQ"]),
+        (2, 0, "test", ["O", None, "B-ACTIVE", "I-FREQ"]), (3, 2, "test", []),
+    ]
+    sentences = spark.createDataFrame(rows, "doc_id long, sent_idx int, split string, labels array<string>")
+    configs = [["REACT"], ["ACTIVE", "FREQ"], ["REACT", "ACTIVE", "FREQ", "SYS"]]
+    examples = assembly.config_examples(sentences, "labels", configs)
+    counts = assembly.label_counts(sentences, "labels", ["split"])
+    plain = assembly.label_counts(examples, "labels", ["config", "split"])
+    assert sorted(assembly.config_label_counts(counts, configs, ["split"]).select("config", "split", "label", "n").collect()) == sorted(plain.collect())
+    got = {(r.doc_id, r.config): r.ids for r in assembly.config_id_texts(sentences, "labels", "doc_id", "sent_idx", configs).collect()}
+    want = {}
+    for r in sorted(examples.collect(), key=lambda r: (r.doc_id, r.sent_idx)):
+        want.setdefault((r.doc_id, r.config), []).append(",".join(map(str, r.ner_tags)))
+    assert got == {k: ";".join(v) for k, v in want.items()}
+
+
+def test_templated_labels_of_overlaps_and_missing_values(spark):
+    rows = [(["a", "a", "a", "b"], "a a", None), (["x", "y"], "", "y z"), (None, "a", "b"), (["p", "q", "p"], " p  q ", "q p")]
+    cells = spark.createDataFrame(rows, "words array<string>, x string, y string")
+    got = cells.select(assembly.templated_labels(F.col("words"), [("X", F.col("x")), ("Y", F.col("y"))]).alias("l")).collect()
+    assert [r.l for r in got] == [["B-X", "B-X", "I-X", "O"], ["O", "O"], None, ["B-X", "B-Y", "I-Y"]]
