@@ -27,6 +27,16 @@ def _patterns():
     return regex.compile(r"\p{Mn}"), regex.compile(r"[\p{L}\p{N}_À-ſ]")
 
 
+class _WordCharacters(dict):
+    """Whether a character belongs to words, asked of the pattern once for each character."""
+    def __missing__(self, char: str) -> bool:
+        self[char] = bool(_patterns()[1].match(char))
+        return self[char]
+
+
+_in_word = _WordCharacters()
+
+
 def folded(text: str) -> tuple[str, list[int] | None]:
     """``text`` without accents and case, and where each of its characters stands in the raw text, with the end as
     the last place (None: every character stands where it stood).
@@ -73,14 +83,15 @@ class Finder:
         if self.empty or not text:
             return []
         form, places = folded(text)
-        word, found, n = _patterns()[1], [], len(form)
+        found, n = [], len(form)
         for last, (size, same) in self.automaton.iter(form):
             start, end = last + 1 - size, last + 1
-            if start and word.match(form[start - 1]) or end < n and word.match(form[end]):
+            if end < n and _in_word[form[end]] or start and _in_word[form[start - 1]]:
                 continue
             if places is not None:
                 start, end = places[start], places[end]
-            found += [(kind, rank, mention, start, end) for kind, rank, mention in same]
+            for kind, rank, mention in same:
+                found.append((kind, rank, mention, start, end))
         return found
 
     def first_places(self, text: str | None) -> dict[str, tuple[int, int]]:
@@ -122,6 +133,16 @@ def priority(span: Span) -> tuple:
     return rank, -len(mention), mention, start, end, kind
 
 
+def leftmost(spans: list[Span]) -> list[Span]:
+    """The leftmost occurrence of each mention; of equal places the first one offered."""
+    first: dict[str, Span] = {}
+    for span in spans:
+        held = first.get(span[2])
+        if held is None or span[3] < held[3]:
+            first[span[2]] = span
+    return list(first.values())
+
+
 def chosen(spans: list[Span]) -> list[Span]:
     """The spans that stay, in text order."""
     chooser = Chooser()

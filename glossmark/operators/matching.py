@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
-from glossmark.operators.automaton import Chooser, Finder, Span, chosen, priority
+from glossmark.operators.automaton import Chooser, Finder, Span, chosen, leftmost, priority
 from glossmark.operators.tokens import bio_tokens, edges_of, in_rows, pattern_pieces, row_slices
 
 # Singular and plural surface forms of the frequency categories.
@@ -67,9 +67,10 @@ def search(
     mention_code: str | None = None,
     text: str = "text",
     resolve: bool = False,
+    first: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``spans``: every bounded occurrence of its code's mentions, as they end, or with ``resolve`` the
-    non-overlapping choice in text order.
+    """``docs`` with ``spans``: every bounded occurrence of its code's mentions, as they end, with ``resolve`` the
+    non-overlapping choice in text order, or with ``first`` the leftmost one of each mention.
 
     Documents are dealt by code, large codes in parts, and meet their code's mentions in the same task: these come first
     and are compiled once into an automaton with failure links, which reads each text in one pass. A text is
@@ -93,11 +94,11 @@ def search(
     deal = F.coalesce("_part", F.lit(0))
     met = asked.unionByName(told, allowMissingColumns=True).withColumn("_part", F.when(F.col("_code").isNull(), F.pmod(F.xxhash64("_text"), F.lit(MOST_HOT)).cast("int")).otherwise(deal))
     kind = rows.schema["_row"].dataType.simpleString()
-    found = met.repartition("_code", "_part").sortWithinPartitions("_code", "_part", "_kind").mapInArrow(_searched(resolve), f"_row {kind}, spans {_SPANS}")
+    found = met.repartition("_code", "_part").sortWithinPartitions("_code", "_part", "_kind").mapInArrow(_searched(chosen if resolve else leftmost if first else None), f"_row {kind}, spans {_SPANS}")
     return found.select("_row.*", "spans")
 
 
-def _searched(resolve: bool):
+def _searched(choice: Callable[[list[Span]], list[Span]] | None):
     """Rows by code and part, mentions before documents, to the documents with their spans."""
     def run(batches):
         now, finder = None, None
@@ -113,7 +114,7 @@ def _searched(resolve: bool):
                         continue
                     spans = finder.spans(text) if code is not None and now == (code, part) else []
                     here.append(i)
-                    found.append(chosen(spans) if resolve else spans)
+                    found.append(choice(spans) if choice else spans)
                 yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(here, pa.int64())), _span_lists(found)], names=["_row", "spans"])
 
     return run
@@ -123,7 +124,8 @@ def _span_lists(found: list[list[Span]]) -> pa.Array:
     flat = [s for spans in found for s in spans]
     kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
     names = ("type", "type_rank", "mention", "start", "end")
-    values = pa.StructArray.from_arrays([pa.array([s[k] for s in flat], t) for k, t in enumerate(kinds)], names=names)
+    columns = zip(*flat) if flat else ((),) * len(names)
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
 
 
@@ -135,13 +137,15 @@ def find_spans(
     types: Sequence[str],
     mention_code: str | None = None,
     text: str = "text",
+    first: bool = False,
 ) -> DataFrame:
-    """Every bounded occurrence of a code's mentions in that code's documents, from ``search``.
+    """Every bounded occurrence of a code's mentions in that code's documents, or with ``first`` the leftmost of each mention
+    in each row, from ``search``.
 
     Returns doc_key, code, type, type_rank, mention, mention_length, start, end.
     """
     keys = [doc_key] if code == doc_key else [doc_key, code]
-    found = search(docs.select(*keys, text), mentions, doc_key, code, types, mention_code, text)
+    found = search(docs.select(*keys, text), mentions, doc_key, code, types, mention_code, text, first=first)
     return found.select(*keys, F.explode("spans").alias("_s")).select(
         *keys, "_s.type", "_s.type_rank", "_s.mention", F.length("_s.mention").alias("mention_length"), "_s.start", "_s.end")
 

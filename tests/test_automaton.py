@@ -75,3 +75,12 @@ def test_labels_merged_in_the_row(spark):
     joined = matching.project_labels(matching.bio_tokens(docs, "doc_id"), spans, "doc_id")
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, joined.select(*merged.columns).collect()))
     assert re.search("Window", merged._jdf.queryExecution().toString()) is None
+
+
+def test_leftmost_occurrences_of_a_row(spark):
+    docs = spark.createDataFrame([(1, "s", "dolor leve, Dolor y dolor leve"), (2, "s", None)], "doc_id long, source string, text string")
+    words = spark.createDataFrame([("s", "REACT", "dolor"), ("s", "SYS", "dolor"), ("s", "REACT", "dolor leve")], "source string, type string, mention string")
+    first = matching.find_spans(docs, words, "doc_id", "source", ["REACT", "SYS"], first=True)
+    assert sorted((r.doc_id, r.mention, r.start, r.end) for r in first.collect()) == [(1, "dolor", 0, 5), (1, "dolor leve", 0, 10)]
+    every = matching.find_spans(docs, words, "doc_id", "source", ["REACT", "SYS"])
+    assert every.count() == 8
