@@ -8,6 +8,9 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left
 from functools import cache
+from itertools import chain
+
+import numpy as np
 
 from glossmark.functions.text import accent_table
 
@@ -27,14 +30,18 @@ def _patterns():
     return regex.compile(r"\p{Mn}"), regex.compile(r"[\p{L}\p{N}_À-ſ]")
 
 
-class _WordCharacters(dict):
-    """Whether a character belongs to words, asked of the pattern once for each character."""
-    def __missing__(self, char: str) -> bool:
-        self[char] = bool(_patterns()[1].match(char))
-        return self[char]
+@cache
+def _word_table() -> np.ndarray:
+    """For each code point whether it belongs to words: 1, 0, or -1 where the pattern wasn't asked yet."""
+    return np.full(0x110000, -1, np.int8)
 
 
-_in_word = _WordCharacters()
+def word_flags(text: str) -> np.ndarray:
+    """Which characters belong to words; False before the first and after the last."""
+    table, codes = _word_table(), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for code in np.unique(codes[table[codes] < 0]).tolist():
+        table[code] = bool(_patterns()[1].match(chr(code)))
+    return np.concatenate([[False], table[codes] > 0, [False]])
 
 
 def folded(text: str) -> tuple[str, list[int] | None]:
@@ -47,7 +54,11 @@ def folded(text: str) -> tuple[str, list[int] | None]:
     if text.isascii():
         return text.lower(), None
     mark, _ = _patterns()
-    plain = text.translate(_composed())
+    plain, table = text, _composed()
+    for char in set(text):
+        base = table.get(ord(char))
+        if base is not None:
+            plain = plain.replace(char, chr(base))
     if not mark.search(unicodedata.normalize("NFD", plain)):
         low = plain.lower()
         if len(low) == len(text):
@@ -72,27 +83,46 @@ class Finder:
             form = folded(mention)[0]
             if form.strip():
                 by_form.setdefault(form, []).append((kind, rank, mention))
-        for form, same in by_form.items():
-            self.automaton.add_word(form, (len(form), same))
+        for at, form in enumerate(by_form):
+            self.automaton.add_word(form, at)
         if by_form:
             self.automaton.make_automaton()
         self.empty = not by_form
+        self.words = [word for same in by_form.values() for word in same]
+        self.sizes = np.array([len(form) for form in by_form], np.int64)
+        self.counts = np.array([len(same) for same in by_form.values()], np.int64)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        numbers: dict[str, int] = {}
+        self.mentions = np.array([numbers.setdefault(mention, len(numbers)) for _, _, mention in self.words], np.int64)
+
+    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences that no word character touches on either side, in the order in which they end: which of
+        ``words`` it is, start and end."""
+        if self.empty or not text:
+            return (np.empty(0, np.int64),) * 3
+        form, raw = folded(text)
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(form)), np.int64).reshape(-1, 2)
+        end, which = hits[:, 0] + 1, hits[:, 1]
+        start, inside = end - self.sizes[which], word_flags(form)
+        alone = ~(inside[start] | inside[end + 1])
+        start, end, which = start[alone], end[alone], which[alone]
+        if raw is not None:
+            raw = np.array(raw, np.int64)
+            start, end = raw[start], raw[end]
+        times = self.counts[which]
+        turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(self.firsts[which], times) + turn, np.repeat(start, times), np.repeat(end, times)
+
+    def leftmost(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``places`` the leftmost of each mention: those of one mention end in text order."""
+        which, start, end = self.places(text)
+        first = np.unique(self.mentions[which], return_index=True)[1]
+        return which[first], start[first], end[first]
 
     def spans(self, text: str | None) -> list[Span]:
-        """All occurrences that no word character touches on either side, in the order in which they end."""
-        if self.empty or not text:
-            return []
-        form, places = folded(text)
-        found, n = [], len(form)
-        for last, (size, same) in self.automaton.iter(form):
-            start, end = last + 1 - size, last + 1
-            if end < n and _in_word[form[end]] or start and _in_word[form[start - 1]]:
-                continue
-            if places is not None:
-                start, end = places[start], places[end]
-            for kind, rank, mention in same:
-                found.append((kind, rank, mention, start, end))
-        return found
+        """The same as ``places`` as a list of spans."""
+        which, start, end = self.places(text)
+        return [(*self.words[k], s, e) for k, s, e in zip(which.tolist(), start.tolist(), end.tolist(), strict=True)]
 
     def first_places(self, text: str | None) -> dict[str, tuple[int, int]]:
         """Start and end of each mention's leftmost occurrence: those of one mention end in text order."""
@@ -129,21 +159,11 @@ class Chooser:
 
 def priority(span: Span) -> tuple:
     """Lower type ranks first, then longer mentions, then text order."""
-    kind, rank, mention, start, end = span
+    kind, rank, mention, start, end = span[:5]
     return rank, -len(mention), mention, start, end, kind
 
 
-def leftmost(spans: list[Span]) -> list[Span]:
-    """The leftmost occurrence of each mention; of equal places the first one offered."""
-    first: dict[str, Span] = {}
-    for span in spans:
-        held = first.get(span[2])
-        if held is None or span[3] < held[3]:
-            first[span[2]] = span
-    return list(first.values())
-
-
 def chosen(spans: list[Span]) -> list[Span]:
     """The spans that stay, in text order."""
     chooser = Chooser()
-    return sorted((s for s in sorted(spans, key=priority) if chooser.takes(*s[1:])), key=lambda s: s[3])
+    return sorted((s for s in sorted(spans, key=priority) if chooser.takes(*s[1:5])), key=lambda s: s[3])

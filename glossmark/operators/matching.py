@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from glossmark.functions.labels import ENTITY_COLUMNS, check_types, entity_of
 from glossmark.functions.text import fold, ws_trim
-from glossmark.operators.automaton import Chooser, Finder, Span, chosen, leftmost, priority
+from glossmark.operators.automaton import Chooser, Finder, chosen, priority
 from glossmark.operators.tokens import bio_tokens, edges_of, in_rows, pattern_pieces, row_slices
 
 # Singular and plural surface forms of the frequency categories.
@@ -94,11 +94,11 @@ def search(
     deal = F.coalesce("_part", F.lit(0))
     met = asked.unionByName(told, allowMissingColumns=True).withColumn("_part", F.when(F.col("_code").isNull(), F.pmod(F.xxhash64("_text"), F.lit(MOST_HOT)).cast("int")).otherwise(deal))
     kind = rows.schema["_row"].dataType.simpleString()
-    found = met.repartition("_code", "_part").sortWithinPartitions("_code", "_part", "_kind").mapInArrow(_searched(chosen if resolve else leftmost if first else None), f"_row {kind}, spans {_SPANS}")
+    found = met.repartition("_code", "_part").sortWithinPartitions("_code", "_part", "_kind").mapInArrow(_searched(resolve, first), f"_row {kind}, spans {_SPANS}")
     return found.select("_row.*", "spans")
 
 
-def _searched(choice: Callable[[list[Span]], list[Span]] | None):
+def _searched(resolve: bool, first: bool):
     """Rows by code and part, mentions before documents, to the documents with their spans."""
     def run(batches):
         now, finder = None, None
@@ -106,27 +106,47 @@ def _searched(choice: Callable[[list[Span]], list[Span]] | None):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 keys = zip(*(batch.column(c).to_pylist() for c in ("_code", "_part", "_kind", "_text")), strict=True)
+                # which of the words of the batch's finders, one after the other, each span is
+                words, offset = (finder.words[:], 0) if finder else ([], 0)
                 here, found = [], []
                 for i, (code, part, kind, text) in enumerate(keys):
                     if kind == 0:
                         now = (code, part)
                         finder = Finder([(w["type"], w["rank"], w["mention"]) for w in batch.column("_words")[i].as_py()])
+                        offset = len(words)
+                        words += finder.words
                         continue
-                    spans = finder.spans(text) if code is not None and now == (code, part) else []
                     here.append(i)
-                    found.append(choice(spans) if choice else spans)
-                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(here, pa.int64())), _span_lists(found)], names=["_row", "spans"])
+                    if code is None or now != (code, part):
+                        found.append(_NONE)
+                        continue
+                    if resolve:
+                        which, start, end = _resolved(finder, text)
+                    else:
+                        which, start, end = finder.leftmost(text) if first else finder.places(text)
+                    found.append((which + offset, start, end))
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(here, pa.int64())), _span_lists(words, found)], names=["_row", "spans"])
 
     return run
 
 
-def _span_lists(found: list[list[Span]]) -> pa.Array:
-    flat = [s for spans in found for s in spans]
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-    names = ("type", "type_rank", "mention", "start", "end")
-    columns = zip(*flat) if flat else ((),) * len(names)
-    values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
+_NONE = (np.empty(0, np.int64),) * 3
+
+
+def _resolved(finder: Finder, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The non-overlapping choice of a text in text order."""
+    which, start, end = finder.places(text)
+    cells = [(*finder.words[k], s, e, i) for i, (k, s, e) in enumerate(zip(which.tolist(), start.tolist(), end.tolist(), strict=True))]
+    stay = np.array([span[-1] for span in chosen(cells)], np.int64)
+    return which[stay], start[stay], end[stay]
+
+
+def _span_lists(words: list[tuple[str, int, str]], found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    which, start, end = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+    kinds = (pa.string(), pa.int32(), pa.string())
+    columns = [pa.array([w[k] for w in words], t).take(pa.array(which)) for k, t in enumerate(kinds)]
+    values = pa.StructArray.from_arrays([*columns, pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["type", "type_rank", "mention", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32()), values)
 
 
 def find_spans(
