@@ -124,7 +124,7 @@ SELECT tag, CAST(matched_pred AS BIGINT) AS matched_pred, CAST(matched_gold AS B
 
 
 def _q_averages(spark, sf):
-    return evaluation.averaged_scores(evaluation.entity_counts(span_sentences(spark, sf), "gold_spans", "pred_spans"))
+    return evaluation.averaged_scores(evaluation.label_hits(hashed_sentences(spark, sf), "gold", "pred"))
 
 
 _SQL_AVERAGES = _SPAN_CTES + f""", n AS (SELECT tag, count(*) FILTER (WHERE side = 'g') AS support, count(*) FILTER (WHERE side = 'p') AS predicted,

@@ -398,3 +398,16 @@ def test_islands_of_many_rows_need_no_shuffle(spark):
             reach = max(reach, s[2])
         want += [(i, a, b) for a, b in islands]
     assert sorted((r.id, [tuple(x) for x in r.g], [tuple(x) for x in r.p]) for r in cut.collect()) == sorted(want)
+
+
+def test_label_hits_as_spans_give_them(spark):
+    from glossmark.functions.labels import label_spans
+
+    rng = random.Random(4)
+    marks = ["O", "B-X", "I-X", "B-Y", "I-Y", "I-Z", None]
+    rows = [([rng.choice(marks) for _ in range(n)], [rng.choice(marks) for _ in range(rng.choice([n, n, 3]))]) for n in [0, 1, 2, 5, 9, 14] * 30]
+    cells = spark.createDataFrame([*rows, (None, ["B-X"])], "gold array<string>, pred array<string>").repartition(3)
+    spans = cells.select(label_spans(F.col("gold")).alias("g"), label_spans(F.col("pred")).alias("p"))
+    plain = evaluation.entity_counts(spans.select(F.coalesce("g", F.slice("p", 1, 0)).alias("g"), "p"), "g", "p")
+    assert sorted(evaluation.label_hits(cells, "gold", "pred").collect()) == sorted(plain.collect())
+    assert evaluation.label_hits(cells.limit(0), "gold", "pred").count() == 0
