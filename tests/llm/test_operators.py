@@ -3,10 +3,14 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -281,6 +285,32 @@ def test_lm_scores_keep_every_ngram_in_any_slicing(lm_docs, monkeypatch):
     assert small == {k: pytest.approx(v, rel=1e-12) for k, v in whole.items()}
 
 
+def test_lm_scores_leave_no_shuffle_files_of_their_model(spark, lm_docs):
+    folder = Path(os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()))
+    files = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    scores = lm_score.score_texts(lm_docs)  # counts and model are made, the scores aren't yet
+    assert spark.conf.get(name) == setting
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert scores.count() == lm_docs.count()
+
+
+def test_elias_fano_places():
+    rng = np.random.default_rng(8)
+    for fill in (0.02, 0.5, 0.98):
+        bits = rng.random(640) < fill
+        values = np.flatnonzero(bits)
+        made = EliasFano(EliasFano.parts(values))
+        flags = np.unpackbits(made.high.view(np.uint8), bitorder="little")
+        for bit in (0, 1):
+            places = np.flatnonzero(flags == bit)
+            assert made._place(np.arange(len(places)), bit).tolist() == places.tolist()
+
+
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(5)
     for n, top in ((0, 1), (1, 5), (300, 40), (5_000, 10**9), (1_000, 10**14)):
