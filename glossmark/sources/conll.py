@@ -28,11 +28,14 @@ def document_blocks(sentences: DataFrame, key: str) -> DataFrame:
 
 def _blocks(sentences: DataFrame, key: str, name: str) -> DataFrame:
     """Blocks by ``key``; the header shows ``name``, which depends on it."""
-    lines = F.zip_with(
-        "tokens", "labels", lambda t, l: F.concat(F.regexp_replace(t, "[\t\r\n]", " "), F.lit("\t"), l)
-    )
+    def spaced(token):
+        for sign in "\t\r\n":
+            token = F.replace(token, F.lit(sign), F.lit(" "))
+        return token
+
+    lines = F.zip_with("tokens", "labels", lambda t, l: F.concat(spaced(t), F.lit("\t"), l))
     body = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
-    ordered = F.array_sort(F.collect_list(F.struct("sent_idx", body.alias("body"))))
+    ordered = F.sort_array(F.collect_list(F.struct("sent_idx", body.alias("body"))))
     return sentences.groupBy(key).agg(ordered.alias("_s"), F.first(name).cast("string").alias("_name")).select(
         key,
         F.concat(
@@ -67,22 +70,24 @@ def write_split_conll(sentences: DataFrame, key: str, root: str) -> None:
 def parse_blocks(blocks: DataFrame, source: str, text: str) -> DataFrame:
     """(source, codigo, sent_idx, tokens, labels) from CoNLL text, one row per sentence.
 
-    Headers, blank lines and TABs cut the text inside its own row, so nothing is shuffled.
+    Headers, blank lines and TABs cut the text inside its own row, so nothing is shuffled. Only U+000A ends a line, as
+    for the reader's ranges. A header has no TAB, so it falls out with the other lines that have none. A block is cut into
+    lines once and its lines aren't cut by patterns.
     """
-    documents = blocks.select(source, F.posexplode(F.split(text, r"(?m)^# (?=[^\t\n]*$)")).alias("_at", "_doc")).where(
+    documents = blocks.select(source, F.posexplode(F.split(text, r"(?md)^# (?=[^\t\n]*$)")).alias("_at", "_doc")).where(
         F.rlike("_doc", F.lit(r"\S"))
     )
-    headed = F.col("_at") > 0
-    code = F.when(headed, F.regexp_replace(F.substring_index("_doc", "\n", 1), r"\r$", ""))
-    body = F.when(headed, F.regexp_replace("_doc", r"^[^\n]*\n?", "")).otherwise(F.col("_doc"))
-    sentences = F.filter(F.split(body, r"\n[ \r]*\n"), lambda b: F.contains(b, F.lit("\t")))
-    rows = documents.select(source, code.alias("codigo"), F.posexplode(sentences).alias("sent_idx", "_block"))
-    lines = F.filter(F.split("_block", r"\r?\n"), lambda line: F.contains(line, F.lit("\t")))
-
-    def part(i: int):
-        return F.transform(lines, lambda line: F.get(F.split(line, "\t"), F.lit(i)))
-
-    return rows.select(source, "codigo", "sent_idx", part(0).alias("tokens"), part(1).alias("labels"))
+    code = F.when(F.col("_at") > 0, F.regexp_replace(F.substring_index("_doc", "\n", 1), r"\r$", ""))
+    sentences = F.filter(F.split("_doc", r"\n[ \r]*\n"), lambda b: F.contains(b, F.lit("\t")))
+    # the code comes first, so that no sentence carries its document's text
+    rows = documents.select(source, code.alias("codigo"), "_doc").select(source, "codigo", F.posexplode(sentences).alias("sent_idx", "_block"))
+    lines = F.split(F.replace("_block", F.lit("\r\n"), F.lit("\n")), "\n")
+    rows = rows.select(source, "codigo", "sent_idx", F.filter(lines, lambda line: F.contains(line, F.lit("\t"))).alias("_lines"))
+    return rows.select(
+        source, "codigo", "sent_idx",
+        F.transform("_lines", lambda line: F.substring_index(line, "\t", 1)).alias("tokens"),
+        F.transform("_lines", lambda line: F.substring_index(F.substring_index(line, "\t", 2), "\t", -1)).alias("labels"),
+    )
 
 
 class ConllSource(DataSource):

@@ -155,6 +155,31 @@ def test_conll_ranges_equal_whole_file(spark, tmp_path):
         assert rows(size) == whole
 
 
+def test_conll_lines_end_at_line_feeds_only(spark):
+    """Tokens with other separators than U+000A stay tokens, as the SQL counts them, and open no document."""
+    from glossmark.sources import conll
+
+    tokens = ["a\u2028#\tb", "#\tx\u2028y", "#\rz\u0085", "w\tv", "\u2029"]
+    rows = spark.createDataFrame([(7, 0, tokens, ["O", "B-A", "I-A", "O", "O"]), (7, 2, ["end"], ["B-B"])], "code long, sent_idx int, tokens array<string>, labels array<string>")
+    back = conll.parse_blocks(conll.document_blocks(rows, "code"), "code", "block").orderBy("sent_idx").collect()
+    assert [(r.codigo, r.sent_idx, r.tokens, r.labels) for r in back] == [
+        ("7", 0, ["a\u2028# b", "# x\u2028y", "# z\u0085", "w v", "\u2029"], ["O", "B-A", "I-A", "O", "O"]), ("7", 1, ["end"], ["B-B"])]
+
+
+def test_conll_cuts_each_text_once(spark, capsys):
+    from glossmark.plans import inputs
+    from glossmark.sources import conll
+
+    texts = spark.createDataFrame([("p", "# 1\r\na\tO\tmore\r\nb\tB-A\nno tab\n \r\nc\t")], "path string, value string").repartition(1)
+    parsed = conll.parse_blocks(texts, "path", "value")
+    assert [(r.codigo, r.sent_idx, r.tokens, r.labels) for r in parsed.collect()] == [("1", 0, ["a", "b"], ["O", "B-A"]), ("1", 1, ["c"], [""])]
+    capsys.readouterr()
+    parsed.select("codigo", F.size("tokens"), "labels").explain()
+    assert capsys.readouterr().out.count("split(") == 3  # documents, sentences, lines
+    inputs.hashed_sentences(spark, "/root/testdata/sf0.001").select("doc_id", "gold").explain()
+    assert capsys.readouterr().out.count("split(") == 2  # lines, words
+
+
 def test_conll_range_owns_each_document_once():
     from glossmark.sources.conll import owned_documents
 
