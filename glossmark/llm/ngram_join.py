@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import WORD, packed_row, saved, unpacked
-from glossmark.llm.rolling import Picker, pieces, shingle_sets
+from glossmark.llm.common import WORD, packed_row, saved, saved_and_seen, unpacked
+from glossmark.llm.rolling import Picker, pick_bits, pieces, shingle_sets
 
 #: Cells of the frequency table that orders shingles, dealt in blocks; fixed size, 4 MB.
 CELLS, BLOCK = 1 << 20, 1 << 10
@@ -66,7 +66,17 @@ def _added(key, rows):
     total = np.zeros(BLOCK, np.int64)
     for counts in rows["counts"]:
         total += np.frombuffer(counts, np.int64)
-    return pd.DataFrame([(key[0], total.tobytes())])
+    return pd.DataFrame([(key[0], np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes())])
+
+
+def _cells(described: DataFrame) -> np.ndarray:
+    """The count table of all blocks, up to 2^31 - 1 a cell: 4 MB that go through the driver once."""
+    blocks = described.where("counts IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(
+        _added, "block long, counts binary")
+    cells = np.zeros(CELLS, np.int32)
+    for row in blocks.collect():
+        cells[row["block"] * BLOCK: (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int32)
+    return cells
 
 
 def _prefixes(width: int, percent: int, cells):
@@ -112,22 +122,24 @@ def _verified(width: int, percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in ``edges`` (a, b).
 
-    Large-star and small-star steps in turn until the edges stay; each cut off by a table in the shared folder.
+    Large-star and small-star steps in turn until the edges stay; each cut off by a table in the shared folder. Their
+    number and digest are taken while they are written. Edges that are stars already take one step.
     """
-    now = saved(edges.select(F.least("a", "b").alias("m"), F.greatest("a", "b").alias("v")).where("m < v").distinct())
-    mark = None
-    while True:
+    digest = F.count("*"), F.sum(F.xxhash64("m", "v").cast("decimal(20,0)"))
+    ordered = edges.select(F.least("a", "b").alias("m"), F.greatest("a", "b").alias("v")).where("m < v").distinct()
+    now, mark = saved_and_seen(ordered, *digest)
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("m"), F.col("m").alias("v")))  # (v: node, m: neighbour)
         least = both.groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("least"))
         large = both.where("m > v").join(least, "v").select(F.col("least").alias("m"), F.col("m").alias("v"))
         large = large.where("m < v").distinct()
         down = large.groupBy("v").agg(F.min("m").alias("least"))
         small = large.join(down, "v").select(F.col("least").alias("m"), F.explode(F.array("m", "v")).alias("v"))
-        now = saved(small.where("m < v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("m", "v").cast("decimal(20,0)"))).first()
-        if tuple(seen) == mark:
-            return now.select(F.col("v").alias("id"), F.col("m").alias("component"))
-        mark = tuple(seen)
+        before = mark
+        now, mark = saved_and_seen(small.where("m < v").distinct(), *digest)
+        if mark == before:
+            break
+    return now.select(F.col("v").alias("id"), F.col("m").alias("component"))
 
 
 def _near_enough(percent: int):
@@ -147,7 +159,8 @@ def similarity_groups(docs: DataFrame, width: int, percent: int, key: str = "doc
 
     Within a prefix gram pairs aren't all tried: first every member meets the one with the commonest shingles, and
     links found so far make components; then only members of different components are left to try. A link inside a
-    component changes nothing, so components are exact, and a large group costs its size.
+    component changes nothing, so components are exact, and a large group costs its size. Components of a round begin at
+    those of the round before; a round without new links leaves them as they are.
 
     Null and empty texts have no shingles and link with nothing; rows that repeat a key are one document with all their
     texts; a null key has no component; an empty table gives no rows. Keys are integers.
@@ -156,12 +169,7 @@ def similarity_groups(docs: DataFrame, width: int, percent: int, key: str = "doc
     read = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     described = saved(read.mapInArrow(
         _describe(width), "id long, n long, digest binary, bins binary, block long, counts binary"))
-    blocks = described.where("counts IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(
-        _added, "block long, counts binary").collect()
-    cells = np.zeros(CELLS, np.int64)
-    for row in blocks:
-        cells[row["block"] * BLOCK: (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
-    shared_cells = spark.sparkContext.broadcast(np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32))
+    shared_cells = spark.sparkContext.broadcast(_cells(described))
     rows = described.where("counts IS NULL").select("id", "n", "digest", "bins")
     classes = saved(rows.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("class"), F.first("n").alias("n"), F.first("bins").alias("bins")))
@@ -173,9 +181,8 @@ def similarity_groups(docs: DataFrame, width: int, percent: int, key: str = "doc
     shared_cells.destroy()
     counts = entries.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1").select("gram")
     shared = saved(entries.join(counts, "gram"))
-    links = _same_key(rows, classes)
-    labels = classes.select(F.col("class").alias("id"), F.col("class").alias("component")).limit(0)
-    tried = links.limit(0)
+    labels = components(_same_key(rows, classes))
+    tried = None
     for turn in range(PIVOT_ROUNDS + 1):
         named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if turn < PIVOT_ROUNDS:
@@ -192,14 +199,17 @@ def similarity_groups(docs: DataFrame, width: int, percent: int, key: str = "doc
         ordered = F.col("x.component") != F.col("y.component") if turn < PIVOT_ROUNDS else F.col("x.component") < F.col("y.component")
         pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & ordered & _near_enough(percent)).select(
             F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs
-        pairs = saved(_suffix_filtered(pairs, classes, percent))
-        tried = pairs if not turn else tried.unionByName(pairs)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs, (left,) = saved_and_seen(_suffix_filtered(pairs, classes, percent), F.count("*"))
+        if not left:
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        picker = Picker(ids)
-        links = saved(links.unionByName(_verify(read, pairs, ids, picker, width, percent)))
+        picker = Picker(ids, pick_bits(2 * left))
+        links, (new,) = saved_and_seen(_verify(read, pairs, ids, picker, width, percent), F.count("*"))
         picker.release()
-        labels = components(links)
+        if new:
+            labels = components(links.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     by_class = classes.select("digest", "class").join(labels.withColumnRenamed("id", "class"), "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component"))
     return rows.join(by_class, "digest", "left").select(

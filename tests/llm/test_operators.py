@@ -486,6 +486,38 @@ def test_components_of_a_long_path(spark):
     assert dict(rows_of(ngram_join.components(links), "id", "component")) == {**{i: 1 for i in range(2, 41)}, 60: 50, 70: 50}
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and the number of Spark jobs it started."""
+    group = f"counted-{time.time()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_settled_links_take_one_step(spark):
+    stars = spark.createDataFrame([(1, i) for i in range(2, 30)] + [(50, 60), (70, 50)], "a long, b long")
+    none, few = jobs_of(spark, lambda: ngram_join.components(stars.limit(0)))
+    assert none.count() == 0 and few <= 3
+    found, jobs = jobs_of(spark, lambda: ngram_join.components(stars))
+    assert dict(rows_of(found, "id", "component")) == {**{i: 1 for i in range(2, 30)}, 60: 50, 70: 50}
+    assert jobs <= 16
+
+
+def test_rounds_without_new_pairs_send_nothing(spark, monkeypatch):
+    made, ran = [], []
+    picker, components = ngram_join.Picker, ngram_join.components
+    monkeypatch.setattr(ngram_join, "Picker", lambda *a: made.append(picker(*a)) or made[-1])
+    monkeypatch.setattr(ngram_join, "components", lambda edges: ran.append(1) or components(edges))
+    base = prose(5, 60)
+    docs = [(1, base), (2, base + " end"), (3, "Other " + base), *[(i, prose(1000 + i, 40)) for i in range(10, 20)]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_groups(frame, 5, 80).collect()}
+    assert got == plain_groups(docs, 5, 80) and got[3][1] == 1
+    assert len(made) == 1 and made[0].bits <= 16 and len(ran) == 2  # rows of one key, and the first round
+
+
 # --- repeated passages
 
 def plain_kept(docs, width):
