@@ -54,6 +54,24 @@ def rank_by_hash(
     )
 
 
+#: Keys that are handed to every task, at most.
+_TOLD_KEYS = 1 << 18
+
+
+def mark_alone(rows: DataFrame, key: str, alone: str = "_alone") -> DataFrame:
+    """Add ``alone``: whether no other row has the row's key; null is a key like others.
+
+    Only keys are shuffled to tell. Where no key repeats the column is a literal, so that what is left for the others goes
+    from the plan; many repeated keys are joined.
+    """
+    repeated = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"), F.lit(True).alias("_again"))
+    n = repeated.count()
+    if not n:
+        return rows.withColumn(alone, F.lit(True))
+    told = F.broadcast(repeated) if n <= _TOLD_KEYS else repeated
+    return rows.join(told, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(alone, F.col("_again").isNull()).drop("_key", "_again")
+
+
 def order_statistics(
     rows: DataFrame,
     value: str,

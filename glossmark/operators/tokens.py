@@ -113,25 +113,30 @@ def pattern_pieces(text: Column) -> Column:
 
 def bio_tokens(
     docs: DataFrame, key: str, text: str = "text", *keep: str, spans: str | None = None, cut: Callable[[Column], Column] = pattern_pieces,
+    lists: str | None = None,
 ) -> DataFrame:
     """One row per word-level token: key, kept columns, idx, token, start, end, sent_idx.
 
     A sentence starts after a line break, and at the first token that is not
     punctuation after a closing sign. ``spans`` names a column of sorted spans; tokens then get a label too.
-    ``cut`` makes the array of pieces that join to the text.
+    ``cut`` makes the array of pieces that join to the text. With ``lists`` a text that has tokens is one row, with all of
+    them as an array of that name: what is counted per text then needs no shuffle.
     """
     held = () if spans is None else (F.col(spans).alias("_spans"),)
     pieces = docs.select(F.struct(key, *keep).alias("_head"), cut(F.col(text)).alias("_pieces"), *held)
     numbers = [StructField(c, IntegerType()) for c in ("idx", "start", "end", "sent_idx")]
     label = [] if spans is None else [StructField("label", StringType())]
-    kind = StructType([StructField("_head", pieces.schema["_head"].dataType), *numbers, StructField("token", StringType()), *label])
-    names = [f.name for f in kind.fields if f.name != "_head"]
+    cells = [*numbers, StructField("token", StringType()), *label]
+    names = [f.name for f in cells]
     order = [c for c in ("idx", "token", "start", "end", "sent_idx", "label") if c in names]
-    return pieces.mapInArrow(_tokens(names), kind).select(F.col("_head")[key].alias(key), *[F.col("_head")[c].alias(c) for c in keep], *order)
+    if lists is not None:
+        cells, order = [StructField(lists, ArrayType(StructType(cells)))], [lists]
+    kind = StructType([StructField("_head", pieces.schema["_head"].dataType), *cells])
+    return pieces.mapInArrow(_tokens(names, lists), kind).select(F.col("_head")[key].alias(key), *[F.col("_head")[c].alias(c) for c in keep], *order)
 
 
-def _tokens(names: list[str]):
-    """Rows of pieces to one row per token."""
+def _tokens(names: list[str], listed: str | None = None):
+    """Rows of pieces to one row per token, or to one per row that has tokens, with the column ``listed``."""
     def run(batches):
         for batch in batches:
             for rows in row_slices(np.diff(edges_of(batch.column("_pieces")))):
@@ -156,7 +161,12 @@ def _tokens(names: list[str]):
         out = {c: pa.array(v[kept], pa.int32()) for c, v in columns.items()} | {"token": token.take(pa.array(kept))}
         if "label" in names:
             out["label"] = _labels(end - bare, sentence, edges, batch.column("_spans")).take(pa.array(kept))
-        return pa.RecordBatch.from_arrays([batch.column("_head").take(pa.array(row[kept])), *[out[c] for c in names]], names=["_head", *names])
+        if listed is None:
+            return pa.RecordBatch.from_arrays([batch.column("_head").take(pa.array(row[kept])), *[out[c] for c in names]], names=["_head", *names])
+        rows, n = np.unique(row[kept], return_counts=True)
+        cells = pa.StructArray.from_arrays([out[c] for c in names], names=names)
+        own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), cells)
+        return pa.RecordBatch.from_arrays([batch.column("_head").take(pa.array(rows)), own], names=["_head", listed])
 
     return run
 
