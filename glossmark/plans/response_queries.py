@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossmark.functions import prompts
 from glossmark.functions.labels import ENTITY_COLUMNS
 from glossmark.functions.text import fold, words
-from glossmark.operators import consolidation, evaluation, masking, responses, selection
+from glossmark.operators import consolidation, evaluation, masking, ordering, responses, selection
 from glossmark.plans.inputs import (
     ANNOTATION_ORDER, ROW_ID, SQL_ANNOTATIONS, SQL_ORDER, annotations, documents, spread, table, with_ctes,
 )
@@ -360,14 +360,20 @@ FROM r JOIN doc USING (doc_id) GROUP BY 1, 2, 3, 4"""
 CAPACITY = 126
 
 
-def _stream(spark, sf):
+def _stream(docs, *keep):
     """Words with four-character pieces as sub-tokens."""
-    rows = documents(spark, sf).select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    rows = docs.select("doc_id", *keep, words(F.col("text")).alias("words")).where(F.size("words") > 0)
     return rows.withColumn("sizes", F.transform("words", lambda w: F.ceil(F.length(w) / 4).cast("int")))
 
 
 def _placed(spark, sf):
-    return masking.window_words(_stream(spark, sf), "doc_id", "words", "sizes", CAPACITY)
+    return masking.window_words(_stream(documents(spark, sf)), "doc_id", "words", "sizes", CAPACITY)
+
+
+def _masked(spark, sf):
+    docs = ordering.mark_alone(documents(spark, sf), "doc_id")
+    placed = masking.window_words(_stream(docs, "_alone"), "doc_id", "words", "sizes", CAPACITY, "_alone")
+    return masking.mask_words(placed, "doc_id", alone="_alone")
 
 
 def _q_windows(spark, sf):
@@ -377,8 +383,7 @@ def _q_windows(spark, sf):
 
 
 def _q_masks(spark, sf):
-    masked = masking.mask_words(_placed(spark, sf), "doc_id")
-    return masked.groupBy("doc_id", "window_idx", "treatment").agg(
+    return _masked(spark, sf).groupBy("doc_id", "window_idx", "treatment").agg(
         F.count("*").alias("n_words"), F.sum("size").alias("sub_tokens")
     )
 

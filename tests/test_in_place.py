@@ -10,8 +10,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from glossmark.operators import ordering, word_rules
-from glossmark.plans import tagging_queries
+from glossmark.operators import masking, ordering, word_rules
+from glossmark.plans import inputs, response_queries, tagging_queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,6 +28,7 @@ def tables(spark, tmp_path_factory):
     for name, made in (("alone", rows), ("shared", odd)):
         folders[name] = str(tmp_path_factory.mktemp(name))
         spark.createDataFrame(made, SCHEMA).repartition(3).write.parquet(f"{folders[name]}/documents.parquet")
+        spark.createDataFrame([(1, "abcd eeee"), (2, text(20))], "item_id long, text string").write.parquet(f"{folders[name]}/benchmark.parquet")
     return folders
 
 
@@ -80,3 +81,32 @@ def test_rule_token_counts_by_key(spark, tables, name):
     assert got == {
         k: (len(t), len({x[1] for x in t}), len({x[2] for x in t}), max(x[3] for x in t), md5(" ".join(x[1] for x in sorted(t)).encode()).hexdigest())
         for k, t in want.items()}
+
+
+@pytest.mark.parametrize("name", ["mask_words"])
+def test_masks_shuffle_no_words(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(inputs, "spread", lambda rows, *keys: rows)
+    assert shuffled(spark, response_queries.QUERIES[name](spark, tables["alone"])) < size_of_texts(spark, tables["alone"]) / 2
+
+
+@pytest.mark.parametrize("name", ["alone", "shared"])
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_masks_in_place_are_those_by_window(spark, tables, monkeypatch, name, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = sorted(map(repr, response_queries._masked(spark, tables[name]).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = masking.mask_words(response_queries._placed(spark, tables[name]), "doc_id").collect()
+    assert len(got) > 100 and got == sorted(map(repr, want))
+
+
+def test_masks_of_odd_keys(spark):
+    """A null key, keys whose texts hold the separator, words of several windows and windows of a word."""
+    cases = [(None, [1, 2, 3] * 9), ("a|1", [50, 1, 1, 90]), ("a", [3] * 40), ("", [1])]
+    docs = spark.createDataFrame([(k, [f"w{i}" for i in range(len(s))], s) for k, s in cases], "k string, words array<string>, sizes array<int>").coalesce(1)
+    for seed in (42, 7):
+        want = masking.mask_words(masking.window_words(docs, "k", "words", "sizes", 20), "k", 0.25, seed)
+        placed = masking.window_words(ordering.mark_alone(docs, "k"), "k", "words", "sizes", 20, "_alone")
+        got = masking.mask_words(placed, "k", 0.25, seed, alone="_alone")
+        assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
