@@ -390,7 +390,7 @@ def _q_masks(spark, sf):
 
 def _q_mask_summary(spark, sf):
     """Masked sub-tokens per category: distinct masked words meet the vocabulary once."""
-    masked = masking.mask_words(_placed(spark, sf), "doc_id").groupBy("word").agg(F.sum("size").alias("n"))
+    masked = _masked(spark, sf).groupBy("word").agg(F.sum("size").alias("n"))
     vocabulary = masking.medical_vocabulary(table(spark, sf, "benchmark"), "text")
     return masking.categorise(masked, "word", vocabulary).groupBy("category").agg(F.sum("n").alias("sub_tokens"))
 

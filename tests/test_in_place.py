@@ -83,7 +83,7 @@ def test_rule_token_counts_by_key(spark, tables, name):
         for k, t in want.items()}
 
 
-@pytest.mark.parametrize("name", ["mask_words"])
+@pytest.mark.parametrize("name", ["mask_words", "mask_summary"])
 def test_masks_shuffle_no_words(spark, tables, monkeypatch, name):
     monkeypatch.setattr(inputs, "spread", lambda rows, *keys: rows)
     assert shuffled(spark, response_queries.QUERIES[name](spark, tables["alone"])) < size_of_texts(spark, tables["alone"]) / 2
