@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmark.llm import line_quality, lm_score, mixing, ngram_join, pii, quality_rules, substring_dedup, url_filter, vector_search, word_bpe
-from glossmark.llm.ef_trie import EliasFano, Trie
+from glossmark.llm.ef_trie import EliasFano, Trie, cells_of, codebook, counted_cells
 from glossmark.llm.queries import tokenizer_definition
 from tests.llm.edge_cases import edge_texts, prose
 
@@ -285,6 +285,38 @@ def test_lm_scores_keep_every_ngram_in_any_slicing(lm_docs, monkeypatch):
     assert small == {k: pytest.approx(v, rel=1e-12) for k, v in whole.items()}
 
 
+def test_lm_scores_are_quantised_by_one_table_for_all_slices(lm_docs, monkeypatch):
+    scores = lambda docs: {(r.doc_id, r.n_tokens): (r.base_score, r.score) for r in lm_score.score_texts(docs).collect()}
+    exact = scores(lm_docs)
+    monkeypatch.setattr(lm_score, "LEVELS", 3, raising=False)
+    coarse = scores(lm_docs)
+    assert all(coarse[k][0] == pytest.approx(exact[k][0], rel=1e-12) for k in exact)
+    assert sum(abs(coarse[k][1] - exact[k][1]) > abs(exact[k][1]) / 100 for k in exact) > len(exact) / 2
+    for name, value in (("SLICE", 40), ("SHARD", 60)):
+        monkeypatch.setattr(lm_score, name, value)
+    assert {k: v[1] for k, v in scores(lm_docs.repartition(5)).items()} == {k: pytest.approx(v[1], rel=1e-12) for k, v in coarse.items()}
+
+
+def test_codebook_of_a_grid():
+    rng = np.random.default_rng(3)
+    values = -np.abs(rng.normal(2, 1.5, 40_000))
+    cells, n, parts = counted_cells(values)
+    in_parts = Counter()
+    for part in np.array_split(rng.permutation(values), 7):
+        for cell, *sums in zip(*counted_cells(part)):
+            in_parts[cell, 0] += sums[0]
+            in_parts[cell, 1] += sums[1]
+    assert [in_parts[c, 0] for c in cells] == n.tolist() and [in_parts[c, 1] for c in cells] == parts.tolist()
+    codes, table = codebook(cells, n, parts, 64)
+    found = codes[cells_of(values)]
+    filled = np.bincount(found, minlength=64)
+    assert len(table) == 64 and filled.min() > 40_000 / 64 * 0.9 and filled.max() < 40_000 / 64 * 1.1
+    assert table == pytest.approx(np.bincount(found, values) / filled, abs=1e-9)
+    few = np.repeat([-0.0, -0.3, -7.0, -15.9], 5)
+    codes, table = codebook(*counted_cells(few), 64)
+    assert table[codes[cells_of(few)]] == pytest.approx(few, abs=1e-9) and len(codebook(*counted_cells(few[:0]))[1]) == 0
+
+
 def test_lm_scores_leave_no_shuffle_files_of_their_model(spark, lm_docs):
     folder = Path(os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()))
     files = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
